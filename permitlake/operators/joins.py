@@ -30,7 +30,7 @@ def left_join_hot_right(left: DataFrame, right: DataFrame, key: str) -> DataFram
     Adaptive execution cannot split the right side of a left outer join, but it can split
     either side of an inner one. So the right side gets an all-null row for each left key
     it lacks, found on the key column alone, and an inner join does the rest. The left
-    key must not be null, and must not occur on the right under another meaning of null.
+    key must not be null.
     """
     lacking = keys_of(left, key).join(keys_of(right, key), key, "left_anti")
     padded = right.unionByName(lacking, allowMissingColumns=True)

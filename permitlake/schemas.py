@@ -32,7 +32,6 @@ class Table:
     parents: dict[str, str] = field(default_factory=dict)
     defaults: dict[str, object] = field(default_factory=dict)
     partition_by: tuple[str, ...] = ()
-    bucket_by: str | None = None
 
     @property
     def schema(self) -> T.StructType:
@@ -68,7 +67,6 @@ _DEFINITIONS = (
         ranges={"latitude": LATITUDE, "longitude": LONGITUDE},
         parents={"owner_id": "users"},
         defaults={"status": "active", "created_at": WRITE_TIME},
-        bucket_by="business_id",
     ),
     Table(
         "permits",
@@ -83,7 +81,6 @@ _DEFINITIONS = (
         parents={"business_id": "businesses"},
         defaults={"penalty_amount": 0},
         partition_by=("permit_year",),
-        bucket_by="permit_id",
     ),
     Table(
         "payments",
@@ -100,7 +97,6 @@ _DEFINITIONS = (
         },
         parents={"permit_id": "permits"},
         defaults={"paid_at": WRITE_TIME},
-        bucket_by="permit_id",
     ),
     Table(
         "compliance_scores",
@@ -113,7 +109,6 @@ _DEFINITIONS = (
         ranges={"score": (0, 1)},
         parents={"business_id": "businesses"},
         defaults={"scored_at": WRITE_TIME},
-        bucket_by="business_id",
     ),
     Table(
         "inspections",
@@ -127,7 +122,6 @@ _DEFINITIONS = (
         ranges={"latitude": LATITUDE, "longitude": LONGITUDE},
         parents={"business_id": "businesses", "inspector_id": "users"},
         defaults={"inspected_at": WRITE_TIME},
-        bucket_by="business_id",
     ),
     Table(
         "audit_logs",
