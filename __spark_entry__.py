@@ -215,7 +215,7 @@ def _queries() -> dict[str, Callable[[Registry], DataFrame]]:
     return {
         # scans, sources, sinks
         "scan_table": lambda r: r.table("payments"),
-        "table_preview": lambda r: dashboard.table_preview(r, "payments", key="payment_id"),
+        "table_preview": lambda r: dashboard.table_preview(r, "payments"),
         "sql_select": lambda r: dashboard.sql_select(
             r,
             "SELECT ward, status, COUNT(*) AS businesses_in_ward "

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from permitlake.session import shared_dir
+from permitlake.session import scratch_dir
 
 # monotonically_increasing_id puts the partition number above this many bits of row number.
 ROW_BITS = 33
 
 
 def highest_id(rows: DataFrame, key: str) -> int:
+    """The largest key, or 0 without rows. Runs a job that returns one row."""
     return rows.agg(F.max(key)).first()[0] or 0
 
 
@@ -20,23 +21,28 @@ def assign_ids(
 ) -> DataFrame:
     """Number the rows start_after+1, start_after+2, ... in the given order, without gaps.
 
-    The sorted rows are checkpointed once, so that partitions and row order are the same
-    for the count per partition and for the numbering, also after an executor is lost.
-    The only window runs over one row per partition. `order_by` should be unique.
+    The sorted rows are written once to the shared folder, each with its partition and its
+    place there. What is read back is fixed, so an executor lost later cannot change a
+    number. Counting the partitions reads that one column, and the only window runs over
+    one row per partition. `order_by` should be unique.
     """
-    shared_dir(rows.sparkSession)
-    fixed = rows.orderBy(*order_by).checkpoint()
-    placed = fixed.withColumn("_at", F.monotonically_increasing_id()).withColumn(
+    spark = rows.sparkSession
+    others = [c for c in rows.columns if c != key]
+    placed = rows.orderBy(*order_by).select(
+        *others, F.monotonically_increasing_id().alias("_at")
+    )
+    path = scratch_dir(spark, "ids")
+    placed.write.parquet(path)
+    stored = spark.read.schema(placed.schema).parquet(path).withColumn(
         "_part", F.shiftright("_at", ROW_BITS)
     )
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy("_part")
+        stored.groupBy("_part")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     )
-    in_part = F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    number = F.lit(start_after).cast("long") + F.col("_before") + in_part + 1
-    numbered = placed.join(F.broadcast(offsets), "_part")  # one row per partition
-    others = [c for c in rows.columns if c != key]
+    place = F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    number = F.lit(start_after).cast("long") + F.col("_before") + place + 1
+    numbered = stored.join(F.broadcast(offsets), "_part")  # one row per partition
     return numbered.select(number.alias(key), *others)

@@ -24,14 +24,18 @@ def matching(rows: DataFrame, column: str, wanted) -> DataFrame:
     return rows.filter(F.col(column) == wanted)
 
 
-def left_join_hot_right(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def left_join_hot_right(
+    left: DataFrame, right: DataFrame, key: str, left_keys: DataFrame | None = None
+) -> DataFrame:
     """Left outer join where the right side may hold a hot key.
 
     Adaptive execution cannot split the right side of a left outer join, but it can split
     either side of an inner one. So the right side gets an all-null row for each left key
     it lacks, found on the key column alone, and an inner join does the rest. The left
-    key must not be null.
+    key must not be null. `left_keys` is a cheaper source of all left keys, if there is
+    one; keys in it that the left side lacks do no harm.
     """
-    lacking = keys_of(left, key).join(keys_of(right, key), key, "left_anti")
+    keys = left if left_keys is None else left_keys
+    lacking = keys_of(keys, key).join(keys_of(right, key), key, "left_anti")
     padded = right.unionByName(lacking, allowMissingColumns=True)
     return left.join(padded, key)

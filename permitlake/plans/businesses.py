@@ -7,9 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permitlake.functions.literals import like_escape, slug
+from permitlake.functions.literals import day, like_escape, slug
 from permitlake.functions.rules import expires_soon, status_description
-from permitlake.functions.literals import day
 from permitlake.operators.joins import keys_of, left_join_hot_right, matching
 from permitlake.operators.ordering import down, in_order, up
 from permitlake.registry import Registry
@@ -75,7 +74,7 @@ def business_permit_summary(
         "business_id", F.col("score").alias("compliance_score"), "cluster_label"
     )
     summary = business_summary(registry, as_of=as_of, ordered=False)
-    rows = left_join_hot_right(summary, scores, "business_id")
+    rows = left_join_hot_right(summary, scores, "business_id", left_keys=_active(registry))
     return in_order(rows, ordered, up("business_name"), up("business_id"), up("permit_id"))
 
 

@@ -7,6 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from permitlake.functions.literals import moment
 from permitlake.operators.ids import assign_ids, highest_id
@@ -67,12 +68,15 @@ def upsert_scores(
     score of the business is updated ('update'), or a new one added ('insert'); all other
     rows stay ('keep').
 
-    `updates` holds business_id, score, model_version, features_json and cluster_label.
+    `updates` holds business_id, score, model_version, features_json and cluster_label;
+    the features may be JSON text, or a struct or map to be written as JSON.
     First scores are found by a grouping that combines before the shuffle, and the update
     joins on the unique score id, so a business with very many scores makes no hot task.
     """
     scores = registry.table("compliance_scores")
     values = ["score", "model_version", "features_json", "cluster_label"]
+    if not isinstance(updates.schema["features_json"].dataType, StringType):
+        updates = updates.withColumn("features_json", F.to_json("features_json"))
     wanted = updates.select(
         "business_id", *values, *(c for c in newest_by or () if c not in values)
     )

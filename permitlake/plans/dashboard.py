@@ -12,6 +12,7 @@ from permitlake.plans.businesses import business_statistics
 from permitlake.plans.inspections import inspection_statistics
 from permitlake.plans.payments import payment_statistics
 from permitlake.registry import Registry
+from permitlake.schemas import TABLES
 
 # Tables open to preview, and the number of rows shown.
 PREVIEW_TABLES = (
@@ -95,7 +96,7 @@ def recent_activity(registry: Registry, *, count: int = 5) -> DataFrame:
         newest.join(F.broadcast(named), "user_id", "left")
         .orderBy(down("timestamp"), down("log_id"))
         .select(
-            F.date_format(F.col("timestamp"), "HH:mm").alias("time"),
+            F.substring(F.col("timestamp").cast("string"), 12, 5).alias("time"),
             F.concat_ws(" ", "action", "target_table").alias("activity"),
             F.coalesce("user", F.lit("System")).alias("user"),
             F.lit("Success").alias("status"),
@@ -104,11 +105,11 @@ def recent_activity(registry: Registry, *, count: int = 5) -> DataFrame:
     )
 
 
-def table_preview(registry: Registry, table: str, *, key: str) -> DataFrame:
+def table_preview(registry: Registry, table: str) -> DataFrame:
     """The first rows of an allowed table, by key."""
     if table not in PREVIEW_TABLES:
         raise ValueError(f"table {table!r} is not open to preview")
-    return registry.table(table).orderBy(key).limit(PREVIEW_ROWS)
+    return registry.table(table).orderBy(TABLES[table].key).limit(PREVIEW_ROWS)
 
 
 def sql_select(registry: Registry, text: str) -> DataFrame:

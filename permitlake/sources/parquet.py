@@ -5,10 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import json
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from permitlake.operators.keyed import conform
 from permitlake.registry import Registry
 from permitlake.schemas import TABLES
 
@@ -30,18 +30,23 @@ def open_registry(spark: SparkSession, folder: str, names=tuple(TABLES)) -> Regi
     return Registry(spark, {name: scan_table(spark, folder, name) for name in names})
 
 
-def write_table(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> int:
-    """Write to a new path and return the row count, taken by the write itself.
+def write_table(rows: DataFrame, path: str, name: str, mode: str = "errorifexists") -> None:
+    """Write rows of a table to a path, permits in one folder per year.
 
-    A partitioned table is rebalanced first: each partition value goes to a few files, and
-    a value with very many rows is split among tasks.
+    A table with folders is rebalanced first: the rows of a folder go to a few files, and
+    a folder with very many rows is split among tasks.
     """
-    seen = Observation()
-    counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
-    if partition_by:
-        counted = counted.hint("rebalance", *partition_by)
-    counted.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
-    return seen.get["rows"]
+    by = tuple(c for c in TABLES[name].partition_by if c in rows.columns)
+    if by:
+        rows = rows.hint("rebalance", *by)
+    rows.write.mode(mode).partitionBy(*by).parquet(path)
+
+
+def append_rows(rows: DataFrame, folder: str, name: str, now: dt.datetime) -> DataFrame:
+    """Append rows to a stored table, with defaults for the columns they lack; returns
+    the table after it."""
+    write_table(conform(rows, name, now), f"{folder}/{name}", name, mode="append")
+    return scan_table(rows.sparkSession, folder, name)
 
 
 def export_snapshot(registry: Registry, folder: str, now: dt.datetime) -> str:
@@ -51,9 +56,10 @@ def export_snapshot(registry: Registry, folder: str, now: dt.datetime) -> str:
     entries = []
     for name in registry.names():
         rows = registry.table(name)
-        spec = TABLES.get(name)
-        by = tuple(c for c in spec.partition_by if c in rows.columns) if spec else ()
-        count = write_table(rows, f"{path}/{name}", by)
+        target = f"{path}/{name}"
+        write_table(rows, target, name)
+        # Counting what was written reads the file footers only.
+        count = _read(registry.spark, target, rows.schema).count()
         entries.append((name, count, rows.schema.json()))
     manifest = registry.spark.createDataFrame(entries, MANIFEST_SCHEMA)
     manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/{MANIFEST}")
