@@ -211,7 +211,6 @@ def _keys(reg: Registry, table: str, column: str, condition=None) -> DataFrame:
 
 
 def _queries() -> dict[str, Callable[[Registry], DataFrame]]:
-    active = F.col("status") == "active"
     return {
         # scans, sources, sinks
         "scan_table": lambda r: r.table("payments"),
@@ -284,7 +283,7 @@ def _queries() -> dict[str, Callable[[Registry], DataFrame]]:
             r, _keys(r, "users", "user_id", F.col("is_active"))
         ),
         "permits_by_business": lambda r: permits.permits_by_business(
-            r, _keys(r, "businesses", "business_id", active)
+            r, _keys(r, "businesses", "business_id", F.col("status") == "active")
         ),
         "payments_by_permit": lambda r: payments.payments_by_permit(
             r, _keys(r, "permits", "permit_id", F.col("status") == "issued")
@@ -303,7 +302,7 @@ def _queries() -> dict[str, Callable[[Registry], DataFrame]]:
         "expiring_permits": lambda r: permits.expiring_permits(r, as_of=AS_OF),
         "payment_summary": payments.payment_summary,
         "inspections_by_business": lambda r: inspections.inspections_by_business(
-            r, _keys(r, "businesses", "business_id", active)
+            r, _keys(r, "businesses", "business_id", F.col("status") == "active")
         ),
         "inspections_by_inspector": lambda r: inspections.inspections_by_inspector(
             r,

@@ -13,12 +13,24 @@ def keys_of(rows: DataFrame, *columns: str) -> DataFrame:
     return present.distinct()
 
 
+def spread_keys_of(rows: DataFrame, column: str) -> DataFrame:
+    """Distinct non-null keys, for a join whose other side may hold a hot key.
+
+    Adaptive execution splits a skewed join only where both inputs come straight from a
+    shuffle by the join key, not where one is the result of a grouping by it. Grouping by
+    the key and its hash gives the same keys under another partitioning, so the join
+    shuffles them (one column) itself and can be split.
+    """
+    present = rows.select(column, F.hash(column).alias("_hash"))
+    return present.filter(F.col(column).isNotNull()).distinct().drop("_hash")
+
+
 def matching(rows: DataFrame, column: str, wanted) -> DataFrame:
     """Rows whose column equals a value, is in a list, or is among the keys of a
     one-column DataFrame."""
     if isinstance(wanted, DataFrame):
         keys = wanted.toDF(column)
-        return rows.join(keys_of(keys, column), column, "left_semi")
+        return rows.join(spread_keys_of(keys, column), column, "left_semi")
     if isinstance(wanted, (list, tuple, set, frozenset)):
         return rows.filter(F.col(column).isin(list(wanted)))
     return rows.filter(F.col(column) == wanted)

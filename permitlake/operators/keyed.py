@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from permitlake.functions.literals import moment
-from permitlake.operators.joins import keys_of
+from permitlake.operators.joins import keys_of, spread_keys_of
 from permitlake.schemas import TABLES, WRITE_TIME
 
 
@@ -41,12 +41,19 @@ def append_records(target: DataFrame, rows: DataFrame) -> DataFrame:
     return target.unionByName(rows, allowMissingColumns=True)
 
 
-def one_per_key(rows: DataFrame, key: str, newest_by: list[str] | None = None) -> DataFrame:
+def one_per_key(
+    rows: DataFrame, key: str, newest_by: list[str] | None = None, *, spread: bool = False
+) -> DataFrame:
     """One row per non-null key: the newest one by the given columns, or, without them,
-    an error when a key occurs twice. Combined before the shuffle."""
+    an error when a key occurs twice. Combined before the shuffle.
+
+    With `spread`, the result is not partitioned by the key, so that a join with a table
+    in which the key is hot can be split (see `spread_keys_of`).
+    """
     values = [c for c in rows.columns if c != key]
     whole = F.struct(*values)
-    groups = rows.filter(F.col(key).isNotNull()).groupBy(key)
+    by = [key, F.hash(key)] if spread else [key]
+    groups = rows.filter(F.col(key).isNotNull()).groupBy(*by)
     if newest_by:
         found = groups.agg(F.max_by(whole, F.struct(*newest_by)).alias("_row"))
     else:
@@ -65,11 +72,13 @@ def update_by_key(
     *,
     newest_by: list[str] | None = None,
     keep_if_null: tuple[str, ...] = (),
+    unique: bool = False,
 ) -> DataFrame:
     """Set the columns of `changes` where the key matches; other rows stay as they are.
 
     Columns in `newest_by` that the table lacks only rank the changes of one key. A null
-    among the changes is written, but for the columns in `keep_if_null`.
+    among the changes is written, but for the columns in `keep_if_null`. `unique` says
+    that the key is unique in the table; that saves a shuffle of the changes.
     """
     names = [c for c in changes.columns if c != key and c in target.columns]
     unknown = set(changes.columns) - set(target.columns) - set(newest_by or ())
@@ -77,7 +86,7 @@ def update_by_key(
         raise ValueError(f"the table has no column {sorted(unknown)}")
     if not names:
         raise ValueError("no data to update")
-    new = one_per_key(changes, key, newest_by).select(
+    new = one_per_key(changes, key, newest_by, spread=not unique).select(
         key, F.lit(True).alias("_hit"), *(F.col(c).alias(f"_new_{c}") for c in names)
     )
 
@@ -94,7 +103,7 @@ def update_by_key(
 
 def delete_by_key(target: DataFrame, doomed: DataFrame, key: str) -> DataFrame:
     """The table without the rows whose key is listed; a null key matches nothing."""
-    return target.join(keys_of(doomed, key), key, "left_anti").select(*target.columns)
+    return target.join(spread_keys_of(doomed, key), key, "left_anti").select(*target.columns)
 
 
 def new_by_key(

@@ -19,7 +19,7 @@ def update_permit_status(registry: Registry, changes: DataFrame) -> DataFrame:
     new = changes.select(
         "permit_id", "status", F.coalesce(penalty, F.lit(0)).alias("penalty_amount")
     )
-    return update_by_key(registry.table("permits"), new, "permit_id")
+    return update_by_key(registry.table("permits"), new, "permit_id", unique=True)
 
 
 def update_payment_status(registry: Registry, changes: DataFrame) -> DataFrame:
@@ -28,7 +28,11 @@ def update_payment_status(registry: Registry, changes: DataFrame) -> DataFrame:
         "payment_id", "status", *(c for c in ("receipt_url",) if c in changes.columns)
     )
     return update_by_key(
-        registry.table("payments"), new, "payment_id", keep_if_null=("receipt_url",)
+        registry.table("payments"),
+        new,
+        "payment_id",
+        keep_if_null=("receipt_url",),
+        unique=True,
     )
 
 
@@ -37,4 +41,4 @@ def touch_user_activity(
 ) -> DataFrame:
     """Stamp the time on the listed users."""
     stamped = keys_of(user_ids.toDF("user_id"), "user_id").withColumn(column, moment(now))
-    return update_by_key(registry.table("users"), stamped, "user_id")
+    return update_by_key(registry.table("users"), stamped, "user_id", unique=True)

@@ -1,0 +1,445 @@
+"""Write jobs, change capture, data rules and storage on small hand-made tables."""
+
+import datetime as dt
+import json
+import random
+from decimal import Decimal
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from frames import NOW, business, frame, registry, user
+from permitlake.operators import keyed, quality
+from permitlake.operators.changes import audit_changes
+from permitlake.operators.ids import assign_ids, highest_id
+from permitlake.plans import compliance, intake, maintenance
+from permitlake.plans.write_path import RuleViolation, store
+from permitlake.schemas import TABLES
+from permitlake.sources import catalog, parquet, postgres
+
+
+def rows_of(frame):
+    return sorted((r.asDict() for r in frame.collect()), key=str)
+
+
+# --- ids -------------------------------------------------------------------------------
+
+
+def test_ids_follow_the_order_without_gaps(spark):
+    keys = list(range(5000))
+    random.Random(1).shuffle(keys)
+    rows = spark.createDataFrame([(k, f"v{k}") for k in keys], "k bigint, v string")
+    numbered = assign_ids(rows.repartition(7), "id", ["k"], start_after=100).collect()
+    assert sorted((r.k, r.id, r.v) for r in numbered) == [
+        (k, 101 + k, f"v{k}") for k in range(5000)
+    ]
+
+
+def test_ids_of_tied_and_of_no_rows(spark):
+    tied = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("v"))
+    numbered = assign_ids(tied, "id", ["k"]).collect()
+    assert sorted(r.id for r in numbered) == list(range(1, 1001))
+    assert assign_ids(tied.limit(0), "id", ["k"]).count() == 0
+    assert highest_id(tied.limit(0), "v") == 0
+
+
+# --- update, delete, insert ---------------------------------------------------------------
+
+
+def test_update_sets_only_given_columns(spark):
+    old = frame(spark, "businesses", [business(1), business(2), business(3)])
+    changes = spark.createDataFrame(
+        [(1, "South", None), (9, "West", 2)], "business_id int, ward string, owner_id int"
+    )
+    new = {r.business_id: r for r in keyed.update_by_key(old, changes, "business_id").collect()}
+    assert (new[1].ward, new[1].owner_id, new[1].name) == ("South", None, "Shop 1")
+    assert (new[2].ward, new[2].owner_id) == ("North", 1) and len(new) == 3
+    assert keyed.update_by_key(old, changes, "business_id").schema == old.schema
+
+
+def test_update_needs_data_and_known_columns(spark):
+    old = frame(spark, "businesses", [business(1)])
+    with pytest.raises(ValueError, match="no data"):
+        keyed.update_by_key(old, spark.createDataFrame([(1,)], "business_id int"), "business_id")
+    with pytest.raises(ValueError, match="nope"):
+        keyed.update_by_key(
+            old, spark.createDataFrame([(1, 2)], "business_id int, nope int"), "business_id"
+        )
+
+
+def test_update_with_two_changes_for_a_key(spark):
+    old = frame(spark, "businesses", [business(1), business(2)])
+    twice = spark.createDataFrame(
+        [(1, "East", 1), (1, "West", 2), (2, "South", 5)],
+        "business_id int, ward string, step int",
+    )
+    with pytest.raises(PySparkException, match="several rows for key 1"):
+        keyed.update_by_key(old, twice.drop("step"), "business_id").collect()
+    new = keyed.update_by_key(old, twice, "business_id", newest_by=["step"]).collect()
+    assert {r.business_id: r.ward for r in new} == {1: "West", 2: "South"}
+
+
+def test_update_of_null_keys_changes_nothing(spark):
+    old = frame(spark, "businesses", [business(1), business(3, business_id=None)])
+    changes = spark.createDataFrame([(None, "East"), (None, "West")], "business_id int, ward string")
+    new = keyed.update_by_key(old, changes, "business_id")
+    assert rows_of(new) == rows_of(old)
+
+
+def test_delete(spark):
+    old = frame(spark, "businesses", [business(1), business(2), business(3, business_id=None)])
+    keys = spark.createDataFrame([(1,), (1,), (None,), (7,)], "business_id bigint")
+    left = keyed.delete_by_key(old, keys, "business_id").collect()
+    assert sorted(str(r.business_id) for r in left) == ["2", "None"]
+
+
+def test_insert_ignore_keeps_the_first_of_a_key_and_all_null_keys(spark):
+    old = frame(spark, "users", [user(1)])
+    incoming = frame(
+        spark, "users",
+        [
+            user(2, email="u1@x.example"), user(4, email="new"), user(3, email="new"),
+            user(5, email=None), user(6, email=None),
+        ],
+    )
+    kept = keyed.insert_ignore(old, incoming, "email", ["user_id"]).collect()
+    assert sorted(r.user_id for r in kept) == [1, 3, 5, 6]
+    again = keyed.insert_ignore(
+        keyed.insert_ignore(old, incoming.filter("email is not null"), "email", ["user_id"]),
+        incoming.filter("email is not null"), "email", ["user_id"],
+    )
+    assert again.count() == 2
+
+
+def test_conform_defaults_absent_columns_but_not_nulls(spark):
+    rows = spark.createDataFrame(
+        [("n", "e", "h", "admin", None)],
+        "name string, email string, password_hash string, role string, is_active boolean",
+    )
+    row = keyed.conform(rows, "users", NOW).first()
+    assert row.is_active is None and row.created_at == NOW and row.phone is None
+    assert keyed.conform(rows.drop("is_active"), "users", NOW).first().is_active is True
+    with pytest.raises(ValueError, match="nope"):
+        keyed.conform(rows.withColumn("nope", F.lit(1)), "users", NOW)
+
+
+def test_status_updates(spark):
+    reg = registry(
+        spark,
+        permits=[dict(permit_id=i, permit_year=2024, fee_amount=Decimal(5), status="issued",
+                      penalty_amount=Decimal(3)) for i in (1, 2)],
+        payments=[dict(payment_id=i, amount=Decimal(5), payment_method="cash", status="pending",
+                       receipt_url="old") for i in (1, 2, 3)],
+    )
+    changed = spark.createDataFrame([(1, "expired")], "permit_id int, status string")
+    permits = {r.permit_id: r for r in maintenance.update_permit_status(reg, changed).collect()}
+    assert (permits[1].status, permits[1].penalty_amount) == ("expired", 0)
+    assert (permits[2].status, permits[2].penalty_amount) == ("issued", 3)
+    paid = spark.createDataFrame(
+        [(1, "success", "new"), (2, "failed", None)],
+        "payment_id int, status string, receipt_url string",
+    )
+    after = {r.payment_id: r for r in maintenance.update_payment_status(reg, paid).collect()}
+    assert [(after[i].status, after[i].receipt_url) for i in (1, 2, 3)] == [
+        ("success", "new"), ("failed", "old"), ("pending", "old"),
+    ]
+
+
+def test_touch_stamps_only_the_listed(spark):
+    reg = registry(spark, users=[user(1), user(2)])
+    later = NOW + dt.timedelta(days=1)
+    ids = spark.createDataFrame([(2,), (2,), (9,)], "x bigint")
+    after = maintenance.touch_user_activity(reg, ids, now=later).collect()
+    assert {r.user_id: r.created_at for r in after} == {1: NOW, 2: later}
+
+
+# --- intake ---------------------------------------------------------------------------------
+
+
+def test_permit_intake_defaults(spark):
+    rows = spark.createDataFrame(
+        [(1, 2023, 10, None, None), (2, 2025, 20, dt.date(2025, 3, 1), dt.date(2025, 6, 1))],
+        "business_id int, permit_year int, fee_amount int, issue_date date, expiry_date date",
+    )
+    made = intake.ingest_permits(rows, now=NOW, order_by=["business_id"], start_after=5).collect()
+    found = [(r.permit_id, r.status, r.issue_date, r.expiry_date, r.penalty_amount) for r in made]
+    assert sorted(found) == [
+        (6, "issued", NOW.date(), dt.date(2023, 12, 31), 0),
+        (7, "issued", dt.date(2025, 3, 1), dt.date(2025, 6, 1), 0),
+    ]
+    assert [f.name for f in intake.ingest_permits(
+        rows, now=NOW, order_by=["business_id"]
+    ).schema] == list(TABLES["permits"].columns)
+
+
+def test_user_and_payment_intake_defaults(spark):
+    people = spark.createDataFrame(
+        [("a", "a@x", "h", None), ("b", "b@x", "h", "admin")],
+        "name string, email string, password_hash string, role string",
+    )
+    made = intake.ingest_users(people, now=NOW, order_by=["email"]).collect()
+    assert sorted((r.user_id, r.role, r.is_active, r.created_at) for r in made) == [
+        (1, "officer", True, NOW), (2, "admin", True, NOW),
+    ]
+    paid = spark.createDataFrame([(1, 5, "cash")], "permit_id int, amount int, payment_method string")
+    row = intake.ingest_payments(paid, now=NOW, order_by=["permit_id"]).first()
+    assert (row.status, row.paid_at, row.mpesa_code) == ("pending", NOW, None)
+
+
+def test_backfills_fill_only_gaps_and_repeat_exactly(spark):
+    reg = registry(
+        spark,
+        businesses=[business(i, size=s) for i, s in enumerate(["Small", "Medium", "Large", None])],
+        permits=[
+            dict(permit_id=1, business_id=0, permit_year=2024, fee_amount=Decimal(1), status="issued"),
+            dict(permit_id=2, business_id=1, permit_year=2023, fee_amount=Decimal(1), status="issued"),
+        ],
+        compliance_scores=[dict(score_id=1, business_id=2, score=Decimal("0.1"), model_version="v")],
+    )
+    made = intake.backfill_permits(reg, year=2024).collect()
+    assert {r.business_id: r.fee_amount for r in made} == {1: 15000, 2: 50000, 3: 50000}
+    scores = rows_of(intake.backfill_scores(reg, seed=3))
+    assert [s["business_id"] for s in scores] == [0, 1, 3]
+    assert all(Decimal("0.75") <= s["score"] < 1 for s in scores)
+    assert scores == rows_of(intake.backfill_scores(reg, seed=3))
+    assert scores != rows_of(intake.backfill_scores(reg, seed=4))
+
+
+def test_issue_permits_keeps_size_and_business_together(spark):
+    reg = registry(
+        spark,
+        businesses=[business(1), business(2, size="Large"), business(3, category="Services")],
+    )
+    pins = [f"A{i:09d}Z" for i in (3, 2)]
+    made = intake.issue_permits(reg, pins, year=2024, now=NOW, start_after=10).collect()
+    assert sorted((r.permit_id, r.business_id, r.fee_amount) for r in made) == [
+        (11, 2, 50000), (12, 3, 7500),
+    ]
+
+
+# --- upsert ------------------------------------------------------------------------------------
+
+SCORE_UPDATE = "business_id bigint, score decimal(5,4), model_version string, features_json string, cluster_label string"
+
+
+def score(i, business_id, value="0.5"):
+    return dict(score_id=i, business_id=business_id, score=Decimal(value), model_version="v1",
+                features_json="{}", cluster_label="x", scored_at=dt.datetime(2024, 1, 1))
+
+
+def test_upsert_changes_the_first_score_or_adds_one(spark):
+    reg = registry(spark, compliance_scores=[score(4, 1), score(2, 1), score(3, 2), score(5, None)])
+    updates = spark.createDataFrame(
+        [(1, Decimal("0.9"), "v2", None, "y"), (8, Decimal("0.8"), "v2", "{}", None),
+         (None, Decimal("0.7"), "v2", None, None), (None, Decimal("0.6"), "v2", None, None)],
+        SCORE_UPDATE,
+    )
+    after = compliance.upsert_scores(reg, updates, now=NOW).collect()
+    found = {r.score_id: (r.action, r.business_id, str(r.score), r.scored_at == NOW) for r in after}
+    assert found == {
+        2: ("update", 1, "0.9000", True), 3: ("keep", 2, "0.5000", False),
+        4: ("keep", 1, "0.5000", False), 5: ("keep", None, "0.5000", False),
+        6: ("insert", None, "0.6000", True), 7: ("insert", None, "0.7000", True),
+        8: ("insert", 8, "0.8000", True),
+    }
+    assert {r.score_id: r.features_json for r in after}[2] is None
+
+
+def test_upsert_twice_is_upsert_once(spark):
+    reg = registry(spark, compliance_scores=[score(i, i % 5) for i in range(1, 12)])
+    updates = spark.createDataFrame(
+        [(i, Decimal("0.25"), "v2", "{}", "y") for i in range(3, 9)], SCORE_UPDATE
+    )
+    once = compliance.upsert_scores(reg, updates, now=NOW).drop("action")
+    twice = compliance.upsert_scores(
+        reg.replace(compliance_scores=once), updates, now=NOW
+    ).drop("action")
+    assert rows_of(once) == rows_of(twice)
+
+
+def test_upsert_takes_the_newest_and_writes_features_as_json(spark):
+    reg = registry(spark, compliance_scores=[score(1, 1)])
+    updates = spark.createDataFrame(
+        [(1, Decimal("0.1"), "a", {"f": 1.5}, None, 1), (1, Decimal("0.2"), "b", {"f": 2.5}, None, 2)],
+        "business_id bigint, score decimal(5,4), model_version string, "
+        "features_json map<string,double>, cluster_label string, step int",
+    )
+    row = compliance.upsert_scores(reg, updates, now=NOW, newest_by=["step"]).first()
+    assert (row.model_version, row.features_json) == ("b", '{"f":2.5}')
+
+
+# --- change capture --------------------------------------------------------------------------------
+
+
+def test_audit_rows(spark):
+    at = dt.datetime(2024, 1, 1, 8, 0, 0, 123456)
+    old = frame(spark, "businesses", [business(1), business(2, created_at=at), business(3)])
+    new = frame(spark, "businesses", [business(1), business(2, created_at=at, ward=None), business(4)])
+    logs = {r.target_id: r for r in
+            audit_changes(old, new, "businesses", now=NOW, user_id=7).collect()}
+    assert {i: r.action for i, r in logs.items()} == {2: "UPDATE", 3: "DELETE", 4: "INSERT"}
+    assert all((r.user_id, r.target_table, r.timestamp) == (7, "businesses", NOW)
+               for r in logs.values())
+    update = json.loads(logs[2].metadata)
+    assert update["old"]["ward"] == "North" and update["new"]["ward"] is None
+    assert update["new"]["created_at"] == "2024-01-01T08:00:00.123456"
+    assert json.loads(logs[4].metadata)["business_id"] == 4
+    assert set(json.loads(logs[3].metadata)) == set(old.columns)
+
+
+states = st.dictionaries(
+    st.integers(1, 8), st.one_of(st.none(), st.sampled_from(["North", "South"])), max_size=8
+)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(before=states, after=states)
+def test_old_state_and_its_changes_give_the_new_state(spark, before, after):
+    def state(wards):
+        return frame(spark, "businesses", [business(i, ward=w) for i, w in wards.items()])
+
+    replayed = dict(before)
+    for row in audit_changes(state(before), state(after), "businesses", now=NOW).collect():
+        data = json.loads(row.metadata)
+        if row.action == "DELETE":
+            del replayed[row.target_id]
+        else:
+            replayed[row.target_id] = data.get("new", data)["ward"]
+    assert replayed == after
+
+
+# --- data rules ---------------------------------------------------------------------------------------
+
+
+def broken(rows):
+    return sorted((r.rule, r.row_key) for r in rows.collect())
+
+
+def test_row_rules_let_nulls_pass_but_not_null(spark):
+    rows = frame(
+        spark, "businesses",
+        [
+            business(1), business(2, latitude=90.0, longitude=-180.0),
+            business(3, latitude=90.5, longitude=181.0), business(4, size="Huge"),
+            business(5, size=None, kra_pin=None),
+        ],
+    )
+    assert broken(quality.check_rows(rows, "businesses")) == [
+        ("domain:size", "4"), ("not_null:kra_pin", "5"), ("not_null:size", "5"),
+        ("range:latitude", "3"), ("range:longitude", "3"),
+    ]
+    assert broken(quality.check_rows(rows, "businesses", [quality.RANGE])) == [
+        ("range:latitude", "3"), ("range:longitude", "3"),
+    ]
+    assert quality.check_rows(frame(spark, "audit_logs", []), "audit_logs", [quality.RANGE]).count() == 0
+
+
+def test_every_table_has_rules_that_run(spark):
+    reg = registry(spark)
+    assert quality.check_registry(reg).count() == 0
+    rows = [spec for spec in TABLES.values()]
+    reg = reg.replace(**{s.name: frame(spark, s.name, [{}]) for s in rows})
+    expected = sum(len(s.required) + 1 for s in rows)
+    assert quality.check_registry(reg).count() == expected
+
+
+def test_unique_and_foreign_keys_let_nulls_pass(spark):
+    people = frame(
+        spark, "users",
+        [user(1), user(1, email="b", phone=None), user(2, email="b", phone=None)],
+    )
+    assert broken(quality.check_unique(people, "users")) == [
+        ("unique:email", "b"), ("unique:user_id", "1"),
+    ]
+    owned = frame(spark, "businesses", [business(1), business(2, owner_id=5), business(3, owner_id=None)])
+    assert broken(quality.check_foreign_key(owned, "businesses", "owner_id", people)) == [
+        ("foreign_key:owner_id", "2"),
+    ]
+
+
+# --- storage ----------------------------------------------------------------------------------------------
+
+
+def full_registry(spark):
+    return registry(
+        spark,
+        users=[user(1), user(2)],
+        businesses=[business(1), business(2)],
+        permits=[
+            dict(permit_id=i, business_id=1, permit_year=y, fee_amount=Decimal("1.50"), status="issued")
+            for i, y in enumerate([2023, 2024, 2024])
+        ],
+    )
+
+
+def test_snapshot_round_trip(spark, tmp_path):
+    reg = full_registry(spark)
+    path = parquet.export_snapshot(reg, str(tmp_path), NOW)
+    assert path.endswith("/20240615_103000")
+    manifest = {r.table_name: r.row_count for r in parquet.read_manifest(spark, path).collect()}
+    assert manifest["permits"] == 3 and manifest["tickets"] == 0 and len(manifest) == len(TABLES)
+    back = parquet.restore_snapshot(spark, path)
+    for name in TABLES:
+        assert back.table(name).schema == reg.table(name).schema
+        assert rows_of(back.table(name)) == rows_of(reg.table(name))
+    with pytest.raises(PySparkException):
+        parquet.export_snapshot(reg, str(tmp_path), NOW)
+
+
+def test_restore_notices_missing_rows(spark, tmp_path):
+    path = parquet.export_snapshot(full_registry(spark), str(tmp_path), NOW)
+    extra = frame(spark, "users", [user(9)])
+    parquet.write_table(extra, f"{path}/users", "users", mode="append")
+    with pytest.raises(ValueError, match="users: 3 rows, manifest says 2"):
+        parquet.restore_snapshot(spark, path)
+
+
+def test_append_to_a_stored_table(spark, tmp_path):
+    folder = str(tmp_path)
+    parquet.write_table(frame(spark, "permits", []), f"{folder}/permits", "permits")
+    rows = spark.createDataFrame(
+        [(1, 2024, Decimal("5"), "issued")],
+        "permit_id int, permit_year int, fee_amount decimal(18,2), status string",
+    )
+    parquet.append_rows(rows, folder, "permits", NOW)
+    after = parquet.append_rows(rows.withColumn("permit_year", F.lit(2025)), folder, "permits", NOW)
+    assert sorted((r.permit_year, r.penalty_amount) for r in after.collect()) == [(2024, 0), (2025, 0)]
+    assert after.schema == TABLES["permits"].schema
+    assert parquet.open_registry(spark, folder, ["permits"]).permits_of_year(2025).count() == 1
+
+
+def test_store_checks_writes_and_logs(spark, tmp_path):
+    reg = full_registry(spark)
+    bad = reg.table("permits").withColumn("business_id", F.lit(77))
+    with pytest.raises(RuleViolation, match="foreign_key:business_id"):
+        store(reg, "permits", bad, folder=f"{tmp_path}/0", log_folder=str(tmp_path), now=NOW)
+    assert not (tmp_path / "0").exists()
+
+    changed = spark.createDataFrame([(0, "expired")], "permit_id int, status string")
+    state = maintenance.update_permit_status(reg, changed)
+    reg = store(reg, "permits", state, folder=f"{tmp_path}/1", log_folder=str(tmp_path), now=NOW,
+                user_id=2)
+    fewer = reg.table("permits").filter("permit_id = 0")
+    reg = store(reg, "permits", fewer, folder=f"{tmp_path}/2", log_folder=str(tmp_path), now=NOW)
+    logs = reg.table("audit_logs").orderBy("log_id").collect()
+    assert [(r.log_id, r.action, r.target_id, r.user_id) for r in logs] == [
+        (1, "UPDATE", 0, 2), (2, "DELETE", 1, 0), (3, "DELETE", 2, 0),
+    ]
+    assert reg.table("permits").count() == 1
+
+
+def test_catalog_round_trip(spark):
+    reg = full_registry(spark)
+    spark.sql("CREATE DATABASE IF NOT EXISTS registry_test")
+    saved = catalog.save_tables(reg, "registry_test")
+    assert rows_of(saved.permits_of_year(2024)) == rows_of(reg.permits_of_year(2024))
+
+
+def test_database_reader_options():
+    options = postgres.range_options("permits", 5, 900, 16)
+    assert options["partitionColumn"] == "permit_id" and options["numPartitions"] == "16"
+    assert int(options["upperBound"]) > int(options["lowerBound"])
+    assert postgres.range_options("users", 3, 3, 2)["upperBound"] == "4"
