@@ -257,7 +257,7 @@ def _queries() -> dict[str, Callable[[Registry], DataFrame]]:
         "backfill_scores": lambda r: intake.backfill_scores(r, seed=7),
         "update_by_key": lambda r: keyed.update_by_key(
             r.table("businesses"), r.table("businesses_new").select("business_id", "size"),
-            "business_id",
+            "business_id", unique=True,
         ),
         "delete_by_key": lambda r: keyed.delete_by_key(
             r.table("permits"),

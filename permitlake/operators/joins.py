@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 def keys_of(rows: DataFrame, *columns: str) -> DataFrame:
     """Distinct non-null keys. Duplicates collapse before the shuffle, so a hot key
     costs one row per map task."""
-    present = rows.select(*columns).dropna(subset=list(columns))
-    return present.distinct()
+    keys = rows.select(*columns)
+    for column in columns:
+        keys = keys.filter(F.col(column).isNotNull())
+    return keys.distinct()
 
 
 def spread_keys_of(rows: DataFrame, column: str) -> DataFrame:

@@ -8,15 +8,26 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def tune(spark: SparkSession) -> SparkSession:
+# Aim for the input of one shuffle task; it fits an executor's memory, with some spill.
+TASK_BYTES = 512 * 2**20
+
+
+def tune(spark: SparkSession, shuffle_bytes: int | None = None) -> SparkSession:
     """Turn on the adaptive rules the join plans are shaped for.
 
     With `forceOptimizeSkewedJoin`, a skewed sort-merge join is split even where a second
     join on the same key follows; Spark then adds one shuffle, only when skew is found.
+
+    `shuffle_bytes`, the size of the largest table moved, raises the number of shuffle
+    partitions so that each stays near TASK_BYTES; adaptive execution merges small ones.
     """
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    if shuffle_bytes:
+        wanted = -(-shuffle_bytes // TASK_BYTES)
+        current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(wanted, current)))
     return spark
 
 

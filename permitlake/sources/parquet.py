@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from permitlake.operators.keyed import conform
@@ -72,15 +74,19 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def restore_snapshot(spark: SparkSession, path: str) -> Registry:
     """The tables of a snapshot, after their row counts were compared with the manifest."""
-    entries = read_manifest(spark, path).collect()  # one row per table
+    manifest = read_manifest(spark, path)
     tables = {}
-    for entry in entries:
+    for entry in manifest.collect():  # one row per table
         schema = StructType.fromJson(json.loads(entry["table_schema"]))
         tables[entry["table_name"]] = _read(spark, f"{path}/{entry['table_name']}", schema)
-    for entry in entries:
-        found = tables[entry["table_name"]].count()
-        if found != entry["row_count"]:
-            raise ValueError(
-                f"{entry['table_name']}: {found} rows, manifest says {entry['row_count']}"
-            )
+    found = [
+        rows.agg(F.count(F.lit(1)).alias("found")).withColumn("table_name", F.lit(name))
+        for name, rows in tables.items()
+    ]
+    counts = manifest.join(reduce(DataFrame.unionByName, found), "table_name")
+    wrong = counts.filter(F.col("found") != F.col("row_count")).collect()
+    if wrong:
+        raise ValueError(
+            "; ".join(f"{r.table_name}: {r.found} rows, manifest says {r.row_count}" for r in wrong)
+        )
     return Registry(spark, tables)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from permitlake.registry import Registry
 from permitlake.schemas import TABLES
@@ -20,17 +21,20 @@ def range_options(table: str, low: int, high: int, partitions: int) -> dict[str,
         "upperBound": str(max(high, low + 1)),
         "numPartitions": str(partitions),
         "fetchsize": str(FETCH_ROWS),
+        "preferTimestampNTZ": "true",
     }
 
 
 def read_table(spark: SparkSession, table: str, partitions: int, **connection: str) -> DataFrame:
-    """One table; `connection` holds the reader's url, user, password and driver."""
+    """One table in the types of its schema; `connection` holds the reader's url, user,
+    password and driver."""
+    spec = TABLES[table]
+    limits = f"SELECT min({spec.key}) AS low, max({spec.key}) AS high FROM {table}"
+    bounds = spark.read.format("jdbc").options(**connection).option("query", limits)
+    low, high = bounds.load().first()  # one row
     reader = spark.read.format("jdbc").options(**connection)
-    key = TABLES[table].key
-    bounds = reader.option("query", f"SELECT min({key}) AS low, max({key}) AS high FROM {table}")
-    low, high = bounds.load().first()
-    reader = spark.read.format("jdbc").options(**connection)
-    return reader.options(**range_options(table, low or 0, high or 0, partitions)).load()
+    rows = reader.options(**range_options(table, low or 0, high or 0, partitions)).load()
+    return rows.select(*(F.col(c).cast(kind).alias(c) for c, kind in spec.columns.items()))
 
 
 def open_database(

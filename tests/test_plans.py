@@ -235,3 +235,14 @@ def test_upsert_of_a_hot_business_has_no_hot_join(no_broadcast, hot, spark):
     )
     counts = {r.action: r["count"] for r in after.groupBy("action").count().collect()}
     assert counts == {"update": 1, "keep": ROWS - 1}
+
+
+def test_tune_only_raises_the_shuffle_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        tune(spark, shuffle_bytes=2**30)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+        tune(spark, shuffle_bytes=100 * 2**40)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(200 * 1024)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
