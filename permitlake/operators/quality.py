@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from permitlake.operators.joins import keys_of
 from permitlake.schemas import TABLES, Table
 
 NOT_NULL, DOMAIN, RANGE = "not_null", "domain", "range"
@@ -72,6 +73,17 @@ def check_unique(rows: DataFrame, table: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def check_clash(rows: DataFrame, table: str, existing: DataFrame) -> DataFrame:
+    """Values of key columns in new rows that the table already has."""
+    spec = TABLES[table]
+    found = []
+    for c in (spec.key, *spec.unique):
+        if c in rows.columns and c in existing.columns:
+            taken = keys_of(rows, c).join(existing.select(c), c, "left_semi")
+            found.append(_violations(taken, table, F.lit(f"unique:{c}"), F.col(c)))
+    return reduce(DataFrame.unionByName, found)
+
+
 def check_foreign_key(rows: DataFrame, table: str, column: str, parent: DataFrame) -> DataFrame:
     """Rows whose reference is set but not found in the parent table. Parent keys are
     unique and need no grouping, so a reference that very many rows share can be split."""

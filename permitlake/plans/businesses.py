@@ -69,7 +69,8 @@ def business_summary(
 def business_permit_summary(
     registry: Registry, *, as_of: dt.date, ordered: bool = False
 ) -> DataFrame:
-    """The summary with each compliance score of the business, or none."""
+    """The summary with each compliance score of the business, or none. Scores are meant
+    to be one per business; several repeat its permits, as in any such join."""
     scores = registry.table("compliance_scores").select(
         "business_id", F.col("score").alias("compliance_score"), "cluster_label"
     )

@@ -1,4 +1,8 @@
-"""The write path: check a new table state, store it, and log its changes."""
+"""The write path: check new rows or a new table state, store them, log the changes.
+
+Parquet has no transactions: the table is written before its log, and a job that fails in
+between has to be finished by hand. Nothing is written when a rule is broken.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +11,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from permitlake.operators.changes import audit_changes
+from permitlake.operators.changes import audit_changes, audit_inserts
 from permitlake.operators.ids import assign_ids, highest_id
 from permitlake.operators.keyed import conform
-from permitlake.operators.quality import check_foreign_key, check_rows, check_unique
+from permitlake.operators.quality import (
+    check_clash, check_foreign_key, check_rows, check_unique,
+)
 from permitlake.registry import Registry
 from permitlake.schemas import TABLES
 from permitlake.sources.parquet import append_rows, scan_table, write_table
@@ -34,6 +40,19 @@ def violations(registry: Registry, table: str, state: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def _refuse(broken: DataFrame) -> None:
+    named = broken.take(REPORTED)
+    if named:
+        raise RuleViolation("; ".join(f"{r.table_name} {r.rule} {r.row_key}" for r in named))
+
+
+def _log(registry: Registry, entries: DataFrame, log_folder: str, now: dt.datetime) -> DataFrame:
+    """Number the entries after those of the log and append them; returns the log."""
+    last = highest_id(registry.table("audit_logs"), "log_id")
+    numbered = assign_ids(entries, "log_id", ["target_id"], start_after=last)
+    return append_rows(numbered, log_folder, "audit_logs", now)
+
+
 def store(
     registry: Registry,
     table: str,
@@ -43,21 +62,45 @@ def store(
     log_folder: str,
     now: dt.datetime,
     user_id: int = 0,
+    among: DataFrame | None = None,
 ) -> Registry:
     """Make `state` the content of a table: a new copy below the new `folder`, and audit
-    rows of all changes appended to the log below `log_folder`. Nothing is written when a
-    rule is broken. Returns the registry that reads the stored tables.
+    rows of all changes appended to the log below `log_folder`. Returns the registry that
+    reads the stored tables. After an update, `among` may name the keys that were changed;
+    the search for changes is then cut to those.
     """
     state = conform(state, table, now)
-    broken = violations(registry, table, state).take(REPORTED)
-    if broken:
-        raise RuleViolation("; ".join(f"{r.table_name} {r.rule} {r.row_key}" for r in broken))
+    _refuse(violations(registry, table, state))
     write_table(state, f"{folder}/{table}", table)
     stored = scan_table(registry.spark, folder, table)
     if table not in AUDITED:
         return registry.replace(**{table: stored})
-    entries = audit_changes(registry.table(table), stored, table, now=now, user_id=user_id)
-    last = highest_id(registry.table("audit_logs"), "log_id")
-    numbered = assign_ids(entries, "log_id", ["target_id"], start_after=last)
-    logs = append_rows(numbered, log_folder, "audit_logs", now)
+    entries = audit_changes(
+        registry.table(table), stored, table, now=now, user_id=user_id, among=among
+    )
+    logs = _log(registry, entries, log_folder, now)
+    return registry.replace(**{table: stored, "audit_logs": logs})
+
+
+def append(
+    registry: Registry,
+    table: str,
+    rows: DataFrame,
+    *,
+    folder: str,
+    log_folder: str,
+    now: dt.datetime,
+    user_id: int = 0,
+) -> Registry:
+    """Add rows to the table stored below `folder`. Only the new rows are checked, also
+    against the keys the table has, and logged; the stored rows are not rewritten.
+    """
+    rows = conform(rows, table, now)
+    clash = check_clash(rows, table, registry.table(table))
+    _refuse(violations(registry, table, rows).unionByName(clash))
+    if table not in AUDITED:
+        return registry.replace(**{table: append_rows(rows, folder, table, now)})
+    entries = audit_inserts(rows, table, now=now, user_id=user_id)
+    stored = append_rows(rows, folder, table, now)
+    logs = _log(registry, entries, log_folder, now)
     return registry.replace(**{table: stored, "audit_logs": logs})

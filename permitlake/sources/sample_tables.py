@@ -143,7 +143,8 @@ class SampleRegistry(Registry):
 
     def _payments(self) -> DataFrame:
         line = F.col("l_linenumber")
-        cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+        # Prices have two decimals, so rounding to whole cents never meets a tie.
+        cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
         return self.raw("lineitem").select(
             F.concat_ws(
                 "-", "l_orderkey", line, "l_partkey", "l_suppkey",

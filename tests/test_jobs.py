@@ -16,7 +16,7 @@ from permitlake.operators import keyed, quality
 from permitlake.operators.changes import audit_changes
 from permitlake.operators.ids import assign_ids, highest_id
 from permitlake.plans import compliance, intake, maintenance
-from permitlake.plans.write_path import RuleViolation, store
+from permitlake.plans.write_path import RuleViolation, append, store
 from permitlake.schemas import TABLES
 from permitlake.sources import catalog, parquet, postgres
 
@@ -290,6 +290,15 @@ def test_audit_rows(spark):
     assert set(json.loads(logs[3].metadata)) == set(old.columns)
 
 
+def test_audit_among_known_keys_finds_the_same(spark):
+    old = frame(spark, "businesses", [business(i) for i in range(50)])
+    changes = spark.createDataFrame([(3, "W"), (4, "North"), (99, "W")], "business_id int, ward string")
+    new = keyed.update_by_key(old, changes, "business_id", unique=True)
+    whole = audit_changes(old, new, "businesses", now=NOW)
+    cut = audit_changes(old, new, "businesses", now=NOW, among=changes)
+    assert rows_of(whole) == rows_of(cut) and cut.count() == 1
+
+
 states = st.dictionaries(
     st.integers(1, 8), st.one_of(st.none(), st.sampled_from(["North", "South"])), max_size=8
 )
@@ -421,7 +430,7 @@ def test_store_checks_writes_and_logs(spark, tmp_path):
     changed = spark.createDataFrame([(0, "expired")], "permit_id int, status string")
     state = maintenance.update_permit_status(reg, changed)
     reg = store(reg, "permits", state, folder=f"{tmp_path}/1", log_folder=str(tmp_path), now=NOW,
-                user_id=2)
+                user_id=2, among=changed)
     fewer = reg.table("permits").filter("permit_id = 0")
     reg = store(reg, "permits", fewer, folder=f"{tmp_path}/2", log_folder=str(tmp_path), now=NOW)
     logs = reg.table("audit_logs").orderBy("log_id").collect()
@@ -431,6 +440,34 @@ def test_store_checks_writes_and_logs(spark, tmp_path):
     assert reg.table("permits").count() == 1
 
 
+def test_append_checks_and_logs_only_the_new_rows(spark, tmp_path):
+    folder = str(tmp_path)
+    reg = full_registry(spark)
+    parquet.write_table(reg.table("users"), f"{folder}/users", "users")
+    parquet.write_table(reg.table("businesses"), f"{folder}/businesses", "businesses")
+    how = dict(folder=folder, log_folder=folder, now=NOW)
+
+    def refused(table, row, rule):
+        with pytest.raises(RuleViolation, match=rule):
+            append(reg, table, frame(spark, table, [row]), **how)
+
+    refused("users", user(1, email="n", phone="n"), "unique:user_id 1")
+    refused("users", user(8, phone="n", email="u2@x.example"), "unique:email u2@x.example")
+    refused("businesses", business(8, owner_id=99), "foreign_key:owner_id 8")
+    refused("businesses", business(8, size="Huge"), "domain:size 8")
+
+    reg = append(reg, "users", frame(spark, "users", [user(3)]), **how)
+    assert reg.table("users").count() == 3 and reg.table("audit_logs").count() == 0
+    more = frame(spark, "businesses", [business(9), business(8, owner_id=3)])
+    reg = append(reg, "businesses", more, user_id=2, **how)
+    assert sorted(r.business_id for r in reg.table("businesses").collect()) == [1, 2, 8, 9]
+    logs = reg.table("audit_logs").orderBy("log_id").collect()
+    assert [(r.log_id, r.action, r.target_id, r.user_id) for r in logs] == [
+        (1, "INSERT", 8, 2), (2, "INSERT", 9, 2),
+    ]
+    assert json.loads(logs[0].metadata)["owner_id"] == 3
+
+
 def test_catalog_round_trip(spark):
     reg = full_registry(spark)
     spark.sql("CREATE DATABASE IF NOT EXISTS registry_test")
