@@ -19,6 +19,15 @@ def moment(value: dt.datetime | dt.date) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def choose(value: Column, options: dict, otherwise) -> Column:
+    """The option for the value, by equality; `otherwise` for any other value and null."""
+    (name, result), *others = options.items()
+    chosen = F.when(value == name, result)
+    for name, result in others:
+        chosen = chosen.when(value == name, result)
+    return chosen.otherwise(otherwise)
+
+
 def like_escape(term: str) -> str:
     """The term with the wildcards of LIKE taken literally."""
     return "".join("\\" + c if c in "\\%_" else c for c in term)

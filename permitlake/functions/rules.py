@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from permitlake.functions.literals import day
+from permitlake.functions.literals import choose, day
 
 # Permit fees by business size and category; None is the rate of any other
 # category, and MINIMUM_FEE that of any other size.
@@ -24,30 +24,23 @@ BACKFILL_FEES = {"Small": 5000, "Medium": 15000, None: 50000}
 SOON_DAYS = 30
 
 
-def _choose(value: Column, options: dict) -> Column:
-    """A CASE over literal values; the None entry is the ELSE."""
-    rest = options[None]
-    chosen = F
-    for name, result in options.items():
-        if name is not None:
-            chosen = chosen.when(value == name, result)
-    return chosen.otherwise(rest)
-
-
 def _money(amount: int) -> Column:
     return F.lit(amount).cast("decimal(18,2)")
 
 
+def _rate(value: Column, rates: dict) -> Column:
+    amounts = {name: _money(rate) for name, rate in rates.items()}
+    rest = amounts.pop(None)
+    return choose(value, amounts, rest)
+
+
 def permit_fee(size: Column, category: Column) -> Column:
-    by_size = {
-        name: _choose(category, {c: _money(fee) for c, fee in fees.items()})
-        for name, fees in FEES.items()
-    }
-    return _choose(size, {**by_size, None: _money(MINIMUM_FEE)})
+    by_size = {name: _rate(category, rates) for name, rates in FEES.items()}
+    return choose(size, by_size, _money(MINIMUM_FEE))
 
 
 def backfill_fee(size: Column) -> Column:
-    return _choose(size, {name: _money(fee) for name, fee in BACKFILL_FEES.items()})
+    return _rate(size, BACKFILL_FEES)
 
 
 def is_expired(expiry: Column, as_of: dt.date) -> Column:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permitlake.functions.literals import day, moment
+from permitlake.functions.literals import choose, day, moment
 from permitlake.registry import Registry
 
 # Columns of the sample files.
@@ -29,13 +29,6 @@ RAW_SCHEMAS = {
 FEATURES = '{"location_score": 0.8, "payment_history": 0.9, "inspection_score": 0.7}'
 
 
-def _choice(column: str, options: dict, otherwise: str):
-    value = F
-    for raw, name in options.items():
-        value = value.when(F.col(column) == raw, name)
-    return value.otherwise(otherwise)
-
-
 class SampleRegistry(Registry):
     """Builds each view when it is first asked for."""
 
@@ -83,9 +76,6 @@ class SampleRegistry(Registry):
     def _users(self) -> DataFrame:
         key = F.col("s_suppkey")
         roles = {0: "admin", 1: "officer", 2: "inspector"}
-        role = F
-        for rest, name in roles.items():
-            role = role.when(key % 4 == rest, name)
         return self.raw("supplier").select(
             key.alias("user_id"),
             F.col("s_name").alias("name"),
@@ -93,7 +83,7 @@ class SampleRegistry(Registry):
                 F.lower(F.replace("s_name", F.lit("#"), F.lit("."))), F.lit("@permits.example")
             ).alias("email"),
             F.concat(F.lit("+2547"), F.lpad(key.cast("string"), 8, "0")).alias("phone"),
-            role.otherwise("finance").alias("role"),
+            choose(key % 4, roles, "finance").alias("role"),
             (F.col("s_acctbal") >= 0).alias("is_active"),
         )
 
@@ -117,7 +107,7 @@ class SampleRegistry(Registry):
             (key % 10).alias("owner_id"),
             F.concat(F.lit("A"), F.lpad(key.cast("string"), 9, "0"), F.lit("Z")).alias("kra_pin"),
             F.col("c_name").alias("name"),
-            _choice("c_mktsegment", categories, "Technology").alias("category"),
+            choose(F.col("c_mktsegment"), categories, "Technology").alias("category"),
             size.alias("size"),
             F.col("r_name").alias("location"),
             (key % 181 - 90).cast("double").alias("latitude"),
@@ -130,12 +120,13 @@ class SampleRegistry(Registry):
     def _permits(self, orders: DataFrame | None = None) -> DataFrame:
         orders = self.raw("orders") if orders is None else orders
         issued = F.to_date("o_orderdate")
+        states = {"O": "issued", "F": "expired"}
         return orders.select(
             F.col("o_orderkey").alias("permit_id"),
             F.col("o_custkey").alias("business_id"),
             F.year("o_orderdate").alias("permit_year"),
             F.col("o_totalprice").cast("decimal(18,2)").alias("fee_amount"),
-            _choice("o_orderstatus", {"O": "issued", "F": "expired"}, "cancelled").alias("status"),
+            choose(F.col("o_orderstatus"), states, "cancelled").alias("status"),
             issued.alias("issue_date"),
             F.when(F.col("o_orderkey") % 50 != 0, F.date_add(issued, 180)).alias("expiry_date"),
             F.lit(0).cast("decimal(18,2)").alias("penalty_amount"),
@@ -143,6 +134,7 @@ class SampleRegistry(Registry):
 
     def _payments(self) -> DataFrame:
         line = F.col("l_linenumber")
+        outcomes = {"A": "success", "N": "pending"}
         # Prices have two decimals, so rounding to whole cents never meets a tie.
         cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
         return self.raw("lineitem").select(
@@ -152,10 +144,8 @@ class SampleRegistry(Registry):
             ).alias("payment_id"),
             F.col("l_orderkey").alias("permit_id"),
             F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
-            F.when(line % 3 == 0, "mpesa").when(line % 3 == 1, "cash").otherwise("bank").alias(
-                "payment_method"
-            ),
-            _choice("l_returnflag", {"A": "success", "N": "pending"}, "failed").alias("status"),
+            choose(line % 3, {0: "mpesa", 1: "cash"}, "bank").alias("payment_method"),
+            choose(F.col("l_returnflag"), outcomes, "failed").alias("status"),
             F.col("l_shipdate").alias("paid_at"),
         )
 
@@ -166,7 +156,7 @@ class SampleRegistry(Registry):
             F.col("user_id").alias("business_id"),
             (F.col("event_id") % 10).alias("inspector_id"),
             F.col("props").alias("notes"),
-            _choice("event_type", outcomes, "visited").alias("status"),
+            choose(F.col("event_type"), outcomes, "visited").alias("status"),
             F.col("ts").alias("inspected_at"),
         )
 
