@@ -58,16 +58,23 @@ def export_snapshot(registry: Registry, folder: str, now: dt.datetime) -> str:
     entries = []
     for name in registry.names():
         rows = registry.table(name)
-        target = f"{path}/{name}"
-        write_table(rows, target, name)
-        # Counting what was written reads the file footers only.
-        count = _read(registry.spark, target, rows.schema).count()
-        entries.append((name, count, rows.schema.json()))
-    manifest = registry.spark.createDataFrame(entries, MANIFEST_SCHEMA)
+        write_table(rows, f"{path}/{name}", name)
+        written = _read(registry.spark, f"{path}/{name}", rows.schema)
+        entries.append(
+            _row_count(written, name, "row_count").withColumn(
+                "table_schema", F.lit(rows.schema.json())
+            )
+        )
+    manifest = reduce(DataFrame.unionByName, entries)
     manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/{MANIFEST}")
     return path
 
 
+def _row_count(rows: DataFrame, name: str, column: str) -> DataFrame:
+    """The row count of stored rows, from the file footers only."""
+    return rows.agg(F.count(F.lit(1)).alias(column)).withColumn("table_name", F.lit(name))
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).json(f"{path}/{MANIFEST}")
 
@@ -79,10 +86,7 @@ def restore_snapshot(spark: SparkSession, path: str) -> Registry:
     for entry in manifest.collect():  # one row per table
         schema = StructType.fromJson(json.loads(entry["table_schema"]))
         tables[entry["table_name"]] = _read(spark, f"{path}/{entry['table_name']}", schema)
-    found = [
-        rows.agg(F.count(F.lit(1)).alias("found")).withColumn("table_name", F.lit(name))
-        for name, rows in tables.items()
-    ]
+    found = [_row_count(rows, name, "found") for name, rows in tables.items()]
     counts = manifest.join(reduce(DataFrame.unionByName, found), "table_name")
     wrong = counts.filter(F.col("found") != F.col("row_count")).collect()
     if wrong:
