@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-import oracle  # noqa: E402
+import permit_oracle  # noqa: E402
 from permitlake.functions.rules import is_expired  # noqa: E402
 from permitlake.operators import changes, keyed, quality  # noqa: E402
 from permitlake.operators.ids import assign_ids, highest_id  # noqa: E402
@@ -399,7 +399,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql()
+    return permit_oracle.oracle_sql()
 
 
 def entry(spark: SparkSession) -> DataFrame:
