@@ -32,6 +32,12 @@ def open_registry(spark: SparkSession, folder: str, names=tuple(TABLES)) -> Regi
     return Registry(spark, {name: scan_table(spark, folder, name) for name in names})
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of the files below a path, without reading them; for `session.tune`."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.agg(F.sum("length")).first()[0] or 0
+
+
 def write_table(rows: DataFrame, path: str, name: str, mode: str = "errorifexists") -> None:
     """Write rows of a table to a path, permits in one folder per year.
 

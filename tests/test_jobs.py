@@ -38,6 +38,15 @@ def test_ids_follow_the_order_without_gaps(spark):
     ]
 
 
+def test_ids_stay_when_read_again(spark):
+    """Even ties and random values are numbered once."""
+    rows = spark.range(3000, numPartitions=5).select(
+        (F.col("id") % 3).alias("k"), F.rand().alias("v")
+    )
+    numbered = assign_ids(rows.repartition(4), "id", ["k"])
+    assert sorted(numbered.collect()) == sorted(numbered.repartition(3).collect())
+
+
 def test_ids_of_tied_and_of_no_rows(spark):
     tied = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("v"))
     numbered = assign_ids(tied, "id", ["k"]).collect()
@@ -420,6 +429,12 @@ def test_append_to_a_stored_table(spark, tmp_path):
     assert parquet.open_registry(spark, folder, ["permits"]).permits_of_year(2025).count() == 1
 
 
+def test_stored_bytes(spark, tmp_path):
+    parquet.write_table(full_registry(spark).table("permits"), f"{tmp_path}/permits", "permits")
+    files = [f for f in tmp_path.rglob("*.parquet") if not f.name.startswith((".", "_"))]
+    assert parquet.stored_bytes(spark, f"{tmp_path}/permits") == sum(f.stat().st_size for f in files)
+
+
 def test_store_checks_writes_and_logs(spark, tmp_path):
     reg = full_registry(spark)
     bad = reg.table("permits").withColumn("business_id", F.lit(77))

@@ -4,6 +4,8 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from frames import NOW, business, registry, user
@@ -91,6 +93,45 @@ def test_summary_fans_out_and_keeps_businesses_without_permit(spark):
     assert [r.business_name for r in one] == ["Shop 2"]
 
 
+shops = st.lists(st.tuples(st.sampled_from(["Small", "Large"]), st.booleans()), max_size=5)
+held = st.lists(
+    st.tuples(
+        st.integers(0, 6), st.sampled_from([2023, 2024]), st.sampled_from(["issued", "expired"]),
+        st.one_of(st.none(), st.integers(-40, 40)),
+    ),
+    max_size=12,
+)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(shops=shops, held=held)
+def test_statistics_and_summary_equal_a_nested_loop(spark, shops, held):
+    reg = registry(
+        spark,
+        businesses=[business(i, size=size, status="active" if on else "closed")
+                    for i, (size, on) in enumerate(shops)],
+        permits=[permit(i, b, None if n is None else in_days(n), permit_year=y, status=s)
+                 for i, (b, y, s, n) in enumerate(held)],
+    )
+    pairs = []
+    for b, (size, on) in enumerate(shops):
+        own = [(i, s, n) for i, (of, y, s, n) in enumerate(held) if of == b and y == 2024]
+        pairs += [(b, size, *p) for p in own or [(None, None, None)]] if on else []
+    stats = businesses.business_statistics(reg, as_of=AS_OF).first().asDict()
+    assert stats == {
+        "total_businesses": len(pairs),
+        "active_permits": sum(p[3] == "issued" for p in pairs),
+        "expired_permits": sum(p[4] is not None and p[4] < 0 for p in pairs),
+        "expiring_soon": sum(p[4] is not None and 0 <= p[4] < 30 for p in pairs),
+        "small_businesses": sum(p[1] == "Small" for p in pairs),
+        "medium_businesses": 0,
+        "large_businesses": sum(p[1] == "Large" for p in pairs),
+        "distinct_businesses": sum(on for _, on in shops),
+    }
+    summary = businesses.business_summary(reg, as_of=AS_OF).collect()
+    assert [(r.business_id, r.permit_id) for r in summary] == [(p[0], p[2]) for p in pairs]
+
+
 def test_empty_tables(spark):
     reg = registry(spark)
     stats = businesses.business_statistics(reg, as_of=AS_OF).first()
