@@ -50,9 +50,8 @@ def compare(frame, connection, sql: str) -> list[str]:
             f"only here {list((found - wanted).items())[:2]}; "
             f"only there {list((wanted - found).items())[:2]}"
         )
-    kinds = dict(
-        zip(names, connection.execute(f"SELECT typeof(COLUMNS(*)) FROM ({sql}) LIMIT 1").fetchone() or [])
-    )
+    described = connection.execute(f"DESCRIBE {sql}").fetchall()
+    kinds = {row[0]: row[1] for row in described}
     for name, kind in kinds.items():
         spark_kind = frame.schema[name].dataType.simpleString()
         if _kind(kind) != spark_kind:
