@@ -394,12 +394,28 @@ def _bind(query: Callable[[Registry], DataFrame]):
     return run
 
 
+def _training_data() -> tuple[dict[str, Callable], dict[str, str]]:
+    """Queries and SQL of the llm subpackage and its pipeline, where they are installed."""
+    try:
+        import corpus_pipeline
+        from permitlake.llm import queries as llm
+    except ModuleNotFoundError as error:
+        if error.name not in ("corpus_pipeline", "permitlake.llm"):
+            raise
+        return {}, {}
+    added = llm.queries() | {"pipeline": corpus_pipeline.run}
+    known = llm.oracle_sql()
+    if corpus_pipeline.ORACLE_SQL:
+        known["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return added, known
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _bind(query) for name, query in _queries().items()}
+    return {name: _bind(query) for name, query in _queries().items()} | _training_data()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return permit_oracle.oracle_sql()
+    return permit_oracle.oracle_sql() | _training_data()[1]
 
 
 def entry(spark: SparkSession) -> DataFrame:
