@@ -9,8 +9,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from permitlake.llm import fingerprints, packing, quality, simhash_dedup, toxicity
+from permitlake.llm import fingerprints, packing, quality, sharding, simhash_dedup, toxicity
 from permitlake.llm.common import table
 
 
@@ -34,6 +35,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return shards.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "hilbert",
+    )
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op4_fingerprints": op4_fingerprints,
         "op5_quality": op5_quality,
+        "op7_sharding": op7_sharding,
         "op9_simhash_dedup": op9_simhash_dedup,
         "op10_toxicity": op10_toxicity,
     }
