@@ -84,3 +84,15 @@ def small_batches(
             held += length
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+# Rows of a few numbers each that one broadcast may have: about 64 MB on each executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(frame: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if it is counted to be small; as it is, to be shuffled, if not.
+
+    The frame is read twice, so it should be cheap to read: a written or cut one.
+    """
+    return F.broadcast(frame) if frame.limit(limit + 1).count() <= limit else frame

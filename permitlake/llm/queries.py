@@ -11,7 +11,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permitlake.llm import fingerprints, packing, quality, sharding, simhash_dedup, toxicity
+from permitlake.llm import (
+    decontamination,
+    fingerprints,
+    packing,
+    quality,
+    sharding,
+    simhash_dedup,
+    toxicity,
+)
 from permitlake.llm.common import table
 
 
@@ -35,6 +43,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ).drop("text_hash")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return shards.select(
@@ -58,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op4_fingerprints": op4_fingerprints,
         "op5_quality": op5_quality,
+        "op6_decontamination": op6_decontamination,
         "op7_sharding": op7_sharding,
         "op9_simhash_dedup": op9_simhash_dedup,
         "op10_toxicity": op10_toxicity,
