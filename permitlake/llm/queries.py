@@ -16,6 +16,7 @@ from permitlake.llm import (
     fingerprints,
     packing,
     quality,
+    secret_scan,
     sharding,
     simhash_dedup,
     toxicity,
@@ -33,6 +34,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.sha2("candidate", 256).alias("candidate_sha256"), "start", "length",
+        "probability", "is_secret",
+    )
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -70,6 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op3_secret_scan": op3_secret_scan,
         "op4_fingerprints": op4_fingerprints,
         "op5_quality": op5_quality,
         "op6_decontamination": op6_decontamination,
