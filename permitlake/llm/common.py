@@ -96,3 +96,25 @@ def sized(frame: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     The frame is read twice, so it should be cheap to read: a written or cut one.
     """
     return F.broadcast(frame) if frame.limit(limit + 1).count() <= limit else frame
+
+
+def written(frame: DataFrame, purpose: str) -> DataFrame:
+    """Kept as a compressed table in the shared folder, for rows too many to checkpoint.
+
+    The table stays there until the folder is cleaned, as it may be read again at any time.
+    """
+    import uuid
+
+    path = f"{shared_folder(frame.sparkSession)}/{purpose}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+# Documents of neighbouring ids make a chunk: what a task gathers about their words or
+# passages is sent back to the same chunk, instead of to every row.
+CHUNK_IDS = 4096
+
+
+def chunk(doc_id: str = "doc_id") -> Column:
+    """The chunk of an integer id; -1 for a missing one."""
+    return F.coalesce(F.floor(F.col(doc_id) / CHUNK_IDS), F.lit(-1)).cast("bigint")

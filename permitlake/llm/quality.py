@@ -222,6 +222,26 @@ def apply(model: Discriminant, rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `documents`, all columns, that score THRESHOLD or more.
+
+    Learns like `score_documents`, then scores each row where it lies: nothing is joined, so
+    rows of one id are judged by their own text.
+    """
+    rows = cut_lineage(features(documents))
+    known = pick(labels, "doc_id", label="quality").filter(remainder("doc_id", FOLDS) != 0)
+    model = fit(rows.join(known, "doc_id").select("x", "label"))
+    names, place = documents.columns, documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, f"_{place}"):
+            x = np.array([statistics(t) for t in encoded(batch, f"_{place}")])
+            yield batch.filter(pa.array(model.score(x.reshape(-1, len(FEATURES))) >= THRESHOLD))
+
+    plain = documents.toDF(*[f"_{i}" for i in range(len(names))])
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Score every document: doc_id, held_out, score, predicted.
 

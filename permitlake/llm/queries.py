@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from permitlake.llm import (
     decontamination,
     fingerprints,
+    lm_scoring,
     packing,
     quality,
     secret_scan,
     sharding,
     simhash_dedup,
+    suffix_dedup,
     toxicity,
 )
 from permitlake.llm.common import table
@@ -34,6 +36,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents")).select(
         "doc_id", F.sha2("candidate", 256).alias("candidate_sha256"), "start", "length",
@@ -65,6 +71,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -78,11 +88,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_secret_scan": op3_secret_scan,
         "op4_fingerprints": op4_fingerprints,
         "op5_quality": op5_quality,
         "op6_decontamination": op6_decontamination,
         "op7_sharding": op7_sharding,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_simhash_dedup": op9_simhash_dedup,
         "op10_toxicity": op10_toxicity,
     }

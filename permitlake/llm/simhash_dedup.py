@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permitlake.llm.common import cut_lineage, encoded, pick, small_batches
+from permitlake.llm.common import cut_lineage, encoded, pick, sized, small_batches
 
 SHINGLE = 3
 RADIUS = 2
@@ -260,3 +260,45 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int =
     return prints.join(of_print, "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_first(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of `documents`, all columns, with one document of each class of duplicates.
+
+    The document of the smallest id stays; of several rows of this id, one. Documents without
+    an id go if their class has one with an id; of the others, one of each text stays.
+    """
+    found = near_duplicates(documents, shingle, radius)
+    gone = cut_lineage(
+        found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    )
+    names = documents.columns
+    key, text = f"_{names.index('doc_id')}", f"_{names.index('text')}"
+    held = documents.toDF(*[f"_{i}" for i in range(len(names))])
+    kept = held.join(sized(gone), F.col(key) == F.col("doc_id"), "left_anti")
+    several = cut_lineage(
+        held.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("doc_id")).count()
+        .filter("count > 1").select("doc_id")
+    )
+    nameless = cut_lineage(
+        found.filter("doc_id is null and component_id is null").select("fingerprint").distinct()
+    )
+    single = kept.filter(F.col(key).isNotNull()).join(
+        sized(several), F.col(key) == F.col("doc_id"), "left_anti"
+    )
+    repeated = kept.join(sized(several), F.col(key) == F.col("doc_id"), "left_semi")
+    # Rows that share an id are few; each such id is one group, however many rows it has.
+    first = repeated.groupBy(key).agg(F.min(F.struct(*held.columns)).alias("row")).select("row.*")
+    result = single.union(first.select(*held.columns))
+    if not nameless.isEmpty():
+        printed = fingerprints(held.filter(F.col(key).isNull()).select(
+            F.col(text).alias("doc_id"), F.col(text).alias("text")), shingle)
+        printed = printed.select(
+            F.col("doc_id").alias("own"),
+            F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
+        )
+        texts = printed.join(sized(nameless), "fingerprint").select("own").distinct()
+        without = held.filter(F.col(key).isNull()).join(texts, F.col(text).eqNullSafe(F.col("own")), "left_semi")
+        result = result.union(without.groupBy(text).agg(
+            F.min(F.struct(*held.columns)).alias("row")).select("row.*").select(*held.columns))
+    return result.toDF(*names)
