@@ -1,19 +1,21 @@
 """Operator 2: scores of documents under a probabilistic suffix tree.
 
-The text is a sequence of symbols: the UTF-8 bytes of its lower-cased words, a space between
-words and a line feed at the end; neither sign is part of a word, so symbol sequences and
-token sequences are the same thing. The tree holds contexts of up to DEPTH symbols. A context
-is kept when it makes up at least SHARE of all training symbols and its next-symbol
-distribution diverges from that of its longest kept suffix. Each distribution is smoothed
-towards that suffix's, down to the root's, which has added one to every symbol, so that each
-is a proper distribution over all 256 symbols. A text is scored symbol by symbol in the state
-of the longest kept suffix.
-
-The counts are of all training documents. SHARE bounds the tree, at 1 / SHARE contexts for
-each depth, whatever the size of the corpus; so its tables may be broadcast. The counts of whole words, of which there are ever more in a
-larger corpus, are gathered per chunk of documents and joined, never collected: the unigram
-base model has them, and the tree's root gives known words their discounted share and spells
-the rest.
+Symbols are the tokens of the training documents and one more for all unknown tokens. The
+tree's contexts are the up to DEPTH tokens before a symbol, the end token standing for what
+is before a text. A context is kept if it occurs at least twice and its next-symbol
+distribution diverges from that of its suffix: if the counts, each occurrence left out in
+turn, predict the training data better than the suffix does, by GAIN nats. A kept context's
+distribution is smoothed towards its suffix's, down to the root's discounted token shares,
+so each is a proper distribution. A text is scored token by token in the state of its longest
+kept suffix.
+
+The tree grows with the corpus, so it is never in one place. Documents are encoded in chunks
+of about BLOCK bytes, each with its own dictionary, and kept by chunk. For every depth, a
+chunk sends its distinct (context, next) cells to buckets of contexts; a bucket adds up the
+counts of all chunks, tests the contexts, and sends each chunk the numbers of the cells that
+it asked for. What is sent is bounded by a chunk's own text, a bucket by the number of
+buckets. Contexts that make up more than HEAVY of all tokens are spread over buckets by
+their cells; only their sums, of fewer than 1 / HEAVY contexts, are gathered and broadcast.
 """
 
 from __future__ import annotations
@@ -25,393 +27,450 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permitlake.llm.common import (
-    chunk,
-    cut_lineage,
-    encoded,
-    pick,
-    remainder,
-    small_batches,
-    written,
-)
+from permitlake.llm.common import encoded, pick, remainder, small_batches
 
 FOLDS = 7
 HELD_OUT = 2
-DEPTH = 5
-SHARE = 1e-5  # of the training symbols that a context must make up
-DIVERGENCE = 0.02  # nats between a context's distribution and its suffix's
-BLOCK = 2 << 20  # bytes of texts that are scored at a time
-LANE = 512  # symbols that are scored in step with other stretches
-END = 10
-MERGE = 3_000_000  # distinct grams or words that a task holds before it hands them on
-OUT = 100_000  # rows of a batch
-
-
-def symbols(text: bytes) -> bytes:
-    """The words of a text as symbols, after DEPTH end signs that stand for its beginning."""
-    return b"\n" * DEPTH + b" ".join(text.lower().split()) + b"\n"
-
-
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct context-and-next symbols as integers, sorted, and their counts."""
-    parts = [symbols(t) for t in texts]
-    stream = np.frombuffer(b"".join(parts), np.uint8)
-    last = np.ones(len(stream), bool)
-    starts = np.cumsum([0, *map(len, parts[:-1])])
-    for k in range(DEPTH):
-        last[starts + k] = False
-    value = np.zeros(len(stream) - DEPTH, np.int64)
-    for k in range(DEPTH + 1):
-        value = value << 8 | stream[k : len(stream) - DEPTH + k]
-    return np.unique(value[last[DEPTH:]], return_counts=True)
-
-
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([k for k, _ in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], np.concatenate([c for _, c in parts])[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+DEPTH = 2
+GAIN = 3.0
+HEAVY = 1e-5
+BLOCK = 6 << 20  # bytes of text in a chunk, about
+END = 0  # number of the end token in every dictionary
+NEXT_BITS = 40  # of the hash that tells the symbols after one context apart
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
-def count_grams(training: DataFrame) -> DataFrame:
-    """gram and n, over all training texts; added up in each task before the shuffle."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(keys), OUT):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[i : i + OUT]), pa.array(counts[i : i + OUT], pa.int64())],
-                    names=["gram", "n"],
-                )
+# --- numbers on their way ---------------------------------------------------------------
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in small_batches(batches, "text", 4 << 20):
-            held.append(grams(encoded(batch)))
-            if sum(len(k) for k, _ in held) > MERGE:
-                held = [_merged(held)]
-                if len(held[0][0]) > MERGE // 2:
-                    yield from out(*held[0])
-                    held = []
-        if held:
-            yield from out(*_merged(held))
-
-    counted = training.select("text").mapInArrow(run, "gram bigint, n bigint")
-    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def frequent_contexts(counts: DataFrame, total: int) -> list[dict[int, tuple[list, list]]]:
-    """For each depth, the contexts of at least SHARE with their next symbols and counts."""
-    least = max(SHARE * total, 1)
-    levels: list[dict[int, tuple[list, list]]] = [{} for _ in range(DEPTH + 1)]
-    level = counts
-    for depth in range(DEPTH, -1, -1):
-        if depth < DEPTH:
-            shorter = F.col("gram").bitwiseAND((1 << 8 * (depth + 1)) - 1)
-            level = level.groupBy(shorter.alias("gram")).agg(F.sum("n").alias("n"))
-        level = cut_lineage(level)
-        pairs = level.select(
-            F.shiftright("gram", 8).alias("context"),
-            F.struct(F.col("gram").bitwiseAND(255).alias("symbol"), "n").alias("cell"), "n",
-        )
-        kept = (
-            pairs.groupBy("context")
-            .agg(F.sum("n").alias("total"), F.sort_array(F.collect_list("cell")).alias("cells"))
-            .filter(F.col("total") >= least)
-            .select("context", "cells.symbol", "cells.n")
-        )
-        for row in kept.collect():
-            levels[depth][row["context"]] = (row["symbol"], row["n"])
-    return levels
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, by byte planes and compressed: leading zeros cost nothing."""
+    import zstandard
 
-@dataclasses.dataclass
-class Words:
-    """Words as symbols of their own: what the tree's root gives to whole known words.
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays]
+    head = np.array([len(arrays[0])], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
 
-    A known word has its count less `discount`, as a share of all words; what this takes off
-    all of them, `backoff`, is spread by the tree's spelling of words.
-    """
 
-    total: int
-    distinct: int
-    discount: float
+def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(bytes(data))
+    n, at, arrays = int(np.frombuffer(raw, "<i8", 1)[0]), 8, []
+    for kind in map(np.dtype, kinds):
+        size = n * kind.itemsize
+        planes = np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, n)
+        arrays.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        at += size
+    return arrays
+
 
-    @property
-    def backoff(self) -> float:
-        return self.discount * self.distinct / self.total if self.total else 1.0
+def _deltas(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=values.dtype.type(0))
 
-    def share(self, counts: np.ndarray) -> np.ndarray:
-        return np.maximum(counts - self.discount, 0) / max(self.total, 1)
 
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two, not symmetric."""
+    value = (a ^ (b + _MIX + (a << np.uint64(6)) + (a >> np.uint64(2)))) * _MIX
+    return value ^ (value >> np.uint64(29))
 
-class SuffixTree:
-    """The kept contexts, and the automaton that tracks the longest one.
 
-    The automaton's nodes are the beginnings of kept contexts; on a symbol it goes to the
-    longest node that the text read so far ends with, and `state` gives the longest kept
-    context in turn. Symbols never seen share one column.
+# --- chunks -----------------------------------------------------------------------------
+
+
+def encode(documents: DataFrame) -> DataFrame:
+    """Chunks of documents: chunk, ids, words (the dictionary), data (lengths and tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        part = TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(small_batches(batches, "text", BLOCK)):
+            known: dict[bytes, int] = {}
+            lengths, tokens = [], []
+            for text in encoded(batch):
+                own = text.lower().split()
+                lengths.append(len(own))
+                tokens += [known.setdefault(word, len(known) + 1) for word in own]
+            learns = np.array(batch.column(2).to_pylist(), np.int64)
+            counts = np.array(lengths, np.int64)
+            words = zstandard.ZstdCompressor(level=1).compress(b" ".join(known))
+            yield pa.RecordBatch.from_pydict({
+                "chunk": pa.array([part + number], pa.int64()),
+                "ids": pa.array([batch.column(0).to_pylist()], pa.list_(batch.schema.field(0).type)),
+                "words": pa.array([words], pa.binary()),
+                "docs": pa.array([packed(counts, learns)], pa.binary()),
+                "tokens": pa.array([packed(np.array(tokens, np.int32))], pa.binary()),
+            })
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "text", "learns").mapInArrow(
+        run, f"chunk bigint, ids array<{kind}>, words binary, docs binary, tokens binary"
+    )
+
+
+class Chunk:
+    """A chunk's positions: symbol, the tokens before it, and whether the text is learned from.
+
+    Tokens are numbers in the chunk's dictionary. The first two places of every text stand
+    for its beginning and are no positions themselves.
     """
 
-    def __init__(self, levels: list[dict[int, tuple[list, list]]]) -> None:
-        root = np.zeros(256)
-        for symbol, n in zip(*levels[0].get(0, ([], [])), strict=True):
-            root[symbol] = n
-        seen = np.flatnonzero(root)
-        self.column = np.full(256, len(seen), np.int16)
-        self.column[seen] = np.arange(len(seen))
-        width = len(seen) + 1
-        unseen = 256 - len(seen)
-
-        def spread(symbol: list, n: list) -> np.ndarray:
-            row = np.zeros(width)
-            row[self.column[np.array(symbol, dtype=np.int64)]] = n
-            return row
-
-        base = spread(*levels[0][0]) if levels[0] else np.zeros(width)
-        base = np.append(base[:-1] + 1, unseen) / (base.sum() + 256)
-        kept: dict[tuple[int, int], int] = {(0, 0): 0}
-        rows = [base]
-        for depth in range(1, DEPTH + 1):
-            for context in sorted(levels[depth]):
-                own = spread(*levels[depth][context])
-                suffix = next(
-                    kept[d, context & (1 << 8 * d) - 1]
-                    for d in range(depth - 1, -1, -1)
-                    if (d, context & (1 << 8 * d) - 1) in kept
-                )
-                total, kinds = own.sum(), (own > 0).sum()
-                smooth = (own + kinds * rows[suffix]) / (total + kinds)
-                raw = own[own > 0] / total
-                if (raw * np.log(raw / rows[suffix][own > 0])).sum() >= DIVERGENCE:
-                    kept[depth, context] = len(rows)
-                    rows.append(smooth)
-        chances = np.array(rows)
-        if unseen:
-            chances[:, -1] /= unseen  # of each single symbol
-        else:
-            chances[:, -1] = 1.0
-        self.size = len(rows)
-        # One more column, for what stands after a text: it costs nothing and leads to the root.
-        self.logs = np.hstack([np.log10(chances), np.zeros((self.size, 1))])
-        self._connect(kept, width + 1)
-
-    def _connect(self, kept: dict[tuple[int, int], int], width: int) -> None:
-        children: list[dict[int, int]] = [{}]
-        state = [0]
-        for (depth, context), number in kept.items():
-            node = 0
-            for i in range(depth - 1, -1, -1):
-                symbol = int(self.column[context >> 8 * i & 255])
-                if symbol not in children[node]:
-                    children[node][symbol] = len(children)
-                    children.append({})
-                    state.append(-1)
-                node = children[node][symbol]
-            state[node] = number
-        self.go = np.zeros((len(children), width), np.int32)
-        queue, fail = [0], [0] * len(children)
-        for node in queue:
-            if node:
-                self.go[node] = self.go[fail[node]]
-                if state[node] < 0:
-                    state[node] = state[fail[node]]
-            for symbol, child in children[node].items():
-                fail[child] = int(self.go[node, symbol]) if node else 0
-                queue.append(child)
-            for symbol, child in children[node].items():
-                self.go[node, symbol] = child
-        self.go[:, -1] = 0
-        self.state = np.array(state, np.int32)
-
-    def trace(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The state before every symbol of the texts, one after the other, and its column.
-
-        Long texts are cut into stretches of LANE symbols that are read side by side; a
-        stretch first reads the DEPTH symbols before it, which settle its state. The symbols
-        that stand for a beginning are left out.
-        """
-        parts = [symbols(t) for t in texts]
-        after = self.logs.shape[1] - 1
-        stream = self.column[np.frombuffer(b"".join(parts), np.uint8)]
-        stream = np.append(stream, np.full(LANE + DEPTH, after, np.int16))
-        starts = np.cumsum([0, *map(len, parts)])
-        lengths = np.diff(starts) - DEPTH
-        lanes = -(-lengths // LANE)
-        owner = np.repeat(np.arange(len(parts)), lanes)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        begin = starts[owner] + place * LANE
-        left = np.minimum(lengths[owner] - place * LANE, LANE)
-        order = np.argsort(-left, kind="stable")
-        begin, left = begin[order], left[order]
-        node = np.zeros(len(begin), np.int32)
-        states = np.zeros(len(stream), np.int32)
-        for step in range(DEPTH + int(left[0])):
-            n = len(left) if step < DEPTH else int(np.searchsorted(-left, DEPTH - step, "left"))
-            at = begin[:n] + step
-            if step >= DEPTH:
-                states[at] = self.state[node[:n]]
-            node[:n] = self.go[node[:n], stream[at]]
-        real = np.ones(len(stream), bool)
-        real[starts[-1] :] = False
+    def __init__(self, row) -> None:
+        import xxhash
+        import zstandard
+
+        words = zstandard.ZstdDecompressor().decompress(bytes(row["words"])).split()
+        self.hashes = np.array([1, *[xxhash.xxh64_intdigest(w) for w in words]], np.uint64)
+        self.lengths, learns = unpacked(row["docs"], "i8", "i8")
+        (tokens,) = unpacked(row["tokens"], "i4")
+        sizes = self.lengths + DEPTH + 1
+        starts = np.cumsum(sizes) - sizes
+        stream = np.zeros(int(sizes.sum()), np.int32)
+        inside = np.ones(len(stream), bool)
         for k in range(DEPTH):
-            real[starts[:-1] + k] = False
-        return states[real], stream[real]
-
-    def score(self, texts: list[bytes], words: Words, counts: np.ndarray) -> np.ndarray:
-        """The log10 probability of each text, its end included.
-
-        `counts` has the training count of every word of the texts in turn. A word and the
-        sign after it have the tree's probability, times `words.backoff`, plus the word's
-        discounted share, times the chance of the sign after a word that ends here.
-        """
-        if not texts:
-            return np.zeros(0)
-        states, columns = self.trace(texts)
-        logs = self.logs[states, columns]
-        space, end = self.column[32], self.column[END]
-        # An end at a text's beginning is the end token of an empty text, not a sign.
-        n_words = np.array([len(t.split()) for t in texts])
-        sizes = np.array([len(symbols(t)) - DEPTH for t in texts])
-        first = np.cumsum(sizes) - sizes
-        result = np.where(n_words == 0, logs[first], 0.0)
-        stream = np.frombuffer(b"".join(symbols(t)[DEPTH:] for t in texts), np.uint8)
-        sign = (stream == 32) | (stream == END)
-        sign[first[n_words == 0]] = False
-        signs = np.flatnonzero(sign)
-        if not len(signs):
-            return result
-        owner = np.repeat(np.arange(len(texts)), n_words)
-        before = np.concatenate([[0.0], np.cumsum(logs)])
-        opening = np.concatenate([[0], signs[:-1] + 1])
-        opens = np.concatenate([[True], owner[1:] != owner[:-1]])
-        opening[opens] = first[owner[opens]]
-        spelled = before[signs + 1] - before[opening]
-        both = 10 ** self.logs[states[signs], space] + 10 ** self.logs[states[signs], end]
-        chance = 10 ** logs[signs] / both
-        chance[opens] *= 1 - 10 ** self.logs[states[opening[opens]], end]
-        share = words.share(counts) * chance
-        with np.errstate(divide="ignore"):
-            mixed = np.where(
-                share > 0,
-                np.log10(share + words.backoff * 10 ** np.maximum(spelled, -300)),
-                math.log10(words.backoff) + spelled,
-            )
-        return result + np.bincount(owner, mixed, len(texts))
-
-
-def learn(training: DataFrame) -> SuffixTree:
-    """The tree of all texts of `training`; of none, every symbol has the same chance."""
-    counts = cut_lineage(count_grams(training))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return SuffixTree(frequent_contexts(counts, total))
-
-
-def chunk_words(documents: DataFrame) -> DataFrame:
-    """chunk, word, n: the words of each chunk and their count in its training documents."""
+            inside[starts + k] = False
+        text = inside.copy()
+        text[starts + sizes - 1] = False
+        stream[text] = tokens
+        at = np.flatnonzero(inside)
+        self.symbol = stream[at]
+        self.before = [stream[at - k] for k in range(1, DEPTH + 1)]
+        self.owner = np.repeat(np.arange(len(sizes)), self.lengths + 1)
+        self.learns = learns[self.owner].astype(bool)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[bytes, int]] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for number, counts in held.items():
-                words, numbers = list(counts), list(counts.values())
-                for i in range(0, len(words), OUT):
-                    part = words[i : i + OUT]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([number] * len(part), pa.int64()),
-                            pa.array(part, pa.binary()),
-                            pa.array(numbers[i : i + OUT], pa.int64()),
-                        ],
-                        names=["chunk", "word", "n"],
-                    )
-            held.clear()
-
-        for batch in small_batches(batches, "text"):
-            chunks, trained = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for number, learns, text in zip(chunks, trained, encoded(batch), strict=True):
-                counts = held.setdefault(number, {})
-                for word in text.lower().split():
-                    counts[word] = counts.get(word, 0) + learns
-            if sum(map(len, held.values())) > MERGE // 4:
-                yield from out()
-        yield from out()
-
-    return documents.select("text", "chunk", "learns").mapInArrow(
-        run, "chunk bigint, word binary, n bigint"
+    def word_counts(self) -> np.ndarray:
+        return np.bincount(self.symbol[self.learns], minlength=len(self.hashes))
+
+
+@dataclasses.dataclass
+class Totals:
+    """What is known of all training tokens: their number, distinct ones, the discount."""
+
+    tokens: int
+    distinct: int
+    discount: float
+
+    def root(self, counts: np.ndarray) -> np.ndarray:
+        """The root's chance of symbols with these counts; 0 stands for the unknown one."""
+        if not self.tokens:
+            return np.ones(len(counts))
+        spread = self.discount * self.distinct / self.tokens / (self.distinct + 1)
+        return np.maximum(counts - self.discount, 0) / self.tokens + spread
+
+
+def _cells(context: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first position of each distinct pair, in order of the pairs, and every pair's rank."""
+    order = np.lexsort((following, context))
+    a, b = context[order], following[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+    rank = np.zeros(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return order[new], rank
+
+
+class Walk:
+    """A chunk on its way down the tree: chances of its symbols in the states found so far."""
+
+    def __init__(self, chunk: Chunk, counts: np.ndarray, totals: Totals) -> None:
+        self.chunk, self.totals = chunk, totals
+        self.counts = counts
+        self.chance = totals.root(counts[chunk.symbol])
+        known = counts[chunk.symbol] > 0
+        low = np.uint64((1 << NEXT_BITS) - 1)
+        hashes = chunk.hashes[chunk.symbol]
+        self.following = np.where(known, hashes & low, np.uint64(0))
+        self.context = np.full(len(chunk.symbol), np.uint64(7))
+        self.depth = 0
+        # How often the context of the next depth occurs in training; below 2 it is not kept.
+        self.times = counts[chunk.before[0]]
+        self.alive = self.times >= 2
+
+    def ask(self) -> dict[str, np.ndarray]:
+        """The cells of the next depth: of each, context, symbol, count, suffix chance."""
+        token = self.chunk.hashes[self.chunk.before[self.depth]]
+        self.context = _mixed(token, self.context)
+        self.at = np.flatnonzero(self.alive)
+        first, self.rank = _cells(self.context[self.at], self.following[self.at])
+        first = self.at[first]
+        n = np.bincount(self.rank, self.chunk.learns[self.at], len(first)).astype(np.uint32)
+        return {
+            "context": self.context[first], "next": self.following[first], "n": n,
+            "chance": self.chance[first],
+            "heavy": self.times[first] > HEAVY * self.totals.tokens,
+        }
+
+    def step(self, n: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> None:
+        """Go down one depth with the cells' numbers; total is 0 where nothing is kept."""
+        n, total, kinds = n[self.rank], total[self.rank], kinds[self.rank]
+        kept = total > 0
+        at = self.at[kept]
+        below = total[kept] + kinds[kept]
+        self.chance[at] = n[kept] / below + kinds[kept] / below * self.chance[at]
+        self.depth += 1
+        if self.depth < DEPTH:
+            # The longer context's count is that of the cell one position earlier, whose
+            # symbol is now the nearest token of the context.
+            seen = np.zeros(len(self.alive), np.int64)
+            seen[self.at] = n
+            times = np.concatenate([[0], seen[:-1]])
+            opens = np.concatenate([[True], self.chunk.owner[1:] != self.chunk.owner[:-1]])
+            # Before the first symbol there are only beginnings, as often as texts.
+            times[opens] = self.times[opens]
+            self.times = times
+            self.alive = self.alive & (times >= 2)
+
+
+def _bucket_of(cells: dict[str, np.ndarray], n_buckets: int) -> np.ndarray:
+    spread = np.where(cells["heavy"], _mixed(cells["context"], cells["next"]), cells["context"])
+    return (_mixed(spread, spread) >> np.uint64(20)) % np.uint64(n_buckets)
+
+
+def _quantised(chance: np.ndarray) -> np.ndarray:
+    """A chance as a byte: the logarithm in sixths of a bit, enough for the test."""
+    return np.clip(np.round(-6 * np.log2(chance)), 0, 255).astype(np.uint8)
+
+
+# --- buckets ----------------------------------------------------------------------------
+
+
+def merge_words(rows: pd.DataFrame) -> pd.DataFrame:
+    """Adds up the counts of one bucket's words and answers every chunk in its own order."""
+    asked = [unpacked(d, "u8", "u4") for d in rows["data"]]
+    words = np.concatenate([np.cumsum(w, dtype=np.uint64) for w, _ in asked])
+    n = np.concatenate([n for _, n in asked]).astype(np.int64)
+    distinct, place = np.unique(words, return_inverse=True)
+    total = np.bincount(place, n, len(distinct)).astype(np.int64)
+    cuts = np.cumsum([len(w) for w, _ in asked])[:-1]
+    answers = [packed(total[p].astype(np.uint32)) if total.max(initial=0) < 2**32 else packed(total[p])
+               for p in np.split(place, cuts)]
+    wide = total.max(initial=0) >= 2**32
+    out = pd.DataFrame({
+        "chunk": rows["chunk"], "bucket": rows["bucket"], "data": answers, "wide": wide,
+        "tokens": 0, "known": 0, "once": 0, "twice": 0,
+    })
+    out.loc[out.index[:1], ["tokens", "known", "once", "twice"]] = [
+        int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())
+    ]
+    return out
+
+
+def gains(context, n, chance, number) -> tuple[np.ndarray, ...]:
+    """Sums over the seen cells of each context: n, kinds, and the parts of the gain."""
+    seen = n > 0
+    c, n, chance = number[seen], n[seen].astype(float), chance[seen]
+    size = int(number.max(initial=-1)) + 1
+    many = n >= 2
+
+    def add(values):
+        return np.bincount(c, values, size)
+
+    logs = np.log(np.maximum(n - 1, 1)) - np.log(chance)
+    return (
+        add(n), add(np.ones(len(n))), add(np.where(many, n * logs, 0)), add(np.where(many, n, 0))
     )
 
 
+def keeps(total, kinds, told, repeated) -> np.ndarray:
+    """The test: does a context predict better than its suffix, each occurrence left out?
+
+    A symbol seen n times has then n - 1 of total - 1 + kinds; one seen once has only what
+    the smoothing leaves to the suffix.
+    """
+    below = np.maximum(total - 1 + kinds, 1)
+    gain = told - repeated * np.log(below) + (total - repeated) * np.log(np.maximum(kinds, 1e-9) / below)
+    return (total >= 2) & (gain >= GAIN)
+
+
+def merge_cells(rows: pd.DataFrame) -> pd.DataFrame:
+    """Adds up one bucket's cells, tests its contexts, and answers every chunk in its order.
+
+    Answers: the count of the cell, and the count and kinds of its context, 0 if it is not
+    kept. Heavy contexts have cells elsewhere; their sums go on as rows of their own.
+    """
+    asked = [unpacked(d, "u8", "u8", "u4", "u1", "u1") for d in rows["data"]]
+    context = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
+    following = np.concatenate([a[1] for a in asked])
+    n = np.concatenate([a[2] for a in asked]).astype(np.int64)
+    first, rank = _cells(context, following)
+    total = np.bincount(rank, n, len(first)).astype(np.int64)
+    chance = 2.0 ** (-np.concatenate([a[3] for a in asked])[first].astype(float) / 6)
+    heavy = np.concatenate([a[4] for a in asked])[first].astype(bool)
+    contexts, number = np.unique(context[first], return_inverse=True)
+    sums = gains(contexts, total, chance, number)
+    held = np.zeros(len(contexts), bool)
+    np.logical_or.at(held, number[heavy], True)
+    size = len(contexts)
+    sums = [np.pad(s, (0, size - len(s))) for s in sums]
+    kept = keeps(*sums) & ~held
+    of_context = np.where(kept, sums[0], 0).astype(np.int64)[number]
+    kinds = np.where(kept, sums[1], 0).astype(np.int64)[number]
+    cuts = np.cumsum([len(a[0]) for a in asked])[:-1]
+    answers = [packed(total[p], of_context[p], kinds[p]) for p in np.split(rank, cuts)]
+    out = pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "data": answers})
+    some = np.flatnonzero(held)
+    extra = pd.DataFrame({
+        "chunk": np.full(len(some), -1), "bucket": rows["bucket"].iloc[0], "data": None,
+        "context": contexts[some].view(np.int64),
+        **{name: sums[i][some] for i, name in enumerate(("total", "kinds", "told", "repeated"))},
+    })
+    return pd.concat([out.assign(context=0, total=0.0, kinds=0.0, told=0.0, repeated=0.0), extra])
+
+
+_UP = "chunk bigint, bucket bigint, data binary"
+_SUMS = "context bigint, total double, kinds double, told double, repeated double"
+
+
+def _cut(keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The columns by key, in the order they have."""
+    order = np.argsort(keys, kind="stable")
+    starts = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    for i, part in enumerate(np.split(order, starts[1:])):
+        if len(part):
+            yield int(keys[order[starts[i]]]), [c[part] for c in columns]
+
+
 def score_documents(documents: DataFrame) -> DataFrame:
     """Score every whole text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score.
 
+    Tokens are the runs of non-space bytes of the ASCII-lower-cased text, then an end token.
     Documents whose crc32(doc_id) modulo FOLDS is HELD_OUT are not learned from. A null or
     empty text is the end token alone. A null id is learned from, a repeated document is
-    learned from and scored each time. Without training documents the base model knows no
-    token and the tree is uniform.
+    learned from and scored each time. Without training documents no token is known, and the
+    one symbol that is left has chance one.
     """
     spark = documents.sparkSession
-    docs = pick(documents, "doc_id", "text").withColumns(
-        {"chunk": chunk(), "learns": (remainder("doc_id", FOLDS) != HELD_OUT).cast("int")}
-    )
-    tree = spark.sparkContext.broadcast(learn(docs.filter("learns = 1")))
-
-    words = written(chunk_words(docs), "lm-words")
-    counts = words.groupBy("word").agg(F.sum("n").alias("c"))
-    tokens, distinct, once, twice = counts.agg(
-        F.sum("c"), *[F.count_if(F.expr(e)) for e in ("c > 0", "c = 1", "c = 2")]
-    ).first()
-    discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
-    whole = Words(int(tokens or 0), int(distinct), discount)
-    ends = docs.agg(F.sum("learns")).first()[0] or 0
-    train_tokens = (tokens or 0) + ends
-    distinct += ends > 0
-    log_total = math.log10(train_tokens + distinct + 1)
-    known = (
-        words.select("chunk", "word").distinct()
-        .join(counts.filter("c > 0"), "word")
-        .select("chunk", "word", "c")
+    docs = pick(documents, "doc_id", "text").withColumn(
+        "learns", (remainder("doc_id", FOLDS) != HELD_OUT).cast("int")
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Kept by chunk on the executors' disks; what is lost with one is computed again.
+    chunks = encode(docs).repartition(n_parts, "chunk").persist(StorageLevel.DISK_ONLY)
+    n_buckets = max(8, chunks.count())
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = Chunk(row)
+                rank = np.argsort(chunk.hashes)
+                keys = (_bucket_words(chunk.hashes, n_buckets))[rank]
+                parts = [
+                    (row["chunk"], bucket, packed(_deltas(words), n.astype(np.uint32)))
+                    for bucket, (words, n) in _cut(keys, chunk.hashes[rank], chunk.word_counts()[rank])
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*parts, strict=True), [pa.int64(), pa.int64(), pa.binary()], strict=True)],
+                    names=["chunk", "bucket", "data"],
+                )
 
-    def score(rows: pd.DataFrame, vocabulary: pd.DataFrame) -> pd.DataFrame:
-        trained = dict(zip(vocabulary["word"], vocabulary["c"].tolist(), strict=True))
-        texts = [(t or "").encode() for t in rows["text"]]
-        n_tokens, n_known, base, scores = [], [], [], []
-        held: list[bytes] = []
-        seen: list[np.ndarray] = []
-        for i, text in enumerate(texts, 1):
-            own = text.lower().split()
-            found = np.array([trained.get(word, 0) for word in own], float)
-            n_tokens.append(len(own) + 1)
-            n_known.append(int((found > 0).sum()) + (ends > 0))
-            sums = float(np.log10(found + 1).sum()) + math.log10(ends + 1)
-            base.append(sums - (len(own) + 1) * log_total)
-            held.append(text)
-            seen.append(found)
-            if i == len(texts) or sum(map(len, held)) > BLOCK:
-                scores.append(tree.value.score(held, whole, np.concatenate(seen)))
-                held, seen = [], []
-        scores = np.concatenate([np.zeros(0), *scores])
-        return pd.DataFrame({
-            "doc_id": rows["doc_id"], "n_tokens": n_tokens, "n_known": n_known,
-            "base_score": base, "score": scores,
-        })
-
-    scored = (
-        docs.select("doc_id", "text", "chunk").groupBy("chunk")
-        .cogroup(known.groupBy("chunk"))
-        .applyInPandas(
-            score,
-            f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double",
+    words = (
+        chunks.mapInArrow(ask_words, _UP).groupBy("bucket")
+        .applyInPandas(merge_words, _UP + ", wide boolean, tokens bigint, known bigint, once bigint, twice bigint")
+        .persist(StorageLevel.DISK_ONLY)
+    )
+    tokens, known, once, twice = words.agg(*[F.sum(c) for c in ("tokens", "known", "once", "twice")]).first()
+    totals = Totals(
+        int(tokens or 0), int(known or 0),
+        min(max((once or 0) / max((once or 0) + 2 * (twice or 0), 1), 0.1), 0.9),
+    )
+    none = F.lit(0).alias("wide")
+    answers = [words.select("chunk", "bucket", "data", F.lit(0).alias("depth"), F.col("wide").cast("int").alias("wide"))]
+    heavies: list[dict[int, tuple[float, float]]] = []
+    held = []
+
+    def arrive(row, replies: pd.DataFrame) -> Walk:
+        """The chunk's walk, with all the replies that have come."""
+        chunk = Chunk(row)
+        counts = np.zeros(len(chunk.hashes), np.int64)
+        rank = np.argsort(chunk.hashes)
+        keys = _bucket_words(chunk.hashes, n_buckets)[rank]
+        by = {(d, b): (bytes(data), w) for d, b, data, w in
+              zip(replies["depth"], replies["bucket"], replies["data"], replies["wide"], strict=True)}
+        for bucket, (place,) in _cut(keys, rank):
+            data, wide = by[0, bucket]
+            counts[place] = unpacked(data, "i8" if wide else "u4")[0]
+        walk = Walk(chunk, counts, totals)
+        for depth in range(1, len(heavies) + 1):
+            cells = walk.ask()
+            n, of_context, kinds = (np.zeros(len(cells["n"]), np.int64) for _ in range(3))
+            for bucket, (place,) in _cut(_bucket_of(cells, n_buckets).astype(np.int64), np.arange(len(n))):
+                n[place], of_context[place], kinds[place] = unpacked(by[depth, bucket][0], "i8", "i8", "i8")
+            for i in np.flatnonzero(cells["heavy"]).tolist() if heavies[depth - 1] else ():
+                kept = heavies[depth - 1].get(int(cells["context"][i].view(np.int64)))
+                if kept:
+                    of_context[i], kinds[i] = kept
+            walk.step(n, of_context, kinds)
+        return walk
+
+    def ask_cells(rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for row in rows.to_dict("records"):
+            cells = arrive(row, replies[replies["chunk"] == row["chunk"]]).ask()
+            columns = (cells["context"], cells["next"], cells["n"], _quantised(cells["chance"]), cells["heavy"].astype(np.uint8))
+            for bucket, (context, *rest) in _cut(_bucket_of(cells, n_buckets).astype(np.int64), *columns):
+                parts.append((row["chunk"], bucket, packed(_deltas(context), *rest)))
+        return pd.DataFrame(parts, columns=["chunk", "bucket", "data"])
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        return merge_cells(rows)
+
+    def together(fn, schema: str) -> DataFrame:
+        replies = answers[0]
+        for more in answers[1:]:
+            replies = replies.union(more)
+        return chunks.groupBy("chunk").cogroup(
+            replies.withColumnRenamed("chunk", "part").groupBy("part")
+        ).applyInPandas(lambda rows, r: fn(rows, r.rename(columns={"part": "chunk"})), schema)
+
+    for depth in range(1, DEPTH + 1):
+        merged = (
+            together(ask_cells, _UP).groupBy("bucket").applyInPandas(merge, f"{_UP}, {_SUMS}")
+            .persist(StorageLevel.DISK_ONLY)
         )
+        sums = ("total", "kinds", "told", "repeated")
+        rows = merged.filter("chunk = -1").groupBy("context").agg(*[F.sum(c).alias(c) for c in sums]).collect()
+        found = {}
+        for row in rows:
+            if keeps(*[np.array([row[c]]) for c in sums])[0]:
+                found[row["context"]] = (row["total"], row["kinds"])
+        heavies.append(found)
+        held.append(merged)
+        answers.append(merged.filter("chunk >= 0").select("chunk", "bucket", "data", F.lit(depth).alias("depth"), none))
+
+    ends_known = totals.tokens > 0
+    log_total = math.log10(totals.tokens + totals.distinct + 1)
+
+    def score(rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for row in rows.to_dict("records"):
+            walk = arrive(row, replies[replies["chunk"] == row["chunk"]])
+            chunk = walk.chunk
+            n_docs, owner = len(chunk.lengths), chunk.owner
+            seen = walk.counts[chunk.symbol]
+            parts.append(pd.DataFrame({
+                "doc_id": list(row["ids"]),
+                "n_tokens": chunk.lengths + 1,
+                "n_known": np.bincount(owner, seen > 0, n_docs).astype(np.int64),
+                "base_score": np.bincount(owner, np.log10(seen + 1.0) - log_total, n_docs),
+                "score": np.bincount(owner, np.log10(walk.chance), n_docs),
+            }))
+        return pd.concat(parts)
+
+    scored = together(
+        score, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double"
     )
     return scored.select(
         "doc_id", (remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens",
-        "n_known", F.lit(train_tokens).cast("bigint").alias("train_tokens"), "base_score", "score",
+        "n_known", F.lit(totals.tokens).cast("bigint").alias("train_tokens"), "base_score", "score",
     )
+
+
+def _bucket_words(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(17)) % np.uint64(n_buckets)).astype(np.int64)
