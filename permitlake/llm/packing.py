@@ -16,7 +16,6 @@ import functools
 from collections.abc import Iterator, Mapping
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,21 +83,27 @@ def pack(items: DataFrame, limits: Mapping[str, int], n_items: int) -> DataFrame
     keep = [c for c in items.columns if c != "salt"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema if f.name != "salt")
 
-    def pack_block(rows: pd.DataFrame) -> pd.DataFrame:
-        block = int(rows["block"].iloc[0])
-        rows = rows.sort_values([c for c in rows.columns if c not in ("block", "ids")], ignore_index=True)
-        sizes = rows[names].fillna(0).to_numpy(dtype=np.int64)
-        rows["sequence_id"] = (block << 32) + place(sizes, caps)
-        rows["length_"] = sizes[:, 0]
-        rows = rows.sort_values("sequence_id", kind="stable", ignore_index=True)
-        rows["offset"] = rows.groupby("sequence_id")["length_"].cumsum() - rows["length_"]
-        return rows[[*keep, "sequence_id", "offset"]]
+    def pack_block(rows: pa.Table) -> pa.Table:
+        # Any order will do, if it is the same when a lost task runs again.
+        rows = rows.sort_by([(c, "ascending") for c in rows.column_names if c not in ("block", "ids")])
+        block = rows["block"][0].as_py()
+        columns = [rows[name].fill_null(0).to_numpy() for name in names]
+        sizes = np.stack(columns, axis=1).astype(np.int64)
+        bins = place(sizes, caps)
+        order = np.argsort(bins, kind="stable")
+        bins, lengths = bins[order], sizes[order, 0]
+        before = np.cumsum(lengths) - lengths
+        first = np.flatnonzero(np.diff(bins, prepend=-1))
+        offset = before - np.repeat(before[first], np.diff(first, append=len(bins)))
+        packed = rows.take(pa.array(order)).select(keep)
+        packed = packed.append_column("sequence_id", pa.array((block << 32) + bins))
+        return packed.append_column("offset", pa.array(offset))
 
     block = F.pmod(F.xxhash64(*[c for c in items.columns if c != "ids"]), F.lit(n_blocks))
     return (
         items.withColumn("block", block)
         .groupBy("block")
-        .applyInPandas(pack_block, f"{schema}, sequence_id bigint, offset bigint")
+        .applyInArrow(pack_block, f"{schema}, sequence_id bigint, offset bigint")
     )
 
 
