@@ -71,6 +71,8 @@ def _buckets(docs: DataFrame, n: int) -> tuple[list[float], list, dict[int, int]
 
 
 def _bucketed(docs: DataFrame, bounds: list[float]) -> DataFrame:
+    if len(bounds) < 3:
+        return docs.withColumn("bucket", F.lit(0))
     place = Bucketizer(splits=bounds, inputCol="place", outputCol="bucket")
     lowest = F.lit(-1.7e308)  # a missing id comes before all others
     return place.transform(
