@@ -145,8 +145,10 @@ def _masks(radius: int, blocks: int) -> tuple[list[int], list[list[int]]]:
 def _link_shards(rows: pd.DataFrame, radius: int, masks: list[int], deep: list[list[int]]) -> pd.DataFrame:
     """The links of the shards in these rows; each link from the first shard that has it."""
     rows = rows.sort_values(["cut", "deep", "key", "print"], ignore_index=True)
-    shard = rows[["cut", "deep", "key"]]
-    starts = np.flatnonzero((shard != shard.shift()).any(axis=1).to_numpy())
+    shard = [rows[name].to_numpy() for name in ("cut", "deep", "key")]
+    new = np.ones(len(rows), bool)
+    new[1:] = np.any([s[1:] != s[:-1] for s in shard], axis=0)
+    starts = np.flatnonzero(new)
     values = rows["print"].to_numpy().view(np.uint64).tolist()
     cuts, deeps = rows["cut"].tolist(), rows["deep"].tolist()
     left, right = [], []
