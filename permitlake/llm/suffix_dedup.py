@@ -416,8 +416,11 @@ def _ranges_of(contexts: DataFrame) -> DataFrame:
     windows = many.select("gram", "context", "full", "data", "left").mapInArrow(
         _each_window, "gram bigint, context bigint, full boolean, distance bigint, window binary"
     )
-    counts = windows.groupBy("window").agg((F.count("*") + F.max(F.col("full").cast("int"))).alias("n"))
-    hashed = windows.join(counts.filter("n > 1"), "window").select(
+    # One place may show a window in the contexts of several anchors: those at one distance
+    # from one gram are of different places.
+    same = ["gram", "distance", "window"]
+    counts = windows.groupBy(*same).agg((F.count("*") + F.max(F.col("full").cast("int"))).alias("n"))
+    hashed = windows.join(counts.filter("n > 1"), same).select(
         "gram", "context", (-F.col("distance")).alias("start"),
         (WINDOW - F.col("distance")).alias("end"),
     )
