@@ -64,7 +64,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = pick(benchmark, "item_id", "text").select(
         "item_id", _tokens("text").alias("tokens")
     ).filter(F.size("tokens") >= SPAN)
-    items = items.groupBy("tokens").agg(F.collect_set("item_id").alias("item_ids"))
+    items = items.groupBy("tokens").agg(F.collect_set(F.struct("item_id")).alias("item_ids"))
     items = cut_lineage(items.withColumn("item", F.xxhash64("tokens")))
     seeds = cut_lineage(
         _seeds(items, "item").distinct().withColumnRenamed("place", "item_place")
@@ -121,7 +121,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         found.groupBy("doc_id", "text_hash", "item")
         .agg(F.max("found").alias("found"), F.first("item_ids").alias("item_ids"),
              F.first("item_words").alias("item_words"))
-        .select("doc_id", "text_hash", F.explode("item_ids").alias("item_id"),
+        .select("doc_id", "text_hash", F.explode("item_ids.item_id").alias("item_id"),
                 "found.share", "found.matched", "item_words", "found.doc_start")
     )
 
