@@ -146,14 +146,18 @@ def format_labels() -> Column:
 
 @dataclass
 class Forest:
-    """The trained forest; without both labels there is none and nothing is removed."""
+    """The trained forest; without both labels there is none, and formats alone decide.
+
+    What they leave open then counts as a secret: nothing is removed on a guess.
+    """
 
     model: RandomForestClassificationModel | None
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Adds `probability`, that the finding is a secret."""
         if self.model is None:
-            return rows.withColumn("probability", F.lit(1.0))
+            settled = F.coalesce(format_labels(), F.lit(1)).cast("double")
+            return rows.withColumn("probability", settled)
         scored = self.model.transform(_assembled(rows))
         return scored.withColumn("probability", vector_to_array("probability")[1]).drop("features")
 
