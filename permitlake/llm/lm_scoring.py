@@ -38,9 +38,10 @@ HELD_OUT = 2
 DEPTH = 2
 GAIN = 3.0
 HEAVY = 1e-5
-BLOCK = 6 << 20  # bytes of text in a chunk, about
-END = 0  # number of the end token in every dictionary
-NEXT_BITS = 40  # of the hash that tells the symbols after one context apart
+BLOCK = 12 << 20  # bytes of text in a chunk, about
+# Bits of a hash that travel, besides those that a bucket stands for. Words are told apart by
+# WORD_BITS, contexts by CONTEXT_BITS, the symbols after one context by NEXT_BITS.
+WORD_BITS, CONTEXT_BITS, NEXT_BITS = 48, 36, 28
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,6 +75,10 @@ def _deltas(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=values.dtype.type(0))
 
 
+def _top(values: np.ndarray, bits: int) -> np.ndarray:
+    return values >> np.uint64(64 - bits)
+
+
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One hash of two, not symmetric."""
     value = (a ^ (b + _MIX + (a << np.uint64(6)) + (a >> np.uint64(2)))) * _MIX
@@ -164,46 +169,66 @@ class Totals:
         return np.maximum(counts - self.discount, 0) / self.tokens + spread
 
 
-def _cells(context: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first position of each distinct pair, in order of the pairs, and every pair's rank."""
-    order = np.lexsort((following, context))
-    a, b = context[order], following[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-    rank = np.zeros(len(order), np.int64)
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one of each distinct key, in their order, and every key's rank."""
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    rank = np.empty(len(keys), np.int64)
     rank[order] = np.cumsum(new) - 1
     return order[new], rank
 
 
+def _dealt(buckets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order in which each bucket's entries stand together, and where."""
+    order = np.argsort(buckets, kind="stable")
+    sorted_ = buckets[order]
+    edges = np.flatnonzero(np.diff(sorted_, prepend=-1, append=-1))
+    return order, [
+        (int(sorted_[a]), slice(int(a), int(b))) for a, b in zip(edges[:-1], edges[1:], strict=True)
+    ]
+
+
+def _bucket(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    return ((_mixed(hashes, hashes) >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
+
+
 class Walk:
     """A chunk on its way down the tree: chances of its symbols in the states found so far."""
 
-    def __init__(self, chunk: Chunk, counts: np.ndarray, totals: Totals) -> None:
-        self.chunk, self.totals = chunk, totals
+    def __init__(self, chunk: Chunk, counts: np.ndarray, totals: Totals, n_buckets: int) -> None:
+        self.chunk, self.totals, self.n_buckets = chunk, totals, n_buckets
         self.counts = counts
-        self.chance = totals.root(counts[chunk.symbol])
-        known = counts[chunk.symbol] > 0
-        low = np.uint64((1 << NEXT_BITS) - 1)
-        hashes = chunk.hashes[chunk.symbol]
-        self.following = np.where(known, hashes & low, np.uint64(0))
+        self.chance = totals.root(counts)[chunk.symbol]
+        following = np.maximum(_top(chunk.hashes, NEXT_BITS), np.uint64(1))
+        self.following = np.where(counts > 0, following, np.uint64(0))[chunk.symbol]
         self.context = np.full(len(chunk.symbol), np.uint64(7))
         self.depth = 0
         # How often the context of the next depth occurs in training; below 2 it is not kept.
         self.times = counts[chunk.before[0]]
         self.alive = self.times >= 2
 
-    def ask(self) -> dict[str, np.ndarray]:
-        """The cells of the next depth: of each, context, symbol, count, suffix chance."""
+    def ask(self) -> tuple[dict[str, np.ndarray], list[tuple[int, slice]]]:
+        """The cells of the next depth, bucket by bucket: context, symbol, count, chance."""
         token = self.chunk.hashes[self.chunk.before[self.depth]]
         self.context = _mixed(token, self.context)
-        self.at = np.flatnonzero(self.alive)
-        first, self.rank = _cells(self.context[self.at], self.following[self.at])
-        first = self.at[first]
-        n = np.bincount(self.rank, self.chunk.learns[self.at], len(first)).astype(np.uint32)
+        self.at = at = np.flatnonzero(self.alive)
+        short = _top(self.context[at], CONTEXT_BITS) << np.uint64(NEXT_BITS)
+        first, rank = _grouped(short | self.following[at])
+        heavy = self.times[at[first]] > HEAVY * self.totals.tokens
+        context, following = self.context[at[first]], self.following[at[first]]
+        # A heavy context's cells are dealt by themselves, all others with their context.
+        spread = np.where(heavy, _mixed(context, following), context)
+        order, parts = _dealt(_bucket(spread, self.n_buckets))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.rank = place[rank]
+        n = np.bincount(self.rank, self.chunk.learns[at], len(order)).astype(np.uint32)
         return {
-            "context": self.context[first], "next": self.following[first], "n": n,
-            "chance": self.chance[first],
-            "heavy": self.times[first] > HEAVY * self.totals.tokens,
-        }
+            "context": _top(context[order], CONTEXT_BITS), "next": following[order], "n": n,
+            "chance": self.chance[at[first[order]]], "heavy": heavy[order],
+        }, parts
 
     def step(self, n: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> None:
         """Go down one depth with the cells' numbers; total is 0 where nothing is kept."""
@@ -224,16 +249,13 @@ class Walk:
             times[opens] = self.times[opens]
             self.times = times
             self.alive = self.alive & (times >= 2)
-
-
-def _bucket_of(cells: dict[str, np.ndarray], n_buckets: int) -> np.ndarray:
-    spread = np.where(cells["heavy"], _mixed(cells["context"], cells["next"]), cells["context"])
-    return (_mixed(spread, spread) >> np.uint64(20)) % np.uint64(n_buckets)
+            # After a context with one symbol only, so has every longer one.
+            self.alive[self.at[(kinds == 1)]] = False
 
 
 def _quantised(chance: np.ndarray) -> np.ndarray:
-    """A chance as a byte: the logarithm in sixths of a bit, enough for the test."""
-    return np.clip(np.round(-6 * np.log2(chance)), 0, 255).astype(np.uint8)
+    """A chance as a byte: the logarithm in thirds of a bit, enough for the test."""
+    return np.clip(np.round(-3 * np.log2(chance)), 0, 255).astype(np.uint8)
 
 
 # --- buckets ----------------------------------------------------------------------------
@@ -243,15 +265,12 @@ def merge_words(rows: pd.DataFrame) -> pd.DataFrame:
     """Adds up the counts of one bucket's words and answers every chunk in its own order."""
     asked = [unpacked(d, "u8", "u4") for d in rows["data"]]
     words = np.concatenate([np.cumsum(w, dtype=np.uint64) for w, _ in asked])
-    n = np.concatenate([n for _, n in asked]).astype(np.int64)
-    distinct, place = np.unique(words, return_inverse=True)
-    total = np.bincount(place, n, len(distinct)).astype(np.int64)
+    first, rank = _grouped(words)
+    total = np.bincount(rank, np.concatenate([n for _, n in asked]), len(first)).astype(np.int64)
     cuts = np.cumsum([len(w) for w, _ in asked])[:-1]
-    answers = [packed(total[p].astype(np.uint32)) if total.max(initial=0) < 2**32 else packed(total[p])
-               for p in np.split(place, cuts)]
-    wide = total.max(initial=0) >= 2**32
     out = pd.DataFrame({
-        "chunk": rows["chunk"], "bucket": rows["bucket"], "data": answers, "wide": wide,
+        "chunk": rows["chunk"], "bucket": rows["bucket"],
+        "data": [packed(total[part]) for part in np.split(rank, cuts)],
         "tokens": 0, "known": 0, "once": 0, "twice": 0,
     })
     out.loc[out.index[:1], ["tokens", "known", "once", "twice"]] = [
@@ -260,11 +279,10 @@ def merge_words(rows: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def gains(context, n, chance, number) -> tuple[np.ndarray, ...]:
+def gains(n, chance, number, size: int) -> tuple[np.ndarray, ...]:
     """Sums over the seen cells of each context: n, kinds, and the parts of the gain."""
     seen = n > 0
     c, n, chance = number[seen], n[seen].astype(float), chance[seen]
-    size = int(number.max(initial=-1)) + 1
     many = n >= 2
 
     def add(values):
@@ -293,20 +311,21 @@ def merge_cells(rows: pd.DataFrame) -> pd.DataFrame:
     Answers: the count of the cell, and the count and kinds of its context, 0 if it is not
     kept. Heavy contexts have cells elsewhere; their sums go on as rows of their own.
     """
-    asked = [unpacked(d, "u8", "u8", "u4", "u1", "u1") for d in rows["data"]]
+    asked = [unpacked(d, "u8", "u4", "u4", "u1", "u1") for d in rows["data"]]
     context = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
-    following = np.concatenate([a[1] for a in asked])
-    n = np.concatenate([a[2] for a in asked]).astype(np.int64)
-    first, rank = _cells(context, following)
-    total = np.bincount(rank, n, len(first)).astype(np.int64)
-    chance = 2.0 ** (-np.concatenate([a[3] for a in asked])[first].astype(float) / 6)
+    following = np.concatenate([a[1] for a in asked]).astype(np.uint64)
+    first, rank = _grouped(context << np.uint64(NEXT_BITS) | following)
+    total = np.bincount(rank, np.concatenate([a[2] for a in asked]), len(first)).astype(np.int64)
+    chance = 2.0 ** (-np.concatenate([a[3] for a in asked])[first].astype(float) / 3)
     heavy = np.concatenate([a[4] for a in asked])[first].astype(bool)
-    contexts, number = np.unique(context[first], return_inverse=True)
-    sums = gains(contexts, total, chance, number)
+    # Cells are in order of their context.
+    of = context[first]
+    new = np.ones(len(of), bool)
+    new[1:] = of[1:] != of[:-1]
+    number, contexts = np.cumsum(new) - 1, of[new]
+    sums = gains(total, chance, number, len(contexts))
     held = np.zeros(len(contexts), bool)
-    np.logical_or.at(held, number[heavy], True)
-    size = len(contexts)
-    sums = [np.pad(s, (0, size - len(s))) for s in sums]
+    held[number[heavy]] = True
     kept = keeps(*sums) & ~held
     of_context = np.where(kept, sums[0], 0).astype(np.int64)[number]
     kinds = np.where(kept, sums[1], 0).astype(np.int64)[number]
@@ -326,13 +345,11 @@ _UP = "chunk bigint, bucket bigint, data binary"
 _SUMS = "context bigint, total double, kinds double, told double, repeated double"
 
 
-def _cut(keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The columns by key, in the order they have."""
-    order = np.argsort(keys, kind="stable")
-    starts = np.flatnonzero(np.diff(keys[order], prepend=-1))
-    for i, part in enumerate(np.split(order, starts[1:])):
-        if len(part):
-            yield int(keys[order[starts[i]]]), [c[part] for c in columns]
+def _word_order(chunk: Chunk, n_buckets: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The chunk's words by bucket and, within it, by hash."""
+    by_hash = np.argsort(chunk.hashes)
+    order, parts = _dealt(_bucket(chunk.hashes[by_hash], n_buckets))
+    return by_hash[order], parts
 
 
 def score_documents(documents: DataFrame) -> DataFrame:
@@ -359,20 +376,20 @@ def score_documents(documents: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk(row)
-                rank = np.argsort(chunk.hashes)
-                keys = (_bucket_words(chunk.hashes, n_buckets))[rank]
-                parts = [
-                    (row["chunk"], bucket, packed(_deltas(words), n.astype(np.uint32)))
-                    for bucket, (words, n) in _cut(keys, chunk.hashes[rank], chunk.word_counts()[rank])
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*parts, strict=True), [pa.int64(), pa.int64(), pa.binary()], strict=True)],
-                    names=["chunk", "bucket", "data"],
-                )
+                order, parts = _word_order(chunk, n_buckets)
+                words, n = _top(chunk.hashes[order], WORD_BITS), chunk.word_counts()[order]
+                yield pa.RecordBatch.from_pydict({
+                    "chunk": pa.array([row["chunk"]] * len(parts), pa.int64()),
+                    "bucket": pa.array([bucket for bucket, _ in parts], pa.int64()),
+                    "data": pa.array(
+                        [packed(_deltas(words[p]), n[p].astype(np.uint32)) for _, p in parts],
+                        pa.binary(),
+                    ),
+                })
 
     words = (
         chunks.mapInArrow(ask_words, _UP).groupBy("bucket")
-        .applyInPandas(merge_words, _UP + ", wide boolean, tokens bigint, known bigint, once bigint, twice bigint")
+        .applyInPandas(merge_words, f"{_UP}, tokens bigint, known bigint, once bigint, twice bigint")
         .persist(StorageLevel.DISK_ONLY)
     )
     tokens, known, once, twice = words.agg(*[F.sum(c) for c in ("tokens", "known", "once", "twice")]).first()
@@ -380,46 +397,48 @@ def score_documents(documents: DataFrame) -> DataFrame:
         int(tokens or 0), int(known or 0),
         min(max((once or 0) / max((once or 0) + 2 * (twice or 0), 1), 0.1), 0.9),
     )
-    none = F.lit(0).alias("wide")
-    answers = [words.select("chunk", "bucket", "data", F.lit(0).alias("depth"), F.col("wide").cast("int").alias("wide"))]
+    answers = [words.select("chunk", "bucket", "data", F.lit(0).alias("depth"))]
     heavies: list[dict[int, tuple[float, float]]] = []
-    held = []
 
     def arrive(row, replies: pd.DataFrame) -> Walk:
         """The chunk's walk, with all the replies that have come."""
         chunk = Chunk(row)
-        counts = np.zeros(len(chunk.hashes), np.int64)
-        rank = np.argsort(chunk.hashes)
-        keys = _bucket_words(chunk.hashes, n_buckets)[rank]
-        by = {(d, b): (bytes(data), w) for d, b, data, w in
-              zip(replies["depth"], replies["bucket"], replies["data"], replies["wide"], strict=True)}
-        for bucket, (place,) in _cut(keys, rank):
-            data, wide = by[0, bucket]
-            counts[place] = unpacked(data, "i8" if wide else "u4")[0]
-        walk = Walk(chunk, counts, totals)
-        for depth in range(1, len(heavies) + 1):
-            cells = walk.ask()
-            n, of_context, kinds = (np.zeros(len(cells["n"]), np.int64) for _ in range(3))
-            for bucket, (place,) in _cut(_bucket_of(cells, n_buckets).astype(np.int64), np.arange(len(n))):
-                n[place], of_context[place], kinds[place] = unpacked(by[depth, bucket][0], "i8", "i8", "i8")
-            for i in np.flatnonzero(cells["heavy"]).tolist() if heavies[depth - 1] else ():
-                kept = heavies[depth - 1].get(int(cells["context"][i].view(np.int64)))
-                if kept:
-                    of_context[i], kinds[i] = kept
-            walk.step(n, of_context, kinds)
+        by: dict[int, list[bytes]] = {}
+        for depth, data in zip(replies["depth"], replies["data"], strict=True):
+            by.setdefault(depth, []).append(bytes(data))
+        order, _ = _word_order(chunk, n_buckets)
+        counts = np.zeros(len(order), np.int64)
+        counts[order] = np.concatenate([unpacked(data, "i8")[0] for data in by[0]])
+        walk = Walk(chunk, counts, totals, n_buckets)
+        for depth, found in enumerate(heavies, 1):
+            cells, _ = walk.ask()
+            parts = [unpacked(data, "i8", "i8", "i8") for data in by.get(depth, [])]
+            n, total, kinds = (
+                np.concatenate([np.zeros(0, np.int64), *[p[i] for p in parts]]) for i in range(3)
+            )
+            some = np.flatnonzero(cells["heavy"])
+            for i, context in zip(some.tolist(), cells["context"][some].tolist(), strict=True):
+                total[i], kinds[i] = found.get(context, (0, 0))
+            walk.step(n, total, kinds)
         return walk
 
-    def ask_cells(rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        parts = []
+    def each(rows: pd.DataFrame, replies: pd.DataFrame) -> Iterator[tuple]:
+        replies = replies.sort_values(["part", "depth", "bucket"])
         for row in rows.to_dict("records"):
-            cells = arrive(row, replies[replies["chunk"] == row["chunk"]]).ask()
-            columns = (cells["context"], cells["next"], cells["n"], _quantised(cells["chance"]), cells["heavy"].astype(np.uint8))
-            for bucket, (context, *rest) in _cut(_bucket_of(cells, n_buckets).astype(np.int64), *columns):
-                parts.append((row["chunk"], bucket, packed(_deltas(context), *rest)))
-        return pd.DataFrame(parts, columns=["chunk", "bucket", "data"])
+            yield row, arrive(row, replies[replies["part"] == row["chunk"]])
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        return merge_cells(rows)
+    def ask_cells(rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row, walk in each(rows, replies):
+            cells, parts = walk.ask()
+            chance, heavy = _quantised(cells["chance"]), cells["heavy"].astype(np.uint8)
+            following = cells["next"].astype(np.uint32)
+            for bucket, p in parts:
+                data = packed(
+                    _deltas(cells["context"][p]), following[p], cells["n"][p], chance[p], heavy[p]
+                )
+                out.append((row["chunk"], bucket, data))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "data"])
 
     def together(fn, schema: str) -> DataFrame:
         replies = answers[0]
@@ -427,11 +446,11 @@ def score_documents(documents: DataFrame) -> DataFrame:
             replies = replies.union(more)
         return chunks.groupBy("chunk").cogroup(
             replies.withColumnRenamed("chunk", "part").groupBy("part")
-        ).applyInPandas(lambda rows, r: fn(rows, r.rename(columns={"part": "chunk"})), schema)
+        ).applyInPandas(fn, schema)
 
     for depth in range(1, DEPTH + 1):
         merged = (
-            together(ask_cells, _UP).groupBy("bucket").applyInPandas(merge, f"{_UP}, {_SUMS}")
+            together(ask_cells, _UP).groupBy("bucket").applyInPandas(merge_cells, f"{_UP}, {_SUMS}")
             .persist(StorageLevel.DISK_ONLY)
         )
         sums = ("total", "kinds", "told", "repeated")
@@ -441,16 +460,16 @@ def score_documents(documents: DataFrame) -> DataFrame:
             if keeps(*[np.array([row[c]]) for c in sums])[0]:
                 found[row["context"]] = (row["total"], row["kinds"])
         heavies.append(found)
-        held.append(merged)
-        answers.append(merged.filter("chunk >= 0").select("chunk", "bucket", "data", F.lit(depth).alias("depth"), none))
+        answers.append(
+            merged.filter("chunk >= 0").select("chunk", "bucket", "data", F.lit(depth).alias("depth"))
+        )
 
     ends_known = totals.tokens > 0
     log_total = math.log10(totals.tokens + totals.distinct + 1)
 
     def score(rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         parts = []
-        for row in rows.to_dict("records"):
-            walk = arrive(row, replies[replies["chunk"] == row["chunk"]])
+        for row, walk in each(rows, replies):
             chunk = walk.chunk
             n_docs, owner = len(chunk.lengths), chunk.owner
             seen = walk.counts[chunk.symbol]
@@ -470,7 +489,3 @@ def score_documents(documents: DataFrame) -> DataFrame:
         "doc_id", (remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens",
         "n_known", F.lit(totals.tokens).cast("bigint").alias("train_tokens"), "base_score", "score",
     )
-
-
-def _bucket_words(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(17)) % np.uint64(n_buckets)).astype(np.int64)

@@ -62,7 +62,11 @@ def _brute_chances(training, depth=lm_scoring.DEPTH):
         below = chance(history, symbol, deepest - 1)
         context = tuple(history[len(history) - deepest :])
         seen = nexts.get(context)
-        if not seen or not kept(context):
+        # After a kept context with one symbol only, no longer one is looked at.
+        settled = any(
+            len(nexts.get(context[k:], ())) == 1 and kept(context[k:]) for k in range(1, deepest)
+        )
+        if not seen or settled or not kept(context):
             return below
         n, kinds = sum(seen.values()), len(seen)
         return (seen.get(symbol, 0) + kinds * below) / (n + kinds)
@@ -78,8 +82,8 @@ def _brute_chances(training, depth=lm_scoring.DEPTH):
                 known[context] = False
             else:
                 below = np.array([chance(context, s, len(context) - 1) for s in seen])
-                below = 2.0 ** (-lm_scoring._quantised(below).astype(float) / 6)
-                sums = lm_scoring.gains(None, n, below, np.zeros(len(n), np.int64))
+                below = 2.0 ** (-lm_scoring._quantised(below).astype(float) / 3)
+                sums = lm_scoring.gains(n, below, np.zeros(len(n), np.int64), 1)
                 known[context] = bool(lm_scoring.keeps(*sums)[0])
         return known[context]
 
