@@ -2,22 +2,24 @@
 
 A byte goes if a string of WINDOW bytes that covers it also starts anywhere else. Equal
 windows have equal minimisers: of the hashes of all GRAM-byte strings in a window, the
-smallest stands at the same place in both. So it is enough to look at the suffixes that begin
-at such anchors, one for each 70 bytes or so, in three steps:
+smallest (the first of several) stands at the same place in both. So the windows of a text
+fall into runs with one anchor each, one for every 60 bytes or so, and only windows with the
+same gram at the same distance from their anchor need be compared:
 
-1. Count anchors by the hash of their gram, and of their context: the up to WINDOW bytes from
-   the anchor and the WINDOW - GRAM before it. An anchor whose gram is nowhere else has no
-   repeated window; one whose whole context is also elsewhere has only repeated ones.
+1. Count anchors by the hash of their gram and of their context, the bytes of all windows of
+   the run. A gram that is nowhere else has no repeated window; a context that is also
+   elsewhere has only repeated ones.
 2. What is left are anchors that share a gram but not the context, mostly at the ends of
    repeated passages. Their suffixes, and their reversed prefixes, are sorted: multikey
    quicksort to a shallow depth, then blind tries for the groups that have that much in
-   common. Two windows at one distance from their anchors are equal if the common prefix of
-   the suffixes and that of the reversed prefixes are long enough, so adjacent common-prefix
-   lengths tell the classes of equal windows at each distance.
+   common. Two windows at one distance are equal if the common prefix of the suffixes and
+   that of the reversed prefixes are long enough, so the common-prefix lengths of neighbours
+   in the two orders tell the classes of equal windows at each distance.
 3. The marks go back to the chunks of documents, where the texts are.
 
-Grams that more than CROWD different contexts share are not sorted in one task: each of their
-windows is hashed and counted by itself, with the same result.
+A gram with many contexts in one batch of documents is counted as one row there, before the
+shuffle. Grams of more than CROWD contexts are not sorted in one task: each of their windows
+is hashed and counted by itself, with the same result.
 """
 
 from __future__ import annotations
@@ -28,17 +30,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from permitlake.llm.common import chunk, cut_lineage, encoded, pick, small_batches, written
+from permitlake.llm.common import chunk, encoded, pick, small_batches, written
 
 WINDOW = 200
 GRAM = 64
 BEFORE = WINDOW - GRAM  # bytes of a window that can stand before its anchor
 SHALLOW = 6  # words of 8 bytes that the quicksort looks at; tries order what is equal there
-CROWD = 2000
-BUCKET = 20_000  # contexts sorted by a task, about
+CROWD = 50_000
+LOCAL = 8  # contexts of a gram in a batch, above which they are one row
+BUCKET = 8_000  # documents whose contexts a task sorts, about
 PIECE = 1 << 20  # bytes of a long text that are looked at together
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
@@ -65,60 +68,85 @@ def _sliding(values: np.ndarray, width: int, pick_one: np.ufunc) -> np.ndarray:
     return pick_one(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def _piece_anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and gram hashes of the minimisers of all windows of a piece."""
+def _piece_anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the windows of a piece: the places of their anchors, one for each run, the gram
+    hashes there, and the first window of every run."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _UP[:n], out=sums[1:])
     value = (sums[GRAM:] - sums[:-GRAM]) * _DOWN[: n - GRAM + 1]
     value = (value ^ (value >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     value ^= value >> np.uint64(32)
-    width = WINDOW - GRAM + 1
-    least = _sliding(value, width, np.minimum)
-    # A gram is an anchor if one of the windows that hold it has no smaller one.
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-    places = np.flatnonzero(_sliding(padded, width, np.maximum) == value)
-    return places, value[places]
+    # The place in the low half makes the first of equal grams the smallest.
+    low = np.uint64(0xFFFFFFFF)
+    ranked = (value & ~low) | np.arange(len(value), dtype=np.uint64)
+    place = (_sliding(ranked, WINDOW - GRAM + 1, np.minimum) & low).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    return place[first], value[place[first]], first
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and gram hashes of all anchors of a text; none below WINDOW bytes."""
+def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and gram hashes of a text's anchors, and the first and last window of each."""
     data = np.frombuffer(text, np.uint8)
-    if len(data) < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    places, values = [], []
-    for start in range(0, len(data) - WINDOW + 1, PIECE):
-        at, value = _piece_anchors(data[start : start + PIECE + WINDOW - 1])
-        places.append(at + start)
-        values.append(value)
-    places, first = np.unique(np.concatenate(places), return_index=True)
-    return places, np.concatenate(values)[first]
-
-
-def described(text: bytes) -> tuple[list[int], list[int], list[int]]:
-    """Places, gram hashes and context hashes (as signed longs) of a text's anchors."""
+    last = len(data) - WINDOW
+    if last < 0:
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
+    found = []
+    for start in range(0, last + 1, PIECE):
+        place, value, first = _piece_anchors(data[start : start + PIECE + WINDOW - 1])
+        found.append((place + start, value, first + start))
+    place, value, first = (np.concatenate(x) for x in zip(*found, strict=True))
+    # A run that two pieces share is one.
+    new = np.diff(place, prepend=-1) > 0
+    place, value, first = place[new], value[new], first[new]
+    return place, value, first, np.append(first[1:] - 1, last)
+
+
+def context_hash(text: bytes, place: int, first: int, last: int) -> int:
+    """The hash of all bytes of a run's windows, and of the anchor's place in them."""
     import xxhash
 
-    places, values = anchors(text)
-    places = places.tolist()
-    digest = xxhash.xxh3_64_digest
-    hashes = b"".join([
-        digest(text[max(p - BEFORE, 0) : p + WINDOW], min(p, BEFORE)) for p in places
-    ])
-    return places, values.view(np.int64).tolist(), np.frombuffer(hashes, ">i8").tolist()
+    return xxhash.xxh3_64_intdigest(text[first : last + WINDOW], place - first) - (1 << 63)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """chunk, gram, context, n, kinds: equal contexts of a chunk, or, for grams of more than
+    LOCAL contexts, all its contexts in one row of their number, with 0 for the context."""
     for batch in small_batches(batches, "text"):
-        found: dict[tuple[int, int, int], int] = {}
+        rows = []
         for number, text in zip(batch.column(1).to_pylist(), encoded(batch), strict=True):
-            _, values, contexts = described(text)
-            for key in zip([number] * len(values), values, contexts, strict=True):
-                found[key] = found.get(key, 0) + 1
-        numbers, values, contexts = zip(*found, strict=True) if found else ([], [], [])
+            place, value, first, last = anchors(text)
+            hashes = [
+                context_hash(text, *run)
+                for run in zip(place.tolist(), first.tolist(), last.tolist(), strict=True)
+            ]
+            rows.append((np.full(len(place), number), value.view(np.int64), np.array(hashes, np.int64)))
+        numbers, grams, contexts = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.lexsort((contexts, grams, numbers))
+        keys = [numbers[order], grams[order], contexts[order]]
+        new = np.ones(len(order) + 1, bool)
+        new[1:-1] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        starts = np.flatnonzero(new)
+        n, starts = np.diff(starts), starts[:-1]
+        numbers, grams, contexts = (k[starts] for k in keys)
+        # The same again for the grams of a chunk.
+        new = np.ones(len(starts) + 1, bool)
+        new[1:-1] = (numbers[1:] != numbers[:-1]) | (grams[1:] != grams[:-1])
+        runs = np.flatnonzero(new)
+        kinds = np.diff(runs)
+        runs = runs[:-1]
+        many = kinds > LOCAL
+        single = ~np.repeat(many, kinds)
+        total = np.add.reduceat(n, runs) if len(runs) else n
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in (numbers, values, contexts, found.values())],
-            names=["chunk", "gram", "context", "n"],
+            [
+                pa.array(np.concatenate([numbers[single], numbers[runs[many]]])),
+                pa.array(np.concatenate([grams[single], grams[runs[many]]])),
+                pa.array(np.concatenate([contexts[single], np.zeros(many.sum(), np.int64)])),
+                pa.array(np.concatenate([n[single], total[many]]), pa.int64()),
+                pa.array(np.concatenate([np.ones(single.sum(), np.int64), kinds[many]])),
+            ],
+            names=["chunk", "gram", "context", "n", "kinds"],
         )
 
 
@@ -234,8 +262,9 @@ def deep_shallow(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def repeated_windows(contexts: list[bytes], lefts: list[int], full: list[bool]) -> list[list[tuple[int, int]]]:
     """For each context, the byte ranges, from its anchor, that repeated windows cover.
 
-    A window `o` bytes before the anchor is repeated if another context has the same one
-    there, or if its context, being `full`, occurs more than once itself.
+    `lefts` has the place of the anchor in a context. A window `o` bytes before the anchor is
+    repeated if another context has the same one there, or if its own context, being `full`,
+    occurs more than once.
     """
     n = len(contexts)
     left = np.array(lefts, np.int64)
@@ -248,14 +277,18 @@ def repeated_windows(contexts: list[bytes], lefts: list[int], full: list[bool])
     marks = np.zeros((n, BEFORE + 1), bool)
     class_left, class_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for o in range(BEFORE + 1):
-        class_right[by_right] = np.cumsum(common_right < WINDOW - o)
-        class_left[by_left] = np.cumsum(common_left < o)
         valid = np.flatnonzero((left >= o) & (right >= WINDOW - o))
         if not len(valid):
             continue
+        class_right[by_right] = np.cumsum(common_right < WINDOW - o)
+        class_left[by_left] = np.cumsum(common_left < o)
         pairs = class_left[valid] * (n + 1) + class_right[valid]
-        _, inverse, counts = np.unique(pairs, return_inverse=True, return_counts=True)
-        marks[valid, o] = (counts[inverse] > 1) | twice[valid]
+        order = np.argsort(pairs)
+        same = pairs[order][1:] == pairs[order][:-1]
+        hit = np.zeros(len(pairs), bool)
+        hit[order[1:]] |= same
+        hit[order[:-1]] |= same
+        marks[valid, o] = hit | twice[valid]
     return [_ranges(row) for row in marks]
 
 
@@ -270,11 +303,6 @@ def _ranges(marks: np.ndarray) -> list[tuple[int, int]]:
 # --- documents --------------------------------------------------------------------------
 
 
-def _whole(place: int, n: int) -> tuple[int, int]:
-    """The bytes that all windows which hold the anchor's gram cover."""
-    return max(0, place - BEFORE), min(place, n - WINDOW) + WINDOW
-
-
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     merged: list[tuple[int, int]] = []
     for start, end in sorted(spans):
@@ -294,137 +322,108 @@ def _result(doc_id, text: bytes, spans: list[tuple[int, int]]) -> tuple:
     return doc_id, len(text), removed, len(spans), kept.hexdigest(), np.array(spans, "<i8").tobytes()
 
 
-def _ids(docs: pd.DataFrame) -> list[int | None]:
-    """The ids as they are; documents without one are a chunk of their own."""
-    return [None if pd.isna(i) else int(i) for i in docs["doc_id"]]
+def _known(rows: pd.DataFrame) -> tuple[np.ndarray, dict]:
+    """The distinct grams, sorted, and what is said of every gram and context."""
+    grams = rows["gram"].to_numpy(np.int64)
+    keys = zip(grams.tolist(), rows["context"].tolist(), strict=True)
+    said = zip(rows["full"].tolist(), rows["shared"].tolist(), rows["crowd"].tolist(), strict=True)
+    return np.unique(grams), dict(zip(keys, said, strict=True))
+
 
+def _runs(text: bytes, grams: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """place, first, last, gram, context of the anchors whose gram is one of these."""
+    place, value, first, last = anchors(text)
+    own = value.view(np.int64)
+    at = np.searchsorted(grams, own)
+    known = grams[np.minimum(at, len(grams) - 1)] == own if len(grams) else np.zeros(len(own), bool)
+    for p, a, b, gram in zip(*[x[known].tolist() for x in (place, first, last, own)], strict=True):
+        yield p, a, b, gram, context_hash(text, p, a, b)
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    """Rows as a frame whose long columns stay whole numbers beside missing ones."""
-    columns = dict(zip(names, zip(*rows, strict=True) if rows else [[]] * len(names), strict=True))
-    other = ("kept_sha256", "spans", "text", "data", "full")
-    return pd.DataFrame({
-        name: pd.array(values, dtype=object if name in other else "Int64")
-        for name, values in columns.items()
-    })
 
+def _to_sort(docs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """The contexts of a chunk that share their gram with others: one row for each, or, for
+    crowded grams, for each of its windows."""
+    import xxhash
 
-def _first_pass(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    """Finished documents, documents that wait for the sorting, and what is to be sorted."""
-    keys = zip(known["gram"].tolist(), known["context"].tolist(), strict=True)
-    marks = zip(known["full"].tolist(), known["kinds"].tolist(), strict=True)
-    status = dict(zip(keys, marks, strict=True))
-    done, wanted = [], {}
-    for doc_id, number, text in zip(_ids(docs), docs["chunk"], docs["text"], strict=True):
+    wanted: dict[tuple[int, int], list] = {}
+    # What is said of a gram alone holds for all of its contexts in this chunk.
+    grams, said = _known(rows[rows["shared"]])
+    for text in docs["text"]:
         text = (text or "").encode()
-        spans, open_ = [], []
-        places, grams, contexts = described(text)
-        for place, *key in zip(places, grams, contexts, strict=True):
-            full, kinds = status.get(tuple(key), (False, 0))
-            if full:
-                spans.append(_whole(place, len(text)))
-            if kinds > 1:
-                open_.append((place, tuple(key), full, kinds))
-        spans = _merge(spans)
-        waits = False
-        for place, key, full, kinds in open_:
-            start, end = _whole(place, len(text))
-            if not full and any(a <= start and end <= b for a, b in spans):
-                pass  # all of it goes anyway; it is still compared with
-            elif not full:
-                waits = True
-            if key not in wanted:
-                wanted[key] = (
-                    text[max(place - BEFORE, 0) : place + WINDOW], min(place, BEFORE), full, kinds
-                )
-        row = _result(doc_id, text, spans)
-        done.append((*row, number, text if waits else None, None, None, None, None, None, None))
-    number = int(docs["chunk"].iloc[0]) if len(docs) else 0
-    for (gram, context), (data, left, full, kinds) in wanted.items():
-        done.append((None, 0, 0, 0, None, None, number, None, gram, context, data, left, full, kinds))
-    return _frame(done, [
-        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "chunk", "text",
-        "gram", "context", "data", "left", "full", "kinds",
-    ])
-
-
-def _second_pass(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    """The waiting documents, with the ranges that the sorting has found."""
-    ranges: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for gram, context, start, end in zip(
-        known["gram"].tolist(), known["context"].tolist(), known["start"].tolist(),
-        known["end"].tolist(), strict=True,
-    ):
-        ranges.setdefault((gram, context), []).append((start, end))
-    done = []
-    for doc_id, text, before in zip(_ids(docs), docs["text"], docs["spans"], strict=True):
-        text = bytes(text)
-        spans = [tuple(s) for s in np.frombuffer(before, "<i8").reshape(-1, 2).tolist()]
-        for place, *key in zip(*described(text), strict=True):
-            spans += [(place + a, place + b) for a, b in ranges.get(tuple(key), ())]
-        done.append(_result(doc_id, text, _merge(spans)))
-    return _frame(done, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+        for place, first, last, gram, context in _runs(text, grams):
+            state = said.get((gram, context)) or said.get((gram, 0))
+            if state is None or not state[1]:
+                continue
+            seen = wanted.get((gram, context))
+            if seen:
+                seen[3] = True
+            else:
+                wanted[gram, context] = [text[first : last + WINDOW], place - first, state[2], state[0]]
+    number = int(rows["chunk"].iloc[0]) if len(rows) else 0
+    out = []
+    for (gram, context), (data, left, crowd, full) in wanted.items():
+        if not crowd:
+            out.append((number, gram, gram, context, data, left, full))
+            continue
+        for at in range(len(data) - WINDOW + 1):
+            window = data[at : at + WINDOW]
+            key = xxhash.xxh3_64_intdigest(window, left - at) - (1 << 63)
+            out.append((number, gram ^ key, gram, context, xxhash.xxh3_128_digest(window), left - at, full))
+    columns = ["chunk", "key", "gram", "context", "data", "left", "full"]
+    return pd.DataFrame(out, columns=columns)
 
 
 def _sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["gram", "context"], ignore_index=True)
+    rows = rows.sort_values(["gram", "context", "left", "chunk"], ignore_index=True)
+    crowded = np.array([len(d) == 16 for d in rows["data"]], bool)
+    whole = rows[~crowded]
     found = repeated_windows(
-        [bytes(d) for d in rows["data"]], rows["left"].tolist(), rows["full"].tolist()
+        [bytes(d) for d in whole["data"]], whole["left"].tolist(), whole["full"].tolist()
     )
     out = [
-        (gram, context, start, end)
-        for gram, context, ranges in zip(rows["gram"], rows["context"], found, strict=True)
+        (chunk_, gram, context, start, end)
+        for chunk_, gram, context, ranges in zip(
+            whole["chunk"], whole["gram"], whole["context"], found, strict=True
+        )
         for start, end in ranges
     ]
-    return pd.DataFrame(out, columns=["gram", "context", "start", "end"]).astype("int64")
-
-
-def _each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of a context by its hash: for grams that very many contexts share."""
-    import xxhash
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            data, left = row["data"], row["left"]
-            distances = [o for o in range(min(left, BEFORE) + 1) if len(data) - left >= WINDOW - o]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([row["gram"]] * len(distances), pa.int64()),
-                    pa.array([row["context"]] * len(distances), pa.int64()),
-                    pa.array([row["full"]] * len(distances), pa.bool_()),
-                    pa.array(distances, pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(data[left - o : left - o + WINDOW]) for o in distances], pa.binary()),
-                ],
-                names=["gram", "context", "full", "distance", "window"],
-            )
-
-
-def _ranges_of(contexts: DataFrame) -> DataFrame:
-    """gram, context, start, end: the repeated ranges of each distinct context."""
-    distinct = cut_lineage(
-        contexts.groupBy("gram", "context").agg(
-            *[F.first(c).alias(c) for c in ("data", "left", "full", "kinds")]
-        )
-    )
-    few, many = distinct.filter(F.col("kinds") <= CROWD), distinct.filter(F.col("kinds") > CROWD)
-    n_buckets = max(1, -(-few.count() // BUCKET))
-    schema = "gram bigint, context bigint, start bigint, end bigint"
-    sorted_ = (
-        few.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(n_buckets)))
-        .groupBy("bucket").applyInPandas(_sort_bucket, schema)
-    )
-    windows = many.select("gram", "context", "full", "data", "left").mapInArrow(
-        _each_window, "gram bigint, context bigint, full boolean, distance bigint, window binary"
-    )
-    # One place may show a window in the contexts of several anchors: those at one distance
-    # from one gram are of different places.
-    same = ["gram", "distance", "window"]
-    counts = windows.groupBy(*same).agg((F.count("*") + F.max(F.col("full").cast("int"))).alias("n"))
-    hashed = windows.join(counts.filter("n > 1"), same).select(
-        "gram", "context", (-F.col("distance")).alias("start"),
-        (WINDOW - F.col("distance")).alias("end"),
-    )
-    return sorted_.union(hashed)
+    single = rows[crowded]
+    seen: dict[tuple, int] = {}
+    keys = list(zip(single["gram"], single["left"], [bytes(d) for d in single["data"]], strict=True))
+    for key, full in zip(keys, single["full"], strict=True):
+        seen[key] = seen.get(key, 0) + 1 + bool(full)
+    for key, chunk_, context in zip(keys, single["chunk"], single["context"], strict=True):
+        if seen[key] > 1:
+            out.append((chunk_, key[0], context, -key[1], WINDOW - key[1]))
+    return pd.DataFrame(out, columns=["chunk", "gram", "context", "start", "end"]).astype("int64")
+
+
+def _finish(docs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """Every document of a chunk without its repeated bytes."""
+    full: set[tuple[int, int]] = set()
+    ranges: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    some = rows[rows["full"] | rows["end"].notna()]
+    for gram, context, whole, start, end in zip(
+        *[some[c].tolist() for c in ("gram", "context", "full", "start", "end")], strict=True
+    ):
+        if whole:
+            full.add((gram, int(context)))
+        else:
+            ranges.setdefault((gram, int(context)), []).append((int(start), int(end)))
+    grams = np.unique(some["gram"].to_numpy(np.int64))
+    done = []
+    for doc_id, text in zip(docs["doc_id"].tolist(), docs["text"], strict=True):
+        text = (text or "").encode()
+        spans = []
+        for place, first, last, *key in _runs(text, grams):
+            if tuple(key) in full:
+                spans.append((first, last + WINDOW))
+            else:
+                spans += [(place + a, place + b) for a, b in ranges.get(tuple(key), ())]
+        spans = _merge(spans)
+        done.append(_result(None if pd.isna(doc_id) else int(doc_id), text, spans))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+    return pd.DataFrame(done, columns=names).astype({"doc_id": "Int64"})
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
@@ -437,40 +436,45 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     twice stands for two documents.
     """
     docs = pick(documents, "doc_id", "text").withColumn("chunk", chunk())
+    n_buckets = max(1, -(-documents.count() // BUCKET))
     counted = docs.select("text", "chunk").mapInArrow(
-        _count, "chunk bigint, gram bigint, context bigint, n bigint"
+        _count, "chunk bigint, gram bigint, context bigint, n bigint, kinds bigint"
     )
-    by_context = counted.groupBy("gram", "context").agg(F.sum("n").alias("n"))
-    by_gram = by_context.groupBy("gram").agg(
-        F.sum("n").alias("total"), F.count("*").alias("kinds")
-    ).filter("total > 1")
-    info = by_context.join(by_gram, "gram").select(
-        "gram", "context", (F.col("n") > 1).alias("full"), "kinds"
-    )
-    status = counted.select("chunk", "gram", "context").join(info, ["gram", "context"])
-
-    columns = (
-        "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
-        "spans binary"
-    )
-    passed = written(
-        docs.groupBy("chunk").cogroup(status.groupBy("chunk")).applyInPandas(
-            lambda rows, known: _first_pass(rows, known),
-            f"{columns}, chunk bigint, text binary, gram bigint, context bigint, data binary, "
-            "left bigint, full boolean, kinds bigint",
+    # Windows over a gram need its rows together: of each batch of documents that has it one,
+    # or LOCAL at most.
+    by_gram, by_context = Window.partitionBy("gram"), Window.partitionBy("gram", "context")
+    single = F.col("kinds") == 1
+    named = F.when(single, F.col("context"))
+    apart = F.min(named).over(by_gram) != F.max(named).over(by_gram)
+    status = written(
+        counted.withColumns({
+            "total": F.sum("n").over(by_gram),
+            "same": F.when(single, F.sum("n").over(by_context)),
+            "shared": F.coalesce(apart, F.lit(False)) | (F.max("kinds").over(by_gram) > 1),
+            "crowd": F.sum("kinds").over(by_gram) > CROWD,
+        })
+        .filter("total > 1")
+        .select(
+            "chunk", "gram", "context", (F.coalesce("same", F.lit(0)) > 1).alias("full"), "shared", "crowd"
         ),
         "repeats",
     )
-    final = [c.split()[0] for c in columns.split(", ")]
-    finished = passed.filter("gram is null and text is null").select(*final)
-    waiting = passed.filter("gram is null and text is not null")
-    contexts = passed.filter("gram is not null")
-    ranges = contexts.select(F.col("chunk").alias("part"), "gram", "context").join(
-        _ranges_of(contexts), ["gram", "context"]
+    texts = docs.groupBy("chunk")
+    to_sort = texts.cogroup(status.withColumnRenamed("chunk", "part").groupBy("part")).applyInPandas(
+        lambda rows, known: _to_sort(rows, known.rename(columns={"part": "chunk"})),
+        "chunk bigint, key bigint, gram bigint, context bigint, data binary, left bigint, full boolean",
     )
-    rest = (
-        waiting.select("doc_id", "chunk", "text", "spans").groupBy("chunk")
-        .cogroup(ranges.groupBy("part"))
-        .applyInPandas(lambda rows, known: _second_pass(rows, known), columns)
+    ranges = (
+        to_sort.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n_buckets)))
+        .groupBy("bucket")
+        .applyInPandas(_sort_bucket, "chunk bigint, gram bigint, context bigint, start bigint, end bigint")
+    )
+    none = F.lit(None).cast("bigint")
+    marks = status.filter("full").select(
+        F.col("chunk").alias("part"), "gram", "context", "full", none.alias("start"), none.alias("end")
+    ).union(ranges.select("chunk", "gram", "context", F.lit(False), "start", "end"))
+    return docs.groupBy("chunk").cogroup(marks.groupBy("part")).applyInPandas(
+        _finish,
+        "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
+        "spans binary",
     )
-    return finished.union(rest)

@@ -194,7 +194,10 @@ def test_deep_shallow_sorts(strings, shared):
 
 @pytest.mark.parametrize("crowd", [suffix_dedup.CROWD, 1])
 def test_repeats_in_mixed_texts(spark, monkeypatch, crowd):
-    """Passages of all lengths around the limit, overlaps, self-repeats; both ways of sorting."""
+    """Passages of all lengths around the limit, overlaps, self-repeats; both ways of sorting.
+
+    CROWD is read on the driver; more than LOCAL contexts of a gram occur in any case.
+    """
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     rng = random.Random(9)
     letters = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
@@ -216,8 +219,11 @@ def test_repeats_across_pieces_of_a_long_text(spark, monkeypatch):
     text = "".join(rng.choice("abcdef") for _ in range(7000))
     texts = [text, text[1500:4100] + "x" * 30, "y" + text[3990:4300]]
     for i, t in enumerate(texts):
-        places, values = suffix_dedup.anchors(t.encode())
+        places, _, first, last = suffix_dedup.anchors(t.encode())
         assert (np.diff(places) > 0).all(), i
+        # The runs are all windows, in turn.
+        assert first[0] == 0 and last[-1] == len(t) - suffix_dedup.WINDOW
+        assert (first[1:] == last[:-1] + 1).all()
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert list(dict(sorted(_found(frame).items())).values()) == _plain_removal([t.encode() for t in texts])
 
