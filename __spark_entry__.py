@@ -7,6 +7,7 @@ import os
 import sys
 from collections.abc import Callable
 from decimal import Decimal
+from functools import reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -27,9 +28,11 @@ from permitlake.plans import (  # noqa: E402
     payments,
     permits,
     users,
+    write_path,
 )
 from permitlake.registry import Registry  # noqa: E402
-from permitlake.session import scratch_dir, tune  # noqa: E402
+from permitlake.schemas import SCORE, TABLES  # noqa: E402
+from permitlake.session import remove_dir, scratch_dir, tune  # noqa: E402
 from permitlake.sources import parquet  # noqa: E402
 from permitlake.sources.sample_tables import SampleRegistry  # noqa: E402
 
@@ -61,7 +64,7 @@ def _new_businesses(reg: Registry) -> DataFrame:
     located = F.col("status") == "active"
     return reg.table("businesses").withColumns(
         {
-            "kra_pin": F.concat(F.lit("N"), F.substring("kra_pin", 2, 100)),
+            "kra_pin": F.concat(F.lit("N"), F.substr("kra_pin", F.lit(2))),
             "latitude": F.when(located, F.col("latitude")),
             "longitude": F.when(located, F.col("longitude")),
         }
@@ -125,25 +128,35 @@ def _users_with_time(reg: Registry) -> Registry:
 
 
 def _questioned_permits(reg: Registry) -> DataFrame:
-    """The permit of every payment; those of failed payments under an unknown id."""
-    shift = F.when(F.col("status") == "failed", F.lit(10**12)).otherwise(F.lit(0))
-    return reg.table("payments").select((F.col("permit_id") + shift).alias("permit_id"))
+    """The permit of every payment; those of failed payments under an unknown, negative id."""
+    known, unknown = F.col("permit_id"), -F.col("permit_id") - 1
+    asked = F.when(F.col("status") == "failed", unknown).otherwise(known)
+    return reg.table("payments").select(asked.alias("permit_id"))
 
 
 # --- queries that combine several calls -------------------------------------------------
 
 
-def _snapshot(reg: Registry) -> str:
-    return parquet.export_snapshot(reg, scratch_dir(reg.spark, "snapshot"), NOW)
-
-
 def _snapshot_export(reg: Registry) -> DataFrame:
-    manifest = parquet.read_manifest(reg.spark, _snapshot(reg))
-    return manifest.select("table_name", "row_count")
+    """The manifest of a snapshot; the snapshot itself goes again."""
+    scratch = scratch_dir(reg.spark, "snapshot")
+    path = parquet.export_snapshot(reg, scratch, NOW)
+    rows = parquet.read_manifest(reg.spark, path).select("table_name", "row_count").collect()
+    remove_dir(reg.spark, scratch)
+    return reg.spark.createDataFrame(rows, "table_name string, row_count bigint")
 
 
 def _snapshot_restore(reg: Registry) -> DataFrame:
-    return parquet.restore_snapshot(reg.spark, _snapshot(reg)).table("permits")
+    """Every table of a restored snapshot against its source: rows, and whether all agree."""
+    scratch = scratch_dir(reg.spark, "snapshot")
+    path = parquet.export_snapshot(reg, scratch, NOW)
+    restored = parquet.restore_snapshot(reg.spark, path)
+    found = []
+    for name in reg.names():
+        then, now = (parquet.content_sums(r.table(name)).first() for r in (reg, restored))
+        found.append((name, now["row_count"], then == now))
+    remove_dir(reg.spark, scratch)
+    return reg.spark.createDataFrame(found, "table_name string, row_count bigint, equal boolean")
 
 
 def _upsert_scores(reg: Registry) -> DataFrame:
@@ -158,16 +171,14 @@ def _audit_businesses(reg: Registry, user_id: int = 0) -> DataFrame:
 
 
 def _audit_permits(reg: Registry, user_id: int = 0) -> DataFrame:
-    after = maintenance.update_permit_status(reg, _permit_changes(reg))
-    return changes.audit_changes(
-        reg.table("permits"), after, "permits", now=NOW, user_id=user_id
-    )
+    pairs = maintenance.permit_pairs(reg, _permit_changes(reg))
+    return changes.update_entries(pairs, "permits", now=NOW, user_id=user_id)
 
 
 def _audit_payments(reg: Registry) -> DataFrame:
     before = _receipts(reg)
-    after = maintenance.update_payment_status(before, _payment_changes(before))
-    return changes.audit_changes(before.table("payments"), after, "payments", now=NOW)
+    pairs = maintenance.payment_pairs(before, _payment_changes(before))
+    return changes.update_entries(pairs, "payments", now=NOW)
 
 
 def _recent_activity(reg: Registry) -> DataFrame:
@@ -176,32 +187,98 @@ def _recent_activity(reg: Registry) -> DataFrame:
     return dashboard.recent_activity(reg.replace(audit_logs=logs))
 
 
-def _check_rows(reg: Registry, tables: dict[str, str], kind: str) -> DataFrame:
-    """Row rules of one kind over tables, each given with the view that stands for it."""
-    found = [quality.check_rows(reg.table(v), t, (kind,)) for t, v in tables.items()]
-    result = found[0]
-    for one in found[1:]:
-        result = result.unionByName(one)
-    return result
+def _rule_tables(reg: Registry) -> dict[str, DataFrame]:
+    """Rows of the six sample tables with all columns of the schema and some that break
+    rules: what the views lack is derived, or a typed null where the rules allow it."""
+    key = {t: F.col(TABLES[t].key) for t in reg.names()}
+    everyone = reg.table("users").unionByName(reg.table("users_incoming"))
+    added = {
+        "users": {
+            "password_hash": F.when(key["users"] % 31 != 0, F.md5("email")),
+            "role": F.when(key["users"] % 37 == 0, "guest").otherwise(F.col("role")),
+        },
+        "businesses": {},
+        "permits": {
+            "permit_year": F.when(key["permits"] % 1009 != 0, F.col("permit_year")),
+            "status": F.when(key["permits"] % 1013 == 0, "lost").otherwise(F.col("status")),
+        },
+        "payments": {
+            "mpesa_code": F.when(
+                F.col("payment_method") == "mpesa",
+                F.concat(F.lit("M"), F.col("permit_id").cast("string")),
+            ),
+            "status": F.when(F.col("permit_id") % 499 != 0, F.col("status")),
+            "payment_method": F.when(F.col("permit_id") % 997 == 0, "cheque").otherwise(
+                F.col("payment_method")
+            ),
+        },
+        "inspections": {
+            "latitude": (key["inspections"] % 199 - 99).cast("double"),
+            "longitude": (key["inspections"] % 367 - 183).cast("double"),
+            "status": F.when(key["inspections"] % 1019 == 0, "late").otherwise(F.col("status")),
+            "inspection_id": F.when(key["inspections"] % 211 == 0, key["inspections"] - 1).when(
+                key["inspections"] % 503 != 0, key["inspections"]
+            ),
+        },
+        "compliance_scores": {
+            "score": F.when(key["compliance_scores"] % 101 == 0, F.lit("1.00004").cast(SCORE)).when(
+                key["compliance_scores"] % 103 != 0, F.col("score")
+            ),
+            "business_id": F.when(key["compliance_scores"] % 107 == 0, -F.col("business_id"))
+            .otherwise(F.col("business_id")),
+            "features_json": F.when(key["compliance_scores"] % 109 == 0, "not json")
+            .when(key["compliance_scores"] % 113 == 0, '{"a": 1} {"b": 2}')
+            .otherwise(F.col("features_json")),
+        },
+    }
+    views = {**{t: reg.table(t) for t in reg.names()}, "users": everyone}
+    views["businesses"] = reg.table("businesses_dirty")
+    twice = views["businesses"].filter(F.col("business_id") % 97 == 0)
+    views["businesses"] = views["businesses"].unionByName(twice)
+    score_twice = views["compliance_scores"].filter(F.col("score_id") % 89 == 0)
+    views["compliance_scores"] = views["compliance_scores"].unionByName(score_twice)
+    permit_twice = views["permits"].filter(F.col("permit_id") % 1021 == 0)
+    views["permits"] = views["permits"].unionByName(permit_twice)
+    return {
+        t: _with_schema(rows.withColumns(added[t]) if added[t] else rows, t)
+        for t, rows in views.items()
+    }
+
+
+def _with_schema(rows: DataFrame, table: str) -> DataFrame:
+    lacking = {c: F.lit(None).cast(k) for c, k in TABLES[table].columns.items() if c not in rows.columns}
+    return rows.withColumns(lacking) if lacking else rows
+
+
+def _check_rows(reg: Registry, kind: str) -> DataFrame:
+    found = [quality.check_rows(rows, t, (kind,)) for t, rows in _rule_tables(reg).items()]
+    return reduce(DataFrame.unionByName, found)
 
 
 def _check_unique(reg: Registry) -> DataFrame:
-    everyone = reg.table("users").unionByName(reg.table("users_incoming"))
-    return quality.check_unique(everyone, "users").unionByName(
-        quality.check_unique(reg.table("payments"), "payments")
+    found = [quality.check_unique(rows, t) for t, rows in _rule_tables(reg).items()]
+    keys = reg.table("users").select(
+        F.col("user_id").alias("key_id"),
+        F.concat(F.lit("h"), (F.col("user_id") % 60).cast("string")).alias("api_key_hash"),
     )
+    return reduce(DataFrame.unionByName, [*found, quality.check_unique(keys, "api_keys")])
 
 
 def _check_foreign_key(reg: Registry) -> DataFrame:
-    owners, holders = reg.table("users"), reg.table("businesses")
-    check = quality.check_foreign_key
-    visits = reg.table("inspections")
-    return (
-        check(reg.table("businesses_dirty"), "businesses", "owner_id", owners)
-        .unionByName(check(reg.table("permits"), "permits", "business_id", holders))
-        .unionByName(check(reg.table("payments"), "payments", "permit_id", reg.table("permits")))
-        .unionByName(check(visits, "inspections", "business_id", holders))
-        .unionByName(check(visits, "inspections", "inspector_id", owners))
+    rows = _rule_tables(reg)
+    found = [
+        quality.check_foreign_key(rows[t], t, column, reg.table(parent))
+        for t in reg.names() for column, parent in TABLES[t].parents.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _refused_deletes(reg: Registry) -> DataFrame:
+    """Why closed businesses, and the users that own or inspect, cannot be deleted."""
+    closed = _keys(reg, "businesses", "business_id", F.col("status") == "closed")
+    idle = _keys(reg, "users", "user_id", ~F.col("is_active"))
+    return write_path.refused_deletes(reg, "businesses", closed).unionByName(
+        write_path.refused_deletes(reg, "users", idle)
     )
 
 
@@ -253,8 +330,13 @@ def _queries() -> dict[str, Callable[[Registry], DataFrame]]:
         "insert_ignore": lambda r: keyed.insert_ignore(
             r.table("users"), r.table("users_incoming"), "email", ["user_id"]
         ),
-        "backfill_permits": lambda r: intake.backfill_permits(r, year=YEAR),
-        "backfill_scores": lambda r: intake.backfill_scores(r, seed=7),
+        "backfill_permits": lambda r: intake.backfill_permits(
+            r, year=YEAR, now=NOW, start_after=highest_id(r.table("permits"), "permit_id"),
+        ),
+        "backfill_scores": lambda r: intake.backfill_scores(
+            r, seed=7, now=NOW,
+            start_after=highest_id(r.table("compliance_scores"), "score_id"),
+        ),
         "update_by_key": lambda r: keyed.update_by_key(
             r.table("businesses"), r.table("businesses_new").select("business_id", "size"),
             "business_id", unique=True,
@@ -366,30 +448,21 @@ def _queries() -> dict[str, Callable[[Registry], DataFrame]]:
         "audit_permits": _audit_permits,
         "audit_payments": _audit_payments,
         # data rules
-        "check_not_null": lambda r: _check_rows(
-            r, {"businesses": "businesses_dirty", "permits": "permits"}, quality.NOT_NULL
-        ),
-        "check_domain": lambda r: _check_rows(
-            r,
-            {
-                "businesses": "businesses_dirty", "users": "users", "permits": "permits",
-                "payments": "payments", "inspections": "inspections",
-            },
-            quality.DOMAIN,
-        ),
-        "check_range": lambda r: _check_rows(
-            r,
-            {"businesses": "businesses_dirty", "compliance_scores": "compliance_scores"},
-            quality.RANGE,
-        ),
+        "check_not_null": lambda r: _check_rows(r, quality.NOT_NULL),
+        "check_domain": lambda r: _check_rows(r, quality.DOMAIN),
+        "check_range": lambda r: _check_rows(r, quality.RANGE),
+        "check_json": lambda r: _check_rows(r, quality.JSON),
         "check_unique": _check_unique,
         "check_foreign_key": _check_foreign_key,
+        "refused_deletes": _refused_deletes,
     }
 
 
 def _bind(query: Callable[[Registry], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return query(SampleRegistry(tune(spark), sf_dir))
+        # Sized by the largest table; the files are listed, not read.
+        moved = parquet.stored_bytes(spark, f"{sf_dir}/lineitem.parquet")
+        return query(SampleRegistry(tune(spark, moved), sf_dir))
 
     return run
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from permitlake.functions.literals import choose, day
+from permitlake.schemas import MONEY
 
 # Permit fees by business size and category; None is the rate of any other
 # category, and MINIMUM_FEE that of any other size.
@@ -25,7 +26,7 @@ SOON_DAYS = 30
 
 
 def _money(amount: int) -> Column:
-    return F.lit(amount).cast("decimal(18,2)")
+    return F.lit(amount).cast(MONEY)
 
 
 def _rate(value: Column, rates: dict) -> Column:

@@ -78,3 +78,18 @@ def audit_changes(
         .otherwise(F.to_json(both, JSON_OPTIONS))
     )
     return _entries(changed, table, F.col("_key"), action, metadata, now, user_id)
+
+
+def update_entries(
+    pairs: DataFrame,
+    table: str,
+    *,
+    now: dt.datetime,
+    user_id: int | Column = 0,
+) -> DataFrame:
+    """Audit rows of an update from its own join: `pairs` are those of `keyed.updated_pairs`,
+    the rows that the changes name before and after. Nothing is joined again."""
+    key = TABLES[table].key
+    changed = pairs.filter(~F.col("old").eqNullSafe(F.col("new")))
+    metadata = F.to_json(F.struct("old", "new"), JSON_OPTIONS)
+    return _entries(changed, table, F.col("old")[key], F.lit("UPDATE"), metadata, now, user_id)

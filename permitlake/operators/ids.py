@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from permitlake.session import scratch_dir
+from permitlake.session import shared_dir
 
 # monotonically_increasing_id puts the partition number above this many bits of row number.
 ROW_BITS = 33
@@ -17,25 +17,27 @@ def highest_id(rows: DataFrame, key: str) -> int:
 
 
 def assign_ids(
-    rows: DataFrame, key: str, order_by: list[str | Column], start_after: int = 0
+    rows: DataFrame,
+    key: str,
+    order_by: list[str | Column],
+    start_after: int = 0,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Number the rows start_after+1, start_after+2, ... in the given order, without gaps.
 
-    The sorted rows are written once to the shared folder, each with its partition and its
-    place there. What is read back is fixed, so an executor lost later cannot change a
-    number. Counting the partitions reads that one column, and the only window runs over
-    one row per partition. `order_by` should be unique.
+    The sorted rows, each with its partition and its place there, are kept as a checkpoint
+    in the shared folder. What is read back is fixed, so an executor lost later cannot
+    change a number. Spark removes the checkpoint when no result refers to it any more
+    (with spark.cleaner.referenceTracking.cleanCheckpoints). Counting the partitions reads
+    that one column, and the only window runs over one row per partition. `order_by`
+    should be unique; its columns need not be among those that are kept.
     """
-    spark = rows.sparkSession
-    others = [c for c in rows.columns if c != key]
+    shared_dir(rows.sparkSession)
+    others = [c for c in rows.columns if c != key] if keep is None else list(keep)
     placed = rows.orderBy(*order_by).select(
         *others, F.monotonically_increasing_id().alias("_at")
     )
-    path = scratch_dir(spark, "ids")
-    placed.write.parquet(path)
-    stored = spark.read.schema(placed.schema).parquet(path).withColumn(
-        "_part", F.shiftright("_at", ROW_BITS)
-    )
+    stored = placed.checkpoint(eager=True).withColumn("_part", F.shiftright("_at", ROW_BITS))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         stored.groupBy("_part")

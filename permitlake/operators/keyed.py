@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from permitlake.functions.literals import moment
 from permitlake.operators.joins import keys_of, spread_keys_of
@@ -16,18 +17,46 @@ def _default(value, now: dt.datetime) -> Column:
     return moment(now) if value == WRITE_TIME else F.lit(value)
 
 
+def loses(value: Column, given: T.DataType, kind: T.DataType) -> Column:
+    """Whether a cast would change the value: null, rounded or cut."""
+    if given == kind or isinstance(given, T.NullType):
+        return F.lit(False)
+    there = value.try_cast(kind)
+    if isinstance(given, T.StringType):
+        # Text has many forms for a number or a time; what counts are the digits.
+        changed = F.lit(False)
+        if isinstance(kind, T.DecimalType):
+            fraction = F.length(F.regexp_extract(value, r"\.([0-9]*?)0*\s*$", 1))
+            power = value.rlike("[eE]") & (there.try_cast("double") != value.try_cast("double"))
+            changed = (fraction > kind.scale) | power
+    else:
+        changed = ~there.try_cast(given).eqNullSafe(value)
+    return value.isNotNull() & (there.isNull() | changed)
+
+
+def exact(value: Column, given: T.DataType, kind: T.DataType, name: str) -> Column:
+    """The value under another type; an error if that would change it."""
+    if given == kind or isinstance(given, T.NullType):
+        return value.cast(kind)
+    message = F.concat(F.lit(f"{name} would change as {kind.simpleString()}: "), value.cast("string"))
+    return F.when(loses(value, given, kind), F.raise_error(message)).otherwise(value.try_cast(kind))
+
+
 def conform(rows: DataFrame, table: str, now: dt.datetime) -> DataFrame:
     """Rows in the column order and types of the table. A column the rows lack gets its
-    default, else null; a null that is given stays null."""
+    default, else null; a null that is given stays null. A value that its type cannot hold
+    as it is raises an error."""
     spec = TABLES[table]
     unknown = [c for c in rows.columns if c not in spec.columns]
     if unknown:
         raise ValueError(f"{table} has no column {unknown}")
     return rows.select(
         *(
-            (F.col(c) if c in rows.columns else _default(spec.defaults.get(c), now))
-            .cast(kind)
-            .alias(c)
+            (
+                exact(F.col(c), rows.schema[c].dataType, kind, f"{table}.{c}")
+                if c in rows.columns
+                else _default(spec.defaults.get(c), now).cast(kind)
+            ).alias(c)
             for c, kind in spec.columns.items()
         )
     )
@@ -51,17 +80,20 @@ def one_per_key(
     in which the key is hot can be split (see `spread_keys_of`).
     """
     values = [c for c in rows.columns if c != key]
-    whole = F.struct(*values)
-    by = [key, F.hash(key)] if spread else [key]
-    groups = rows.filter(F.col(key).isNotNull()).groupBy(*by)
-    if newest_by:
-        found = groups.agg(F.max_by(whole, F.struct(*newest_by)).alias("_row"))
-    else:
+    given = rows.filter(F.col(key).isNotNull())
+    if not newest_by:
+        # Counted by hash; a row of a key that has others ends in the error.
+        on = [key]
+        if spread:
+            given, on = given.withColumn("_hash", F.hash(key)), [key, "_hash"]
+        twice = given.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
         message = F.concat(F.lit("several rows for key "), F.col(key).cast("string"))
-        only = F.when(F.col("_rows") > 1, F.raise_error(message)).otherwise(F.col("_row"))
-        found = groups.agg(
-            F.count(F.lit(1)).alias("_rows"), F.first(whole).alias("_row")
-        ).select(key, only.alias("_row"))
+        clash = given.join(twice, on, "left")
+        checked = F.when(F.col("_rows").isNotNull(), F.raise_error(message)).otherwise(F.col(key))
+        return clash.select(checked.alias(key), *values)
+    by = [key, F.hash(key)] if spread else [key]
+    newest = F.max_by(F.struct(*values), F.struct(*newest_by)).alias("_row")
+    found = given.groupBy(*by).agg(newest)
     return found.select(key, *(F.col("_row")[c].alias(c) for c in values))
 
 
@@ -80,6 +112,29 @@ def update_by_key(
     among the changes is written, but for the columns in `keep_if_null`. `unique` says
     that the key is unique in the table; that saves a shuffle of the changes.
     """
+    new, after = _update(target, changes, key, newest_by, keep_if_null, unique)
+    return target.join(new, key, "left").select(*(after(c) for c in target.columns))
+
+
+def updated_pairs(
+    target: DataFrame,
+    changes: DataFrame,
+    key: str,
+    *,
+    newest_by: list[str] | None = None,
+    keep_if_null: tuple[str, ...] = (),
+) -> DataFrame:
+    """The rows that an update meets, as structs `old` and `new`: an inner join of the
+    changes with a table whose key is unique. All other rows stay and are not moved on."""
+    new, after = _update(target, changes, key, newest_by, keep_if_null, unique=True)
+    old = F.struct(*target.columns).alias("old")
+    return target.join(new, key).select(
+        old, F.struct(*(after(c).alias(c) for c in target.columns)).alias("new")
+    )
+
+
+def _update(target, changes, key, newest_by, keep_if_null, unique):
+    """The changes by key, and a function from a column to its value after the join."""
     names = [c for c in changes.columns if c != key and c in target.columns]
     unknown = set(changes.columns) - set(target.columns) - set(newest_by or ())
     if unknown:
@@ -93,12 +148,15 @@ def update_by_key(
     def after(column: str) -> Column:
         if column not in names:
             return F.col(column)
-        given = F.col(f"_new_{column}").cast(target.schema[column].dataType)
+        given = exact(
+            F.col(f"_new_{column}"), changes.schema[column].dataType,
+            target.schema[column].dataType, column,
+        )
         if column in keep_if_null:
             return F.coalesce(given, F.col(column)).alias(column)
         return F.when(F.col("_hit"), given).otherwise(F.col(column)).alias(column)
 
-    return target.join(new, key, "left").select(*(after(c) for c in target.columns))
+    return new, after
 
 
 def delete_by_key(target: DataFrame, doomed: DataFrame, key: str) -> DataFrame:

@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from permitlake.operators.joins import keys_of
+from permitlake.operators.keyed import loses
 from permitlake.schemas import TABLES, Table
 
 NOT_NULL, DOMAIN, RANGE = "not_null", "domain", "range"
+JSON, EXACT = "json", "exact"
 
 
 def _row_rules(spec: Table, kinds: Iterable[str]) -> list[tuple[str, str, Column]]:
@@ -29,9 +31,28 @@ def _row_rules(spec: Table, kinds: Iterable[str]) -> list[tuple[str, str, Column
     if RANGE in kinds:
         for c, (low, high) in spec.ranges.items():
             rules.append((f"{RANGE}:{c}", c, ~F.col(c).between(low, high)))
+    if JSON in kinds:
+        for c in spec.json:
+            rules.append((f"{JSON}:{c}", c, ~is_json(F.col(c))))
     return rules
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value; null for null.
+
+    It has to be the only element of a list, and the only member of an object: brackets in
+    the text that close one of them leave the other broken.
+    """
+    listed = F.concat(F.lit("["), text, F.lit("]"))
+    member = F.concat(F.lit('{"v":'), text, F.lit("}"))
+    one = (
+        F.try_parse_json(listed).isNotNull()
+        & F.try_parse_json(member).isNotNull()
+        & (F.json_array_length(listed) == 1)
+    )
+    return F.when(text.isNotNull(), F.coalesce(one, F.lit(False)))
+
+
 def _violations(rows: DataFrame, table: str, rule: Column, key: Column) -> DataFrame:
     return rows.select(
         F.lit(table).alias("table_name"), rule.alias("rule"), key.cast("string").alias("row_key")
@@ -39,16 +60,21 @@ def _violations(rows: DataFrame, table: str, rule: Column, key: Column) -> DataF
 
 
 def check_rows(
-    rows: DataFrame, table: str, kinds: Iterable[str] = (NOT_NULL, DOMAIN, RANGE)
+    rows: DataFrame, table: str, kinds: Iterable[str] = (NOT_NULL, DOMAIN, RANGE, JSON)
 ) -> DataFrame:
-    """Row-wise rules in one scan, without a shuffle. Rules on columns that the rows do
-    not have are left out."""
+    """Row-wise rules in one scan, without a shuffle. A rule on a column that the rows do
+    not have cannot be checked: that is an error, not a pass."""
     spec = TABLES[table]
-    rules = [
-        (rule, condition)
-        for rule, column, condition in _row_rules(spec, tuple(kinds))
-        if column in rows.columns
-    ]
+    found = _row_rules(spec, tuple(kinds))
+    absent = sorted({column for _, column, _ in found if column not in rows.columns})
+    if absent:
+        raise ValueError(f"{table}: no column {absent} to check")
+    rules = [(rule, condition) for rule, _, condition in found]
+    if EXACT in kinds:
+        for c, kind in spec.columns.items():
+            given = rows.schema[c].dataType if c in rows.columns else kind
+            if given != kind:
+                rules.append((f"{EXACT}:{c}", loses(F.col(c), given, kind)))
     if not rules:
         return _violations(rows.limit(0), table, F.lit(""), F.col(spec.key))
     # The filter reaches the reader; only rows that break a rule are worked on further.
@@ -60,16 +86,16 @@ def check_rows(
 
 def check_unique(rows: DataFrame, table: str) -> DataFrame:
     """Values of key columns that occur more than once; each column is a scan of its own
-    and counts before the shuffle."""
+    and counts before the shuffle. A key column that the rows lack is an error."""
     spec = TABLES[table]
+    absent = [c for c in (spec.key, *spec.unique) if c not in rows.columns]
+    if absent:
+        raise ValueError(f"{table}: no column {absent} to check")
     found = []
     for c in (spec.key, *spec.unique):
-        if c in rows.columns:
-            counts = rows.filter(F.col(c).isNotNull()).groupBy(c).agg(
-                F.count(F.lit(1)).alias("_rows")
-            )
-            twice = counts.filter(F.col("_rows") > 1)
-            found.append(_violations(twice, table, F.lit(f"unique:{c}"), F.col(c)))
+        counts = rows.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_rows"))
+        twice = counts.filter(F.col("_rows") > 1)
+        found.append(_violations(twice, table, F.lit(f"unique:{c}"), F.col(c)))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -97,6 +123,24 @@ def check_foreign_key(rows: DataFrame, table: str, column: str, parent: DataFram
     return _violations(orphans, table, F.lit(f"foreign_key:{column}"), F.col("_key"))
 
 
+def check_children(
+    gone: DataFrame, table: str, child: DataFrame, child_table: str, column: str
+) -> DataFrame:
+    """Rows of a child table that refer to a parent row that is to go: (key of the parent's
+    table) `gone` holds the keys. A database refuses such a delete."""
+    key = TABLES[table].key
+    refs = child.filter(F.col(column).isNotNull()).select(
+        F.col(TABLES[child_table].key).alias("_key"), F.col(column).alias("_ref")
+    )
+    left = refs.join(gone.select(F.col(key).alias("_ref")), "_ref", "left_semi")
+    return _violations(left, child_table, F.lit(f"foreign_key:{column}"), F.col("_key"))
+
+
+def children_of(table: str) -> list[tuple[str, str]]:
+    """(child table, column) of every reference to a table."""
+    return [(t.name, c) for t in TABLES.values() for c, parent in t.parents.items() if parent == table]
+
+
 def check_registry(registry) -> DataFrame:
     """All rules over all tables of a registry."""
     found = []

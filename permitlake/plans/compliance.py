@@ -11,9 +11,10 @@ from pyspark.sql.types import StringType
 
 from permitlake.functions.literals import moment
 from permitlake.operators.ids import assign_ids, highest_id
-from permitlake.operators.keyed import one_per_key
+from permitlake.operators.keyed import exact, one_per_key
 from permitlake.operators.ordering import down, in_order, up
 from permitlake.registry import Registry
+from permitlake.session import shared_dir
 
 HIGH_RISK = Decimal("0.3")
 
@@ -82,7 +83,9 @@ def upsert_scores(
     )
     given = one_per_key(wanted, "business_id", newest_by).select("business_id", *values)
     first = scores.groupBy("business_id").agg(F.min("score_id").alias("_first"))
-    placed = given.join(first, "business_id", "left")
+    # Computed once, and read for the update as well as for the insert.
+    shared_dir(registry.spark)
+    placed = given.join(first, "business_id", "left").checkpoint(eager=True)
 
     change = placed.filter(F.col("_first").isNotNull()).select(
         F.col("_first").alias("score_id"),
@@ -93,7 +96,8 @@ def upsert_scores(
 
     def after(column):
         if column in values:
-            new = F.col(f"_new_{column}").cast(scores.schema[column].dataType)
+            given = updates.schema[column].dataType
+            new = exact(F.col(f"_new_{column}"), given, scores.schema[column].dataType, column)
         elif column == "scored_at":
             new = moment(now)
         else:
@@ -107,8 +111,12 @@ def upsert_scores(
     # An update without a business matches no score, so each one is a new row.
     nameless = wanted.filter(F.col("business_id").isNull()).select("business_id", *values)
     fresh = placed.filter(F.col("_first").isNull()).select("business_id", *values)
+    typed = [
+        exact(F.col(c), updates.schema[c].dataType, scores.schema[c].dataType, c).alias(c)
+        for c in ("business_id", *values)
+    ]
     added = assign_ids(
-        fresh.unionByName(nameless),
+        fresh.unionByName(nameless).select(*typed),
         "score_id",
         ["business_id", *values],
         start_after=highest_id(scores, "score_id"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ def compliance_rate(registry: Registry, *, as_of: dt.date) -> DataFrame:
 def recent_activity(registry: Registry, *, count: int = 5) -> DataFrame:
     """The newest audit entries with the name of their user, newest first.
 
-    The entries are cut to `count` before users are read; only they are broadcast.
+    The entries are cut to `count` before users are read. Spark sees how few they are.
     """
     newest = (
         registry.table("audit_logs")
@@ -89,11 +90,9 @@ def recent_activity(registry: Registry, *, count: int = 5) -> DataFrame:
         .limit(count)
     )
     people = registry.table("users").select("user_id", F.col("name").alias("user"))
-    named = people.join(
-        F.broadcast(newest.select("user_id").distinct()), "user_id", "left_semi"
-    )  # at most `count` rows on either side
+    named = people.join(newest.select("user_id").distinct(), "user_id", "left_semi")
     return (
-        newest.join(F.broadcast(named), "user_id", "left")
+        newest.join(named, "user_id", "left")
         .orderBy(down("timestamp"), down("log_id"))
         .select(
             F.substring(F.col("timestamp").cast("string"), 12, 5).alias("time"),
@@ -119,9 +118,18 @@ def sql_select(registry: Registry, text: str) -> DataFrame:
         raise ValueError("the query is empty")
     if not query.upper().startswith("SELECT"):
         raise ValueError("only SELECT queries are allowed")
-    for name in registry.names():
-        registry.table(name).createOrReplaceTempView(name)
-    return registry.spark.sql(query)
+    tables = {name: registry.table(name) for name in registry.names()}
+    names = {name: f"registry_{uuid.uuid4().hex}_{name}" for name in tables}
+    # The caller may have views of these names, so ours have others. A query names its
+    # tables, then, by a common table expression in front of it.
+    for name, rows in tables.items():
+        rows.createOrReplaceTempView(names[name])
+    own = ", ".join(f"{name} AS (SELECT * FROM {view})" for name, view in names.items())
+    try:
+        return registry.spark.sql(f"WITH {own} {query}")
+    finally:
+        for view in names.values():
+            registry.spark.catalog.dropTempView(view)
 
 
 def table_counts(registry: Registry, tables: tuple[str, ...] = HEALTH_TABLES) -> DataFrame:

@@ -45,11 +45,9 @@ def inspections_by_inspector(
 ) -> DataFrame:
     """Inspections of one or several inspectors between two bounds, both included; a
     missing bound is open."""
-    inspections = matching(registry.table("inspections"), "inspector_id", inspector_id)
-    if start is not None:
-        inspections = inspections.filter(F.col("inspected_at") >= moment(start))
-    if end is not None:
-        inspections = inspections.filter(F.col("inspected_at") <= moment(end))
+    inspections = matching(
+        registry.between("inspections", start, end), "inspector_id", inspector_id
+    )
     rows = (
         inspections.join(_holders(registry), "business_id")
         .join(_inspectors(registry), "inspector_id")

@@ -19,7 +19,7 @@ from permitlake.operators.joins import keys_of
 from permitlake.operators.keyed import conform
 from permitlake.plans.businesses import businesses_by_pins, businesses_without_permit
 from permitlake.registry import Registry
-from permitlake.schemas import TABLES
+from permitlake.schemas import SCORE, TABLES
 
 
 def _given(rows: DataFrame, column: str, default: Column) -> Column:
@@ -41,10 +41,11 @@ def _intake(
     """Rows with the given and derived columns only; the rest gets the table's defaults."""
     key = TABLES[table].key
     present = [c for c in given if c in rows.columns]
-    order = [F.col(c).alias(f"_order_{i}") for i, c in enumerate(order_by)]
-    shaped = rows.select(*present, *derived, *order)
-    numbered = assign_ids(shaped, key, [f"_order_{i}" for i in range(len(order))], start_after)
-    return conform(numbered.drop(*(f"_order_{i}" for i in range(len(order)))), table, now)
+    order = {f"_order_{i}": F.col(c).alias(f"_order_{i}") for i, c in enumerate(order_by)}
+    shaped = rows.select(*present, *derived, *order.values())
+    kept = [c for c in shaped.columns if c not in order]
+    numbered = assign_ids(shaped, key, list(order), start_after, keep=kept)
+    return conform(numbered, table, now)
 
 
 def ingest_users(
@@ -110,17 +111,20 @@ def ingest_inspections(
     )
 
 
-def backfill_permits(registry: Registry, *, year: int) -> DataFrame:
-    """A permit at the flat fee of its size for every business without one in the year."""
+def backfill_permits(
+    registry: Registry, *, year: int, now: dt.datetime, start_after: int = 0
+) -> DataFrame:
+    """A permit at the flat fee of its size for every business without one in the year, in
+    the columns of the table and with its key."""
     lacking = businesses_without_permit(registry, year=year)
-    return lacking.select(
+    rows = lacking.select(
         "business_id",
         F.lit(year).cast("int").alias("permit_year"),
         backfill_fee(F.col("size")).alias("fee_amount"),
-        F.lit("issued").alias("status"),
         day(dt.date(year, 1, 15)).alias("issue_date"),
         day(dt.date(year, 12, 31)).alias("expiry_date"),
     )
+    return ingest_permits(rows, now=now, order_by=["business_id"], start_after=start_after)
 
 
 # What the backfill writes for a business without a score.
@@ -129,11 +133,15 @@ BACKFILL_FEATURES = (
 )
 BACKFILL_VERSION = "v1.0"
 BACKFILL_CLUSTER = "medium_risk"
-SCORE_STEPS = 2500  # ten-thousandths from 0.75 up to, not including, 1
+# The score starts at 0.75; a draw adds up to, not including, 0.25 in this many steps.
+DRAWS = 10**15
 
 
-def backfill_scores(registry: Registry, *, seed: int) -> DataFrame:
-    """A score from 0.75 up to 1 for every business without one.
+def backfill_scores(
+    registry: Registry, *, seed: int, now: dt.datetime, start_after: int = 0
+) -> DataFrame:
+    """A score from 0.75 up to 1 for every business without one, in the columns of the table
+    and with its key.
 
     The score is drawn from a hash of seed and business, not from a generator per task,
     so a task that runs again after a loss draws the same scores.
@@ -143,16 +151,20 @@ def backfill_scores(registry: Registry, *, seed: int) -> DataFrame:
         scored, "business_id", "left_anti"
     )
     digest = F.md5(F.concat_ws(":", F.lit(seed), "business_id"))
-    draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") % SCORE_STEPS
-    score = (F.lit(10_000 - SCORE_STEPS) + draw).cast("decimal(5,0)") * F.lit("0.0001").cast(
-        "decimal(5,4)"
-    )
-    return lacking.select(
-        "business_id",
-        score.cast("decimal(5,4)").alias("score"),
-        F.lit(BACKFILL_VERSION).alias("model_version"),
-        F.lit(BACKFILL_FEATURES).alias("features_json"),
-        F.lit(BACKFILL_CLUSTER).alias("cluster_label"),
+    draw = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % DRAWS
+    step = F.lit("0.00000000000000025").cast("decimal(17,17)")
+    score = F.lit("0.75").cast(SCORE) + draw.cast("decimal(15,0)") * step
+    return _intake(
+        lacking,
+        "compliance_scores",
+        ("business_id",),
+        (
+            score.cast(SCORE).alias("score"),
+            F.lit(BACKFILL_VERSION).alias("model_version"),
+            F.lit(BACKFILL_FEATURES).alias("features_json"),
+            F.lit(BACKFILL_CLUSTER).alias("cluster_label"),
+        ),
+        now=now, order_by=["business_id"], start_after=start_after,
     )
 
 

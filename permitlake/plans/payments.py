@@ -11,13 +11,14 @@ from permitlake.functions.literals import day, moment
 from permitlake.operators.joins import matching
 from permitlake.operators.ordering import down, in_order, up
 from permitlake.registry import Registry
+from permitlake.schemas import MONEY
 
 Bound = dt.date | dt.datetime | None
 
 
 def collected(amount: Column, status: Column) -> Column:
     """The amount if the payment succeeded, else 0."""
-    return F.when(status == "success", amount).otherwise(F.lit(0).cast("decimal(18,2)"))
+    return F.when(status == "success", amount).otherwise(F.lit(0).cast(MONEY))
 
 
 def payments_by_permit(registry: Registry, permit_id, *, ordered: bool = True) -> DataFrame:
@@ -70,7 +71,7 @@ def outstanding_by_permit(registry: Registry) -> DataFrame:
     permits = registry.table("permits").select(
         "permit_id", "business_id", "permit_year", "fee_amount"
     )
-    none = F.lit(0).cast("decimal(18,2)")
+    none = F.lit(0).cast(MONEY)
     rows = permits.join(paid, "permit_id", "left")
     paid_amount = F.coalesce("_paid", none)
     return rows.select(
@@ -80,27 +81,18 @@ def outstanding_by_permit(registry: Registry) -> DataFrame:
     )
 
 
-def _within(rows: DataFrame, start: Bound, end: Bound) -> DataFrame:
-    """Rows paid between two bounds, both included; a missing bound is open. A date means
-    its midnight, so later payments of an end date are left out."""
-    if start is not None:
-        rows = rows.filter(F.col("paid_at") >= moment(start))
-    if end is not None:
-        rows = rows.filter(F.col("paid_at") <= moment(end))
-    return rows
-
-
 def payment_statistics(
     registry: Registry, *, start: Bound = None, end: Bound = None
 ) -> DataFrame:
-    """One row of counts, and the sum of successful amounts, 0 if there is none."""
+    """One row of counts, and the sum of successful amounts, 0 if there is none. Both bounds
+    count; a date means its midnight, so later payments of an end date are left out."""
     status, method = F.col("status"), F.col("payment_method")
 
     def count_if(condition):
         return F.count(F.when(condition, 1))
 
     total = F.sum(collected(F.col("amount"), status))
-    return _within(registry.table("payments"), start, end).agg(
+    return registry.between("payments", start, end).agg(
         F.count(F.lit(1)).alias("total_payments"),
         count_if(status == "success").alias("successful_payments"),
         count_if(status == "pending").alias("pending_payments"),
@@ -131,16 +123,15 @@ def revenue_trend(registry: Registry, *, as_of: dt.date, days: int = 30) -> Data
     Payments are summed per day first, so the window runs over days + 1 rows.
     """
     first = as_of - dt.timedelta(days=days)
-    paid = registry.table("payments").filter(
-        (F.col("status") == "success")
-        & (F.col("paid_at") >= moment(first))
-        & (F.col("paid_at") < moment(as_of + dt.timedelta(days=1)))
+    after = as_of + dt.timedelta(days=1)
+    paid = registry.between("payments", first, after).filter(
+        (F.col("status") == "success") & (F.col("paid_at") < moment(after))
     )
     daily = paid.groupBy(F.to_date("paid_at").alias("day")).agg(F.sum("amount").alias("_sum"))
     calendar = registry.spark.range(1).select(
         F.explode(F.sequence(day(first), day(as_of))).alias("day")
     )
-    revenue = F.coalesce("_sum", F.lit(0).cast("decimal(18,2)"))
+    revenue = F.coalesce("_sum", F.lit(0).cast(MONEY))
     so_far = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return calendar.join(daily, "day", "left").select(
         "day",

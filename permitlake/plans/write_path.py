@@ -1,7 +1,8 @@
-"""The write path: check new rows or a new table state, store them, log the changes.
+"""The write path: stage rows, check the staged copy, log the changes, publish all at once.
 
-Parquet has no transactions: the table is written before its log, and a job that fails in
-between has to be finished by hand. Nothing is written when a rule is broken.
+Every write computes its rows once, into files that no reader sees yet. The rules read these
+files, so what was checked is what gets published. Nothing is published when a rule is
+broken; the error carries all violations as a DataFrame.
 """
 
 from __future__ import annotations
@@ -9,98 +10,225 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from permitlake.operators.changes import audit_changes, audit_inserts
-from permitlake.operators.ids import assign_ids, highest_id
-from permitlake.operators.keyed import conform
+from permitlake.operators.changes import audit_changes, audit_inserts, update_entries
+from permitlake.operators.ids import assign_ids
+from permitlake.operators.joins import matching
+from permitlake.operators.keyed import conform, one_per_key, update_by_key, updated_pairs
 from permitlake.operators.quality import (
-    check_clash, check_foreign_key, check_rows, check_unique,
+    check_children, check_clash, check_foreign_key, check_rows, check_unique, children_of,
 )
 from permitlake.registry import Registry
 from permitlake.schemas import TABLES
-from permitlake.sources.parquet import append_rows, scan_table, write_table
+from permitlake.session import shared_dir
+from permitlake.sources.store import Store, Version
 
 # Tables whose changes are logged.
 AUDITED = ("businesses", "permits", "payments")
 
-REPORTED = 5  # violations named in an error
-
 
 class RuleViolation(ValueError):
-    pass
-
+    """A refused write. `violations` has a row for each broken rule and row; the message
+    counts them by rule."""
 
-def violations(registry: Registry, table: str, state: DataFrame) -> DataFrame:
-    """All broken rules of a new table state."""
-    found = [check_rows(state, table), check_unique(state, table)]
-    for column, parent in TABLES[table].parents.items():
-        if column in state.columns:
-            found.append(check_foreign_key(state, table, column, registry.table(parent)))
-    return reduce(DataFrame.unionByName, found)
+    def __init__(self, violations: DataFrame):
+        self.violations = violations
+        counts = violations.groupBy("table_name", "rule").count().orderBy("table_name", "rule")
+        # One row per rule of the tables, however many rows break it.
+        super().__init__("; ".join(f"{r[0]} {r[1]}: {r[2]}" for r in counts.collect()))
 
 
-def _refuse(broken: DataFrame) -> None:
-    named = broken.take(REPORTED)
-    if named:
-        raise RuleViolation("; ".join(f"{r.table_name} {r.rule} {r.row_key}" for r in named))
+class InexactValue(ValueError):
+    """A refused write: its type could not hold a value as it was given."""
 
 
-def _log(registry: Registry, entries: DataFrame, log_folder: str, now: dt.datetime) -> DataFrame:
-    """Number the entries after those of the log and append them; returns the log."""
-    last = highest_id(registry.table("audit_logs"), "log_id")
-    numbered = assign_ids(entries, "log_id", ["target_id"], start_after=last)
-    return append_rows(numbered, log_folder, "audit_logs", now)
+def violations(
+    registry: Registry, table: str, rows: DataFrame, *, gone: DataFrame | None = None
+) -> DataFrame:
+    """All broken rules of rows of a table: row rules, unique keys, references to parents,
+    and references of children to the keys in `gone`."""
+    found = [check_rows(rows, table), check_unique(rows, table)]
+    for column, parent in TABLES[table].parents.items():
+        known = rows if parent == table else registry.table(parent)
+        found.append(check_foreign_key(rows, table, column, known))
+    if gone is not None:
+        for child, column in children_of(table):
+            found.append(check_children(gone, table, registry.table(child), child, column))
+    return reduce(DataFrame.unionByName, found)
 
 
-def store(
-    registry: Registry,
-    table: str,
-    state: DataFrame,
-    *,
-    folder: str,
-    log_folder: str,
-    now: dt.datetime,
-    user_id: int = 0,
-    among: DataFrame | None = None,
+class _Write:
+    """One write from a version of the store: staged batches that go again if it fails."""
+
+    def __init__(self, store: Store, now: dt.datetime):
+        self.store, self.now = store, now
+        self.version = store.version()
+        self.registry = store.registry(self.version)
+        self.staged: list[tuple[str, list[str]]] = []
+
+    def stage(self, table: str, rows: DataFrame) -> list[str]:
+        try:
+            folders = self.store.stage(table, conform(rows, table, self.now))
+        except PySparkException as error:
+            if "would change as" in str(error):
+                raise InexactValue(str(error).split("\n")[0]) from error
+            raise
+        self.staged.append((table, folders))
+        return folders
+
+    def rows(self, table: str, folders: list[str]) -> DataFrame:
+        return self.store.read(table, folders).select(*TABLES[table].columns)
+
+    def check(self, broken: DataFrame) -> None:
+        """Refuse the write if there is a violation. They are kept in the shared folder, for
+        the staged files they were found in go."""
+        shared_dir(self.store.spark)
+        found = broken.checkpoint(eager=True)
+        if not found.isEmpty():
+            raise RuleViolation(found)
+
+    def publish(self, table: str, folders: list[str], entries: DataFrame | None) -> Registry:
+        """The table's new folders, and the entries numbered after those of the log."""
+        tables, ids = {table: folders}, {}
+        if entries is not None:
+            last = self.version.last_ids.get("audit_logs", 0)
+            numbered = assign_ids(entries, "log_id", ["target_id"], start_after=last)
+            staged = self.stage("audit_logs", numbered)
+            count = self.rows("audit_logs", staged).count()
+            ids["audit_logs"] = last + count
+            tables["audit_logs"] = self.version.folders.get("audit_logs", []) + staged
+        self.version = self.store.publish(self.version, tables, ids)
+        self.staged = []
+        return self.store.registry(self.version)
+
+    def __enter__(self) -> _Write:
+        return self
+
+    def __exit__(self, *error) -> None:
+        for table, folders in self.staged:
+            self.store.discard(table, folders)
+
+
+def replace(
+    store: Store, table: str, state: DataFrame, *, now: dt.datetime, user_id: int = 0
 ) -> Registry:
-    """Make `state` the content of a table: a new copy below the new `folder`, and audit
-    rows of all changes appended to the log below `log_folder`. Returns the registry that
-    reads the stored tables. After an update, `among` may name the keys that were changed;
-    the search for changes is then cut to those.
-    """
-    state = conform(state, table, now)
-    _refuse(violations(registry, table, state))
-    write_table(state, f"{folder}/{table}", table)
-    stored = scan_table(registry.spark, folder, table)
-    if table not in AUDITED:
-        return registry.replace(**{table: stored})
-    entries = audit_changes(
-        registry.table(table), stored, table, now=now, user_id=user_id, among=among
-    )
-    logs = _log(registry, entries, log_folder, now)
-    return registry.replace(**{table: stored, "audit_logs": logs})
+    """Make `state` the content of a table. Rows that are no longer there must have no
+    children; returns the registry of the new version."""
+    with _Write(store, now) as write:
+        folders = write.stage(table, state)
+        rows, old = write.rows(table, folders), write.registry.table(table)
+        key = TABLES[table].key
+        gone = old.select(key).join(rows.select(key), key, "left_anti")
+        write.check(violations(write.registry, table, rows, gone=gone))
+        entries = None
+        if table in AUDITED:
+            entries = audit_changes(old, rows, table, now=now, user_id=user_id)
+        return write.publish(table, folders, entries)
 
 
 def append(
-    registry: Registry,
+    store: Store, table: str, rows: DataFrame, *, now: dt.datetime, user_id: int = 0
+) -> Registry:
+    """Add rows to a table. Only the new rows are checked, also against the keys the table
+    has, and logged; the stored rows are neither read whole nor rewritten."""
+    with _Write(store, now) as write:
+        folders = write.stage(table, rows)
+        new = write.rows(table, folders)
+        clash = check_clash(new, table, write.registry.table(table))
+        write.check(violations(write.registry, table, new).unionByName(clash))
+        entries = audit_inserts(new, table, now=now, user_id=user_id) if table in AUDITED else None
+        return write.publish(table, write.version.folders.get(table, []) + folders, entries)
+
+
+def _split(write: _Write, table: str, touched: DataFrame) -> tuple[list[str], list[str]]:
+    """The table's folders that hold the touched rows, and all others."""
+    folders = write.version.folders.get(table, [])
+    names = write.store.folder_names(table, touched)
+    hit = [f for f in folders if not names or f.rsplit("/", 1)[-1] in names]
+    return hit, [f for f in folders if f not in hit]
+
+
+def update(
+    store: Store,
     table: str,
-    rows: DataFrame,
+    changes: DataFrame,
     *,
-    folder: str,
-    log_folder: str,
     now: dt.datetime,
     user_id: int = 0,
+    keep_if_null: tuple[str, ...] = (),
+) -> Registry:
+    """Set columns by key. Only the folders that hold changed rows are written again; the
+    audit rows come from the join of the table with the changes. Unique columns are checked
+    against the whole table if the changes set one."""
+    key = TABLES[table].key
+    with _Write(store, now) as write:
+        old = write.registry.table(table)
+        changes = one_per_key(changes, key)
+        pairs = updated_pairs(old, changes, key, keep_if_null=keep_if_null)
+        hit, others = _split(write, table, pairs.select("old.*"))
+        before = write.rows(table, hit)
+        after = update_by_key(before, changes, key, keep_if_null=keep_if_null, unique=True)
+        folders = write.stage(table, after)
+        rows = write.rows(table, folders)
+        changed = matching(rows, key, changes.select(key))
+        found = [check_rows(changed, table)]
+        for column, parent in TABLES[table].parents.items():
+            if column in changes.columns:
+                found.append(
+                    check_foreign_key(changed, table, column, write.registry.table(parent))
+                )
+        if set(TABLES[table].unique) & set(changes.columns):
+            whole = rows.unionByName(write.rows(table, others))
+            found.append(check_unique(whole, table))
+        write.check(reduce(DataFrame.unionByName, found))
+        entries = None
+        if table in AUDITED:
+            pairs = updated_pairs(before, changes, key, keep_if_null=keep_if_null)
+            entries = update_entries(pairs, table, now=now, user_id=user_id)
+        return write.publish(table, others + folders, entries)
+
+
+def delete(
+    store: Store, table: str, doomed: DataFrame, *, now: dt.datetime, user_id: int = 0
 ) -> Registry:
-    """Add rows to the table stored below `folder`. Only the new rows are checked, also
-    against the keys the table has, and logged; the stored rows are not rewritten.
-    """
-    rows = conform(rows, table, now)
-    clash = check_clash(rows, table, registry.table(table))
-    _refuse(violations(registry, table, rows).unionByName(clash))
-    if table not in AUDITED:
-        return registry.replace(**{table: append_rows(rows, folder, table, now)})
-    entries = audit_inserts(rows, table, now=now, user_id=user_id)
-    stored = append_rows(rows, folder, table, now)
-    logs = _log(registry, entries, log_folder, now)
-    return registry.replace(**{table: stored, "audit_logs": logs})
+    """Delete rows by key; refused while another row refers to one of them."""
+    key = TABLES[table].key
+    with _Write(store, now) as write:
+        old = write.registry.table(table)
+        gone = matching(old, key, doomed.select(key))
+        found = [
+            check_children(gone.select(key), table, write.registry.table(child), child, column)
+            for child, column in children_of(table)
+        ]
+        if found:
+            write.check(reduce(DataFrame.unionByName, found))
+        hit, others = _split(write, table, gone)
+        before = write.rows(table, hit)
+        kept = before.join(doomed.select(key).distinct(), key, "left_anti")
+        folders = write.stage(table, kept.select(*before.columns))
+        entries = None
+        if table in AUDITED:
+            lost = matching(before, key, doomed.select(key))
+            entries = audit_changes(lost, lost.filter(F.lit(False)), table, now=now, user_id=user_id)
+        return write.publish(table, others + folders, entries)
+
+
+def refused_deletes(registry: Registry, table: str, doomed: DataFrame) -> DataFrame:
+    """All rows of other tables that refer to rows that are to go: why a delete of these
+    keys would be refused."""
+    key = TABLES[table].key
+    gone = matching(registry.table(table), key, doomed.select(key)).select(key)
+    found = [
+        check_children(gone, table, registry.table(child), child, column)
+        for child, column in children_of(table) if child in registry.names()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+__all__ = [
+    "AUDITED", "InexactValue", "RuleViolation", "Version", "append", "delete",
+    "refused_deletes", "replace", "update", "violations",
+]

@@ -12,7 +12,13 @@ from pyspark.sql import types as T
 
 LONG, TEXT, BOOL = T.LongType(), T.StringType(), T.BooleanType()
 INT, DOUBLE, DATE = T.IntegerType(), T.DoubleType(), T.DateType()
-MONEY, SCORE, STAMP = T.DecimalType(18, 2), T.DecimalType(5, 4), T.TimestampNTZType()
+STAMP = T.TimestampNTZType()
+# Wide, as the registry's numbers have no fixed number of digits; a value that would still
+# lose some is refused (operators.keyed.exact).
+MONEY, SCORE = T.DecimalType(28, 6), T.DecimalType(20, 18)
+
+# Name of the storage folder that holds the month of a time column.
+MONTH = "stored_month"
 
 # A default with this value stands for the time of the write.
 WRITE_TIME = "write time"
@@ -32,6 +38,9 @@ class Table:
     parents: dict[str, str] = field(default_factory=dict)
     defaults: dict[str, object] = field(default_factory=dict)
     partition_by: tuple[str, ...] = ()
+    # The column whose month is a storage folder of its own, below MONTH.
+    month_of: str | None = None
+    json: tuple[str, ...] = ()
 
     @property
     def schema(self) -> T.StructType:
@@ -97,6 +106,7 @@ _DEFINITIONS = (
         },
         parents={"permit_id": "permits"},
         defaults={"paid_at": WRITE_TIME},
+        month_of="paid_at",
     ),
     Table(
         "compliance_scores",
@@ -109,6 +119,7 @@ _DEFINITIONS = (
         ranges={"score": (0, 1)},
         parents={"business_id": "businesses"},
         defaults={"scored_at": WRITE_TIME},
+        json=("features_json",),
     ),
     Table(
         "inspections",
@@ -122,6 +133,7 @@ _DEFINITIONS = (
         ranges={"latitude": LATITUDE, "longitude": LONGITUDE},
         parents={"business_id": "businesses", "inspector_id": "users"},
         defaults={"inspected_at": WRITE_TIME},
+        month_of="inspected_at",
     ),
     Table(
         "audit_logs",
@@ -133,6 +145,8 @@ _DEFINITIONS = (
         required=("action", "target_table"),
         parents={"user_id": "users"},
         defaults={"timestamp": WRITE_TIME},
+        month_of="timestamp",
+        json=("metadata",),
     ),
     Table(
         "chatbot_interactions",
@@ -156,6 +170,7 @@ _DEFINITIONS = (
         domains={"type": ("daily", "weekly", "monthly")},
         parents={"generated_by": "users"},
         defaults={"generated_at": WRITE_TIME},
+        json=("parameters",),
     ),
     Table(
         "api_keys",
@@ -203,6 +218,7 @@ _DEFINITIONS = (
         required=("frequency", "report_type"),
         domains={"frequency": ("daily", "weekly", "monthly")},
         parents={"user_id": "users"},
+        json=("parameters",),
     ),
 )
 

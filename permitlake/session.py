@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -32,20 +31,24 @@ def tune(spark: SparkSession, shuffle_bytes: int | None = None) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder: the cluster's own, or on local[*] a fresh temporary one."""
+    """The checkpoint folder that all executors share; one below the warehouse if none is
+    set, which they share as well."""
     context = spark.sparkContext
-    folder = context.getCheckpointDir()
-    if folder:
-        return folder
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="permitlake-")
-    context.setCheckpointDir(folder)
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own, wherever it is stored."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from permitlake.registry import Registry
-from permitlake.schemas import TABLES
+from permitlake.schemas import MONTH, TABLES
+from permitlake.sources.parquet import with_folders
 
 
 def open_tables(spark: SparkSession, database: str, names=tuple(TABLES)) -> Registry:
-    return Registry(spark, {name: spark.table(f"{database}.{name}") for name in names})
+    stored = {name: spark.table(f"{database}.{name}") for name in names}
+    by_month = {name: rows for name, rows in stored.items() if MONTH in rows.columns}
+    return Registry(spark, {name: rows.drop(MONTH) for name, rows in stored.items()}, by_month)
 
 
 def save_tables(registry: Registry, database: str) -> Registry:
-    """Save the tables, permits by year; a year with very many permits is split among
-    tasks. Tables are not bucketed: a hot key would make its bucket a single task."""
+    """Save the tables, those with folders by year or month; a folder with very many rows is
+    split among tasks. Tables are not bucketed: a hot key would make its bucket a single task."""
     for name in registry.names():
-        by = TABLES[name].partition_by
-        rows = registry.table(name)
+        rows, by = with_folders(registry.table(name), name)
         if by:
             rows = rows.hint("rebalance", *by)
         writer = rows.write.format("parquet").mode("errorifexists")

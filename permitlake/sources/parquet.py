@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from permitlake.operators.keyed import conform
 from permitlake.registry import Registry
-from permitlake.schemas import TABLES
+from permitlake.schemas import DATE, MONTH, TABLES
 
 MANIFEST = "manifest"
 MANIFEST_SCHEMA = "table_name string, row_count bigint, table_schema string"
@@ -29,7 +29,20 @@ def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def open_registry(spark: SparkSession, folder: str, names=tuple(TABLES)) -> Registry:
-    return Registry(spark, {name: scan_table(spark, folder, name) for name in names})
+    by_month = {
+        name: spark.read.schema(TABLES[name].schema.add(MONTH, DATE)).parquet(f"{folder}/{name}")
+        for name in names if TABLES[name].month_of
+    }
+    return Registry(spark, {name: scan_table(spark, folder, name) for name in names}, by_month)
+
+
+def with_folders(rows: DataFrame, name: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """The rows with the columns that name their storage folders, and these columns."""
+    spec = TABLES[name]
+    by = tuple(c for c in spec.partition_by if c in rows.columns)
+    if spec.month_of in rows.columns:
+        rows, by = rows.withColumn(MONTH, F.trunc(spec.month_of, "month")), (*by, MONTH)
+    return rows, by
 
 
 def stored_bytes(spark: SparkSession, path: str) -> int:
@@ -39,12 +52,13 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
 
 
 def write_table(rows: DataFrame, path: str, name: str, mode: str = "errorifexists") -> None:
-    """Write rows of a table to a path, permits in one folder per year.
+    """Write rows of a table to a path: permits in one folder per year; payments, inspections
+    and audit entries in one per month.
 
     A table with folders is rebalanced first: the rows of a folder go to a few files, and
     a folder with very many rows is split among tasks.
     """
-    by = tuple(c for c in TABLES[name].partition_by if c in rows.columns)
+    rows, by = with_folders(rows, name)
     if by:
         rows = rows.hint("rebalance", *by)
     rows.write.mode(mode).partitionBy(*by).parquet(path)
@@ -81,6 +95,16 @@ def _row_count(rows: DataFrame, name: str, column: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias(column)).withColumn("table_name", F.lit(name))
 
 
+def content_sums(rows: DataFrame) -> DataFrame:
+    """One row that equal tables share, whatever the order: the number of rows, and two sums
+    of row hashes."""
+    one = F.xxhash64(*rows.columns).cast("decimal(20,0)")
+    other = F.xxhash64(F.lit(1), *reversed(rows.columns)).cast("decimal(20,0)")
+    return rows.agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum(one).alias("one"), F.sum(other).alias("other")
+    )
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).json(f"{path}/{MANIFEST}")
 

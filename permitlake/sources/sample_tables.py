@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permitlake.functions.literals import choose, day, moment
+from permitlake.plans.intake import BACKFILL_FEATURES
 from permitlake.registry import Registry
+from permitlake.schemas import MONEY, SCORE
 
 # Columns of the sample files.
 RAW_SCHEMAS = {
@@ -26,7 +28,12 @@ RAW_SCHEMAS = {
     "value double, props string",
 }
 
-FEATURES = '{"location_score": 0.8, "payment_history": 0.9, "inspection_score": 0.7}'
+
+
+def _padded(key: Column, width: int) -> Column:
+    """The key with leading zeros; a longer key stays whole."""
+    text = key.cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
 
 
 class SampleRegistry(Registry):
@@ -82,7 +89,7 @@ class SampleRegistry(Registry):
             F.concat(
                 F.lower(F.replace("s_name", F.lit("#"), F.lit("."))), F.lit("@permits.example")
             ).alias("email"),
-            F.concat(F.lit("+2547"), F.lpad(key.cast("string"), 8, "0")).alias("phone"),
+            F.concat(F.lit("+2547"), _padded(key, 8)).alias("phone"),
             choose(key % 4, roles, "finance").alias("role"),
             (F.col("s_acctbal") >= 0).alias("is_active"),
         )
@@ -105,7 +112,7 @@ class SampleRegistry(Registry):
         ).select(
             key.alias("business_id"),
             (key % 10).alias("owner_id"),
-            F.concat(F.lit("A"), F.lpad(key.cast("string"), 9, "0"), F.lit("Z")).alias("kra_pin"),
+            F.concat(F.lit("A"), _padded(key, 9), F.lit("Z")).alias("kra_pin"),
             F.col("c_name").alias("name"),
             choose(F.col("c_mktsegment"), categories, "Technology").alias("category"),
             size.alias("size"),
@@ -125,11 +132,11 @@ class SampleRegistry(Registry):
             F.col("o_orderkey").alias("permit_id"),
             F.col("o_custkey").alias("business_id"),
             F.year("o_orderdate").alias("permit_year"),
-            F.col("o_totalprice").cast("decimal(18,2)").alias("fee_amount"),
+            F.col("o_totalprice").cast("decimal(18,2)").cast(MONEY).alias("fee_amount"),
             choose(F.col("o_orderstatus"), states, "cancelled").alias("status"),
             issued.alias("issue_date"),
             F.when(F.col("o_orderkey") % 50 != 0, F.date_add(issued, 180)).alias("expiry_date"),
-            F.lit(0).cast("decimal(18,2)").alias("penalty_amount"),
+            F.lit(0).cast(MONEY).alias("penalty_amount"),
         )
 
     def _payments(self) -> DataFrame:
@@ -143,7 +150,7 @@ class SampleRegistry(Registry):
                 F.col("l_quantity").cast("int"), cents,
             ).alias("payment_id"),
             F.col("l_orderkey").alias("permit_id"),
-            F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
+            F.col("l_extendedprice").cast("decimal(18,2)").cast(MONEY).alias("amount"),
             choose(line % 3, {0: "mpesa", 1: "cash"}, "bank").alias("payment_method"),
             choose(F.col("l_returnflag"), outcomes, "failed").alias("status"),
             F.col("l_shipdate").alias("paid_at"),
@@ -167,16 +174,18 @@ class SampleRegistry(Registry):
         return self.raw("customer").filter(key % 3 != 0).select(
             key.alias("score_id"),
             key.alias("business_id"),
-            (points.cast("double") / 1000).cast("decimal(5,4)").alias("score"),
+            # Beyond four digits: a score just above a bound must not fall on it.
+            (points.cast("decimal(4,0)") / 1000 + (key % 7).cast("decimal(1,0)") / 100000)
+            .cast(SCORE).alias("score"),
             F.lit("v1.0").alias("model_version"),
-            F.lit(FEATURES).alias("features_json"),
+            F.lit(BACKFILL_FEATURES).alias("features_json"),
             cluster.otherwise("low_risk").alias("cluster_label"),
         )
 
     def _score_updates(self) -> DataFrame:
         return self.table("businesses").filter(F.col("business_id") % 2 == 0).select(
             "business_id",
-            F.lit("0.5").cast("decimal(5,4)").alias("score"),
+            F.lit("0.50004").cast(SCORE).alias("score"),
             F.lit("v2.0").alias("model_version"),
             F.lit(None).cast("string").alias("features_json"),
             F.lit("medium_risk").alias("cluster_label"),
@@ -199,13 +208,16 @@ class SampleRegistry(Registry):
             F.when(key % 17 == 0, "Huge").when(key % 23 != 0, F.col("size")).alias("size"),
             F.when(key % 11 != 0, F.col("latitude") + 60).alias("latitude"),
             "longitude",
+            F.when(key % 29 != 0, F.col("name")).alias("name"),
+            "category", "location", "ward", "status", "created_at",
         )
 
     def _users_incoming(self) -> DataFrame:
         users = self.table("users")
         key = F.col("user_id")
-        again = users.filter(key % 2 == 0).withColumn("user_id", key + 100000)
-        fresh = users.withColumn("user_id", key + 200000).withColumn(
+        # Negative ids: none of a user's own, and each one its own.
+        again = users.filter(key % 2 == 0).withColumn("user_id", -key * 2 - 2)
+        fresh = users.withColumn("user_id", -key * 2 - 1).withColumn(
             "email", F.concat(F.lit("new."), "email")
         )
         return again.unionByName(fresh)

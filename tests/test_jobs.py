@@ -1,8 +1,11 @@
 """Write jobs, change capture, data rules and storage on small hand-made tables."""
 
 import datetime as dt
+import gc
 import json
 import random
+import re
+import time
 from decimal import Decimal
 
 import pytest
@@ -15,10 +18,10 @@ from frames import NOW, business, frame, registry, user
 from permitlake.operators import keyed, quality
 from permitlake.operators.changes import audit_changes
 from permitlake.operators.ids import assign_ids, highest_id
-from permitlake.plans import compliance, intake, maintenance
-from permitlake.plans.write_path import RuleViolation, append, store
+from permitlake.plans import compliance, intake, maintenance, write_path
 from permitlake.schemas import TABLES
 from permitlake.sources import catalog, parquet, postgres
+from permitlake.sources.store import Conflict, Store
 
 
 def rows_of(frame):
@@ -208,13 +211,14 @@ def test_backfills_fill_only_gaps_and_repeat_exactly(spark):
         ],
         compliance_scores=[dict(score_id=1, business_id=2, score=Decimal("0.1"), model_version="v")],
     )
-    made = intake.backfill_permits(reg, year=2024).collect()
+    made = intake.backfill_permits(reg, year=2024, now=NOW, start_after=2).collect()
+    assert sorted(r.permit_id for r in made) == [3, 4, 5] and {r.penalty_amount for r in made} == {0}
     assert {r.business_id: r.fee_amount for r in made} == {1: 15000, 2: 50000, 3: 50000}
-    scores = rows_of(intake.backfill_scores(reg, seed=3))
+    scores = rows_of(intake.backfill_scores(reg, seed=3, now=NOW))
     assert [s["business_id"] for s in scores] == [0, 1, 3]
     assert all(Decimal("0.75") <= s["score"] < 1 for s in scores)
-    assert scores == rows_of(intake.backfill_scores(reg, seed=3))
-    assert scores != rows_of(intake.backfill_scores(reg, seed=4))
+    assert scores == rows_of(intake.backfill_scores(reg, seed=3, now=NOW))
+    assert scores != rows_of(intake.backfill_scores(reg, seed=4, now=NOW))
 
 
 def test_issue_permits_keeps_size_and_business_together(spark):
@@ -247,12 +251,12 @@ def test_upsert_changes_the_first_score_or_adds_one(spark):
         SCORE_UPDATE,
     )
     after = compliance.upsert_scores(reg, updates, now=NOW).collect()
-    found = {r.score_id: (r.action, r.business_id, str(r.score), r.scored_at == NOW) for r in after}
+    found = {r.score_id: (r.action, r.business_id, float(r.score), r.scored_at == NOW) for r in after}
     assert found == {
-        2: ("update", 1, "0.9000", True), 3: ("keep", 2, "0.5000", False),
-        4: ("keep", 1, "0.5000", False), 5: ("keep", None, "0.5000", False),
-        6: ("insert", None, "0.6000", True), 7: ("insert", None, "0.7000", True),
-        8: ("insert", 8, "0.8000", True),
+        2: ("update", 1, 0.9, True), 3: ("keep", 2, 0.5, False),
+        4: ("keep", 1, 0.5, False), 5: ("keep", None, 0.5, False),
+        6: ("insert", None, 0.6, True), 7: ("insert", None, 0.7, True),
+        8: ("insert", 8, 0.8, True),
     }
     assert {r.score_id: r.features_json for r in after}[2] is None
 
@@ -435,52 +439,209 @@ def test_stored_bytes(spark, tmp_path):
     assert parquet.stored_bytes(spark, f"{tmp_path}/permits") == sum(f.stat().st_size for f in files)
 
 
-def test_store_checks_writes_and_logs(spark, tmp_path):
-    reg = full_registry(spark)
-    bad = reg.table("permits").withColumn("business_id", F.lit(77))
-    with pytest.raises(RuleViolation, match="foreign_key:business_id"):
-        store(reg, "permits", bad, folder=f"{tmp_path}/0", log_folder=str(tmp_path), now=NOW)
-    assert not (tmp_path / "0").exists()
+def filled_store(spark, folder):
+    """A store with the tables of `full_registry`, each published by a write of its own."""
+    store, reg = Store(spark, str(folder)), full_registry(spark)
+    for name in ("users", "businesses", "permits"):
+        write_path.replace(store, name, reg.table(name), now=NOW)
+    return store
+
+
+def files_of(store, table):
+    return set(store.version().folders[table])
+
+
+def logged(store):
+    logs = store.registry().table("audit_logs").orderBy("log_id").collect()
+    return [(r.log_id, r.action, r.target_table, r.target_id, r.user_id) for r in logs]
+
 
+def test_update_rewrites_one_year_and_logs_it(spark, tmp_path):
+    store = filled_store(spark, tmp_path)
+    before, first = files_of(store, "permits"), len(logged(store))
     changed = spark.createDataFrame([(0, "expired")], "permit_id int, status string")
-    state = maintenance.update_permit_status(reg, changed)
-    reg = store(reg, "permits", state, folder=f"{tmp_path}/1", log_folder=str(tmp_path), now=NOW,
-                user_id=2, among=changed)
-    fewer = reg.table("permits").filter("permit_id = 0")
-    reg = store(reg, "permits", fewer, folder=f"{tmp_path}/2", log_folder=str(tmp_path), now=NOW)
-    logs = reg.table("audit_logs").orderBy("log_id").collect()
-    assert [(r.log_id, r.action, r.target_id, r.user_id) for r in logs] == [
-        (1, "UPDATE", 0, 2), (2, "DELETE", 1, 0), (3, "DELETE", 2, 0),
+    reg = write_path.update(store, "permits", changed, now=NOW, user_id=2)
+    after = files_of(store, "permits")
+    assert {f for f in before if "permit_year=2024" in f} <= after
+    assert not {f for f in before if "permit_year=2023" in f} & after
+    rows = {r.permit_id: r.status for r in reg.table("permits").collect()}
+    assert rows == {0: "expired", 1: "issued", 2: "issued"}
+    assert logged(store)[first:] == [(first + 1, "UPDATE", "permits", 0, 2)]
+
+
+def test_deletes_respect_children(spark, tmp_path):
+    store = filled_store(spark, tmp_path)
+    first = len(logged(store))
+    one = spark.createDataFrame([(1,)], "business_id long")
+    with pytest.raises(write_path.RuleViolation, match="permits foreign_key:business_id: 3"):
+        write_path.delete(store, "businesses", one, now=NOW)
+    fewer = store.registry().table("businesses").filter("business_id = 2")
+    with pytest.raises(write_path.RuleViolation) as refused:
+        write_path.replace(store, "businesses", fewer, now=NOW)
+    # The error has every violation, not some.
+    assert refused.value.violations.count() == 3
+    write_path.delete(store, "businesses", spark.createDataFrame([(2,)], "business_id long"), now=NOW)
+    write_path.delete(store, "permits", spark.createDataFrame([(1,), (2,)], "permit_id long"), now=NOW)
+    reg = store.registry()
+    assert [r.business_id for r in reg.table("businesses").collect()] == [1]
+    assert [r.permit_id for r in reg.table("permits").collect()] == [0]
+    assert [entry[1:4] for entry in logged(store)[first:]] == [
+        ("DELETE", "businesses", 2), ("DELETE", "permits", 1), ("DELETE", "permits", 2),
     ]
-    assert reg.table("permits").count() == 1
+    assert [entry[0] for entry in logged(store)] == list(range(1, len(logged(store)) + 1))
 
 
-def test_append_checks_and_logs_only_the_new_rows(spark, tmp_path):
-    folder = str(tmp_path)
-    reg = full_registry(spark)
-    parquet.write_table(reg.table("users"), f"{folder}/users", "users")
-    parquet.write_table(reg.table("businesses"), f"{folder}/businesses", "businesses")
-    how = dict(folder=folder, log_folder=folder, now=NOW)
+def test_a_refused_write_leaves_nothing(spark, tmp_path):
+    store = filled_store(spark, tmp_path)
+    version = store.version()
+    files = sorted(tmp_path.glob("data/*/batch=*"))
+    bad = store.registry().table("permits").withColumn("business_id", F.lit(77).cast("long"))
+    with pytest.raises(write_path.RuleViolation, match="permits foreign_key:business_id: 3"):
+        write_path.replace(store, "permits", bad, now=NOW)
+    assert store.version() == version and sorted(tmp_path.glob("data/*/batch=*")) == files
 
-    def refused(table, row, rule):
-        with pytest.raises(RuleViolation, match=rule):
-            append(reg, table, frame(spark, table, [row]), **how)
 
-    refused("users", user(1, email="n", phone="n"), "unique:user_id 1")
-    refused("users", user(8, phone="n", email="u2@x.example"), "unique:email u2@x.example")
-    refused("businesses", business(8, owner_id=99), "foreign_key:owner_id 8")
-    refused("businesses", business(8, size="Huge"), "domain:size 8")
+def test_append_checks_and_logs_only_the_new_rows(spark, tmp_path):
+    store = filled_store(spark, tmp_path)
+    first = len(logged(store))
 
-    reg = append(reg, "users", frame(spark, "users", [user(3)]), **how)
-    assert reg.table("users").count() == 3 and reg.table("audit_logs").count() == 0
+    def refused(table, row, rule):
+        with pytest.raises(write_path.RuleViolation, match=rule):
+            write_path.append(store, table, frame(spark, table, [row]), now=NOW)
+
+    refused("users", user(1, email="n", phone="n"), "unique:user_id: 1")
+    refused("users", user(8, phone="n", email="u2@x.example"), "unique:email: 1")
+    refused("businesses", business(8, owner_id=99), "foreign_key:owner_id: 1")
+    refused("businesses", business(8, size="Huge"), "domain:size: 1")
+    before = files_of(store, "businesses")
+    reg = write_path.append(store, "users", frame(spark, "users", [user(3)]), now=NOW)
+    assert reg.table("users").count() == 3 and len(logged(store)) == first
     more = frame(spark, "businesses", [business(9), business(8, owner_id=3)])
-    reg = append(reg, "businesses", more, user_id=2, **how)
+    reg = write_path.append(store, "businesses", more, now=NOW, user_id=2)
+    assert before < files_of(store, "businesses")
     assert sorted(r.business_id for r in reg.table("businesses").collect()) == [1, 2, 8, 9]
-    logs = reg.table("audit_logs").orderBy("log_id").collect()
-    assert [(r.log_id, r.action, r.target_id, r.user_id) for r in logs] == [
-        (1, "INSERT", 8, 2), (2, "INSERT", 9, 2),
+    assert logged(store)[first:] == [
+        (first + 1, "INSERT", "businesses", 8, 2), (first + 2, "INSERT", "businesses", 9, 2),
     ]
-    assert json.loads(logs[0].metadata)["owner_id"] == 3
+
+
+def test_the_state_is_computed_once(spark, tmp_path):
+    store = filled_store(spark, tmp_path)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for row in rows:
+            seen.add(1)
+            yield row
+
+    permits = store.registry().table("permits")
+    traced = spark.createDataFrame(permits.rdd.mapPartitions(count), permits.schema)
+    write_path.replace(store, "permits", traced, now=NOW)
+    assert seen.value == 3
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    """The second to publish fails, and none of its ids or rows are seen."""
+    store = filled_store(spark, tmp_path)
+    base = store.version()
+    write_path.append(store, "users", frame(spark, "users", [user(3)]), now=NOW)
+    with pytest.raises(Conflict):
+        store.publish(base, {"users": []})
+    assert store.registry().table("users").count() == 3
+
+
+def test_scores_are_neither_rounded_nor_let_through(spark, tmp_path):
+    store = filled_store(spark, tmp_path)
+
+    def score(text):
+        return spark.createDataFrame(
+            [(1, 1, text, "v")], "score_id int, business_id int, score string, model_version string"
+        )
+
+    with pytest.raises(write_path.RuleViolation, match="range:score: 1"):
+        write_path.append(store, "compliance_scores", score("1.00004"), now=NOW)
+    with pytest.raises(write_path.InexactValue, match="score would change"):
+        write_path.append(store, "compliance_scores", score("0.1234567890123456789"), now=NOW)
+    exact = score("0.30004").withColumn("score", F.col("score").cast("decimal(9,5)"))
+    reg = write_path.append(store, "compliance_scores", exact, now=NOW)
+    assert compliance.high_risk_businesses(reg).count() == 0
+
+
+def test_backfills_can_be_stored_and_repeat_nothing(spark, tmp_path):
+    store = filled_store(spark, tmp_path)
+    for _ in range(2):
+        reg = store.registry()
+        last = highest_id(reg.table("permits"), "permit_id")
+        rows = intake.backfill_permits(reg, year=2030, now=NOW, start_after=last)
+        write_path.append(store, "permits", rows, now=NOW)
+        reg = store.registry()
+        last = highest_id(reg.table("compliance_scores"), "score_id")
+        scores = intake.backfill_scores(reg, seed=1, now=NOW, start_after=last)
+        write_path.append(store, "compliance_scores", scores, now=NOW)
+    reg = store.registry()
+    assert reg.permits_of_year(2030).count() == 2
+    scores = reg.table("compliance_scores").collect()
+    assert len(scores) == 2 and all(0.75 <= s.score < 1 and s.scored_at == NOW for s in scores)
+
+
+def test_absent_columns_are_errors(spark):
+    rows = frame(spark, "businesses", [business(1)]).drop("kra_pin")
+    with pytest.raises(ValueError, match="kra_pin"):
+        quality.check_rows(rows, "businesses")
+    with pytest.raises(ValueError, match="phone"):
+        quality.check_unique(frame(spark, "users", [user(1)]).drop("phone"), "users")
+
+
+def test_json_rule(spark):
+    good = ['{"a": 1}', "[1, {}]", '"s"', "1.5", "null", ' {"a": null} ', None]
+    bad = ["not json", '{"a": 1} x', "{", "{} {}", "", "1], [2", "{'a': 1}"]
+    rows = spark.createDataFrame([(t,) for t in good + bad], "t string")
+    found = {r.t: r.ok for r in rows.select("t", quality.is_json(F.col("t")).alias("ok")).collect()}
+    assert [found[t] for t in good] == [True] * 6 + [None]
+    assert [found[t] for t in bad] == [False] * len(bad)
+
+
+def test_stored_times_are_read_by_month(spark, tmp_path):
+    paid = [dt.datetime(2024, m, 28, 23, 59) for m in range(1, 7)]
+    rows = [dict(payment_id=i, permit_id=0, amount=Decimal(i), payment_method="cash", status="success",
+                 paid_at=t) for i, t in enumerate(paid)]
+    store = filled_store(spark, tmp_path / "s")
+    write_path.append(store, "payments", frame(spark, "payments", rows), now=NOW)
+    parquet.write_table(frame(spark, "payments", rows), f"{tmp_path}/p/payments", "payments")
+    for reg in (store.registry(), parquet.open_registry(spark, f"{tmp_path}/p", ["payments"])):
+        within = reg.between("payments", dt.date(2024, 2, 1), dt.date(2024, 3, 31))
+        assert sorted(r.payment_id for r in within.collect()) == [1, 2]
+        assert within.columns == list(TABLES["payments"].columns)
+        plan = within._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^]]*stored_month#\d+ >= 2024-02-01", plan), plan
+        assert reg.between("payments").count() == 6
+
+
+def test_ids_leave_nothing_behind(spark):
+    """The checkpoint of the numbered rows goes when nothing refers to it any more."""
+    folder = spark.sparkContext.getCheckpointDir()
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def left():
+        return {f.getPath().getName() for f in files.listStatus(hadoop)} if files.exists(hadoop) else set()
+
+    gc.collect()
+    before = left()
+    assign_ids(spark.range(100), "n", ["id"]).count()
+    for _ in range(40):
+        gc.collect()
+        spark._jvm.System.gc()
+        if left() <= before:
+            break
+        time.sleep(0.25)
+    assert left() <= before
+
+
+def test_database_writer_options():
+    options = postgres.write_options("permits", 8)
+    assert options["dbtable"] == "permits" and options["numPartitions"] == "8"
+    assert options["stringtype"] == "unspecified" and int(options["batchsize"]) > 100
 
 
 def test_catalog_round_trip(spark):
