@@ -21,7 +21,9 @@ their cells; only their sums, of fewer than 1 / HEAVY contexts, are gathered and
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +43,7 @@ HEAVY = 1e-5
 BLOCK = 12 << 20  # bytes of text in a chunk, about
 # Bits of a hash that travel, besides those that a bucket stands for. Words are told apart by
 # WORD_BITS, contexts by CONTEXT_BITS, the symbols after one context by NEXT_BITS.
-WORD_BITS, CONTEXT_BITS, NEXT_BITS = 48, 36, 28
+WORD_BITS, CONTEXT_BITS, NEXT_BITS = 48, 36, 24
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -50,24 +52,35 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, by byte planes and compressed: leading zeros cost nothing."""
+    """Arrays of whole numbers of one length, in byte planes and compressed.
+
+    Each has as many bytes for a number as its largest one needs.
+    """
     import zstandard
 
-    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays]
-    head = np.array([len(arrays[0])], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
+    head, planes = [len(arrays[0]), len(arrays)], []
+    for array in arrays:
+        top = int(array.max(initial=0))
+        width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+        narrow = np.ascontiguousarray(array.astype(f"<u{width}"))
+        head.append(width)
+        planes.append(narrow.view(np.uint8).reshape(len(array), width).T.tobytes())
+    first = np.array(head, "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(first + b"".join(planes))
 
 
-def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+def unpacked(data: bytes) -> list[np.ndarray]:
+    """The arrays, as unsigned numbers of their widths."""
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(bytes(data))
-    n, at, arrays = int(np.frombuffer(raw, "<i8", 1)[0]), 8, []
-    for kind in map(np.dtype, kinds):
-        size = n * kind.itemsize
-        planes = np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, n)
-        arrays.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
-        at += size
+    n, n_arrays = np.frombuffer(raw, "<i8", 2).tolist()
+    widths = np.frombuffer(raw, "<i8", n_arrays, 16).tolist()
+    at, arrays = 16 + 8 * n_arrays, []
+    for width in widths:
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        arrays.append(np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(n))
+        at += n * width
     return arrays
 
 
@@ -96,12 +109,13 @@ def encode(documents: DataFrame) -> DataFrame:
 
         part = TaskContext.get().partitionId() << 32
         for number, batch in enumerate(small_batches(batches, "text", BLOCK)):
-            known: dict[bytes, int] = {}
+            # A word's number is that of its first place in the chunk.
+            known: defaultdict[bytes, int] = defaultdict(itertools.count(1).__next__)
             lengths, tokens = [], []
             for text in encoded(batch):
                 own = text.lower().split()
                 lengths.append(len(own))
-                tokens += [known.setdefault(word, len(known) + 1) for word in own]
+                tokens.extend(map(known.__getitem__, own))
             learns = np.array(batch.column(2).to_pylist(), np.int64)
             counts = np.array(lengths, np.int64)
             words = zstandard.ZstdCompressor(level=1).compress(b" ".join(known))
@@ -132,8 +146,9 @@ class Chunk:
 
         words = zstandard.ZstdDecompressor().decompress(bytes(row["words"])).split()
         self.hashes = np.array([1, *[xxhash.xxh64_intdigest(w) for w in words]], np.uint64)
-        self.lengths, learns = unpacked(row["docs"], "i8", "i8")
-        (tokens,) = unpacked(row["tokens"], "i4")
+        lengths, learns = unpacked(row["docs"])
+        self.lengths = lengths.astype(np.int64)
+        (tokens,) = unpacked(row["tokens"])
         sizes = self.lengths + DEPTH + 1
         starts = np.cumsum(sizes) - sizes
         stream = np.zeros(int(sizes.sum()), np.int32)
@@ -263,7 +278,7 @@ def _quantised(chance: np.ndarray) -> np.ndarray:
 
 def merge_words(rows: pd.DataFrame) -> pd.DataFrame:
     """Adds up the counts of one bucket's words and answers every chunk in its own order."""
-    asked = [unpacked(d, "u8", "u4") for d in rows["data"]]
+    asked = [unpacked(d) for d in rows["data"]]
     words = np.concatenate([np.cumsum(w, dtype=np.uint64) for w, _ in asked])
     first, rank = _grouped(words)
     total = np.bincount(rank, np.concatenate([n for _, n in asked]), len(first)).astype(np.int64)
@@ -311,7 +326,7 @@ def merge_cells(rows: pd.DataFrame) -> pd.DataFrame:
     Answers: the count of the cell, and the count and kinds of its context, 0 if it is not
     kept. Heavy contexts have cells elsewhere; their sums go on as rows of their own.
     """
-    asked = [unpacked(d, "u8", "u4", "u4", "u1", "u1") for d in rows["data"]]
+    asked = [unpacked(d) for d in rows["data"]]
     context = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
     following = np.concatenate([a[1] for a in asked]).astype(np.uint64)
     first, rank = _grouped(context << np.uint64(NEXT_BITS) | following)
@@ -368,8 +383,9 @@ def score_documents(documents: DataFrame) -> DataFrame:
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Kept by chunk on the executors' disks; what is lost with one is computed again.
-    chunks = encode(docs).repartition(n_parts, "chunk").persist(StorageLevel.DISK_ONLY)
+    # Kept by chunk in the executors' memory, or on their disks where that is full; what is
+    # lost with one of them is computed again.
+    chunks = encode(docs).repartition(n_parts, "chunk").persist(StorageLevel.MEMORY_AND_DISK)
     n_buckets = max(8, chunks.count())
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +406,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     words = (
         chunks.mapInArrow(ask_words, _UP).groupBy("bucket")
         .applyInPandas(merge_words, f"{_UP}, tokens bigint, known bigint, once bigint, twice bigint")
-        .persist(StorageLevel.DISK_ONLY)
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     tokens, known, once, twice = words.agg(*[F.sum(c) for c in ("tokens", "known", "once", "twice")]).first()
     totals = Totals(
@@ -408,13 +424,14 @@ def score_documents(documents: DataFrame) -> DataFrame:
             by.setdefault(depth, []).append(bytes(data))
         order, _ = _word_order(chunk, n_buckets)
         counts = np.zeros(len(order), np.int64)
-        counts[order] = np.concatenate([unpacked(data, "i8")[0] for data in by[0]])
+        counts[order] = np.concatenate([unpacked(data)[0] for data in by[0]])
         walk = Walk(chunk, counts, totals, n_buckets)
         for depth, found in enumerate(heavies, 1):
             cells, _ = walk.ask()
-            parts = [unpacked(data, "i8", "i8", "i8") for data in by.get(depth, [])]
+            parts = [unpacked(data) for data in by.get(depth, [])]
             n, total, kinds = (
-                np.concatenate([np.zeros(0, np.int64), *[p[i] for p in parts]]) for i in range(3)
+                np.concatenate([np.zeros(0, np.int64), *[p[i] for p in parts]]).astype(np.int64)
+                for i in range(3)
             )
             some = np.flatnonzero(cells["heavy"])
             for i, context in zip(some.tolist(), cells["context"][some].tolist(), strict=True):
@@ -451,7 +468,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         merged = (
             together(ask_cells, _UP).groupBy("bucket").applyInPandas(merge_cells, f"{_UP}, {_SUMS}")
-            .persist(StorageLevel.DISK_ONLY)
+            .persist(StorageLevel.MEMORY_AND_DISK)
         )
         sums = ("total", "kinds", "told", "repeated")
         rows = merged.filter("chunk = -1").groupBy("context").agg(*[F.sum(c).alias(c) for c in sums]).collect()
