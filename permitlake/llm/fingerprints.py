@@ -104,7 +104,7 @@ def with_following(documents: DataFrame) -> DataFrame:
     return (
         _bucketed(docs, bounds)
         .select("doc_id", "text", F.inline(spread).alias("extra", "range"))
-        .repartition(n, "range")
+        .repartitionById(n, F.col("range"))
         .sortWithinPartitions("range", "extra", "doc_id", "text")
         .select("doc_id", "text", "extra", "range")
     )
