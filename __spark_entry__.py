@@ -201,6 +201,8 @@ def _rule_tables(reg: Registry) -> dict[str, DataFrame]:
         "permits": {
             "permit_year": F.when(key["permits"] % 1009 != 0, F.col("permit_year")),
             "status": F.when(key["permits"] % 1013 == 0, "lost").otherwise(F.col("status")),
+            "business_id": F.when(key["permits"] % 1031 == 0, -F.col("business_id"))
+            .otherwise(F.col("business_id")),
         },
         "payments": {
             "mpesa_code": F.when(
@@ -211,11 +213,17 @@ def _rule_tables(reg: Registry) -> dict[str, DataFrame]:
             "payment_method": F.when(F.col("permit_id") % 997 == 0, "cheque").otherwise(
                 F.col("payment_method")
             ),
+            "permit_id": F.when(F.col("permit_id") % 991 == 0, -F.col("permit_id"))
+            .otherwise(F.col("permit_id")),
         },
         "inspections": {
             "latitude": (key["inspections"] % 199 - 99).cast("double"),
             "longitude": (key["inspections"] % 367 - 183).cast("double"),
             "status": F.when(key["inspections"] % 1019 == 0, "late").otherwise(F.col("status")),
+            "business_id": F.when(key["inspections"] % 1033 == 0, -key["inspections"])
+            .otherwise(F.col("business_id")),
+            "inspector_id": F.when(key["inspections"] % 1039 == 0, -key["inspections"])
+            .otherwise(F.col("inspector_id")),
             "inspection_id": F.when(key["inspections"] % 211 == 0, key["inspections"] - 1).when(
                 key["inspections"] % 503 != 0, key["inspections"]
             ),
