@@ -4,9 +4,10 @@ Symbols are the tokens of the training documents and one more for all unknown to
 tree's contexts are the up to DEPTH tokens before a symbol, the end token standing for what
 is before a text. A context is kept if it occurs at least twice and its next-symbol
 distribution diverges from that of its suffix: if the counts, each occurrence left out in
-turn, predict the training data better than the suffix does, by GAIN nats. A kept context's
-distribution is smoothed towards its suffix's, down to the root's discounted token shares,
-so each is a proper distribution. A text is scored token by token in the state of its longest
+turn, predict the training data better than the suffix does, by GAIN nats. In a kept
+context, symbols seen at least twice have their counts, and as much weight as there are
+different symbols goes to the suffix's distribution, down to the root's discounted token
+shares; so each is a proper distribution. A text is scored token by token in the state of its longest
 kept suffix.
 
 The tree grows with the corpus, so it is never in one place. Documents are encoded in chunks
@@ -24,7 +25,7 @@ import dataclasses
 import itertools
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,8 +43,9 @@ GAIN = 3.0
 HEAVY = 1e-5
 BLOCK = 12 << 20  # bytes of text in a chunk, about
 # Bits of a hash that travel, besides those that a bucket stands for. Words are told apart by
-# WORD_BITS, contexts by CONTEXT_BITS, the symbols after one context by NEXT_BITS.
-WORD_BITS, CONTEXT_BITS, NEXT_BITS = 48, 36, 24
+# WORD_BITS, contexts by CONTEXT_BITS, the symbols after one context by NEXT_BITS: fewer for
+# longer contexts, which have fewer symbols.
+WORD_BITS, CONTEXT_BITS, NEXT_BITS = 48, 36, (24, 16)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -216,8 +218,7 @@ class Walk:
         self.chunk, self.totals, self.n_buckets = chunk, totals, n_buckets
         self.counts = counts
         self.chance = totals.root(counts)[chunk.symbol]
-        following = np.maximum(_top(chunk.hashes, NEXT_BITS), np.uint64(1))
-        self.following = np.where(counts > 0, following, np.uint64(0))[chunk.symbol]
+        self.known = (counts > 0)[chunk.symbol]
         self.context = np.full(len(chunk.symbol), np.uint64(7))
         self.depth = 0
         # How often the context of the next depth occurs in training; below 2 it is not kept.
@@ -225,33 +226,41 @@ class Walk:
         self.alive = self.times >= 2
 
     def ask(self) -> tuple[dict[str, np.ndarray], list[tuple[int, slice]]]:
-        """The cells of the next depth, bucket by bucket: context, symbol, count, chance."""
+        """The cells of the next depth, bucket by bucket: context, symbol, count, chance.
+
+        Symbols that cannot have been seen twice after the context share the symbol 0.
+        """
+        bits = NEXT_BITS[self.depth]
         token = self.chunk.hashes[self.chunk.before[self.depth]]
         self.context = _mixed(token, self.context)
         self.at = at = np.flatnonzero(self.alive)
-        short = _top(self.context[at], CONTEXT_BITS) << np.uint64(NEXT_BITS)
-        first, rank = _grouped(short | self.following[at])
+        names = np.maximum(_top(self.chunk.hashes, bits), np.uint64(1))
+        symbol = np.where(self.known[at], names[self.chunk.symbol[at]], np.uint64(0))
+        short = _top(self.context[at], CONTEXT_BITS) << np.uint64(bits)
+        first, rank = _grouped(short | symbol)
         heavy = self.times[at[first]] > HEAVY * self.totals.tokens
-        context, following = self.context[at[first]], self.following[at[first]]
+        context, symbol = self.context[at[first]], symbol[first]
         # A heavy context's cells are dealt by themselves, all others with their context.
-        spread = np.where(heavy, _mixed(context, following), context)
+        full = self.chunk.hashes[self.chunk.symbol[at[first]]]
+        spread = np.where(heavy, _mixed(context, np.where(symbol > 0, full, symbol)), context)
         order, parts = _dealt(_bucket(spread, self.n_buckets))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.rank = place[rank]
         n = np.bincount(self.rank, self.chunk.learns[at], len(order)).astype(np.uint32)
         return {
-            "context": _top(context[order], CONTEXT_BITS), "next": following[order], "n": n,
+            "context": _top(context[order], CONTEXT_BITS), "next": symbol[order], "n": n,
             "chance": self.chance[at[first[order]]], "heavy": heavy[order],
         }, parts
 
-    def step(self, n: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> None:
-        """Go down one depth with the cells' numbers; total is 0 where nothing is kept."""
-        n, total, kinds = n[self.rank], total[self.rank], kinds[self.rank]
-        kept = total > 0
+    def step(self, n: np.ndarray, repeated: np.ndarray, kinds: np.ndarray) -> None:
+        """Go down one depth with the cells' numbers; kinds is 0 where nothing is kept."""
+        n, repeated, kinds = n[self.rank], repeated[self.rank], kinds[self.rank]
+        kept = kinds > 0
         at = self.at[kept]
-        below = total[kept] + kinds[kept]
-        self.chance[at] = n[kept] / below + kinds[kept] / below * self.chance[at]
+        own = np.where(n >= 2, n, 0)[kept]
+        below = repeated[kept] + kinds[kept]
+        self.chance[at] = own / below + kinds[kept] / below * self.chance[at]
         self.depth += 1
         if self.depth < DEPTH:
             # The longer context's count is that of the cell one position earlier, whose
@@ -265,12 +274,22 @@ class Walk:
             self.times = times
             self.alive = self.alive & (times >= 2)
             # After a context with one symbol only, so has every longer one.
-            self.alive[self.at[(kinds == 1)]] = False
+            self.alive[self.at[kinds == 1]] = False
+            # What the shorter context has seen once at most, no longer one has seen twice.
+            self.known[self.at] = n >= 2
 
 
 def _quantised(chance: np.ndarray) -> np.ndarray:
-    """A chance as a byte: the logarithm in thirds of a bit, enough for the test."""
-    return np.clip(np.round(-3 * np.log2(chance)), 0, 255).astype(np.uint8)
+    """A chance as a byte: its logarithm to a bit, enough for the test."""
+    return np.clip(np.round(-np.log2(chance)), 0, 255).astype(np.uint8)
+
+
+def _first_of(contexts: np.ndarray, parts: list[tuple[int, slice]]) -> np.ndarray:
+    """For each cell the first of its context in its bucket."""
+    new = np.ones(len(contexts), bool)
+    new[1:] = contexts[1:] != contexts[:-1]
+    new[[p.start for _, p in parts]] = True
+    return np.maximum.accumulate(np.where(new, np.arange(len(contexts)), 0))
 
 
 # --- buckets ----------------------------------------------------------------------------
@@ -294,70 +313,85 @@ def merge_words(rows: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def gains(n, chance, number, size: int) -> tuple[np.ndarray, ...]:
-    """Sums over the seen cells of each context: n, kinds, and the parts of the gain."""
+def gains(n, chance, named, number, size: int) -> tuple[np.ndarray, ...]:
+    """Sums over the seen cells of each context: all counts, different symbols, counts of
+    two and more, and the told part of the gain. A cell that is not `named` has symbols seen
+    once, as many as it counts."""
     seen = n > 0
-    c, n, chance = number[seen], n[seen].astype(float), chance[seen]
-    many = n >= 2
+    c, n, chance, named = number[seen], n[seen].astype(float), chance[seen], named[seen]
+    many = named & (n >= 2)
 
     def add(values):
         return np.bincount(c, values, size)
 
     logs = np.log(np.maximum(n - 1, 1)) - np.log(chance)
     return (
-        add(n), add(np.ones(len(n))), add(np.where(many, n * logs, 0)), add(np.where(many, n, 0))
+        add(n), add(np.where(named, 1.0, n)), add(np.where(many, n, 0)),
+        add(np.where(many, n * logs, 0)),
     )
 
 
-def keeps(total, kinds, told, repeated) -> np.ndarray:
+def keeps(total, kinds, repeated, told) -> np.ndarray:
     """The test: does a context predict better than its suffix, each occurrence left out?
 
-    A symbol seen n times has then n - 1 of total - 1 + kinds; one seen once has only what
-    the smoothing leaves to the suffix.
+    A symbol seen n times, two or more, has then n - 1 of repeated - 1 + kinds; one seen once
+    has only what the smoothing leaves to the suffix.
     """
-    below = np.maximum(total - 1 + kinds, 1)
-    gain = told - repeated * np.log(below) + (total - repeated) * np.log(np.maximum(kinds, 1e-9) / below)
-    return (total >= 2) & (gain >= GAIN)
+    below = np.maximum(repeated - 1 + kinds, 1)
+    once = (total - repeated) * np.log(np.maximum(kinds, 1) / below)
+    return (repeated >= 2) & (told - repeated * np.log(below) + once >= GAIN)
+
 
+SUMS = ("total", "kinds", "repeated", "told")
 
-def merge_cells(rows: pd.DataFrame) -> pd.DataFrame:
+
+def merge_cells(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
     """Adds up one bucket's cells, tests its contexts, and answers every chunk in its order.
 
-    Answers: the count of the cell, and the count and kinds of its context, 0 if it is not
-    kept. Heavy contexts have cells elsewhere; their sums go on as rows of their own.
+    Answers: the count of the cell, and, at the first cell of a context, its repeated count
+    and kinds, 0 if it is not kept. Heavy contexts have cells elsewhere; their sums go on as
+    rows of their own.
     """
     asked = [unpacked(d) for d in rows["data"]]
     context = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
     following = np.concatenate([a[1] for a in asked]).astype(np.uint64)
-    first, rank = _grouped(context << np.uint64(NEXT_BITS) | following)
+    first, rank = _grouped(context << np.uint64(bits) | following)
     total = np.bincount(rank, np.concatenate([a[2] for a in asked]), len(first)).astype(np.int64)
-    chance = 2.0 ** (-np.concatenate([a[3] for a in asked])[first].astype(float) / 3)
+    chance = 2.0 ** -np.concatenate([a[3] for a in asked])[first].astype(float)
     heavy = np.concatenate([a[4] for a in asked])[first].astype(bool)
     # Cells are in order of their context.
     of = context[first]
     new = np.ones(len(of), bool)
     new[1:] = of[1:] != of[:-1]
     number, contexts = np.cumsum(new) - 1, of[new]
-    sums = gains(total, chance, number, len(contexts))
+    sums = gains(total, chance, following[first] > 0, number, len(contexts))
     held = np.zeros(len(contexts), bool)
     held[number[heavy]] = True
     kept = keeps(*sums) & ~held
-    of_context = np.where(kept, sums[0], 0).astype(np.int64)[number]
+    repeated = np.where(kept, sums[2], 0).astype(np.int64)[number]
     kinds = np.where(kept, sums[1], 0).astype(np.int64)[number]
     cuts = np.cumsum([len(a[0]) for a in asked])[:-1]
-    answers = [packed(total[p], of_context[p], kinds[p]) for p in np.split(rank, cuts)]
+    answers = []
+    for (deltas, *_), place in zip(asked, np.split(rank, cuts), strict=True):
+        starts = deltas > 0
+        starts[:1] = True
+        answers.append(packed(total[place], repeated[place] * starts, kinds[place] * starts))
     out = pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "data": answers})
     some = np.flatnonzero(held)
     extra = pd.DataFrame({
         "chunk": np.full(len(some), -1), "bucket": rows["bucket"].iloc[0], "data": None,
         "context": contexts[some].view(np.int64),
-        **{name: sums[i][some] for i, name in enumerate(("total", "kinds", "told", "repeated"))},
+        **{name: sums[i][some] for i, name in enumerate(SUMS)},
     })
-    return pd.concat([out.assign(context=0, total=0.0, kinds=0.0, told=0.0, repeated=0.0), extra])
+    return pd.concat([out.assign(context=0, **dict.fromkeys(SUMS, 0.0)), extra])
+
+
+def _merger(bits: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda rows: merge_cells(rows, bits)
 
 
 _UP = "chunk bigint, bucket bigint, data binary"
-_SUMS = "context bigint, total double, kinds double, told double, repeated double"
+_SUMS = "context bigint, total double, kinds double, repeated double, told double"
 
 
 def _word_order(chunk: Chunk, n_buckets: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
@@ -427,16 +461,18 @@ def score_documents(documents: DataFrame) -> DataFrame:
         counts[order] = np.concatenate([unpacked(data)[0] for data in by[0]])
         walk = Walk(chunk, counts, totals, n_buckets)
         for depth, found in enumerate(heavies, 1):
-            cells, _ = walk.ask()
-            parts = [unpacked(data) for data in by.get(depth, [])]
-            n, total, kinds = (
-                np.concatenate([np.zeros(0, np.int64), *[p[i] for p in parts]]).astype(np.int64)
+            cells, parts = walk.ask()
+            told = [unpacked(data) for data in by.get(depth, [])]
+            n, repeated, kinds = (
+                np.concatenate([np.zeros(0, np.int64), *[t[i] for t in told]]).astype(np.int64)
                 for i in range(3)
             )
+            first = _first_of(cells["context"], parts)
+            repeated, kinds = repeated[first], kinds[first]
             some = np.flatnonzero(cells["heavy"])
             for i, context in zip(some.tolist(), cells["context"][some].tolist(), strict=True):
-                total[i], kinds[i] = found.get(context, (0, 0))
-            walk.step(n, total, kinds)
+                repeated[i], kinds[i] = found.get(context, (0, 0))
+            walk.step(n, repeated, kinds)
         return walk
 
     def each(rows: pd.DataFrame, replies: pd.DataFrame) -> Iterator[tuple]:
@@ -466,17 +502,21 @@ def score_documents(documents: DataFrame) -> DataFrame:
         ).applyInPandas(fn, schema)
 
     for depth in range(1, DEPTH + 1):
+        bits = NEXT_BITS[depth - 1]
         merged = (
-            together(ask_cells, _UP).groupBy("bucket").applyInPandas(merge_cells, f"{_UP}, {_SUMS}")
+            together(ask_cells, _UP).groupBy("bucket")
+            .applyInPandas(_merger(bits), f"{_UP}, {_SUMS}")
             .persist(StorageLevel.MEMORY_AND_DISK)
         )
-        sums = ("total", "kinds", "told", "repeated")
-        rows = merged.filter("chunk = -1").groupBy("context").agg(*[F.sum(c).alias(c) for c in sums]).collect()
-        found = {}
-        for row in rows:
-            if keeps(*[np.array([row[c]]) for c in sums])[0]:
-                found[row["context"]] = (row["total"], row["kinds"])
-        heavies.append(found)
+        rows = merged.filter("chunk = -1").groupBy("context").agg(
+            *[F.sum(c).alias(c) for c in SUMS]
+        ).collect()
+        sums = [np.array([row[c] for row in rows]) for c in SUMS]
+        kept = keeps(*sums) if rows else []
+        heavies.append({
+            row["context"]: (row["repeated"], row["kinds"])
+            for row, keep in zip(rows, kept, strict=True) if keep
+        })
         answers.append(
             merged.filter("chunk >= 0").select("chunk", "bucket", "data", F.lit(depth).alias("depth"))
         )

@@ -68,8 +68,9 @@ def _brute_chances(training, depth=lm_scoring.DEPTH):
         )
         if not seen or settled or not kept(context):
             return below
-        n, kinds = sum(seen.values()), len(seen)
-        return (seen.get(symbol, 0) + kinds * below) / (n + kinds)
+        kinds, repeated = len(seen), sum(n for n in seen.values() if n > 1)
+        own = seen.get(symbol, 0)
+        return ((own if own > 1 else 0) + kinds * below) / (repeated + kinds)
 
     known = {}
 
@@ -82,8 +83,8 @@ def _brute_chances(training, depth=lm_scoring.DEPTH):
                 known[context] = False
             else:
                 below = np.array([chance(context, s, len(context) - 1) for s in seen])
-                below = 2.0 ** (-lm_scoring._quantised(below).astype(float) / 3)
-                sums = lm_scoring.gains(n, below, np.zeros(len(n), np.int64), 1)
+                below = 2.0 ** (-lm_scoring._quantised(below).astype(float))
+                sums = lm_scoring.gains(n, below, np.ones(len(n), bool), np.zeros(len(n), np.int64), 1)
                 known[context] = bool(lm_scoring.keeps(*sums)[0])
         return known[context]
 
