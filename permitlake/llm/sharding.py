@@ -171,7 +171,9 @@ def shard_documents(documents: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     )
     group = ["size", "text_crc32", "text_hash", "missing"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "lang", "source"))
-    groups = rows.groupBy(*group).agg(first.alias("first")).select(
+    # Grouped by one more column, so that the join below shuffles both of its sides itself:
+    # only then can adaptive execution split a group that holds a large share of the rows.
+    groups = rows.groupBy(*group, F.hash("text_hash").alias("h")).agg(first.alias("first")).select(
         *group, F.col("first.lang").alias("group_lang"), F.col("first.source").alias("group_source"),
         F.col("first.doc_id").alias("group_id"),
     )
