@@ -15,8 +15,9 @@ of about BLOCK bytes, each with its own dictionary, and kept by chunk. For every
 chunk sends its distinct (context, next) cells to buckets of contexts; a bucket adds up the
 counts of all chunks, tests the contexts, and sends each chunk the numbers of the cells that
 it asked for. What is sent is bounded by a chunk's own text, a bucket by the number of
-buckets. Contexts that make up more than HEAVY of all tokens are spread over buckets by
-their cells; only their sums, of fewer than 1 / HEAVY contexts, are gathered and broadcast.
+buckets. Contexts that make up more than HEAVY of all tokens are cut by their symbols, into parts
+of about that weight; only their sums, of fewer than 1 / HEAVY contexts, are gathered and
+broadcast.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ HELD_OUT = 2
 DEPTH = 2
 GAIN = 3.0
 HEAVY = 1e-5
-BLOCK = 12 << 20  # bytes of text in a chunk, about
+BLOCK = 8 << 20  # bytes of text in a chunk, about
 # Bits of a hash that travel, besides those that a bucket stands for. Words are told apart by
 # WORD_BITS, contexts by CONTEXT_BITS, the symbols after one context by NEXT_BITS: fewer for
 # longer contexts, which have fewer symbols.
@@ -238,12 +239,14 @@ class Walk:
         symbol = np.where(self.known[at], names[self.chunk.symbol[at]], np.uint64(0))
         short = _top(self.context[at], CONTEXT_BITS) << np.uint64(bits)
         first, rank = _grouped(short | symbol)
-        heavy = self.times[at[first]] > HEAVY * self.totals.tokens
         context, symbol = self.context[at[first]], symbol[first]
-        # A heavy context's cells are dealt by themselves, all others with their context.
-        full = self.chunk.hashes[self.chunk.symbol[at[first]]]
-        spread = np.where(heavy, _mixed(context, np.where(symbol > 0, full, symbol)), context)
-        order, parts = _dealt(_bucket(spread, self.n_buckets))
+        # A heavy context is cut by its symbols into as many parts as it has the weight for;
+        # each part goes to a bucket of its own.
+        cuts = (self.times[at[first]] / max(HEAVY * self.totals.tokens, 1)).astype(np.uint64)
+        heavy = cuts > 0
+        full = self.chunk.hashes[self.chunk.symbol[at[first]]] >> np.uint64(11)
+        part = np.where(symbol > 0, full, np.uint64(0)) % (cuts + np.uint64(1))
+        order, parts = _dealt(_bucket(_mixed(context, part), self.n_buckets))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.rank = place[rank]
@@ -420,7 +423,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     # Kept by chunk in the executors' memory, or on their disks where that is full; what is
     # lost with one of them is computed again.
     chunks = encode(docs).repartition(n_parts, "chunk").persist(StorageLevel.MEMORY_AND_DISK)
-    n_buckets = max(8, chunks.count())
+    n_buckets = max(8, -(-chunks.count() // 2))
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
