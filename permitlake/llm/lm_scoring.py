@@ -237,6 +237,7 @@ class Walk:
         self.at = at = np.flatnonzero(self.alive)
         names = np.maximum(_top(self.chunk.hashes, bits), np.uint64(1))
         symbol = np.where(self.known[at], names[self.chunk.symbol[at]], np.uint64(0))
+        self.named = symbol > 0
         short = _top(self.context[at], CONTEXT_BITS) << np.uint64(bits)
         first, rank = _grouped(short | symbol)
         context, symbol = self.context[at[first]], symbol[first]
@@ -258,7 +259,9 @@ class Walk:
 
     def step(self, n: np.ndarray, repeated: np.ndarray, kinds: np.ndarray) -> None:
         """Go down one depth with the cells' numbers; kinds is 0 where nothing is kept."""
-        n, repeated, kinds = n[self.rank], repeated[self.rank], kinds[self.rank]
+        # A cell of unnamed symbols counts them all; none of them has been seen twice.
+        n = np.where(self.named, n[self.rank], 0)
+        repeated, kinds = repeated[self.rank], kinds[self.rank]
         kept = kinds > 0
         at = self.at[kept]
         own = np.where(n >= 2, n, 0)[kept]

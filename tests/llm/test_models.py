@@ -115,6 +115,19 @@ def test_tree_against_dictionaries(spark):
         assert sum(chance(history, s) for s in [*known, b"unknown"]) == pytest.approx(1)
 
 
+def test_tree_against_dictionaries_on_documents(spark):
+    rows_ = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").filter("doc_id < 150")
+    texts = {r["doc_id"]: r["text"] for r in rows_.collect()}
+    tokens = {i: [*t.encode().lower().split(), None] for i, t in texts.items()}
+    chance, _ = _brute_chances([own for i, own in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2])
+    for row in lm_scoring.score_documents(rows_).collect():
+        history, total = [None] * lm_scoring.DEPTH, 0.0
+        for symbol in tokens[row["doc_id"]]:
+            total += math.log10(chance(history, symbol))
+            history.append(symbol)
+        assert row["score"] == pytest.approx(total, rel=1e-6)
+
+
 def test_scores_of_odd_rows(spark):
     found = lm_scoring.score_documents(odd_documents(spark)).collect()
     assert len(found) == len(rows())
