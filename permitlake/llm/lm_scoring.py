@@ -5,9 +5,9 @@ tree's contexts are the up to DEPTH tokens before a symbol, the end token standi
 is before a text. A context is kept if it occurs at least twice and its next-symbol
 distribution diverges from that of its suffix: if the counts, each occurrence left out in
 turn, predict the training data better than the suffix does, by GAIN nats. In a kept
-context, symbols seen at least twice have their counts, and as much weight as there are
-different symbols goes to the suffix's distribution, down to the root's discounted token
-shares; so each is a proper distribution. A text is scored token by token in the state of its longest
+context, symbols have their counts (in one longer than a token, those seen at least twice),
+and as much weight as there are different symbols goes to the suffix's distribution, down to
+the root's discounted token shares; so each is a proper distribution. A text is scored token by token in the state of its longest
 kept suffix.
 
 The tree grows with the corpus, so it is never in one place. Documents are encoded in chunks
@@ -47,6 +47,7 @@ BLOCK = 8 << 20  # bytes of text in a chunk, about
 # WORD_BITS, contexts by CONTEXT_BITS, the symbols after one context by NEXT_BITS: fewer for
 # longer contexts, which have fewer symbols.
 WORD_BITS, CONTEXT_BITS, NEXT_BITS = 48, 36, (24, 16)
+LEAST = (1, 2)  # count from which a symbol has a share of its own, by depth
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -257,15 +258,15 @@ class Walk:
             "chance": self.chance[at[first[order]]], "heavy": heavy[order],
         }, parts
 
-    def step(self, n: np.ndarray, repeated: np.ndarray, kinds: np.ndarray) -> None:
+    def step(self, n: np.ndarray, counted: np.ndarray, kinds: np.ndarray) -> None:
         """Go down one depth with the cells' numbers; kinds is 0 where nothing is kept."""
         # A cell of unnamed symbols counts them all; none of them has been seen twice.
         n = np.where(self.named, n[self.rank], 0)
-        repeated, kinds = repeated[self.rank], kinds[self.rank]
+        counted, kinds = counted[self.rank], kinds[self.rank]
         kept = kinds > 0
         at = self.at[kept]
-        own = np.where(n >= 2, n, 0)[kept]
-        below = repeated[kept] + kinds[kept]
+        own = np.where(n >= LEAST[self.depth], n, 0)[kept]
+        below = counted[kept] + kinds[kept]
         self.chance[at] = own / below + kinds[kept] / below * self.chance[at]
         self.depth += 1
         if self.depth < DEPTH:
@@ -337,13 +338,14 @@ def gains(n, chance, named, number, size: int) -> tuple[np.ndarray, ...]:
     )
 
 
-def keeps(total, kinds, repeated, told) -> np.ndarray:
+def keeps(total, kinds, repeated, told, least: int) -> np.ndarray:
     """The test: does a context predict better than its suffix, each occurrence left out?
 
-    A symbol seen n times, two or more, has then n - 1 of repeated - 1 + kinds; one seen once
+    A symbol seen n times, two or more, has then n - 1 of counted - 1 + kinds; one seen once
     has only what the smoothing leaves to the suffix.
     """
-    below = np.maximum(repeated - 1 + kinds, 1)
+    counted = total if least == 1 else repeated
+    below = np.maximum(counted - 1 + kinds, 1)
     once = (total - repeated) * np.log(np.maximum(kinds, 1) / below)
     return (repeated >= 2) & (told - repeated * np.log(below) + once >= GAIN)
 
@@ -351,13 +353,14 @@ def keeps(total, kinds, repeated, told) -> np.ndarray:
 SUMS = ("total", "kinds", "repeated", "told")
 
 
-def merge_cells(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
+def merge_cells(rows: pd.DataFrame, depth: int) -> pd.DataFrame:
     """Adds up one bucket's cells, tests its contexts, and answers every chunk in its order.
 
-    Answers: the count of the cell, and, at the first cell of a context, its repeated count
-    and kinds, 0 if it is not kept. Heavy contexts have cells elsewhere; their sums go on as
+    Answers: the count of the cell, and, at the first cell of a context, what it counts in
+    all and its kinds, 0 if it is not kept. Heavy contexts have cells elsewhere; their sums go on as
     rows of their own.
     """
+    bits, least = NEXT_BITS[depth], LEAST[depth]
     asked = [unpacked(d) for d in rows["data"]]
     context = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
     following = np.concatenate([a[1] for a in asked]).astype(np.uint64)
@@ -373,15 +376,15 @@ def merge_cells(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
     sums = gains(total, chance, following[first] > 0, number, len(contexts))
     held = np.zeros(len(contexts), bool)
     held[number[heavy]] = True
-    kept = keeps(*sums) & ~held
-    repeated = np.where(kept, sums[2], 0).astype(np.int64)[number]
+    kept = keeps(*sums, least) & ~held
+    counted = np.where(kept, sums[0 if least == 1 else 2], 0).astype(np.int64)[number]
     kinds = np.where(kept, sums[1], 0).astype(np.int64)[number]
     cuts = np.cumsum([len(a[0]) for a in asked])[:-1]
     answers = []
     for (deltas, *_), place in zip(asked, np.split(rank, cuts), strict=True):
         starts = deltas > 0
         starts[:1] = True
-        answers.append(packed(total[place], repeated[place] * starts, kinds[place] * starts))
+        answers.append(packed(total[place], counted[place] * starts, kinds[place] * starts))
     out = pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "data": answers})
     some = np.flatnonzero(held)
     extra = pd.DataFrame({
@@ -392,8 +395,8 @@ def merge_cells(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
     return pd.concat([out.assign(context=0, **dict.fromkeys(SUMS, 0.0)), extra])
 
 
-def _merger(bits: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    return lambda rows: merge_cells(rows, bits)
+def _merger(depth: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda rows: merge_cells(rows, depth)
 
 
 _UP = "chunk bigint, bucket bigint, data binary"
@@ -469,16 +472,16 @@ def score_documents(documents: DataFrame) -> DataFrame:
         for depth, found in enumerate(heavies, 1):
             cells, parts = walk.ask()
             told = [unpacked(data) for data in by.get(depth, [])]
-            n, repeated, kinds = (
+            n, counted, kinds = (
                 np.concatenate([np.zeros(0, np.int64), *[t[i] for t in told]]).astype(np.int64)
                 for i in range(3)
             )
             first = _first_of(cells["context"], parts)
-            repeated, kinds = repeated[first], kinds[first]
+            counted, kinds = counted[first], kinds[first]
             some = np.flatnonzero(cells["heavy"])
             for i, context in zip(some.tolist(), cells["context"][some].tolist(), strict=True):
-                repeated[i], kinds[i] = found.get(context, (0, 0))
-            walk.step(n, repeated, kinds)
+                counted[i], kinds[i] = found.get(context, (0, 0))
+            walk.step(n, counted, kinds)
         return walk
 
     def each(rows: pd.DataFrame, replies: pd.DataFrame) -> Iterator[tuple]:
@@ -508,19 +511,19 @@ def score_documents(documents: DataFrame) -> DataFrame:
         ).applyInPandas(fn, schema)
 
     for depth in range(1, DEPTH + 1):
-        bits = NEXT_BITS[depth - 1]
+        least = LEAST[depth - 1]
         merged = (
             together(ask_cells, _UP).groupBy("bucket")
-            .applyInPandas(_merger(bits), f"{_UP}, {_SUMS}")
+            .applyInPandas(_merger(depth - 1), f"{_UP}, {_SUMS}")
             .persist(StorageLevel.MEMORY_AND_DISK)
         )
         rows = merged.filter("chunk = -1").groupBy("context").agg(
             *[F.sum(c).alias(c) for c in SUMS]
         ).collect()
         sums = [np.array([row[c] for row in rows]) for c in SUMS]
-        kept = keeps(*sums) if rows else []
+        kept = keeps(*sums, least) if rows else []
         heavies.append({
-            row["context"]: (row["repeated"], row["kinds"])
+            row["context"]: (row["total" if least == 1 else "repeated"], row["kinds"])
             for row, keep in zip(rows, kept, strict=True) if keep
         })
         answers.append(

@@ -68,9 +68,10 @@ def _brute_chances(training, depth=lm_scoring.DEPTH):
         )
         if not seen or settled or not kept(context):
             return below
-        kinds, repeated = len(seen), sum(n for n in seen.values() if n > 1)
+        least = lm_scoring.LEAST[deepest - 1]
+        kinds, counted = len(seen), sum(n for n in seen.values() if n >= least)
         own = seen.get(symbol, 0)
-        return ((own if own > 1 else 0) + kinds * below) / (repeated + kinds)
+        return ((own if own >= least else 0) + kinds * below) / (counted + kinds)
 
     known = {}
 
@@ -85,7 +86,7 @@ def _brute_chances(training, depth=lm_scoring.DEPTH):
                 below = np.array([chance(context, s, len(context) - 1) for s in seen])
                 below = 2.0 ** (-lm_scoring._quantised(below).astype(float))
                 sums = lm_scoring.gains(n, below, np.ones(len(n), bool), np.zeros(len(n), np.int64), 1)
-                known[context] = bool(lm_scoring.keeps(*sums)[0])
+                known[context] = bool(lm_scoring.keeps(*sums, lm_scoring.LEAST[len(context) - 1])[0])
         return known[context]
 
     return lambda history, symbol: chance(history, symbol, depth), set(counts)
