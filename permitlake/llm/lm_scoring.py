@@ -7,17 +7,19 @@ distribution diverges from that of its suffix: if the counts, each occurrence le
 turn, predict the training data better than the suffix does, by GAIN nats. In a kept
 context, symbols have their counts (in one longer than a token, those seen at least twice),
 and as much weight as there are different symbols goes to the suffix's distribution, down to
-the root's discounted token shares; so each is a proper distribution. A text is scored token by token in the state of its longest
-kept suffix.
+the root's discounted token shares; so each is a proper distribution. A text is scored token
+by token in the state of its longest kept suffix.
 
 The tree grows with the corpus, so it is never in one place. Documents are encoded in chunks
 of about BLOCK bytes, each with its own dictionary, and kept by chunk. For every depth, a
 chunk sends its distinct (context, next) cells to buckets of contexts; a bucket adds up the
 counts of all chunks, tests the contexts, and sends each chunk the numbers of the cells that
 it asked for. What is sent is bounded by a chunk's own text, a bucket by the number of
-buckets. Contexts that make up more than HEAVY of all tokens are cut by their symbols, into parts
-of about that weight; only their sums, of fewer than 1 / HEAVY contexts, are gathered and
-broadcast.
+buckets. Contexts that make up more than HEAVY of all tokens are cut by their symbols, into
+parts of about that weight; only their sums, of fewer than 1 / HEAVY contexts, are gathered
+and broadcast.
+
+Chunks and answers are persisted until the session ends or clears its cache.
 """
 
 from __future__ import annotations
