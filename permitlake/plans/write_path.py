@@ -24,7 +24,7 @@ from permitlake.operators.quality import (
 from permitlake.registry import Registry
 from permitlake.schemas import TABLES
 from permitlake.session import shared_dir
-from permitlake.sources.store import Store, Version
+from permitlake.sources.store import Store
 
 # Tables whose changes are logged.
 AUDITED = ("businesses", "permits", "payments")
@@ -229,6 +229,6 @@ def refused_deletes(registry: Registry, table: str, doomed: DataFrame) -> DataFr
 
 
 __all__ = [
-    "AUDITED", "InexactValue", "RuleViolation", "Version", "append", "delete",
+    "AUDITED", "InexactValue", "RuleViolation", "append", "delete",
     "refused_deletes", "replace", "update", "violations",
 ]
