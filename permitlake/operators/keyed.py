@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,17 +81,13 @@ def one_per_key(
     """
     values = [c for c in rows.columns if c != key]
     given = rows.filter(F.col(key).isNotNull())
+    by = [key, F.hash(key)] if spread else [key]
     if not newest_by:
-        # Counted by hash; a row of a key that has others ends in the error.
-        on = [key]
-        if spread:
-            given, on = given.withColumn("_hash", F.hash(key)), [key, "_hash"]
-        twice = given.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+        # One shuffle by the key, which the join that follows goes on with.
+        counted = given.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*by)))
         message = F.concat(F.lit("several rows for key "), F.col(key).cast("string"))
-        clash = given.join(twice, on, "left")
-        checked = F.when(F.col("_rows").isNotNull(), F.raise_error(message)).otherwise(F.col(key))
-        return clash.select(checked.alias(key), *values)
-    by = [key, F.hash(key)] if spread else [key]
+        single = F.when(F.col("_rows") > 1, F.raise_error(message).cast("boolean"))
+        return counted.filter(single.otherwise(F.lit(True))).select(key, *values)
     newest = F.max_by(F.struct(*values), F.struct(*newest_by)).alias("_row")
     found = given.groupBy(*by).agg(newest)
     return found.select(key, *(F.col("_row")[c].alias(c) for c in values))

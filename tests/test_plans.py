@@ -222,6 +222,14 @@ def test_audit_pairs_by_one_full_join(no_broadcast, hot):
     assert plan.count("FullOuter") == 1 and plan.count("Exchange hashpartitioning") == 2
 
 
+@pytest.mark.parametrize("name", ["audit_permits", "audit_payments"])
+def test_audit_of_an_update_is_its_join(no_broadcast, spark, name):
+    """The table meets the changes once; each is read and shuffled once."""
+    plan = plan_of(entry.queries()[name](spark, FOLDER))
+    assert len(re.findall(r"Join \[", plan)) == 1 and "Inner" in plan
+    assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") == 2
+
+
 def test_upsert_of_a_hot_business_has_no_hot_join(no_broadcast, hot, spark):
     """The table is joined on its unique key; the hot one is only grouped."""
     scores = spark.range(ROWS).select(
