@@ -12,31 +12,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from permitlake.llm import decontamination, packing, quality, secret_scan, simhash_dedup
-from permitlake.llm.common import shared_folder, table
+from permitlake.llm.common import shared_folder, ship_package, table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    ship_package(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every class of near duplicates, the document of the smallest id stays."""
+    ship_package(spark)
     return simhash_dedup.keep_first(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item go."""
+    ship_package(spark)
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Confirmed secrets are masked in the text; all documents stay."""
+    ship_package(spark)
     return secret_scan.redact(docs, secret_scan.scan(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in their sequences."""
+    ship_package(spark)
     packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return packed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
