@@ -237,8 +237,6 @@ class Walk:
         bits = NEXT_BITS[self.depth]
         token = self.chunk.hashes[self.chunk.before[self.depth]]
         self.context = _mixed(token, self.context)
-        if self.depth:
-            self._drop_single()
         self.at = at = np.flatnonzero(self.alive)
         names = np.maximum(_top(self.chunk.hashes, bits), np.uint64(1))
         symbol = np.where(self.known[at], names[self.chunk.symbol[at]], np.uint64(0))
@@ -262,18 +260,6 @@ class Walk:
             "chance": self.chance[at[first[order]]], "heavy": heavy[order],
         }, parts
 
-    def _drop_single(self) -> None:
-        """Leave out contexts that are too often followed by a symbol of its own.
-
-        A training position whose symbol the suffix has seen once is the only one with it. If
-        fewer than two of a context's occurrences are left without these, no symbol has been
-        seen twice after it, so it is not kept, whatever other chunks have.
-        """
-        at = np.flatnonzero(self.alive)
-        _, rank = _grouped(_top(self.context[at], CONTEXT_BITS))
-        alone = np.bincount(rank, self.chunk.learns[at] & ~self.known[at])
-        self.alive[at[self.times[at] - alone[rank] < 2]] = False
-
     def step(self, n: np.ndarray, counted: np.ndarray, kinds: np.ndarray) -> None:
         """Go down one depth with the cells' numbers; kinds is 0 where nothing is kept."""
         # A cell of unnamed symbols counts them all; none of them has been seen twice.
@@ -510,7 +496,6 @@ def score_documents(documents: DataFrame) -> DataFrame:
         for row, walk in each(rows, replies):
             cells, parts = walk.ask()
             chance, heavy = _quantised(cells["chance"]), cells["heavy"].astype(np.uint8)
-            chance[cells["next"] == 0] = 0  # is not looked at
             following = cells["next"].astype(np.uint32)
             for bucket, p in parts:
                 data = packed(
