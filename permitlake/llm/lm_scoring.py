@@ -50,6 +50,9 @@ BLOCK = 8 << 20  # bytes of text in a chunk, about
 # longer contexts, which have fewer symbols.
 WORD_BITS, CONTEXT_BITS, NEXT_BITS = 48, 36, (24, 16)
 LEAST = (1, 2)  # count from which a symbol has a share of its own, by depth
+# Chances travel as whole numbers of 2**-STEPS bit, rounded to 2**-FINE bit over all
+# occurrences of the context.
+STEPS, FINE = 40, 10
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -255,9 +258,13 @@ class Walk:
         place[order] = np.arange(len(order))
         self.rank = place[rank]
         n = np.bincount(self.rank, self.chunk.learns[at], len(order)).astype(np.uint32)
+        # The test takes no chance of what cannot have been seen twice.
+        one = at[first[order]]
+        twice = (symbol[order] > 0) & (self.counts[self.chunk.symbol[one]] >= 2)
         return {
             "context": _top(context[order], CONTEXT_BITS), "next": symbol[order], "n": n,
-            "chance": self.chance[at[first[order]]], "heavy": heavy[order],
+            "chance": np.where(twice, self.chance[one], 1.0), "times": self.times[one],
+            "heavy": heavy[order],
         }, parts
 
     def step(self, n: np.ndarray, counted: np.ndarray, kinds: np.ndarray) -> None:
@@ -288,9 +295,15 @@ class Walk:
             self.known[self.at] = n >= 2
 
 
-def _quantised(chance: np.ndarray) -> np.ndarray:
-    """A chance as a byte: its logarithm to a bit, enough for the test."""
-    return np.clip(np.round(-np.log2(chance)), 0, 255).astype(np.uint8)
+def _quantised(chance: np.ndarray, times: np.ndarray | int = 1 << STEPS - FINE) -> np.ndarray:
+    """A chance's logarithm, in bits below 0, as exact as the test of a context of so many
+    occurrences needs it: rounding changes its gain by less than 2**-FINE bit in all."""
+    steps = 2.0 ** np.minimum(np.ceil(np.log2(np.maximum(times, 1))) + FINE, STEPS)
+    return np.round(-np.log2(chance) * steps) / steps
+
+
+def _steps(bits: np.ndarray) -> np.ndarray:
+    return (bits * 2.0**STEPS).astype(np.uint64)
 
 
 def _first_of(contexts: np.ndarray, parts: list[tuple[int, slice]]) -> np.ndarray:
@@ -368,7 +381,7 @@ def merge_cells(rows: pd.DataFrame, depth: int) -> pd.DataFrame:
     following = np.concatenate([a[1] for a in asked]).astype(np.uint64)
     first, rank = _grouped(context << np.uint64(bits) | following)
     total = np.bincount(rank, np.concatenate([a[2] for a in asked]), len(first)).astype(np.int64)
-    chance = 2.0 ** -np.concatenate([a[3] for a in asked])[first].astype(float)
+    chance = 2.0 ** -(np.concatenate([a[3] for a in asked])[first] / 2.0**STEPS)
     heavy = np.concatenate([a[4] for a in asked])[first].astype(bool)
     # Cells are in order of their context.
     of = context[first]
@@ -495,7 +508,8 @@ def score_documents(documents: DataFrame) -> DataFrame:
         out = []
         for row, walk in each(rows, replies):
             cells, parts = walk.ask()
-            chance, heavy = _quantised(cells["chance"]), cells["heavy"].astype(np.uint8)
+            chance = _steps(_quantised(cells["chance"], cells["times"]))
+            heavy = cells["heavy"].astype(np.uint8)
             following = cells["next"].astype(np.uint32)
             for bucket, p in parts:
                 data = packed(

@@ -129,6 +129,29 @@ def test_tree_against_dictionaries_on_documents(spark):
         assert row["score"] == pytest.approx(total, rel=1e-6)
 
 
+def test_contexts_are_tested_with_exact_chances(spark, monkeypatch):
+    """The same contexts are kept as with chances that no step has rounded."""
+    rows_ = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").filter("doc_id < 150")
+    found = lm_scoring.score_documents(rows_).collect()
+    monkeypatch.setattr(lm_scoring, "_quantised", lambda chance: -np.log2(chance))
+    tokens = {r["doc_id"]: [*r["text"].encode().lower().split(), None] for r in rows_.collect()}
+    chance, _ = _brute_chances([own for i, own in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2])
+    for row in found:
+        history, total = [None] * lm_scoring.DEPTH, 0.0
+        for symbol in tokens[row["doc_id"]]:
+            total += math.log10(chance(history, symbol))
+            history.append(symbol)
+        assert row["score"] == pytest.approx(total, rel=1e-6)
+
+
+def test_rounding_of_chances_is_bounded_over_a_context():
+    """However often a context occurs, what rounding adds to its gain stays far below GAIN."""
+    chance = np.random.default_rng(1).uniform(1e-9, 1, 1000)
+    for times in (2, 10, 1000, 10**6, 10**9):
+        sent = lm_scoring._steps(lm_scoring._quantised(chance, times)) / 2.0**lm_scoring.STEPS
+        assert np.max(np.abs(sent + np.log2(chance))) * times < 1e-3
+
+
 def test_scores_of_odd_rows(spark):
     found = lm_scoring.score_documents(odd_documents(spark)).collect()
     assert len(found) == len(rows())
