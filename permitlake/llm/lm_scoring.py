@@ -45,10 +45,10 @@ DEPTH = 2
 GAIN = 3.0
 HEAVY = 1e-5
 BLOCK = 8 << 20  # bytes of text in a chunk, about
-# Bits of a hash that travel, besides those that a bucket stands for. Words are told apart by
-# WORD_BITS, contexts by CONTEXT_BITS, the symbols after one context by NEXT_BITS: fewer for
-# longer contexts, which have fewer symbols.
-WORD_BITS, CONTEXT_BITS, NEXT_BITS = 48, 36, (24, 16)
+# Bits of a hash that travel, besides those that a bucket stands for: words are told apart by
+# WORD_BITS, contexts by CONTEXT_BITS. The symbols after a context go by their numbers, of
+# which every word has one of its own.
+WORD_BITS, CONTEXT_BITS = 48, 36
 LEAST = (1, 2)  # count from which a symbol has a share of its own, by depth
 # Chances travel as whole numbers of 2**-STEPS bit, rounded to 2**-FINE bit over all
 # occurrences of the context.
@@ -204,6 +204,20 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], rank
 
 
+def _cells(context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _grouped, for pairs, whatever their bits; contexts differ in their upper ones first."""
+    bits = int(symbol.max(initial=0)).bit_length()
+    if bits <= 64 - CONTEXT_BITS:
+        low = np.uint64(bits)
+        first, rank = _grouped(context >> low << low | symbol)
+        if np.array_equal(context[first][rank], context):
+            return first, rank
+    # Contexts that differ in their lower bits only, or long numbers: ranks tell them apart.
+    _, contexts = _grouped(context)
+    _, symbols = _grouped(symbol)
+    return _grouped(contexts << 32 | symbols)
+
+
 def _dealt(buckets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     """An order in which each bucket's entries stand together, and where."""
     order = np.argsort(buckets, kind="stable")
@@ -221,9 +235,11 @@ def _bucket(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
 class Walk:
     """A chunk on its way down the tree: chances of its symbols in the states found so far."""
 
-    def __init__(self, chunk: Chunk, counts: np.ndarray, totals: Totals, n_buckets: int) -> None:
+    def __init__(
+        self, chunk: Chunk, counts: np.ndarray, numbers: np.ndarray, totals: Totals, n_buckets: int
+    ) -> None:
         self.chunk, self.totals, self.n_buckets = chunk, totals, n_buckets
-        self.counts = counts
+        self.counts, self.numbers = counts, numbers
         self.chance = totals.root(counts)[chunk.symbol]
         self.known = (counts > 0)[chunk.symbol]
         self.context = np.full(len(chunk.symbol), np.uint64(7))
@@ -237,15 +253,12 @@ class Walk:
 
         Symbols that cannot have been seen twice after the context share the symbol 0.
         """
-        bits = NEXT_BITS[self.depth]
         token = self.chunk.hashes[self.chunk.before[self.depth]]
         self.context = _mixed(token, self.context)
         self.at = at = np.flatnonzero(self.alive)
-        names = np.maximum(_top(self.chunk.hashes, bits), np.uint64(1))
-        symbol = np.where(self.known[at], names[self.chunk.symbol[at]], np.uint64(0))
+        symbol = np.where(self.known[at], self.numbers[self.chunk.symbol[at]], np.uint64(0))
         self.named = symbol > 0
-        short = _top(self.context[at], CONTEXT_BITS) << np.uint64(bits)
-        first, rank = _grouped(short | symbol)
+        first, rank = _cells(self.context[at], symbol)
         context, symbol = self.context[at[first]], symbol[first]
         # A heavy context is cut by its symbols into as many parts as it has the weight for;
         # each part goes to a bucket of its own.
@@ -317,16 +330,23 @@ def _first_of(contexts: np.ndarray, parts: list[tuple[int, slice]]) -> np.ndarra
 # --- buckets ----------------------------------------------------------------------------
 
 
-def merge_words(rows: pd.DataFrame) -> pd.DataFrame:
-    """Adds up the counts of one bucket's words and answers every chunk in its own order."""
+def merge_words(rows: pd.DataFrame, n_buckets: int) -> pd.DataFrame:
+    """Adds up the counts of one bucket's words and answers every chunk in its own order.
+
+    Answers: a word's count, and its number, from 1, that no other word has; frequent words
+    have the low ones.
+    """
     asked = [unpacked(d) for d in rows["data"]]
     words = np.concatenate([np.cumsum(w, dtype=np.uint64) for w, _ in asked])
     first, rank = _grouped(words)
     total = np.bincount(rank, np.concatenate([n for _, n in asked]), len(first)).astype(np.int64)
+    number = np.empty(len(first), np.uint64)
+    places = np.arange(len(first), dtype=np.uint64) * np.uint64(n_buckets)
+    number[np.argsort(-total, kind="stable")] = places + np.uint64(rows["bucket"].iloc[0] + 1)
     cuts = np.cumsum([len(w) for w, _ in asked])[:-1]
     out = pd.DataFrame({
         "chunk": rows["chunk"], "bucket": rows["bucket"],
-        "data": [packed(total[part]) for part in np.split(rank, cuts)],
+        "data": [packed(total[part], number[part]) for part in np.split(rank, cuts)],
         "tokens": 0, "known": 0, "once": 0, "twice": 0,
     })
     out.loc[out.index[:1], ["tokens", "known", "once", "twice"]] = [
@@ -375,11 +395,11 @@ def merge_cells(rows: pd.DataFrame, depth: int) -> pd.DataFrame:
     all and its kinds, 0 if it is not kept. Heavy contexts have cells elsewhere; their sums go on as
     rows of their own.
     """
-    bits, least = NEXT_BITS[depth], LEAST[depth]
+    least = LEAST[depth]
     asked = [unpacked(d) for d in rows["data"]]
     context = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
     following = np.concatenate([a[1] for a in asked]).astype(np.uint64)
-    first, rank = _grouped(context << np.uint64(bits) | following)
+    first, rank = _cells(context << np.uint64(64 - CONTEXT_BITS), following)
     total = np.bincount(rank, np.concatenate([a[2] for a in asked]), len(first)).astype(np.int64)
     chance = 2.0 ** -(np.concatenate([a[3] for a in asked])[first] / 2.0**STEPS)
     heavy = np.concatenate([a[4] for a in asked])[first].astype(bool)
@@ -463,7 +483,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
 
     words = (
         chunks.mapInArrow(ask_words, _UP).groupBy("bucket")
-        .applyInPandas(merge_words, f"{_UP}, tokens bigint, known bigint, once bigint, twice bigint")
+        .applyInPandas(lambda rows: merge_words(rows, n_buckets), f"{_UP}, tokens bigint, known bigint, once bigint, twice bigint")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     tokens, known, once, twice = words.agg(*[F.sum(c) for c in ("tokens", "known", "once", "twice")]).first()
@@ -481,9 +501,11 @@ def score_documents(documents: DataFrame) -> DataFrame:
         for depth, data in zip(replies["depth"], replies["data"], strict=True):
             by.setdefault(depth, []).append(bytes(data))
         order, _ = _word_order(chunk, n_buckets)
-        counts = np.zeros(len(order), np.int64)
-        counts[order] = np.concatenate([unpacked(data)[0] for data in by[0]])
-        walk = Walk(chunk, counts, totals, n_buckets)
+        counts, numbers = np.zeros(len(order), np.int64), np.zeros(len(order), np.uint64)
+        told = [unpacked(data) for data in by[0]]
+        counts[order] = np.concatenate([t[0] for t in told])
+        numbers[order] = np.concatenate([t[1] for t in told])
+        walk = Walk(chunk, counts, numbers, totals, n_buckets)
         for depth, found in enumerate(heavies, 1):
             cells, parts = walk.ask()
             told = [unpacked(data) for data in by.get(depth, [])]
@@ -510,10 +532,9 @@ def score_documents(documents: DataFrame) -> DataFrame:
             cells, parts = walk.ask()
             chance = _steps(_quantised(cells["chance"], cells["times"]))
             heavy = cells["heavy"].astype(np.uint8)
-            following = cells["next"].astype(np.uint32)
             for bucket, p in parts:
                 data = packed(
-                    _deltas(cells["context"][p]), following[p], cells["n"][p], chance[p], heavy[p]
+                    _deltas(cells["context"][p]), cells["next"][p], cells["n"][p], chance[p], heavy[p]
                 )
                 out.append((row["chunk"], bucket, data))
         return pd.DataFrame(out, columns=["chunk", "bucket", "data"])

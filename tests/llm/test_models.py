@@ -152,6 +152,43 @@ def test_rounding_of_chances_is_bounded_over_a_context():
         assert np.max(np.abs(sent + np.log2(chance))) * times < 1e-3
 
 
+def _words_of_one_name(bits):
+    """Two words whose hashes share their upper bits."""
+    import xxhash
+
+    seen = {}
+    for i in range(1 << bits):
+        word = f"w{i}"
+        other = seen.setdefault(xxhash.xxh64_intdigest(word.encode()) >> 64 - bits, word)
+        if other != word:
+            return other, word
+
+
+def test_words_of_similar_hashes_stay_apart(spark):
+    """After two tokens, too, words have their own counts, whatever bits their hashes share."""
+    one, two = _words_of_one_name(24)
+    texts = {i: f"on the {one if i % 3 else two} so" for i in range(60)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    found = lm_scoring.score_documents(frame).collect()
+    tokens = {i: [*t.encode().split(), None] for i, t in texts.items()}
+    chance, _ = _brute_chances([own for i, own in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2])
+    for row in found:
+        history, total = [None] * lm_scoring.DEPTH, 0.0
+        for symbol in tokens[row["doc_id"]]:
+            total += math.log10(chance(history, symbol))
+            history.append(symbol)
+        assert row["score"] == pytest.approx(total, rel=1e-6)
+
+
+def test_cells_are_told_apart_by_all_bits():
+    context = np.array([5 << 40, 5 << 40 | 1, 5 << 40, 7 << 40, 5 << 40], np.uint64)
+    for wide in (3, 1 << 20, 1 << 40):
+        symbol = np.array([wide, wide, wide, wide, wide - 1], np.uint64)
+        first, rank = lm_scoring._cells(context, symbol)
+        assert rank.tolist() == [1, 2, 1, 3, 0] and len(first) == 4
+        assert np.array_equal(context[first][rank], context) and np.array_equal(symbol[first][rank], symbol)
+
+
 def test_scores_of_odd_rows(spark):
     found = lm_scoring.score_documents(odd_documents(spark)).collect()
     assert len(found) == len(rows())
