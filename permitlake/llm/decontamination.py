@@ -4,14 +4,22 @@ A mask looks at some of SPAN neighbouring tokens and ignores the others. The has
 masked windows of the benchmark are joined with those of all documents; a hit fixes a
 diagonal, the shift between the two texts. The tokens on both sides are then compared along
 the diagonal: a window of WINDOW tokens that agree in SHARE of the places is an overlap,
-whatever stands in the other places. Masks of this shape hit every such window: of 13 tokens
-with any two substituted, one placement always avoids both (tests/llm check all cases).
+whatever stands in the other places. Masks of this shape hit every such window: of 12 or 13
+tokens with any two substituted, one placement always avoids both (tests/llm check all cases).
+
+An item of fewer than SHORT tokens is sought as a whole, by masks for its length: it is cut
+into blocks, and a mask leaves out as many of them as tokens may be substituted. Documents
+are looked through only for the short lengths that the benchmark has.
 
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +30,7 @@ MASKS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7))
 SPAN = 8
 WINDOW = 13
 SHARE = 0.8
+SHORT = 12  # tokens of an item from which MASKS hit all its windows
 
 
 def _tokens(text: str) -> Column:
@@ -30,18 +39,32 @@ def _tokens(text: str) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, *keep: str | Column) -> DataFrame:
+def short_masks(length: int) -> list[tuple[int, ...]]:
+    """Masks over a whole item, of which one avoids any substitutions that SHARE allows."""
+    allowed = length - math.ceil(length * SHARE)
+    blocks = [range(length)[k :: 2 * allowed + 1] for k in range(2 * allowed + 1)] if allowed else []
+    return [
+        tuple(o for o in range(length) if not any(o in block for block in left_out))
+        for left_out in itertools.combinations(blocks, allowed)
+    ]
+
+
+def _seeds(
+    rows: DataFrame, span: int, masks: list[tuple[int, ...]], *keep: str | Column
+) -> DataFrame:
     """The hash of every masked window of the column `tokens`: keep..., place, key."""
-    n = F.size("tokens") - SPAN + 1
+    n = F.size("tokens") - span + 1
 
     def windows(number: int, mask: tuple[int, ...]) -> Column:
         return F.transform(
             F.sequence(F.lit(0), n - 1),
-            lambda i: F.xxhash64(F.lit(number), *[F.get(F.col("tokens"), i + o) for o in mask]),
+            lambda i: F.xxhash64(
+                F.lit(span), F.lit(number), *[F.get(F.col("tokens"), i + o) for o in mask]
+            ),
         )
 
-    keys = F.concat(*[windows(k, m) for k, m in enumerate(MASKS)])
-    exploded = rows.filter(F.size("tokens") >= SPAN).select(
+    keys = F.concat(*[windows(k, m) for k, m in enumerate(masks)])
+    exploded = rows.filter(F.size("tokens") >= span).select(
         *keep, n.alias("n"), F.posexplode(keys).alias("at", "key")
     )
     names = [c for c in exploded.columns if c not in ("n", "at", "key")]
@@ -55,23 +78,33 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     window), matched (agreeing tokens on that diagonal), item_words, doc_start (the first
     token of the document on that diagonal).
 
-    Null and empty texts overlap nothing; nor do items or documents of fewer than SPAN
-    tokens, which are too short to tell a leak from common language. A window of an item
-    shorter than WINDOW is the whole item. Equal items are searched once and all returned;
+    Null and empty texts overlap nothing. A window of an item shorter than WINDOW is the whole
+    item, however short: one of fewer than five tokens overlaps only verbatim, and may be
+    common language. Equal items are searched once and all returned;
     rows of equal id and text are returned once, a null id like any other. Of several diagonals the
     one of the largest share counts, then of most matches, then the lowest.
     """
     items = pick(benchmark, "item_id", "text").select(
         "item_id", _tokens("text").alias("tokens")
-    ).filter(F.size("tokens") >= SPAN)
+    ).filter(F.size("tokens") > 0)
     items = items.groupBy("tokens").agg(F.collect_set(F.struct("item_id")).alias("item_ids"))
     items = cut_lineage(items.withColumn("item", F.xxhash64("tokens")))
-    seeds = cut_lineage(
-        _seeds(items, "item").distinct().withColumnRenamed("place", "item_place")
+    size = F.size("tokens")
+    lengths = sorted(
+        row[0] for row in items.select(F.least(size, F.lit(SHORT)).alias("n")).distinct().collect()
     )
+    shapes = {n: (n, short_masks(n)) if n < SHORT else (SPAN, MASKS) for n in lengths or [SHORT]}
+    seeds = functools.reduce(DataFrame.union, [
+        _seeds(items.filter(F.least(size, F.lit(SHORT)) == n), *shape, "item")
+        for n, shape in shapes.items()
+    ])
+    seeds = cut_lineage(seeds.distinct().withColumnRenamed("place", "item_place"))
     docs = pick(documents, "doc_id", "text").filter(F.col("text").isNotNull())
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
-    windows = _seeds(docs.select("text_hash", _tokens("text").alias("tokens")), "text_hash")
+    hashed = docs.select("text_hash", _tokens("text").alias("tokens"))
+    windows = functools.reduce(
+        DataFrame.union, [_seeds(hashed, *shape, "text_hash") for shape in shapes.values()]
+    )
     diagonal = (F.col("place") - F.col("item_place")).alias("diagonal")
     hits = cut_lineage(
         windows.join(sized(seeds), "key").select("text_hash", "item", diagonal).distinct()

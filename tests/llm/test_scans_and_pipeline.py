@@ -62,6 +62,37 @@ def test_overlaps_against_all_alignments(spark):
     assert (0, 2) in found and found[0, 2] == 1.0
 
 
+def test_masks_meet_every_overlap_of_short_items():
+    """Whatever tokens of a short item SHARE lets differ, one mask looks at none of them."""
+    for length in range(1, decontamination.SHORT):
+        masks = decontamination.short_masks(length)
+        allowed = max(k for k in range(length) if (length - k) / length >= decontamination.SHARE)
+        for wrong in itertools.combinations(range(length), allowed):
+            assert any(mask and not set(mask) & set(wrong) for mask in masks), (length, wrong)
+    for wrong in itertools.combinations(range(12), 2):
+        placed = [{i + o for o in mask} for mask in decontamination.MASKS for i in range(5)]
+        assert any(not places & set(wrong) for places in placed)
+
+
+def test_short_items_against_all_alignments(spark):
+    words = "zero one two three four five six seven eight nine ten eleven twelve".split()
+    items = [(n, " ".join(words[:n])) for n in range(1, 14)]
+    docs = ["so " + " ".join(words) + " end", "nothing of it", "one", "zero", ""]
+    for n in range(2, 14):
+        for wrong in itertools.chain.from_iterable(itertools.combinations(range(n), k) for k in (1, 2)):
+            docs.append("see " + " ".join("other" if i in wrong else w for i, w in enumerate(words[:n])))
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): r["share"] for r in decontamination.overlaps(frame, bench).collect()}
+    want = {}
+    for i, doc in enumerate(docs):
+        for item_id, item in items:
+            share = _plain_overlap(_plain_words(doc), _plain_words(item))
+            if share >= decontamination.SHARE:
+                want[i, item_id] = share
+    assert found == want
+
+
 def test_overlaps_of_odd_rows(spark):
     docs = odd_documents(spark)
     found = decontamination.overlaps(docs, benchmark(spark)).collect()
