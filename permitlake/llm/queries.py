@@ -42,8 +42,8 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents")).select(
-        "doc_id", F.sha2("candidate", 256).alias("candidate_sha256"), "start", "length",
-        "probability", "is_secret",
+        "doc_id", F.sha2("candidate", 256).alias("candidate_sha256"), "start", "starts",
+        "length", "probability", "is_secret",
     )
 
 

@@ -1,6 +1,7 @@
 """Operator 3: secret scans with a random forest that removes false positives.
 
-A scan takes every long run of key characters as a candidate. A forest, trained from
+A scan takes every long run of key characters as a candidate, and every value with a digit
+or sign that is assigned to a key word, at each of its places. A forest, trained from
 labelled findings, then tells secrets from the rest by length, character transitions,
 dictionary coverage, path signs and neighbouring words.
 
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from permitlake.llm.common import cut_lineage, pick, sized
 
 MIN_LENGTH = 16
-CANDIDATE = rf"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{{{MIN_LENGTH},}}+"
+RUN = rf"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{{{MIN_LENGTH},}}+"
+SHORT_LENGTH = 6  # characters of an assigned value, at least
 BEFORE, AFTER = 40, 20  # characters of context
 DICTIONARY = 400  # most frequent words that coverage is measured with
 SHORTEST = 3  # letters of a dictionary word
@@ -32,6 +34,13 @@ MASK = "[SECRET]"
 
 KEY_WORD = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)"
 ASSIGNED = KEY_WORD + r"[A-Za-z0-9_\-]*[\"']?\s*[:=]\s*[\"']?$"
+# A lookbehind needs bounds; the short one comes first, as it fails soonest.
+VALUE = (
+    r"(?<=[:=]\s{0,3}[\"']?)(?<=" + KEY_WORD.replace("(?i)(", "(?i:")
+    + r"[A-Za-z0-9_\-]{0,30}[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?=[^\s\"'`,;<>]*[0-9!@#$%^&*+/_~\-])"
+    + rf"[^\s\"'`,;<>=:]{{1}}[^\s\"'`,;<>]{{{SHORT_LENGTH - 2},}}[^\s\"'`,;<>.:?()\[\]{{}}]"
+)
+CANDIDATE = f"{VALUE}|{RUN}"
 PROVIDER = r"^(AKIA|ASIA|AGPA|AIDA|AROA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-"
 PLACEHOLDER = r"(?i)example|placeholder|changeme|your[_-]|xxxx|(.)\1{7}"
 
@@ -58,27 +67,36 @@ def frequent_words(documents: DataFrame) -> list[str]:
 
 
 def candidates(documents: DataFrame) -> DataFrame:
-    """Each distinct candidate of each row: doc_id, text_hash, candidate, start, before, after.
+    """Each place of each candidate of each row: row, doc_id, text_hash, candidate, start,
+    before, after.
 
-    `start` counts characters from 0 to the first place of the candidate; the context is that
-    of this place. Null and empty texts have none.
+    `row` is a number of the row. `start` counts characters from 0; the context is that of the place. Null and empty texts
+    have none.
     """
     text = F.col("text")
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-
-    def described(c: Column) -> Column:
-        at = F.position(c, text)
-        first = F.greatest(at - BEFORE, F.lit(1))
-        return F.struct(
-            c.alias("candidate"),
-            (at - 1).alias("start"),
-            F.substr(text, first, at - first).alias("before"),
-            F.substr(text, at + F.length(c), F.lit(AFTER)).alias("after"),
-        )
-
-    docs = pick(documents, "doc_id", "text")
-    return docs.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.inline(F.transform(found, described))
+    docs = pick(documents, "doc_id", "text").select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "text",
+        F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"),
+    ).filter(F.size("found") > 0)
+    # What stands between the candidates tells where each begins.
+    docs = docs.select("*", F.split(text, CANDIDATE, -1).alias("between"))
+    starts = F.aggregate(
+        F.sequence(F.lit(1), F.size("found")),
+        F.array(F.length(F.get("between", F.lit(0)))),
+        lambda known, i: F.concat(known, F.array(
+            F.element_at(known, -1) + F.length(F.get(F.col("found"), i - 1))
+            + F.length(F.get(F.col("between"), i))
+        )),
+    )
+    places = docs.select("row", "doc_id", "text", F.inline(F.arrays_zip(
+        F.col("found").alias("candidate"), F.slice(starts, 1, F.size("found")).alias("start")
+    )).alias("candidate", "start"))
+    at = F.col("start") + 1
+    first = F.greatest(at - BEFORE, F.lit(1))
+    return places.select(
+        "row", "doc_id", F.xxhash64("text").alias("text_hash"), "candidate", "start",
+        F.substr(text, first, at - first).alias("before"),
+        F.substr(text, at + F.length("candidate"), F.lit(AFTER)).alias("after"),
     )
 
 
@@ -197,7 +215,9 @@ def train(labelled: DataFrame) -> Forest:
 def scan(documents: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """All findings of all documents with the forest's verdict.
 
-    Returns doc_id, text_hash, candidate, start, length, probability, is_secret. `labelled`
+    Returns doc_id, text_hash, candidate, start, starts, length, probability, is_secret: one
+    row for each string in a document, with its first place and all of its places, and the
+    probability of that place that looks most like a secret's. `labelled`
     holds findings with their label (columns as of `with_features`); without it, findings
     whose format settles the matter are the labels. A repeated row has its findings each
     time; a null doc_id keeps them.
@@ -206,8 +226,13 @@ def scan(documents: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     if labelled is None:
         labelled = found.withColumn("label", format_labels())
     forest = train(labelled)
-    return forest.score(found).select(
-        "doc_id", "text_hash", "candidate", "start", F.length("candidate").alias("length"),
+    strings = forest.score(found).groupBy("row", "doc_id", "text_hash", "candidate").agg(
+        F.array_sort(F.collect_list("start")).alias("starts"),
+        F.max("probability").alias("probability"),
+    )
+    return strings.select(
+        "doc_id", "text_hash", "candidate", F.get("starts", F.lit(0)).alias("start"), "starts",
+        F.length("candidate").alias("length"),
         "probability", (F.col("probability") >= THRESHOLD).cast("int").alias("is_secret"),
     )
 
@@ -215,6 +240,8 @@ def scan(documents: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 def redact(documents: DataFrame, findings: DataFrame) -> DataFrame:
     """`documents`, all rows and columns, with MASK in place of every confirmed secret.
 
+    A string that is confirmed at one place of a text is masked at all of them.
+
     n_chars, if there is such a column, counts the characters of the new text.
     """
     secrets = findings.filter("is_secret = 1").groupBy("text_hash").agg(

@@ -132,6 +132,25 @@ def test_secrets_in_documents(spark):
     assert len(found) > 2 * len(confirmed)  # the rest are false positives that were removed
 
 
+def test_every_place_of_a_candidate(spark):
+    key = "b7db7aa4a5fcc78305"
+    texts = [
+        f"see /tmp/{key}x9 and {key} in é 😀 plain text, then password={key}.",
+        "login password=Tr0ub4dor&3x; more", 'api_key: "s3cr3t!" end', "the secret: nothing here", "",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = secret_scan.scan(frame).collect()
+    for row in found:
+        assert all(texts[row["doc_id"]][i:].startswith(row["candidate"]) for i in row["starts"])
+    places = [r["starts"] for r in found if r["candidate"] == key]
+    assert places == [[m.start() for m in re.finditer(rf"(?<![/\w]){key}", texts[0])]] and len(places[0]) == 2
+    assert {(1, "Tr0ub4dor&3x"), (2, "s3cr3t!")} >= {(r["doc_id"], r["candidate"]) for r in found if r["doc_id"]}
+    assert {r["doc_id"] for r in found} >= {0, 1, 2}
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(frame, secret_scan.scan(frame)).collect()}
+    assert f" {key} " not in masked[0] and masked[0].endswith(f"password={secret_scan.MASK}.")
+    assert "Tr0ub4dor" not in masked[1]
+
+
 def test_scan_of_odd_rows(spark):
     docs = odd_documents(spark)
     found = secret_scan.scan(docs)
