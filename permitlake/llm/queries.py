@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from permitlake.llm import (
     decontamination,
     fingerprints,
+    license_scan,
     lm_scoring,
     packing,
     quality,
@@ -85,6 +86,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.label_documents(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -105,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_simhash_dedup": op9_simhash_dedup,
         "op10_toxicity": op10_toxicity,
+        "op11_license_scan": op11_license_scan,
     }
     return {name: _shipped(query) for name, query in found.items()}
 
