@@ -1,6 +1,7 @@
 """The registered queries of the operators: (spark, sf_dir) -> DataFrame.
 
-None has oracle SQL; tests/llm compares each with a brute-force version.
+Those without oracle SQL are compared with a brute-force version, an exact round trip or
+held-out accuracy in tests/llm.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permitlake.llm import (
+    conversation_trie,
     decontamination,
     fingerprints,
     license_scan,
     lm_scoring,
+    oracle,
     packing,
     quality,
     secret_scan,
@@ -90,6 +93,10 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.label_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -111,9 +118,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash_dedup": op9_simhash_dedup,
         "op10_toxicity": op10_toxicity,
         "op11_license_scan": op11_license_scan,
+        "op12_conversation_trie": op12_conversation_trie,
     }
     return {name: _shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op12_conversation_trie": oracle.CONVERSATION_TRIE,
+    }
