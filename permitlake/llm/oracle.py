@@ -49,3 +49,52 @@ SELECT l.conv_id, l.depth::BIGINT AS depth, l.parent_conv_id, l.n_convs, l.n_chi
     u.saved_tokens::BIGINT AS saved_tokens, l.ends_sha256
 FROM linked l JOIN upwards u ON u.depth = l.depth AND u.prefix = l.prefix
 """
+
+COLLOCATIONS = """
+WITH pieces AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda w: w <> '') AS words
+    FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\\x0A-\\x0D]'
+        )) AS piece FROM documents
+    )
+), places AS (
+    SELECT lang, words[i] AS a, words[i + 1] AS b, words[i + 2] AS x
+    FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM pieces)
+), totals AS (
+    SELECT lang, count(*) AS n FROM places GROUP BY lang
+), ones AS (
+    SELECT lang, a, count(*) AS f FROM places GROUP BY ALL
+), twos AS (
+    SELECT lang, a, b, count(*) AS f FROM places WHERE b IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), threes AS (
+    SELECT lang, a, b, x, count(*) AS f FROM places WHERE x IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), longer AS (
+    SELECT lang, a, b, max(f) AS f FROM (
+        SELECT lang, a, b, f FROM threes UNION ALL SELECT lang, b AS a, x AS b, f FROM threes
+    ) GROUP BY ALL
+), cuts AS (
+    SELECT t.lang, t.a || ' ' || t.b AS phrase, t.f AS a, 1 AS k, l.f AS l, r.f AS r
+    FROM twos t JOIN ones l ON l.lang = t.lang AND l.a = t.a JOIN ones r ON r.lang = t.lang AND r.a = t.b
+    LEFT JOIN longer g ON g.lang = t.lang AND g.a = t.a AND g.b = t.b
+    WHERE 100 * coalesce(g.f, 0) < 50 * t.f
+    UNION ALL
+    SELECT t.lang, t.a || ' ' || t.b || ' ' || t.x, t.f, 1, l.f, r.f
+    FROM threes t JOIN ones l ON l.lang = t.lang AND l.a = t.a
+    JOIN twos r ON r.lang = t.lang AND r.a = t.b AND r.b = t.x
+    UNION ALL
+    SELECT t.lang, t.a || ' ' || t.b || ' ' || t.x, t.f, 2, l.f, r.f
+    FROM threes t JOIN twos l ON l.lang = t.lang AND l.a = t.a AND l.b = t.b
+    JOIN ones r ON r.lang = t.lang AND r.a = t.x
+), scored AS (
+    SELECT *, (1000000 * a::HUGEINT * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts
+), lowest AS (
+    SELECT * FROM scored
+    QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+    phrase, a, l, r, n, score
+FROM lowest JOIN totals USING (lang)
+QUALIFY rank <= 2000
+"""

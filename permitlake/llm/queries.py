@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permitlake.llm import (
+    collocations,
     conversation_trie,
     decontamination,
     fingerprints,
@@ -97,6 +98,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -119,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": op10_toxicity,
         "op11_license_scan": op11_license_scan,
         "op12_conversation_trie": op12_conversation_trie,
+        "op13_collocations": op13_collocations,
     }
     return {name: _shipped(query) for name, query in found.items()}
 
@@ -126,4 +132,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op12_conversation_trie": oracle.CONVERSATION_TRIE,
+        "op13_collocations": oracle.COLLOCATIONS,
     }
