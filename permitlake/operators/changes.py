@@ -32,13 +32,24 @@ def _entries(
     )
 
 
+def _whole_rows(rows: DataFrame, table: str, action: str, now, user_id) -> DataFrame:
+    whole = F.to_json(F.struct(*rows.columns), JSON_OPTIONS)
+    key = F.col(TABLES[table].key)
+    return _entries(rows, table, key, F.lit(action), whole, now, user_id)
+
+
 def audit_inserts(
     rows: DataFrame, table: str, *, now: dt.datetime, user_id: int | Column = 0
 ) -> DataFrame:
     """Audit rows of an append: one per new row, without a join."""
-    whole = F.to_json(F.struct(*rows.columns), JSON_OPTIONS)
-    key = F.col(TABLES[table].key)
-    return _entries(rows, table, key, F.lit("INSERT"), whole, now, user_id)
+    return _whole_rows(rows, table, "INSERT", now, user_id)
+
+
+def audit_deletes(
+    rows: DataFrame, table: str, *, now: dt.datetime, user_id: int | Column = 0
+) -> DataFrame:
+    """Audit rows of a delete: one per row that goes, without a join."""
+    return _whole_rows(rows, table, "DELETE", now, user_id)
 
 
 def audit_changes(

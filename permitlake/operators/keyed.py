@@ -42,12 +42,14 @@ def exact(value: Column, given: T.DataType, kind: T.DataType, name: str) -> Colu
     return F.when(loses(value, given, kind), F.raise_error(message)).otherwise(value.try_cast(kind))
 
 
-def conform(rows: DataFrame, table: str, now: dt.datetime) -> DataFrame:
+def conform(
+    rows: DataFrame, table: str, now: dt.datetime, also: tuple[str, ...] = ()
+) -> DataFrame:
     """Rows in the column order and types of the table. A column the rows lack gets its
     default, else null; a null that is given stays null. A value that its type cannot hold
-    as it is raises an error."""
+    as it is raises an error. Columns in `also` follow as they are."""
     spec = TABLES[table]
-    unknown = [c for c in rows.columns if c not in spec.columns]
+    unknown = [c for c in rows.columns if c not in spec.columns and c not in also]
     if unknown:
         raise ValueError(f"{table} has no column {unknown}")
     return rows.select(
@@ -58,7 +60,8 @@ def conform(rows: DataFrame, table: str, now: dt.datetime) -> DataFrame:
                 else _default(spec.defaults.get(c), now).cast(kind)
             ).alias(c)
             for c, kind in spec.columns.items()
-        )
+        ),
+        *also,
     )
 
 
@@ -129,6 +132,32 @@ def updated_pairs(
     )
 
 
+# Columns that a tagged pass adds: whether the row was named, and the row before.
+HIT, OLD = "was_named", "row_before"
+
+
+def tagged_update(
+    target: DataFrame, changes: DataFrame, key: str, *, keep_if_null: tuple[str, ...] = ()
+) -> DataFrame:
+    """The table after an update, each row with HIT, whether the changes name it, and OLD, the
+    row before if they do. One join gives the new table and all that is to be logged of it.
+    The key is unique in the table and among the changes."""
+    new, after = _update(target, changes, key, None, keep_if_null, unique=True)
+    hit = F.col("_hit").isNotNull()
+    return target.join(new, key, "left").select(
+        *(after(c) for c in target.columns),
+        hit.alias(HIT), F.when(hit, F.struct(*target.columns)).alias(OLD),
+    )
+
+
+def tagged_delete(target: DataFrame, doomed: DataFrame, key: str) -> DataFrame:
+    """All rows of the table, each with HIT, whether it is to go."""
+    named = spread_keys_of(doomed, key).withColumn(HIT, F.lit(True))
+    return target.join(named, key, "left").select(
+        *target.columns, F.col(HIT).isNotNull().alias(HIT)
+    )
+
+
 def _update(target, changes, key, newest_by, keep_if_null, unique):
     """The changes by key, and a function from a column to its value after the join."""
     names = [c for c in changes.columns if c != key and c in target.columns]

@@ -8,26 +8,34 @@ broken; the error carries all violations as a DataFrame.
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from permitlake.operators.changes import audit_changes, audit_inserts, update_entries
+from permitlake.operators.changes import (
+    audit_changes, audit_deletes, audit_inserts, update_entries,
+)
 from permitlake.operators.ids import assign_ids
 from permitlake.operators.joins import matching
-from permitlake.operators.keyed import conform, one_per_key, update_by_key, updated_pairs
+from permitlake.operators.keyed import (
+    HIT, OLD, conform, one_per_key, tagged_delete, tagged_update,
+)
 from permitlake.operators.quality import (
     check_children, check_clash, check_foreign_key, check_rows, check_unique, children_of,
 )
 from permitlake.registry import Registry
 from permitlake.schemas import TABLES
 from permitlake.session import shared_dir
-from permitlake.sources.store import Store
+from permitlake.sources.store import Conflict, Store
 
 # Tables whose changes are logged.
 AUDITED = ("businesses", "permits", "payments")
+# How often a write starts before it gives up against other writers.
+ATTEMPTS = 5
 
 
 class RuleViolation(ValueError):
@@ -69,18 +77,35 @@ class _Write:
         self.registry = store.registry(self.version)
         self.staged: list[tuple[str, list[str]]] = []
 
-    def stage(self, table: str, rows: DataFrame) -> list[str]:
+    def stage(
+        self, table: str, rows: DataFrame, also: tuple[str, ...] = (), apart: tuple[str, ...] = ()
+    ) -> tuple[list[str], int]:
+        """Write rows to files of their own; returns the folders and the number of rows."""
         try:
-            folders = self.store.stage(table, conform(rows, table, self.now))
+            folders, count = self.store.stage(table, conform(rows, table, self.now, also), apart)
         except PySparkException as error:
             if "would change as" in str(error):
                 raise InexactValue(str(error).split("\n")[0]) from error
             raise
         self.staged.append((table, folders))
-        return folders
-
-    def rows(self, table: str, folders: list[str]) -> DataFrame:
-        return self.store.read(table, folders).select(*TABLES[table].columns)
+        return folders, count
+
+    def rows(self, table: str, folders: list[str], also: T.StructType | None = None) -> DataFrame:
+        extra = also.names if also else []
+        return self.store.read(table, folders, also).select(*TABLES[table].columns, *extra)
+
+    def touched(self, table: str, keys: DataFrame) -> tuple[list[str], list[str]]:
+        """The table's folders that hold one of the keys, and all others. Of the table only the
+        keys are read, as folders say the rest; a table without folders is not read."""
+        folders = self.version.folders.get(table, [])
+        column = self.store.folder_column(table)
+        if not column:
+            return folders, []
+        key = TABLES[table].key
+        known = self.store.read(table, folders).select(key, column)
+        names = self.store.folder_names(table, matching(known, key, keys.select(key)))
+        hit = [f for f in folders if f.rsplit("/", 1)[-1] in names]
+        return hit, [f for f in folders if f not in hit]
 
     def check(self, broken: DataFrame) -> None:
         """Refuse the write if there is a violation. They are kept in the shared folder, for
@@ -96,8 +121,7 @@ class _Write:
         if entries is not None:
             last = self.version.last_ids.get("audit_logs", 0)
             numbered = assign_ids(entries, "log_id", ["target_id"], start_after=last)
-            staged = self.stage("audit_logs", numbered)
-            count = self.rows("audit_logs", staged).count()
+            staged, count = self.stage("audit_logs", numbered)
             ids["audit_logs"] = last + count
             tables["audit_logs"] = self.version.folders.get("audit_logs", []) + staged
         self.version = self.store.publish(self.version, tables, ids)
@@ -112,13 +136,29 @@ class _Write:
             self.store.discard(table, folders)
 
 
+def _started_again(write: Callable[..., Registry]) -> Callable[..., Registry]:
+    """A write that starts again, from the new version, when another writer was faster."""
+
+    @wraps(write)
+    def attempt(*args, **kwargs) -> Registry:
+        for _ in range(ATTEMPTS - 1):
+            try:
+                return write(*args, **kwargs)
+            except Conflict:
+                continue
+        return write(*args, **kwargs)
+
+    return attempt
+
+
 def replace(
     store: Store, table: str, state: DataFrame, *, now: dt.datetime, user_id: int = 0
 ) -> Registry:
     """Make `state` the content of a table. Rows that are no longer there must have no
-    children; returns the registry of the new version."""
+    children; returns the registry of the new version. A `Conflict` is left to the caller, whose
+    state may come from the older version."""
     with _Write(store, now) as write:
-        folders = write.stage(table, state)
+        folders, _ = write.stage(table, state)
         rows, old = write.rows(table, folders), write.registry.table(table)
         key = TABLES[table].key
         gone = old.select(key).join(rows.select(key), key, "left_anti")
@@ -129,13 +169,14 @@ def replace(
         return write.publish(table, folders, entries)
 
 
+@_started_again
 def append(
     store: Store, table: str, rows: DataFrame, *, now: dt.datetime, user_id: int = 0
 ) -> Registry:
     """Add rows to a table. Only the new rows are checked, also against the keys the table
     has, and logged; the stored rows are neither read whole nor rewritten."""
     with _Write(store, now) as write:
-        folders = write.stage(table, rows)
+        folders, _ = write.stage(table, rows)
         new = write.rows(table, folders)
         clash = check_clash(new, table, write.registry.table(table))
         write.check(violations(write.registry, table, new).unionByName(clash))
@@ -143,14 +184,7 @@ def append(
         return write.publish(table, write.version.folders.get(table, []) + folders, entries)
 
 
-def _split(write: _Write, table: str, touched: DataFrame) -> tuple[list[str], list[str]]:
-    """The table's folders that hold the touched rows, and all others."""
-    folders = write.version.folders.get(table, [])
-    names = write.store.folder_names(table, touched)
-    hit = [f for f in folders if not names or f.rsplit("/", 1)[-1] in names]
-    return hit, [f for f in folders if f not in hit]
-
-
+@_started_again
 def update(
     store: Store,
     table: str,
@@ -160,20 +194,20 @@ def update(
     user_id: int = 0,
     keep_if_null: tuple[str, ...] = (),
 ) -> Registry:
-    """Set columns by key. Only the folders that hold changed rows are written again; the
-    audit rows come from the join of the table with the changes. Unique columns are checked
-    against the whole table if the changes set one."""
+    """Set columns by key. Only the folders that hold changed rows are written again, by one
+    join with the changes. The files it writes also tell which rows were named and what they
+    were before: rules and audit rows are read from them. Unique columns are checked against the
+    whole table if the changes set one."""
     key = TABLES[table].key
     with _Write(store, now) as write:
-        old = write.registry.table(table)
-        changes = one_per_key(changes, key)
-        pairs = updated_pairs(old, changes, key, keep_if_null=keep_if_null)
-        hit, others = _split(write, table, pairs.select("old.*"))
-        before = write.rows(table, hit)
-        after = update_by_key(before, changes, key, keep_if_null=keep_if_null, unique=True)
-        folders = write.stage(table, after)
-        rows = write.rows(table, folders)
-        changed = matching(rows, key, changes.select(key))
+        shared_dir(store.spark)
+        changes = one_per_key(changes, key).checkpoint(eager=True)
+        hit, others = write.touched(table, changes)
+        after = tagged_update(write.rows(table, hit), changes, key, keep_if_null=keep_if_null)
+        tags = T.StructType([T.StructField(HIT, T.BooleanType()), T.StructField(OLD, TABLES[table].schema)])
+        folders, _ = write.stage(table, after, also=(HIT, OLD))
+        tagged = write.rows(table, folders, tags).filter(HIT)
+        changed = tagged.drop(HIT, OLD)
         found = [check_rows(changed, table)]
         for column, parent in TABLES[table].parents.items():
             if column in changes.columns:
@@ -181,39 +215,41 @@ def update(
                     check_foreign_key(changed, table, column, write.registry.table(parent))
                 )
         if set(TABLES[table].unique) & set(changes.columns):
-            whole = rows.unionByName(write.rows(table, others))
-            found.append(check_unique(whole, table))
+            found.append(check_unique(write.rows(table, others + folders), table))
         write.check(reduce(DataFrame.unionByName, found))
         entries = None
         if table in AUDITED:
-            pairs = updated_pairs(before, changes, key, keep_if_null=keep_if_null)
+            pairs = tagged.select(
+                F.col(OLD).alias("old"), F.struct(*TABLES[table].columns).alias("new")
+            )
             entries = update_entries(pairs, table, now=now, user_id=user_id)
         return write.publish(table, others + folders, entries)
 
 
+@_started_again
 def delete(
     store: Store, table: str, doomed: DataFrame, *, now: dt.datetime, user_id: int = 0
 ) -> Registry:
-    """Delete rows by key; refused while another row refers to one of them."""
+    """Delete rows by key; refused while another row refers to one of them. One join deals the
+    rows of the folders that it concerns into those that stay and those that go; references and
+    audit rows are looked up from the latter."""
     key = TABLES[table].key
     with _Write(store, now) as write:
-        old = write.registry.table(table)
-        gone = matching(old, key, doomed.select(key))
+        shared_dir(store.spark)
+        doomed = doomed.select(key).distinct().checkpoint(eager=True)
+        hit, others = write.touched(table, doomed)
+        dealt = tagged_delete(write.rows(table, hit), doomed, key)
+        folders, _ = write.stage(table, dealt, also=(HIT,), apart=(HIT,))
+        kept = [f for f in folders if f"{HIT}=false" in f]
+        gone = write.rows(table, [f for f in folders if f not in kept])
         found = [
             check_children(gone.select(key), table, write.registry.table(child), child, column)
             for child, column in children_of(table)
         ]
         if found:
             write.check(reduce(DataFrame.unionByName, found))
-        hit, others = _split(write, table, gone)
-        before = write.rows(table, hit)
-        kept = before.join(doomed.select(key).distinct(), key, "left_anti")
-        folders = write.stage(table, kept.select(*before.columns))
-        entries = None
-        if table in AUDITED:
-            lost = matching(before, key, doomed.select(key))
-            entries = audit_changes(lost, lost.filter(F.lit(False)), table, now=now, user_id=user_id)
-        return write.publish(table, others + folders, entries)
+        entries = audit_deletes(gone, table, now=now, user_id=user_id) if table in AUDITED else None
+        return write.publish(table, others + kept, entries)
 
 
 def refused_deletes(registry: Registry, table: str, doomed: DataFrame) -> DataFrame:

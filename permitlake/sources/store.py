@@ -7,6 +7,11 @@ then creates the next pointer. That one step makes all its tables visible togeth
 if another writer has taken the number: nothing of the later write is seen, and it starts
 again from the new version. Folders that a change does not touch stay as they are, and are
 named again.
+
+A pointer is written to a hidden file and then gets its name in one step that refuses a name
+that is taken: a rename on HDFS, a hard link on a local disk. A writer that dies between the
+two leaves a hidden file that nobody reads. Stores without such a step (object stores, where a
+rename copies) are refused.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ import uuid
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +31,8 @@ from permitlake.session import remove_dir
 from permitlake.sources.parquet import with_folders
 
 BATCH = "batch"
+# File systems whose rename is one step that refuses an existing target.
+ATOMIC_RENAME = ("hdfs", "viewfs")
 
 
 class Conflict(RuntimeError):
@@ -68,15 +75,41 @@ class Store:
         new = Version(
             base.number + 1, {**base.folders, **folders}, {**base.last_ids, **(last_ids or {})}
         )
-        path = self._jvm.org.apache.hadoop.fs.Path(self._pointers, f"{new.number}.json")
+        hadoop = self._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(self._pointers, f"{new.number}.json")
+        hidden = hadoop.Path(self._pointers, f".{new.number}-{uuid.uuid4().hex}")
+        out = self._files.create(hidden, False)
+        out.write(bytearray(json.dumps(new.__dict__).encode()))
+        out.close()
         try:
-            out = self._files.create(path, False)  # fails if the file exists
+            self._name(hidden, path)
         except Py4JJavaError as error:
+            if not self._files.exists(path):
+                raise
             raise Conflict(f"version {new.number} is already there") from error
-        out.write(bytearray(json.dumps(new.__dict__).encode()))
-        out.close()
+        finally:
+            self._files.delete(hidden, False)
         return new
 
+    def _name(self, hidden, path) -> None:
+        """Give a complete file its name in one step; an error if the name is taken."""
+        scheme = self._files.getScheme()
+        if scheme == "file":
+            paths = self._jvm.java.nio.file.Paths
+            own, target = (paths.get(p.toUri().getPath(), self._strings()) for p in (hidden, path))
+            self._jvm.java.nio.file.Files.createLink(target, own)
+        elif scheme in ATOMIC_RENAME:
+            rename = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+            options = self.spark.sparkContext._gateway.new_array(rename, 1)
+            options[0] = rename.NONE
+            context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri())
+            context.rename(hidden, path, options)
+        else:
+            raise ValueError(f"{scheme}: no rename in one step, the store needs one")
+
+    def _strings(self):
+        return self.spark.sparkContext._gateway.new_array(self._jvm.java.lang.String, 0)
+
     # --- tables ---
 
     def _schema(self, table: str) -> T.StructType:
@@ -85,9 +118,10 @@ class Store:
             schema = schema.add(MONTH, DATE)
         return schema
 
-    def read(self, table: str, folders: list[str]) -> DataFrame:
-        """The rows of some folders of a table, with the folder column of the month."""
-        schema = self._schema(table)
+    def read(self, table: str, folders: list[str], also: T.StructType | None = None) -> DataFrame:
+        """The rows of some folders of a table, with the folder column of the month, and columns
+        that a tagged pass has added."""
+        schema = T.StructType(self._schema(table).fields + (also.fields if also else []))
         if not folders:
             return self.spark.createDataFrame([], schema)
         base = f"{self.folder}/data/{table}"
@@ -101,31 +135,43 @@ class Store:
         by_month = {name: full[name] for name in TABLES if TABLES[name].month_of}
         return Registry(self.spark, tables, by_month)
 
-    def stage(self, table: str, rows: DataFrame) -> list[str]:
-        """Write rows to a batch of their own, not visible yet; returns its folders."""
+    def stage(self, table: str, rows: DataFrame, apart: tuple[str, ...] = ()) -> tuple[list[str], int]:
+        """Write rows to a batch of their own, not visible yet; returns its folders and the
+        number of rows, counted as they are written. Rows that differ in a column of `apart`
+        get folders of their own."""
         rows, by = with_folders(rows, table)
+        by = (*apart, *by)
         if by:
             rows = rows.hint("rebalance", *by)
+        counted = Observation()
+        rows = rows.observe(counted, F.count(F.lit(1)).alias("rows"))
         batch = f"{BATCH}={uuid.uuid4().hex}"
         path = f"{self.folder}/data/{table}/{batch}"
-        rows.write.partitionBy(*by).parquet(path)
+        try:
+            rows.write.partitionBy(*by).parquet(path)
+        except Exception:
+            remove_dir(self.spark, path)
+            raise
         if not by:
-            return [batch]
-        target = self._jvm.org.apache.hadoop.fs.Path(path)
-        names = [f.getPath().getName() for f in self._files.listStatus(target) if f.isDirectory()]
-        return [f"{batch}/{name}" for name in sorted(names)]
+            return [batch], counted.get["rows"]
+        # Hadoop's pattern for the folders at the depth of the last column.
+        below = self._jvm.org.apache.hadoop.fs.Path(path + "/*=*" * len(by))
+        names = [f.getPath().toString().rsplit(f"/{batch}/", 1)[1] for f in self._files.globStatus(below)]
+        return [f"{batch}/{name}" for name in sorted(names)], counted.get["rows"]
 
     def discard(self, table: str, folders: list[str]) -> None:
         """Remove the files of a batch that was not published."""
         for batch in {f.split("/")[0] for f in folders}:
             remove_dir(self.spark, f"{self.folder}/data/{table}/{batch}")
 
+    def folder_column(self, table: str) -> str | None:
+        """The column that a table's folders are named by."""
+        spec = TABLES[table]
+        return MONTH if spec.month_of else (spec.partition_by or (None,))[0]
+
     def folder_names(self, table: str, rows: DataFrame) -> set[str]:
-        """Names of the folders that hold rows like these: one for each year or month."""
-        rows, by = with_folders(rows, table)
-        if not by:
-            return set()
-        (column,) = by
+        """Names of the folders that the rows, which have the folder column, are read from."""
+        column = self.folder_column(table)
         found = rows.select(F.col(column).cast("string").alias("name")).distinct().collect()
         missing = "__HIVE_DEFAULT_PARTITION__"
         return {f"{column}={r['name'] if r['name'] is not None else missing}" for r in found}
