@@ -140,7 +140,21 @@ def _split_prefixes(known: pa.Array, rows: list[np.ndarray], split: set) -> np.n
     return found
 
 
-_MESSAGE = "lang string, bucket int, words binary, first binary, second binary, third binary, counts binary"
+_MESSAGE = "lang string, bucket int, rows int, words binary, numbers binary"
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of whole numbers, the first ascending, in few bytes: its steps, and each column's
+    low bytes together, then the higher ones, which are mostly zero."""
+    held = np.array([np.diff(columns[0], prepend=0), *columns[1:]], dtype="<i8")
+    planes = np.ascontiguousarray(held.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1))
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, rows: int, columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(pa.decompress(data, columns * rows * 8, codec="zstd", asbytes=True), np.uint8)
+    held = np.ascontiguousarray(planes.reshape(columns, 8, rows).transpose(0, 2, 1)).view("<i8")[..., 0]
+    return [np.cumsum(held[0]), *held[1:]]
 
 
 def _send(batches: Iterator[pa.RecordBatch], buckets: int, split: dict) -> Iterator[pa.RecordBatch]:
@@ -163,13 +177,12 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int, split: dict) -> Itera
             if used[-1] == none:
                 used = used[:-1]
             # Numbers of the message's own words; the number of words stands for `none`.
-            parts = np.split(numbers.astype("<i4"), 3)
+            parts = np.split(numbers, 3)
             words = b" ".join(known.take(pa.array(used)).to_pylist())
             yield pa.RecordBatch.from_pydict({
                 "lang": pa.array([lang]), "bucket": pa.array([int(bucket[own[0]])], pa.int32()),
-                "words": pa.array([words], pa.binary()),
-                **{c: pa.array([p.tobytes()], pa.binary()) for c, p in zip(("first", "second", "third"), parts, strict=True)},
-                "counts": pa.array([counts[own].astype("<i8").tobytes()], pa.binary()),
+                "rows": pa.array([len(own)], pa.int32()), "words": pa.array([words], pa.binary()),
+                "numbers": pa.array([_packed([*parts, counts[own]])], pa.binary()),
             })
 
 
@@ -184,13 +197,14 @@ def _merge(messages: pa.Table, least: int, split: dict) -> pa.Table:
     lang = messages.column("lang")[0].as_py()
     words = [m.split(b" ") for m in messages.column("words").to_pylist()]
     codes, known = _coded(pa.array([w for own in words for w in own], pa.large_binary()))
-    none, at, rows = len(known), 0, [[], [], []]
-    for own, *parts in zip(words, *[messages.column(c).to_pylist() for c in ("first", "second", "third")], strict=True):
+    none, at, rows, counts = len(known), 0, [[], [], []], []
+    for own, size, data in zip(words, *[messages.column(c).to_pylist() for c in ("rows", "numbers")], strict=True):
         numbers = np.append(codes[at : at + len(own)], none)
         at += len(own)
+        *parts, count = _unpacked(data, size, 4)
+        counts.append(count)
         for column, part in zip(rows, parts, strict=True):
-            column.append(numbers[np.frombuffer(part, dtype="<i4")])
-    counts = [np.frombuffer(c, dtype="<i8") for c in messages.column("counts").to_pylist()]
+            column.append(numbers[part])
     (a, b, x), n = _sums([np.concatenate(r) for r in rows], none + 1, np.concatenate(counts))
 
     single = b == none
