@@ -11,7 +11,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from permitlake.operators.joins import keys_of
 from permitlake.operators.keyed import loses
 from permitlake.schemas import TABLES, Table
 
@@ -85,28 +84,43 @@ def check_rows(
 
 
 def check_unique(rows: DataFrame, table: str) -> DataFrame:
-    """Values of key columns that occur more than once; each column is a scan of its own
-    and counts before the shuffle. A key column that the rows lack is an error."""
+    """Values of key columns that occur more than once. All key columns of a table are one scan:
+    each row gives its (column, value) pairs, which are counted before the one shuffle. A key
+    column that the rows lack is an error."""
+    columns = _key_columns(rows, table)
+    values = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
+    pairs = rows.select(F.inline(F.array(*values))).filter(F.col("value").isNotNull())
+    twice = pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1)
+    return _violations(twice, table, F.concat(F.lit("unique:"), "column"), F.col("value"))
+
+
+def _key_columns(rows: DataFrame, table: str) -> list[str]:
     spec = TABLES[table]
-    absent = [c for c in (spec.key, *spec.unique) if c not in rows.columns]
+    columns = [spec.key, *spec.unique]
+    absent = [c for c in columns if c not in rows.columns]
     if absent:
         raise ValueError(f"{table}: no column {absent} to check")
-    found = []
-    for c in (spec.key, *spec.unique):
-        counts = rows.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_rows"))
-        twice = counts.filter(F.col("_rows") > 1)
-        found.append(_violations(twice, table, F.lit(f"unique:{c}"), F.col(c)))
-    return reduce(DataFrame.unionByName, found)
+    return columns
 
 
 def check_clash(rows: DataFrame, table: str, existing: DataFrame) -> DataFrame:
-    """Values of key columns in new rows that the table already has."""
-    spec = TABLES[table]
+    """Values of key columns in new rows that the table already has.
+
+    The batch bounds what is looked at: its smallest and largest value of each key column (one
+    small job) go to the reader of the stored table as a filter, so that files and row groups
+    beyond them are skipped; serial ids, which continue the table's, meet none. Within these
+    bounds the batch's keys meet the stored ones in an inner join, where a small batch can be
+    the side that is sent, and for a large one Spark builds a Bloom filter on the batch and
+    applies it to the stored rows before they are shuffled.
+    """
+    columns = [c for c in _key_columns(rows, table) if c in existing.columns]
+    ends = rows.agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max)))).first()
     found = []
-    for c in (spec.key, *spec.unique):
-        if c in rows.columns and c in existing.columns:
-            taken = keys_of(rows, c).join(existing.select(c), c, "left_semi")
-            found.append(_violations(taken, table, F.lit(f"unique:{c}"), F.col(c)))
+    for c in columns:
+        within = F.col(c).between(ends[f"min_{c}"], ends[f"max_{c}"])
+        new, stored = (frame.select(c).filter(within) for frame in (rows, existing))
+        taken = stored.join(new, c).distinct()
+        found.append(_violations(taken, table, F.lit(f"unique:{c}"), F.col(c)))
     return reduce(DataFrame.unionByName, found)
 
 

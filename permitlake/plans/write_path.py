@@ -29,7 +29,7 @@ from permitlake.operators.quality import (
 )
 from permitlake.registry import Registry
 from permitlake.schemas import TABLES
-from permitlake.session import shared_dir
+from permitlake.session import remove_dir, shared_dir
 from permitlake.sources.store import Conflict, Store
 
 # Tables whose changes are logged.
@@ -76,13 +76,14 @@ class _Write:
         self.version = store.version()
         self.registry = store.registry(self.version)
         self.staged: list[tuple[str, list[str]]] = []
+        self.aside: list[str] = []
 
     def stage(
-        self, table: str, rows: DataFrame, also: tuple[str, ...] = (), apart: tuple[str, ...] = ()
+        self, table: str, rows: DataFrame, also: tuple[str, ...] = ()
     ) -> tuple[list[str], int]:
         """Write rows to files of their own; returns the folders and the number of rows."""
         try:
-            folders, count = self.store.stage(table, conform(rows, table, self.now, also), apart)
+            folders, count = self.store.stage(table, conform(rows, table, self.now, also))
         except PySparkException as error:
             if "would change as" in str(error):
                 raise InexactValue(str(error).split("\n")[0]) from error
@@ -90,6 +91,13 @@ class _Write:
         self.staged.append((table, folders))
         return folders, count
 
+    def deal(self, table: str, rows: DataFrame) -> tuple[list[str], DataFrame]:
+        """The folders of the rows that stay, and the rows that HIT marks; one write of both."""
+        folders, path = self.store.deal(table, rows, HIT)
+        self.staged.append((table, folders))
+        self.aside.append(path)
+        return folders, self.store.set_aside(table, path, HIT).select(*TABLES[table].columns)
+
     def rows(self, table: str, folders: list[str], also: T.StructType | None = None) -> DataFrame:
         extra = also.names if also else []
         return self.store.read(table, folders, also).select(*TABLES[table].columns, *extra)
@@ -134,6 +142,8 @@ class _Write:
     def __exit__(self, *error) -> None:
         for table, folders in self.staged:
             self.store.discard(table, folders)
+        for path in self.aside:
+            remove_dir(self.store.spark, path)
 
 
 def _started_again(write: Callable[..., Registry]) -> Callable[..., Registry]:
@@ -238,10 +248,7 @@ def delete(
         shared_dir(store.spark)
         doomed = doomed.select(key).distinct().checkpoint(eager=True)
         hit, others = write.touched(table, doomed)
-        dealt = tagged_delete(write.rows(table, hit), doomed, key)
-        folders, _ = write.stage(table, dealt, also=(HIT,), apart=(HIT,))
-        kept = [f for f in folders if f"{HIT}=false" in f]
-        gone = write.rows(table, [f for f in folders if f not in kept])
+        kept, gone = write.deal(table, tagged_delete(write.rows(table, hit), doomed, key))
         found = [
             check_children(gone.select(key), table, write.registry.table(child), child, column)
             for child, column in children_of(table)

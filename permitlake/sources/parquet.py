@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,7 +16,10 @@ from permitlake.registry import Registry
 from permitlake.schemas import DATE, MONTH, TABLES
 
 MANIFEST = "manifest"
-MANIFEST_SCHEMA = "table_name string, row_count bigint, table_schema string"
+MANIFEST_SCHEMA = (
+    "table_name string, row_count bigint, one decimal(30,0), other decimal(30,0), table_schema string"
+)
+SUMS = ("row_count", "one", "other")
 
 
 def scan_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,16 +55,23 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return files.agg(F.sum("length")).first()[0] or 0
 
 
-def write_table(rows: DataFrame, path: str, name: str, mode: str = "errorifexists") -> None:
+def write_table(
+    rows: DataFrame, path: str, name: str, mode: str = "errorifexists",
+    sums: Observation | None = None,
+) -> None:
     """Write rows of a table to a path: permits in one folder per year; payments, inspections
-    and audit entries in one per month.
+    and audit entries in one per month. `sums` gets the content sums of what is written.
 
     A table with folders is rebalanced first: the rows of a folder go to a few files, and
     a folder with very many rows is split among tasks.
     """
+    columns = rows.columns
     rows, by = with_folders(rows, name)
     if by:
         rows = rows.hint("rebalance", *by)
+    if sums is not None:
+        # Right below the write, where every row passes once, also when a task is repeated.
+        rows = rows.observe(sums, *_sums(columns))
     rows.write.mode(mode).partitionBy(*by).parquet(path)
 
 
@@ -73,54 +84,72 @@ def append_rows(rows: DataFrame, folder: str, name: str, now: dt.datetime) -> Da
 
 def export_snapshot(registry: Registry, folder: str, now: dt.datetime) -> str:
     """Write every table below `<folder>/<timestamp>`; the manifest comes last, so that a
-    snapshot without one is known to be incomplete. Returns the path."""
+    snapshot without one is known to be incomplete. It holds the content sums of each table,
+    taken while the table is written: each is read once. Returns the path."""
     path = f"{folder}/{now:%Y%m%d_%H%M%S}"
     entries = []
     for name in registry.names():
-        rows = registry.table(name)
-        write_table(rows, f"{path}/{name}", name)
-        written = _read(registry.spark, f"{path}/{name}", rows.schema)
-        entries.append(
-            _row_count(written, name, "row_count").withColumn(
-                "table_schema", F.lit(rows.schema.json())
-            )
-        )
-    manifest = reduce(DataFrame.unionByName, entries)
+        rows, sums = registry.table(name), Observation()
+        write_table(rows, f"{path}/{name}", name, sums=sums)
+        found = sums.get
+        # Without rows there is nothing to add up.
+        hashes = [Decimal(found[c] or 0) for c in SUMS[1:]]
+        entries.append((name, found[SUMS[0]], *hashes, rows.schema.json()))
+    manifest = registry.spark.createDataFrame(entries, MANIFEST_SCHEMA)
     manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/{MANIFEST}")
     return path
 
 
-def _row_count(rows: DataFrame, name: str, column: str) -> DataFrame:
-    """The row count of stored rows, from the file footers only."""
-    return rows.agg(F.count(F.lit(1)).alias(column)).withColumn("table_name", F.lit(name))
+def _sums(columns: list[str]) -> list[Column]:
+    """The number of rows, and two sums of row hashes: equal for tables with equal rows,
+    whatever their order and files."""
+    one = F.xxhash64(*columns).cast("decimal(20,0)")
+    other = F.xxhash64(F.lit(1), *reversed(columns)).cast("decimal(20,0)")
+    return [F.count(F.lit(1)).alias("row_count"), F.sum(one).alias("one"), F.sum(other).alias("other")]
 
 
 def content_sums(rows: DataFrame) -> DataFrame:
-    """One row that equal tables share, whatever the order: the number of rows, and two sums
-    of row hashes."""
-    one = F.xxhash64(*rows.columns).cast("decimal(20,0)")
-    other = F.xxhash64(F.lit(1), *reversed(rows.columns)).cast("decimal(20,0)")
-    return rows.agg(
-        F.count(F.lit(1)).alias("row_count"), F.sum(one).alias("one"), F.sum(other).alias("other")
-    )
+    """One row that equal tables share: see `_sums`."""
+    return rows.agg(*_sums(rows.columns)).na.fill(0)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).json(f"{path}/{MANIFEST}")
 
 
+def _stored_tables(spark: SparkSession, path: str, manifest: list) -> dict[str, DataFrame]:
+    return {
+        e["table_name"]: _read(
+            spark, f"{path}/{e['table_name']}", StructType.fromJson(json.loads(e["table_schema"]))
+        )
+        for e in manifest
+    }
+
+
+def compare_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """Every table of a snapshot against its manifest: table_name, row_count (as stored now),
+    written (rows, by the manifest) and equal, whether all content sums agree. Each table is
+    scanned once, all in one job."""
+    written = read_manifest(spark, path)
+    tables = _stored_tables(spark, path, written.collect())  # one row per table
+    found = reduce(DataFrame.unionByName, [
+        content_sums(rows).withColumn("table_name", F.lit(name)) for name, rows in tables.items()
+    ])
+    pairs = found.alias("f").join(F.broadcast(written.alias("w")), "table_name")
+    equal = reduce(Column.__and__, [F.col(f"f.{c}") == F.col(f"w.{c}") for c in SUMS])
+    return pairs.select(
+        "table_name", F.col("f.row_count").alias("row_count"),
+        F.col("w.row_count").alias("written"), equal.alias("equal"),
+    )
+
+
 def restore_snapshot(spark: SparkSession, path: str) -> Registry:
-    """The tables of a snapshot, after their row counts were compared with the manifest."""
-    manifest = read_manifest(spark, path)
-    tables = {}
-    for entry in manifest.collect():  # one row per table
-        schema = StructType.fromJson(json.loads(entry["table_schema"]))
-        tables[entry["table_name"]] = _read(spark, f"{path}/{entry['table_name']}", schema)
-    found = [_row_count(rows, name, "found") for name, rows in tables.items()]
-    counts = manifest.join(reduce(DataFrame.unionByName, found), "table_name")
-    wrong = counts.filter(F.col("found") != F.col("row_count")).collect()
+    """The tables of a snapshot, after their content was compared with the manifest."""
+    wrong = compare_snapshot(spark, path).filter(~F.col("equal")).collect()
     if wrong:
-        raise ValueError(
-            "; ".join(f"{r.table_name}: {r.found} rows, manifest says {r.row_count}" for r in wrong)
-        )
-    return Registry(spark, tables)
+        raise ValueError("; ".join(
+            f"{r.table_name}: {r.row_count} rows, manifest says {r.written}"
+            if r.row_count != r.written else f"{r.table_name}: other rows than the manifest's"
+            for r in wrong
+        ))
+    return Registry(spark, _stored_tables(spark, path, read_manifest(spark, path).collect()))

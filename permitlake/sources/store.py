@@ -135,29 +135,57 @@ class Store:
         by_month = {name: full[name] for name in TABLES if TABLES[name].month_of}
         return Registry(self.spark, tables, by_month)
 
-    def stage(self, table: str, rows: DataFrame, apart: tuple[str, ...] = ()) -> tuple[list[str], int]:
+    def stage(self, table: str, rows: DataFrame) -> tuple[list[str], int]:
         """Write rows to a batch of their own, not visible yet; returns its folders and the
-        number of rows, counted as they are written. Rows that differ in a column of `apart`
-        get folders of their own."""
+        number of rows, counted as they are written."""
+        batch = f"{BATCH}={uuid.uuid4().hex}"
+        path = f"{self.folder}/data/{table}/{batch}"
+        by, count = self._write(table, rows, path, ())
+        return self._folders(table, batch, by), count
+
+    def deal(self, table: str, rows: DataFrame, flag: str) -> tuple[list[str], str]:
+        """Write rows once, those whose boolean `flag` is false to a batch as `stage` does, the
+        others to a folder of their own, which is no part of the table. Returns the batch's
+        folders and that folder's parent; `set_aside` reads it."""
+        name = uuid.uuid4().hex
+        path = f"{self.folder}/dealt/{table}/{name}"
+        by, _ = self._write(table, rows, path, (flag,))
+        hadoop, batch = self._jvm.org.apache.hadoop.fs, f"{BATCH}={name}"
+        kept = hadoop.Path(path, f"{flag}=false")
+        if not self._files.exists(kept):
+            return [], path
+        target = hadoop.Path(f"{self.folder}/data/{table}/{batch}")
+        self._files.mkdirs(target.getParent())
+        if not self._files.rename(kept, target):
+            raise OSError(f"{kept} could not be moved")
+        return self._folders(table, batch, by), path
+
+    def set_aside(self, table: str, path: str, flag: str) -> DataFrame:
+        """The rows that `deal` has not put into the batch."""
+        folder = f"{path}/{flag}=true"
+        if not self._files.exists(self._jvm.org.apache.hadoop.fs.Path(folder)):
+            return self.spark.createDataFrame([], self._schema(table))
+        return self.spark.read.schema(self._schema(table)).parquet(folder)
+
+    def _write(self, table: str, rows: DataFrame, path: str, apart: tuple[str, ...]):
         rows, by = with_folders(rows, table)
-        by = (*apart, *by)
-        if by:
-            rows = rows.hint("rebalance", *by)
+        if apart + by:
+            rows = rows.hint("rebalance", *apart, *by)
         counted = Observation()
         rows = rows.observe(counted, F.count(F.lit(1)).alias("rows"))
-        batch = f"{BATCH}={uuid.uuid4().hex}"
-        path = f"{self.folder}/data/{table}/{batch}"
         try:
-            rows.write.partitionBy(*by).parquet(path)
+            rows.write.partitionBy(*apart, *by).parquet(path)
         except Exception:
             remove_dir(self.spark, path)
             raise
+        return by, counted.get["rows"]
+
+    def _folders(self, table: str, batch: str, by: tuple[str, ...]) -> list[str]:
         if not by:
-            return [batch], counted.get["rows"]
-        # Hadoop's pattern for the folders at the depth of the last column.
-        below = self._jvm.org.apache.hadoop.fs.Path(path + "/*=*" * len(by))
-        names = [f.getPath().toString().rsplit(f"/{batch}/", 1)[1] for f in self._files.globStatus(below)]
-        return [f"{batch}/{name}" for name in sorted(names)], counted.get["rows"]
+            return [batch]
+        target = self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/data/{table}/{batch}")
+        names = [f.getPath().getName() for f in self._files.listStatus(target) if f.isDirectory()]
+        return [f"{batch}/{name}" for name in sorted(names)]
 
     def discard(self, table: str, folders: list[str]) -> None:
         """Remove the files of a batch that was not published."""

@@ -31,6 +31,28 @@ def rows_of(frame):
 # --- ids -------------------------------------------------------------------------------
 
 
+def test_ids_of_missing_keys_and_hot_ties(spark):
+    """Null order columns are keys like any other, first in order; ties go by all columns."""
+    keys = [(None, 1), (None, None), (2, None)] + [(1, 1)] * 50
+    rows = [(a, b, n) for n, (a, b) in enumerate(keys)]
+    frame = spark.createDataFrame(rows, "a int, b int, n int").repartition(4)
+    numbered = assign_ids(frame, "id", ["a", "b"], keep=["n"])
+    found = sorted((r.id, r.n) for r in numbered.collect())
+    order = sorted(rows, key=lambda r: [(v is not None, v or 0) for v in r])
+    assert found == [(i, r[2]) for i, r in enumerate(order, 1)]
+
+
+def test_ids_of_rows_that_change_are_an_error(spark):
+    """Rows that are others when they are computed again get no number of another row."""
+    def shift(part):
+        for row in part:
+            yield (row[0] + 1000 * random.SystemRandom().randrange(10**6),)
+
+    unstable = spark.createDataFrame(spark.range(50).rdd.mapPartitions(shift), "id bigint")
+    with pytest.raises(PySparkException, match="changed while they were numbered"):
+        assign_ids(unstable, "n", ["id"]).collect()
+
+
 def test_ids_follow_the_order_without_gaps(spark):
     keys = list(range(5000))
     random.Random(1).shuffle(keys)
@@ -419,6 +441,25 @@ def test_restore_notices_missing_rows(spark, tmp_path):
         parquet.restore_snapshot(spark, path)
 
 
+def test_restore_notices_other_rows(spark, tmp_path):
+    """As many rows as before, one of them changed."""
+    path = parquet.export_snapshot(full_registry(spark), str(tmp_path), NOW)
+    other = full_registry(spark).table("users").withColumn("name", F.upper("name"))
+    parquet.write_table(other, f"{path}/users", "users", mode="overwrite")
+    with pytest.raises(ValueError, match="^users: other rows than the manifest's$"):
+        parquet.restore_snapshot(spark, path)
+    found = {r.table_name: r.equal for r in parquet.compare_snapshot(spark, path).collect()}
+    assert not found.pop("users") and all(found.values()) and len(found) == len(TABLES) - 1
+
+
+def test_sums_in_the_manifest_are_those_of_a_scan(spark, tmp_path):
+    reg = full_registry(spark)
+    path = parquet.export_snapshot(reg, str(tmp_path), NOW)
+    for row in parquet.read_manifest(spark, path).collect():
+        found = parquet.content_sums(reg.table(row.table_name)).first()
+        assert [row[c] for c in parquet.SUMS] == [found[c] for c in parquet.SUMS]
+
+
 def test_append_to_a_stored_table(spark, tmp_path):
     folder = str(tmp_path)
     parquet.write_table(frame(spark, "permits", []), f"{folder}/permits", "permits")
@@ -550,6 +591,148 @@ def test_two_writers_of_one_version(spark, tmp_path):
     assert store.registry().table("users").count() == 3
 
 
+def test_a_slower_writer_starts_again(spark, tmp_path, monkeypatch):
+    """Both writes are seen, and no log id is given twice."""
+    store = filled_store(spark, tmp_path)
+    first, publish, raced = len(logged(store)), Store.publish, []
+
+    def late(self, base, folders, last_ids=None):
+        if not raced:
+            raced.append(True)
+            write_path.append(store, "businesses", frame(spark, "businesses", [business(7)]), now=NOW)
+        return publish(self, base, folders, last_ids)
+
+    monkeypatch.setattr(Store, "publish", late)
+    changed = spark.createDataFrame([(1, "Other")], "business_id long, name string")
+    reg = write_path.update(store, "businesses", changed, now=NOW)
+    assert {r.business_id: r.name for r in reg.table("businesses").collect()} == {
+        1: "Other", 2: "Shop 2", 7: "Shop 7",
+    }
+    assert [entry[:4] for entry in logged(store)[first:]] == [
+        (first + 1, "INSERT", "businesses", 7), (first + 2, "UPDATE", "businesses", 1),
+    ]
+    # Files of the attempt that lost are gone: one batch each of the fill, the append, the update.
+    assert len(list(tmp_path.glob("data/businesses/batch=*"))) == 3
+
+
+def test_a_writer_that_always_loses_gives_up(spark, tmp_path, monkeypatch):
+    store, tries = filled_store(spark, tmp_path), []
+
+    def lost(self, *args):
+        tries.append(1)
+        raise Conflict("another")
+
+    monkeypatch.setattr(Store, "publish", lost)
+    with pytest.raises(Conflict):
+        write_path.append(store, "users", frame(spark, "users", [user(3)]), now=NOW)
+    assert len(tries) == write_path.ATTEMPTS
+
+
+def test_a_crash_between_the_steps_of_publishing(spark, tmp_path, monkeypatch):
+    """A pointer that never got its name is not read, and does not block the next one."""
+    store = filled_store(spark, tmp_path)
+    before = store.version()
+
+    def crash(self, hidden, path):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patched:
+        patched.setattr(Store, "_name", crash)
+        patched.setattr(store._files.__class__, "delete", lambda *a: None, raising=False)
+        with pytest.raises(KeyboardInterrupt):
+            store.publish(before, {"users": []})
+    (tmp_path / "versions" / f".{before.number + 1}-half").write_bytes(b"")
+    assert Store(spark, str(tmp_path)).version() == before
+    write_path.append(store, "users", frame(spark, "users", [user(3)]), now=NOW)
+    assert store.registry().table("users").count() == 3
+
+
+def test_only_complete_pointers_are_seen(spark, tmp_path, monkeypatch):
+    """When a pointer gets its name, all of it is there."""
+    store, name, seen = filled_store(spark, tmp_path), Store._name, []
+
+    def look(self, hidden, path):
+        seen.append((tmp_path / "versions" / hidden.getName()).read_text())
+        assert not (tmp_path / "versions" / path.getName()).exists()
+        name(self, hidden, path)
+
+    monkeypatch.setattr(Store, "_name", look)
+    new = store.publish(store.version(), {"users": []})
+    assert seen == [(tmp_path / "versions" / f"{new.number}.json").read_text()]
+
+
+def test_a_failed_stage_leaves_nothing(spark, tmp_path):
+    store = filled_store(spark, tmp_path)
+    files = sorted(tmp_path.glob("data/*/batch=*"))
+    broken = store.registry().table("users").withColumn("name", F.raise_error("no").cast("string"))
+    with pytest.raises(PySparkException):
+        write_path.append(store, "users", broken, now=NOW)
+    assert sorted(tmp_path.glob("data/*/batch=*")) == files
+
+
+def whole_joins(monkeypatch, columns):
+    """Records the joins whose left side has all columns of a table."""
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    join, seen = Frame.join, []
+
+    def traced(self, *args, **kwargs):
+        if set(columns) <= set(self.columns):
+            seen.append(self)
+        return join(self, *args, **kwargs)
+
+    monkeypatch.setattr(Frame, "join", traced)
+    return seen
+
+
+def counted_changes(spark, rows, schema):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(part):
+        for row in part:
+            seen.add(1)
+            yield row
+
+    given = spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(given.rdd.mapPartitions(count), given.schema), seen
+
+
+def test_an_update_joins_the_table_once(spark, tmp_path, monkeypatch):
+    store = filled_store(spark, tmp_path)
+    changed, computed = counted_changes(
+        spark, [(0, 2025, "expired"), (2, 2024, "issued"), (99, 2024, "issued")],
+        "permit_id long, permit_year int, status string",
+    )
+    old = {r.permit_id: r for r in store.registry().table("permits").collect()}
+    first, joins = len(logged(store)), whole_joins(monkeypatch, TABLES["permits"].columns)
+    reg = write_path.update(store, "permits", changed, now=NOW)
+    assert len(joins) == 1 and computed.value == 3
+    # A row whose year changes moves to another folder; unknown keys change nothing.
+    assert {r.permit_id: (r.permit_year, r.status) for r in reg.table("permits").collect()} == {
+        0: (2025, "expired"), 1: (2024, "issued"), 2: (2024, "issued"),
+    }
+    assert any("permit_year=2025" in f for f in files_of(store, "permits"))
+    entries = reg.table("audit_logs").filter(F.col("log_id") > first).collect()
+    assert [(r.action, r.target_id) for r in entries] == [("UPDATE", 0)]  # 2 stays as it was
+    logged_pair = json.loads(entries[0].metadata)
+    assert logged_pair["old"]["permit_year"] == old[0].permit_year and logged_pair["new"]["permit_year"] == 2025
+
+
+def test_a_delete_joins_the_table_once(spark, tmp_path, monkeypatch):
+    store = filled_store(spark, tmp_path)
+    doomed, computed = counted_changes(spark, [(1,), (1,), (None,), (99,)], "permit_id long")
+    first, joins = len(logged(store)), whole_joins(monkeypatch, TABLES["permits"].columns)
+    reg = write_path.delete(store, "permits", doomed, now=NOW)
+    assert len(joins) == 1 and computed.value == 4
+    assert sorted(r.permit_id for r in reg.table("permits").collect()) == [0, 2]
+    assert [entry[1:4] for entry in logged(store)[first:]] == [("DELETE", "permits", 1)]
+    assert reg.permits_of_year(2024).count() == 1 and reg.permits_of_year(2023).count() == 1
+    assert not list(tmp_path.glob("dealt/*/*"))
+    everything = spark.createDataFrame([(0,), (2,)], "permit_id long")
+    reg = write_path.delete(store, "permits", everything, now=NOW)
+    assert reg.table("permits").count() == 0 and files_of(store, "permits") == set()
+
+
 def test_scores_are_neither_rounded_nor_let_through(spark, tmp_path):
     store = filled_store(spark, tmp_path)
 

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from permitlake.operators import changes, keyed, quality
+from permitlake.operators.ids import assign_ids
 from permitlake.operators.joins import left_join_hot_right
 from permitlake.plans import businesses, compliance, inspections, payments, permits
 from permitlake.registry import Registry
+from permitlake.schemas import TABLES
 from permitlake.session import tune
 from permitlake.sources.sample_tables import SampleRegistry
 
@@ -254,3 +256,63 @@ def test_tune_only_raises_the_shuffle_partitions(spark):
         assert spark.conf.get("spark.sql.shuffle.partitions") == str(200 * 1024)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_ids_keep_only_their_order_columns(spark):
+    """What is stored to number rows has no column of the rows but those of the order."""
+    rows = spark.range(100).select(
+        "id", F.col("id").cast("string").alias("text"), (F.col("id") % 7).alias("k")
+    )
+    numbered = assign_ids(rows, "n", ["k", "id"], keep=["id", "text"])
+    stored = [line for line in plan_of(numbered).splitlines() if "Scan ExistingRDD" in line]
+    assert stored and all("text" not in line for line in stored)
+    assert any("_order_0" in line and "_rows" not in line.split("[")[0] for line in stored)
+    assert "Window" not in plan_of(numbered)  # no ties, no sorting of rows
+    tied = assign_ids(rows, "n", ["k"], keep=["id", "text"])
+    assert "Window" in plan_of(tied)
+
+
+def test_all_key_columns_of_a_table_are_one_scan(spark, tmp_path):
+    users = SampleRegistry(spark, FOLDER).table("users").withColumns(
+        {c: F.col("name") for c in ("phone", "password_hash")}
+    )
+    users.write.parquet(f"{tmp_path}/users")
+    found = quality.check_unique(spark.read.parquet(f"{tmp_path}/users"), "users")
+    plan = plan_of(found)
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+    assert plan.index("HashAggregate", plan.index("Exchange")) > 0  # counted before it, too
+
+
+def test_stored_keys_are_filtered_by_the_batch(spark, tmp_path, no_broadcast):
+    """A Bloom filter of the batch, and its bounds, reach the scan of the stored keys."""
+    spec = TABLES["payments"].schema
+    keys = spark.range(60_000).select(
+        (F.col("id") * 3).alias("payment_id"), F.concat(F.lit("M"), "id").alias("mpesa_code")
+    )
+    rows = keys.select(*[
+        (F.col(f.name) if f.name in keys.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in spec.fields
+    ])
+    rows.write.parquet(f"{tmp_path}/stored")
+    rows.filter("payment_id % 9000 = 0").withColumn("mpesa_code", F.lit("new")).write.parquet(f"{tmp_path}/batch")
+    stored, batch = (spark.read.parquet(f"{tmp_path}/{t}") for t in ("stored", "batch"))
+    wanted = {
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1",
+        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "50KB",
+    }
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        found = quality.check_clash(batch, "payments", stored)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 20
+    finally:
+        for name in wanted:
+            spark.conf.unset(name)
+    lines = plan.splitlines()
+    scans = [n for n, line in enumerate(lines) if "FileScan" in line and "/stored" in line]
+    assert len(scans) == 2  # of payment_id and mpesa_code
+    assert ">= 0" in lines[scans[0]] and "<= 171000" in lines[scans[0]]
+    assert "might_contain" in "".join(lines[: scans[0]])
+    none = quality.check_clash(batch.limit(0), "payments", stored)
+    assert none.count() == 0
