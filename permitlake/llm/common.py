@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
 # Word bytes are everything but these: space, tab, line feed, vertical tab, form feed,
 # carriage return. bytes.split() and bytes.lower() follow the same ASCII-only rules.
@@ -110,16 +112,34 @@ def small_batches(
             yield batch.slice(start)
 
 
-# Rows of a few numbers each that one broadcast may have: about 64 MB on each executor.
+# What one broadcast may have: rows, and bytes of their values.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
-def sized(frame: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it is counted to be small; as it is, to be shuffled, if not.
+def _value_bytes(field: StructField) -> Column:
+    """About the bytes of a column's value, lists and texts by their content."""
+    value, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (StringType, BinaryType)):
+        own = F.octet_length(value)
+    elif isinstance(kind, ArrayType) and isinstance(kind.elementType, StringType):
+        own = F.aggregate(value, F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
+    elif isinstance(kind, (ArrayType, StructType)):
+        own = F.octet_length(F.to_json(F.array(value) if isinstance(kind, StructType) else value))
+    else:
+        own = F.lit(8)
+    return F.coalesce(own, F.lit(0)).cast("bigint") + 8
+
+
+def sized(frame: DataFrame, limit: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast if rows and bytes are counted to be few; as it is, to be shuffled,
+    if not.
 
     The frame is read twice, so it should be cheap to read: a written or cut one.
     """
-    return F.broadcast(frame) if frame.limit(limit + 1).count() <= limit else frame
+    per_row = functools.reduce(Column.__add__, [_value_bytes(f) for f in frame.schema])
+    rows, held = frame.agg(F.count(F.lit(1)), F.coalesce(F.sum(per_row), F.lit(0))).first()
+    return F.broadcast(frame) if rows <= limit and held <= size else frame
 
 
 def written(frame: DataFrame, purpose: str) -> DataFrame:

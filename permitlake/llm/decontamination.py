@@ -113,18 +113,28 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     suspects = docs.join(wanted, "text_hash").select(
         "doc_id", "text_hash", _tokens("text").alias("tokens")
     )
-    pairs = suspects.join(sized(hits), "text_hash").join(
-        sized(items.select("item", "item_ids", F.col("tokens").alias("item_tokens"))), "item"
+    lengths_of = items.select("item", F.size("tokens").alias("item_words"))
+    aimed = hits.join(sized(lengths_of), "item")
+    # Of the document only the item's stretch on the diagonal goes on; its other tokens stay in
+    # the task that has just read them. A text that repeats itself has the same stretch on many
+    # diagonals: the lowest one stands for all, as the shares are the same.
+    lead = F.least(F.greatest(F.lit(0), -F.col("diagonal")), F.col("item_words"))
+    stretch = F.slice(
+        F.col("tokens"), F.greatest(F.col("diagonal"), F.lit(0)) + 1,
+        F.greatest(F.lit(0), F.least(F.col("item_words") - lead, F.size("tokens") - F.greatest(F.col("diagonal"), F.lit(0)))),
+    )
+    stretches = (
+        suspects.join(sized(aimed), "text_hash")
+        .select("doc_id", "text_hash", "item", "diagonal", "item_words", lead.alias("lead"), stretch.alias("own"))
+        .groupBy("doc_id", "text_hash", "item", "lead", "own", "item_words")
+        .agg(F.min("diagonal").alias("diagonal"))
     )
-    start, end = F.greatest(F.lit(0), -F.col("diagonal")), F.least(
-        F.size("item_tokens"), F.size("tokens") - F.col("diagonal")
+    pairs = stretches.join(
+        sized(items.select("item", "item_ids", F.col("tokens").alias("item_tokens"))), "item"
     )
-    agree = F.transform(
-        F.sequence(start, end - 1),
-        lambda j: (
-            F.get(F.col("tokens"), (j + F.col("diagonal")).cast("int"))
-            == F.get(F.col("item_tokens"), j)
-        ).cast("int"),
+    agree = F.zip_with(
+        F.col("own"), F.slice(F.col("item_tokens"), F.col("lead") + 1, F.size("own")),
+        lambda a, b: (a == b).cast("int"),
     )
     width = F.least(F.lit(WINDOW), F.size("item_tokens"))
     best = F.array_max(F.transform(
@@ -134,7 +144,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     checked = (
         pairs.select(
             "doc_id", "text_hash", "item", "item_ids", "diagonal",
-            F.size("item_tokens").alias("item_words"), start.alias("from"),
+            "item_words", F.col("lead").alias("from"),
             agree.alias("agree"), width.alias("width"),
         )
         .filter(F.size("agree") >= F.col("width"))

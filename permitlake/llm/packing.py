@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -107,36 +108,47 @@ def pack(items: DataFrame, limits: Mapping[str, int], n_items: int) -> DataFrame
     )
 
 
+def added_tokens(tokenizer: str) -> tuple[tuple[str, int], ...]:
+    """The texts that a tokenizer file gives an id of their own, wherever they stand in a text."""
+    with open(tokenizer, encoding="utf-8") as file:
+        return tuple((t["content"], t["id"]) for t in json.load(file)["added_tokens"])
+
+
 @functools.lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encoding(path: str, added: tuple[tuple[str, int], ...]):
     import tiktoken
     from public_tokenizers import PATTERN
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding(
-        path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
+        path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=dict(added)
     )
 
 
 def token_pieces(
-    documents: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID
+    documents: DataFrame,
+    vocabulary: str,
+    capacity: int = CAPACITY,
+    end_id: int = END_ID,
+    added: tuple[tuple[str, int], ...] = (),
 ) -> DataFrame:
     """Token ids of every document, cut into pieces of at most `capacity` ids.
 
     A document is its ids and then `end_id`; a null or empty text is `end_id` alone. All
-    pieces but the last are full. `vocabulary` is a rank file, readable on every executor.
+    pieces but the last are full. `vocabulary` is a rank file, readable on every executor;
+    `added` are texts with ids of their own (`added_tokens`), taken before all others.
     Returns doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, salt.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(vocabulary).encode_to_numpy
+        encode = _encoding(vocabulary, added).encode_to_numpy
         seen = 0
         for batch in small_batches(batches, "text", 4 << 20):
             rows: list[tuple] = []
             doc_ids = batch.column(0).to_pylist()
             for doc_id, text in zip(doc_ids, text_list(batch), strict=True):
-                ids = encode(text, allowed_special=set(), disallowed_special=())
+                ids = encode(text, allowed_special="all", disallowed_special=())
                 ids = np.append(ids, end_id).astype("<u4")
                 seen += 1
                 for start in range(0, len(ids), capacity):
@@ -174,16 +186,24 @@ def sequences(packed: DataFrame) -> DataFrame:
     )
 
 
-def pack_documents(documents: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
+def pack_documents(
+    documents: DataFrame,
+    vocabulary: str,
+    with_ids: bool = False,
+    added: tuple[tuple[str, int], ...] = (),
+) -> DataFrame:
     """Pack whole documents: pieces with their digest, sequence and offset.
 
     Only digests are shuffled unless `with_ids` asks for the ids themselves.
     """
-    pieces = token_pieces(documents, vocabulary).select(
+    pieces = token_pieces(documents, vocabulary, added=added).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
         F.lit(1).cast("bigint").alias("segments"),
         (F.col("length") - 1).alias("loss_tokens"),
         *(["ids"] if with_ids else []), "salt",
     )
     limits = {"length": CAPACITY, "segments": MAX_SEGMENTS, "loss_tokens": CAPACITY - 1}
-    return pack(pieces, limits, documents.count())
+    # Pieces, at three bytes a token: only the number of blocks follows from it.
+    tokens = F.coalesce(F.octet_length("text"), F.lit(0)) / 3 + 1
+    count = pick(documents, "text").agg(F.sum(F.ceil(tokens / CAPACITY))).first()[0] or 0
+    return pack(pieces, limits, int(count))

@@ -35,6 +35,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(
         table(spark, sf_dir, "documents"),
         public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")),
     )
     return packed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"

@@ -33,14 +33,15 @@ THRESHOLD = 0.5
 MASK = "[SECRET]"
 
 KEY_WORD = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)"
-ASSIGNED = KEY_WORD + r"[A-Za-z0-9_\-]*[\"']?\s*[:=]\s*[\"']?$"
-# A lookbehind needs bounds; the short one comes first, as it fails soonest.
+_WORD = KEY_WORD.replace("(?i)(", "(?i:").replace("(word", "(?:word")
+# A name that has a key word, a sign and a value, whatever stands between them. It starts where
+# the name starts and goes on without a step back, so it reads a text once, however long the
+# name or the space is. Group 1 is the value, which ends the match.
 VALUE = (
-    r"(?<=[:=]\s{0,3}[\"']?)(?<=" + KEY_WORD.replace("(?i)(", "(?i:")
-    + r"[A-Za-z0-9_\-]{0,30}[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?=[^\s\"'`,;<>]*[0-9!@#$%^&*+/_~\-])"
-    + rf"[^\s\"'`,;<>=:]{{1}}[^\s\"'`,;<>]{{{SHORT_LENGTH - 2},}}[^\s\"'`,;<>.:?()\[\]{{}}]"
+    r"(?<![A-Za-z0-9_\-])(?=[A-Za-z0-9_\-]*?" + _WORD + r")[A-Za-z0-9_\-]++[\"']?+\s*+[:=]\s*+[\"']?+"
+    r"(?=[^\s\"'`,;<>]*[0-9!@#$%^&*+/_~\-])"
+    rf"([^\s\"'`,;<>=:]{{1}}[^\s\"'`,;<>]{{{SHORT_LENGTH - 2},}}[^\s\"'`,;<>.:?()\[\]{{}}])"
 )
-CANDIDATE = f"{VALUE}|{RUN}"
 PROVIDER = r"^(AKIA|ASIA|AGPA|AIDA|AROA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-"
 PLACEHOLDER = r"(?i)example|placeholder|changeme|your[_-]|xxxx|(.)\1{7}"
 
@@ -66,37 +67,61 @@ def frequent_words(documents: DataFrame) -> list[str]:
     return [row["word"] for row in top]
 
 
+def _starts(whole: str, between: str, found: str) -> Column:
+    """Where the last part `found` of each match `whole` begins, in characters from 0: what
+    stands between the matches tells where each ends."""
+    ends = F.aggregate(
+        F.sequence(F.lit(1), F.size(whole)), F.array().cast("array<int>"),
+        lambda known, i: F.concat(known, F.array(
+            F.coalesce(F.element_at(known, -1), F.lit(0)) + F.length(F.get(F.col(between), i - 1))
+            + F.length(F.get(F.col(whole), i - 1))
+        )),
+    )
+    starts = F.zip_with(ends, found, lambda end, own: end - F.length(own))
+    return F.when(F.size(whole) > 0, starts).otherwise(F.array().cast("array<int>"))
+
+
 def candidates(documents: DataFrame) -> DataFrame:
     """Each place of each candidate of each row: row, doc_id, text_hash, candidate, start,
-    before, after.
+    before, after, in_value.
 
-    `row` is a number of the row. `start` counts characters from 0; the context is that of the place. Null and empty texts
+    Candidates are runs of key characters and the values of key words (`in_value`); where both
+    start at one place the value counts, which may be longer. `row` is a number of the row.
+    `start` counts characters from 0; the context is that of the place. Null and empty texts
     have none.
     """
     text = F.col("text")
+
+    def matches(pattern: str, group: int) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+    def between(pattern: str, whole: str) -> Column:
+        return F.when(F.size(whole) > 0, F.split(text, pattern, -1))
+
     docs = pick(documents, "doc_id", "text").select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "text",
-        F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"),
-    ).filter(F.size("found") > 0)
-    # What stands between the candidates tells where each begins.
-    docs = docs.select("*", F.split(text, CANDIDATE, -1).alias("between"))
-    starts = F.aggregate(
-        F.sequence(F.lit(1), F.size("found")),
-        F.array(F.length(F.get("between", F.lit(0)))),
-        lambda known, i: F.concat(known, F.array(
-            F.element_at(known, -1) + F.length(F.get(F.col("found"), i - 1))
-            + F.length(F.get(F.col("between"), i))
-        )),
-    )
-    places = docs.select("row", "doc_id", "text", F.inline(F.arrays_zip(
-        F.col("found").alias("candidate"), F.slice(starts, 1, F.size("found")).alias("start")
-    )).alias("candidate", "start"))
+        matches(VALUE, 0).alias("assignments"), matches(RUN, 0).alias("runs"),
+    ).filter((F.size("assignments") > 0) | (F.size("runs") > 0))
+    docs = docs.withColumns({
+        "values": F.when(F.size("assignments") > 0, matches(VALUE, 1)).otherwise(F.col("assignments")),
+        "outside_values": between(VALUE, "assignments"), "outside_runs": between(RUN, "runs"),
+    })
+    docs = docs.withColumns({
+        "value_starts": _starts("assignments", "outside_values", "values"),
+        "run_starts": _starts("runs", "outside_runs", "runs"),
+    })
+    places = docs.select("row", "doc_id", "text", "value_starts", F.inline(F.concat(*[
+        F.zip_with(own, starts, lambda c, at, v=in_value: F.struct(
+            c.alias("candidate"), at.alias("start"), F.lit(v).alias("in_value")
+        ))
+        for own, starts, in_value in (("values", "value_starts", True), ("runs", "run_starts", False))
+    ]))).filter(F.col("in_value") | ~F.array_contains("value_starts", F.col("start")))
     at = F.col("start") + 1
     first = F.greatest(at - BEFORE, F.lit(1))
     return places.select(
         "row", "doc_id", F.xxhash64("text").alias("text_hash"), "candidate", "start",
         F.substr(text, first, at - first).alias("before"),
-        F.substr(text, at + F.length("candidate"), F.lit(AFTER)).alias("after"),
+        F.substr(text, at + F.length("candidate"), F.lit(AFTER)).alias("after"), "in_value",
     )
 
 
@@ -134,7 +159,7 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
         "path_after": after.rlike(r"^[./\\]\w"),
         "dot_after": after.rlike(r"^[.,;:!?]?(\s|$)"),
         "mail": before.rlike(r"@\S*$") | after.rlike(r"^\S*@"),
-        "assigned": before.rlike(ASSIGNED), "key_word": before.rlike(KEY_WORD),
+        "assigned": F.col("in_value"), "key_word": F.col("in_value") | before.rlike(KEY_WORD),
         "equals": before.rlike(r"[:=]\s*[\"']?$"), "quoted": before.rlike(r"[\"']$"),
         "word_before": F.length(F.regexp_extract(before, r"(\S*)\s*$", 1)),
         "word_after": F.length(F.regexp_extract(after, r"^\S*\s*(\S*)", 1)),

@@ -63,18 +63,20 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of every whole text; null text is empty."""
+    """doc_id, text_hash and fingerprint (as a signed long) of every whole text; a null text is
+    empty, but has a hash of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             values = np.array([fingerprint(t, shingle) for t in encoded(batch)], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "print"]
+                [batch.column(0), batch.column(1), pa.array(values.view(np.int64))],
+                names=["doc_id", "text_hash", "print"],
             )
 
-    docs = pick(documents, "doc_id", "text")
+    docs = pick(documents, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, print bigint")
+    return docs.mapInArrow(run, f"doc_id {kind}, text_hash bigint, print bigint")
 
 
 class BKTree:
@@ -241,6 +243,16 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """print, component (any one print of the class) and first, the smallest doc_id that has the
+    print: a row for each distinct fingerprint."""
+    distinct = cut_lineage(prints.groupBy("print").agg(F.min("doc_id").alias("first")))
+    linked = components(links(distinct.select("print"), radius))
+    return distinct.join(
+        linked.select(F.col("node").alias("print"), "component"), "print", "left"
+    ).select("print", "first", F.coalesce("component", "print").alias("component"))
+
+
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -250,13 +262,7 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int =
     the component of its fingerprint, null if no document there has an id.
     """
     prints = cut_lineage(fingerprints(documents, shingle))
-    distinct = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
-    distinct = cut_lineage(distinct)
-    found = links(distinct.select("print"), radius)
-    classes = components(found)
-    member = distinct.join(
-        classes.select(F.col("node").alias("print"), "component"), "print", "left"
-    ).select("print", "first", F.coalesce("component", "print").alias("component"))
+    member = _classes(prints, radius)
     least = member.groupBy("component").agg(F.min("first").alias("component_id"))
     of_print = member.join(least, "component").select("print", "component_id")
     return prints.join(of_print, "print").select(
@@ -267,40 +273,37 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int =
 def keep_first(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of `documents`, all columns, with one document of each class of duplicates.
 
-    The document of the smallest id stays; of several rows of this id, one. Documents without
-    an id go if their class has one with an id; of the others, one of each text stays.
+    The document of the smallest id stays; a missing id comes after all others. A document is an
+    id with its text: texts of one id that are no duplicates are judged apart, and of several
+    texts of the smallest id in a class, one stays. Of rows equal in id and text, the one whose
+    other columns are smallest stays.
     """
-    found = near_duplicates(documents, shingle, radius)
+    prints = cut_lineage(fingerprints(documents, shingle))
+    classes = _classes(prints, radius).select("print", "component")
+    texts = prints.distinct().join(classes, "print").select("component", "doc_id", "text_hash")
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")
+    first = texts.groupBy("component").agg(F.min(order).alias("kept"))
+    is_kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
+    # A document is in one class, so what goes from one is not kept by another.
     gone = cut_lineage(
-        found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+        texts.join(first, "component").filter(~is_kept)
+        .select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    )
+    repeated = cut_lineage(
+        prints.groupBy("doc_id", "text_hash").count().filter("count > 1")
+        .select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"))
     )
     names = documents.columns
     key, text = f"_{names.index('doc_id')}", f"_{names.index('text')}"
-    held = documents.toDF(*[f"_{i}" for i in range(len(names))])
-    kept = held.join(sized(gone), F.col(key) == F.col("doc_id"), "left_anti")
-    several = cut_lineage(
-        held.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("doc_id")).count()
-        .filter("count > 1").select("doc_id")
-    )
-    nameless = cut_lineage(
-        found.filter("doc_id is null and component_id is null").select("fingerprint").distinct()
+    plain = [f"_{i}" for i in range(len(names))]
+    held = documents.toDF(*plain).withColumn("text_hash", F.xxhash64(text))
+    is_gone = F.col(key).eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash"))
+    kept = held.join(sized(gone), is_gone, "left_anti")
+    is_repeated = F.col(key).eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))
+    several = sized(repeated)
+    single = kept.join(several, is_repeated, "left_anti").select(*plain)
+    # Combined before the shuffle: one row per task and document.
+    least = kept.join(several, is_repeated, "left_semi").groupBy(key, "text_hash").agg(
+        F.min(F.struct(*plain)).alias("row")
     )
-    single = kept.filter(F.col(key).isNotNull()).join(
-        sized(several), F.col(key) == F.col("doc_id"), "left_anti"
-    )
-    repeated = kept.join(sized(several), F.col(key) == F.col("doc_id"), "left_semi")
-    # Rows that share an id are few; each such id is one group, however many rows it has.
-    first = repeated.groupBy(key).agg(F.min(F.struct(*held.columns)).alias("row")).select("row.*")
-    result = single.union(first.select(*held.columns))
-    if not nameless.isEmpty():
-        printed = fingerprints(held.filter(F.col(key).isNull()).select(
-            F.col(text).alias("doc_id"), F.col(text).alias("text")), shingle)
-        printed = printed.select(
-            F.col("doc_id").alias("own"),
-            F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
-        )
-        texts = printed.join(sized(nameless), "fingerprint").select("own").distinct()
-        without = held.filter(F.col(key).isNull()).join(texts, F.col(text).eqNullSafe(F.col("own")), "left_semi")
-        result = result.union(without.groupBy(text).agg(
-            F.min(F.struct(*held.columns)).alias("row")).select("row.*").select(*held.columns))
-    return result.toDF(*names)
+    return single.union(least.select("row.*").select(*plain)).toDF(*names)

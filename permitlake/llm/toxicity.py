@@ -23,7 +23,7 @@ FOLDS = 3
 HELD_OUT = 1
 THRESHOLD = 0.7
 TRAIN_ROWS = 5000  # labelled documents that the weights are fitted on, at most
-TRAIN_BYTES = 16384  # longer documents are not among them; scoring reads texts of any length
+TRAIN_BYTES = 16384  # of sentences that each of them gives; scoring reads texts of any length
 STEMS = (4,)  # bytes; a stem stands for the forms of a word
 MIN_DOCUMENTS = 5  # of the training documents must hold a word for it to have a weight
 STEPS = 300
@@ -51,6 +51,24 @@ def sentences(text: bytes) -> list[tuple[int, int, list[bytes]]]:
     return found
 
 
+def shortened(text: bytes, size: int = TRAIN_BYTES) -> bytes:
+    """A text of at most `size` bytes as it is; of a longer one, sentences from all parts of it,
+    evenly spaced, up to `size` bytes. One sentence that is longer gives its first words."""
+    if len(text) <= size:
+        return text
+    share, taken, held = size / len(text), [], 0
+    for number, (start, end, _) in enumerate(sentences(text)):
+        if int((number + 1) * share) == int(number * share) and taken:
+            continue
+        part = text[start : min(end, start + size - held)]
+        if part:
+            taken.append(part)
+            held += len(part) + 1
+        if held >= size:
+            break
+    return b"\n".join(taken)[:size]
+
+
 def units(words: list[bytes]) -> set[bytes]:
     """What a sentence is described by: its words, and their stems of STEMS bytes, each once."""
     found = set(words)
@@ -145,23 +163,30 @@ def train(texts: list[bytes], labels: list[int]) -> Bags:
 def fit(documents: DataFrame, labelled: DataFrame) -> Bags:
     """Train on up to TRAIN_ROWS labelled documents, those of the smallest id hashes.
 
-    The sample has this many rows of at most TRAIN_BYTES, at any input size; its whole texts
-    go to the driver.
+    The sample has this many rows of at most TRAIN_BYTES, at any input size; long documents give
+    sentences from all their parts. It goes to the driver.
     """
-    short = documents.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
     chosen = (
         labelled.filter(F.col("label").isin(0, 1))
-        .join(short.select("doc_id"), "doc_id", "left_semi")
+        .join(documents.select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(TRAIN_ROWS)
     )
-    rows = (
-        short.join(F.broadcast(chosen), "doc_id")
+    whole = (
+        documents.join(F.broadcast(chosen), "doc_id")
         .select("doc_id", F.encode("text", "utf-8").alias("text"), "label")
-        .orderBy("doc_id", "text", "label")
-        .limit(TRAIN_ROWS)
-        .collect()
     )
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [shortened(t or b"") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(texts, pa.binary()), batch.column(2)],
+                names=["doc_id", "text", "label"],
+            )
+
+    kinds = ", ".join(f"{c} {whole.schema[c].dataType.simpleString()}" for c in ("doc_id", "text", "label"))
+    rows = whole.mapInArrow(shorten, kinds).orderBy("doc_id", "text", "label").limit(TRAIN_ROWS).collect()
     return train([bytes(r["text"] or b"") for r in rows], [r["label"] for r in rows])
 
 

@@ -154,6 +154,23 @@ def test_near_duplicates_of_odd_rows(spark):
     ) and ids.count(None) == 1
 
 
+def test_texts_of_one_id_are_judged_apart(spark):
+    one = "one text about rivers and hills that is long enough to have a print of its own " * 3
+    two = "quite another matter: invoices, ledgers, columns of numbers and the clerks who kept them " * 3
+    three = "ships sail at dawn with salt and rope and nobody on shore remembers where they went " * 3
+    rows_ = [
+        (1, one, "b"), (1, two, "a"), (2, one, "c"), (1, one, "a"), (3, three, "x"), (None, three, "y"),
+        (None, two + "far from it all, a different sentence with words of its own kind here " * 9, "z"),
+        (0, two, "q"), (None, None, "n"), (None, "", "m"),
+    ]
+    docs = spark.createDataFrame(rows_, "doc_id bigint, text string, `TEXT` string")
+    kept = sorted(map(tuple, simhash_dedup.keep_first(docs).collect()), key=str)
+    # Both texts of id 1 are looked at: `one` stays, once; `two` goes for id 0, `three` has an id.
+    assert [r for r in kept if r[0] is not None] == [(0, two, "q"), (1, one, "a"), (3, three, "x")]
+    nameless = [r for r in kept if r[0] is None]
+    assert len(nameless) == 2 and {r[2] for r in nameless} & {"n", "m"} and "z" in {r[2] for r in nameless}
+
+
 # --- 8 ----------------------------------------------------------------------------------
 
 

@@ -16,6 +16,7 @@ from permitlake.llm import packing, queries, sharding
 from permitlake.llm.common import pick
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+ADDED = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -37,10 +38,57 @@ def test_scarce_dimension_is_spread():
     assert len(set(packing.place(sizes, np.array([10, 99, 10])).tolist())) == 20
 
 
+def test_texts_that_hold_an_added_token(spark):
+    texts = dict(enumerate([
+        "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  ", "<|endoftext",
+        "  <|endoftext|>\n\n z", "plain", "",
+    ]))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    _check_pieces(packing.pack_documents(frame, RANKS, added=ADDED).collect(), texts)
+
+
+def naive_place(sizes, limits):
+    """Bins one after the other; every step looks at every item that is left."""
+    share = sizes / limits
+    weight = share.sum(axis=0)
+    weighted = share * (weight / max(weight.sum(), 1e-9))
+    order = sorted(range(len(sizes)), key=lambda i: tuple(sizes[i]))
+    bins, current, left = [-1] * len(sizes), 0, list(order)
+    while left:
+        room, taken = limits.astype(float).copy(), False
+        while True:
+            fits = [i for i in left if (sizes[i] <= room).all()] or ([] if taken else left[:1])
+            if not fits:
+                break
+            scores = [float(weighted[i] @ (np.maximum(room, 0) / limits)) for i in fits]
+            best = fits[scores.index(max(scores))]
+            bins[best], taken = current, True
+            left.remove(best)
+            room -= sizes[best]
+            if (room <= 0).any() or not left:
+                break
+        current += 1
+    return bins
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(1, 3), st.integers(0, 8)), max_size=25))
+def test_bins_against_a_naive_packer(items):
+    """The same sizes in the same bins; equal sizes may change places."""
+    limits, sizes = np.array([10, 4, 8]), np.array(items, dtype=np.int64).reshape(-1, 3)
+
+    def content(bins):
+        held = {}
+        for size, number in zip(items, bins, strict=True):
+            held.setdefault(int(number), []).append(size)
+        return [sorted(held[n]) for n in sorted(held)]
+
+    assert content(packing.place(sizes, limits)) == content(naive_place(sizes, limits))
+
+
 def _check_pieces(found, texts, others=()):
     """Every document's pieces, and the sequences; `others` are ids that are not looked into."""
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     by_doc, by_sequence = {}, {}
     for row in found:
         by_doc.setdefault(row["doc_id"], []).append(row)
@@ -71,7 +119,7 @@ def test_packing_against_the_tokenizer(spark):
 
 
 def test_packing_odd_rows(spark):
-    found = packing.pack_documents(odd_documents(spark), RANKS).collect()
+    found = packing.pack_documents(odd_documents(spark), RANKS, added=ADDED).collect()
     known = [r for r in rows() if r[0] is not None and r[0] != 9]
     _check_pieces(found, {r[0]: r[1] or "" for r in known}, others=[9, None])
     assert Counter(r["doc_id"] for r in found)[9] == 2
@@ -81,7 +129,7 @@ def test_packing_odd_rows(spark):
 
 def test_sequences_round_trip(spark):
     docs = odd_documents(spark).filter("doc_id = 5")
-    packed = packing.pack_documents(docs, RANKS, with_ids=True)
+    packed = packing.pack_documents(docs, RANKS, with_ids=True, added=ADDED)
     ids = {r["sequence_id"]: bytes.fromhex(r["ids_hex"]) for r in packing.sequences(packed).collect()}
     pieces = sorted(packed.collect(), key=lambda r: r["start"])
     got = b"".join(ids[p["sequence_id"]][4 * p["offset"] : 4 * (p["offset"] + p["length"])] for p in pieces)

@@ -93,6 +93,17 @@ def test_short_items_against_all_alignments(spark):
     assert found == want
 
 
+def test_one_word_many_times(spark):
+    """A megabyte of one word against an item of that word: one stretch, on many diagonals."""
+    docs = [("a " * 500_000,), ("a " * 7,), ("b " * 20 + "a " * 14,), ("a b " * 200_000,)]
+    frame = spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "a " * 15), (2, "a b " * 20)], "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["share"], r["doc_start"]) for r in decontamination.overlaps(frame, bench).collect()}
+    assert found[0, 1] == (1.0, 0) and found[3, 2] == (1.0, 0) and (2, 1) in found and (1, 1) not in found
+    want = _plain_overlap(_plain_words(docs[2][0]), ["a"] * 15)
+    assert found[2, 1][0] == want
+
+
 def test_overlaps_of_odd_rows(spark):
     docs = odd_documents(spark)
     found = decontamination.overlaps(docs, benchmark(spark)).collect()
@@ -151,6 +162,39 @@ def test_every_place_of_a_candidate(spark):
     assert "Tr0ub4dor" not in masked[1]
 
 
+def test_assignments_of_any_shape(spark):
+    """Long names, much space, values on other lines, a name without end."""
+    texts = [
+        f"password_{'x' * 31} = hunter22", "password     =     hunter22", "api_key:\n\n\n\nhunter22 end",
+        f"my{'_' * 200}secret{'-' * 300}:'hunter22'", "token = hunter22, secret=token=hunter33x",
+        "secret" * 200_000, "password" + " " * 1_000_000 + "= hunter22", "token=" * 100_000,
+        "tokens are words", "pass = short", "key=hunter22",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {}
+    for row in secret_scan.scan(frame).collect():
+        assert all(texts[row["doc_id"]][i:].startswith(row["candidate"]) for i in row["starts"])
+        found.setdefault(row["doc_id"], set()).add(row["candidate"])
+    assert all("hunter22" in found[i] for i in (0, 1, 2, 3, 4, 6))
+    assert "token=hunter33x" in found[4] and not found.keys() & {8, 9, 10}
+
+
+def test_held_out_findings(spark):
+    """Labels of half of the documents, given as findings, decide those of the other half."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows_ = secret_scan.with_features(secret_scan.candidates(docs), secret_scan.frequent_words(docs))
+    real = {
+        (r["doc_id"], next(filter(None, m.groups()))) for r in docs.collect()
+        for m in SECRET.finditer(r["text"])
+    }
+    known = spark.createDataFrame(sorted(real), "doc_id bigint, candidate string").withColumn("label", F.lit(1))
+    labelled = rows_.filter("doc_id % 2 = 0").join(known, ["doc_id", "candidate"], "left").fillna({"label": 0})
+    found = [r for r in secret_scan.scan(docs, labelled).collect() if r["doc_id"] % 2]
+    confirmed = {(r["doc_id"], r["candidate"]) for r in found if r["is_secret"]}
+    wanted = {pair for pair in real if pair[0] % 2}
+    assert len(confirmed & wanted) >= 0.95 * len(wanted) and len(confirmed & wanted) >= 0.95 * len(confirmed)
+
+
 def test_scan_of_odd_rows(spark):
     docs = odd_documents(spark)
     found = secret_scan.scan(docs)
@@ -209,7 +253,7 @@ def test_pipeline_against_brute_force(spark):
     found = corpus_pipeline.run(spark, folder).collect()
     import public_tokenizers
 
-    encode = packing._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken")).encode_ordinary
+    encode = packing._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), ()).encode_ordinary
     want = {i: len(encode(t)) + 1 for i, t in texts.items()}
     assert {r["doc_id"]: r["doc_tokens"] for r in found} == want
     assert len(corpus_pipeline.STAGES) == 5
