@@ -174,8 +174,52 @@ def test_shards_odd_rows(spark, tmp_path):
     found = sharding.shard_documents(docs)
     _check_shards(found.collect(), len(rows()))
     assert sharding.shard_documents(no_documents(spark)).count() == 0
-    plain = pick(docs, "doc_id", "text", "lang", "source").filter("doc_id between 1 and 8")
-    shards = sharding.shard_documents(plain)
-    sharding.write_shards(plain, shards, str(tmp_path / "out"))
+
+
+def test_every_row_is_written_once(spark, tmp_path):
+    """Missing ids, repeated ids and repeated rows, in the order of their slots."""
+    plain = pick(odd_documents(spark), "doc_id", "text", "lang", "source", "n_chars").withColumn(
+        "row", F.lit("own")
+    )
+    sharding.write_shards(plain, str(tmp_path / "out"), n_shards=5)
     written = spark.read.parquet(str(tmp_path / "out"))
-    assert written.count() == plain.count()
+    assert written.columns == [*plain.columns, "shard"]
+    assert Counter(map(tuple, written.drop("shard").collect())) == Counter(map(tuple, plain.collect()))
+    sizes = [r["count"] for r in written.groupBy("shard").count().collect()]
+    assert max(sizes) - min(sizes) <= 1 and len(sizes) == 5
+    with pytest.raises(ValueError, match="SHARD"):
+        sharding.write_shards(written, str(tmp_path / "other"), column="SHARD")
+    sharding.write_shards(no_documents(spark).select("doc_id", "lang", "source", F.lit("").alias("text")), str(tmp_path / "none"))
+
+
+def test_cells_keep_the_order(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for column in ("lang", "source"):
+        cells = sorted(map(tuple, sharding.ranked_cells(docs, column, 10).collect()))
+        values = sorted(r[0] for r in docs.select(column).distinct().collect())
+        assert cells == [(v, i * 1024 // len(values)) for i, v in enumerate(values)]
+    sizes = docs.select("n_chars", sharding.quantile_cell(docs, "n_chars", 10).alias("c")).collect()
+    ordered = [c for _, c in sorted(map(tuple, sizes))]
+    assert ordered == sorted(ordered) and min(ordered) >= 0 and max(ordered) == 1023
+    parts = Counter(c // 64 for c in ordered)
+    assert len(parts) == 16 and max(parts.values()) <= 2 * len(ordered) / 16
+
+
+def test_filters_skip_shards(spark):
+    """Minimum and maximum of a shard leave most shards out, whatever dimension is asked for."""
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "source")
+    found = sharding.shard_documents(spark.read.parquet(f"{folder}/documents.parquet"))
+    ends = found.join(docs, "doc_id").groupBy("shard").agg(
+        *[f(c).alias(f"{n}_{c}") for c in ("lang", "source", "size") for n, f in (("min", F.min), ("max", F.max))]
+    ).collect()
+
+    def skipped(column, values):
+        held = [sum(r[f"min_{column}"] <= v <= r[f"max_{column}"] for r in ends) for v in values]
+        return 1 - sum(held) / len(held) / len(ends)
+
+    langs, sources = ([r[0] for r in docs.select(c).distinct().collect()] for c in ("lang", "source"))
+    sizes = found.approxQuantile("size", [k / 20 for k in range(1, 20)], 0.01)
+    shares = {"lang": skipped("lang", langs), "source": skipped("source", sources), "size": skipped("size", sizes)}
+    print(shares)
+    assert shares["lang"] >= 0.5 and shares["source"] >= 0.4 and shares["size"] >= 0.4, shares
