@@ -18,8 +18,13 @@ same gram at the same distance from their anchor need be compared:
 3. The marks go back to the chunks of documents, where the texts are.
 
 A gram with many contexts in one batch of documents is counted as one row there, before the
-shuffle. Grams of more than CROWD contexts are not sorted in one task: each of their windows
-is hashed and counted by itself, with the same result.
+shuffle. Grams of more than CROWD contexts are not sorted in one task. Each chunk counts their
+windows, by distance and digest, so that a window gives one row a chunk however many documents
+have it; the counts are added up by grouping, and those above one go back to the chunks. The
+result is the same.
+
+Chunks are ranges of ids; a range of more than CHUNK_BYTES of text is split by a hash of its
+rows, missing ids like any other range.
 """
 
 from __future__ import annotations
@@ -33,7 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from permitlake.llm.common import chunk, encoded, pick, small_batches, written
+from permitlake.llm.common import (
+    chunk, cut_lineage, encoded, pick, sized, small_batches, written,
+)
 
 WINDOW = 200
 GRAM = 64
@@ -41,7 +48,8 @@ BEFORE = WINDOW - GRAM  # bytes of a window that can stand before its anchor
 SHALLOW = 6  # words of 8 bytes that the quicksort looks at; tries order what is equal there
 CROWD = 50_000
 LOCAL = 8  # contexts of a gram in a batch, above which they are one row
-BUCKET = 8_000  # documents whose contexts a task sorts, about
+BUCKET_BYTES = 16 << 20  # text whose contexts a task sorts, about
+CHUNK_BYTES = 64 << 20  # text of a chunk, about, unless rows are equal
 PIECE = 1 << 20  # bytes of a long text that are looked at together
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
@@ -340,14 +348,12 @@ def _runs(text: bytes, grams: np.ndarray) -> Iterator[tuple[int, int, int, int,
         yield p, a, b, gram, context_hash(text, p, a, b)
 
 
-def _to_sort(docs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    """The contexts of a chunk that share their gram with others: one row for each, or, for
-    crowded grams, for each of its windows."""
-    import xxhash
-
+def _contexts(docs: pd.DataFrame, rows: pd.DataFrame) -> dict[tuple[int, int], list]:
+    """Of a chunk, the contexts that share their gram with others: their bytes, the place of the
+    anchor there, and whether all their windows are known to be repeated."""
     wanted: dict[tuple[int, int], list] = {}
     # What is said of a gram alone holds for all of its contexts in this chunk.
-    grams, said = _known(rows[rows["shared"]])
+    grams, said = _known(rows)
     for text in docs["text"]:
         text = (text or "").encode()
         for place, first, last, gram, context in _runs(text, grams):
@@ -356,45 +362,55 @@ def _to_sort(docs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
                 continue
             seen = wanted.get((gram, context))
             if seen:
-                seen[3] = True
+                seen[2] = True
             else:
-                wanted[gram, context] = [text[first : last + WINDOW], place - first, state[2], state[0]]
+                wanted[gram, context] = [text[first : last + WINDOW], place - first, state[0]]
+    return wanted
+
+
+def _to_sort(docs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """The contexts of a chunk that share their gram with others: one row for each."""
     number = int(rows["chunk"].iloc[0]) if len(rows) else 0
-    out = []
-    for (gram, context), (data, left, crowd, full) in wanted.items():
-        if not crowd:
-            out.append((number, gram, gram, context, data, left, full))
-            continue
-        for at in range(len(data) - WINDOW + 1):
-            window = data[at : at + WINDOW]
-            key = xxhash.xxh3_64_intdigest(window, left - at) - (1 << 63)
-            out.append((number, gram ^ key, gram, context, xxhash.xxh3_128_digest(window), left - at, full))
-    columns = ["chunk", "key", "gram", "context", "data", "left", "full"]
-    return pd.DataFrame(out, columns=columns)
+    out = [
+        (number, gram, context, data, left, full)
+        for (gram, context), (data, left, full) in _contexts(docs, rows[rows["shared"] & ~rows["crowd"]]).items()
+    ]
+    return pd.DataFrame(out, columns=["chunk", "gram", "context", "data", "left", "full"])
+
+
+def _windows(data: bytes, left: int) -> Iterator[tuple[int, bytes]]:
+    """Of a context's windows the distance to the anchor, and a digest of the bytes."""
+    import xxhash
+
+    for at in range(len(data) - WINDOW + 1):
+        yield left - at, xxhash.xxh3_128_digest(data[at : at + WINDOW])
+
+
+def _count_windows(docs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a chunk, the windows of crowded grams, each once, with the number of contexts that have
+    it; one that is known to be repeated counts twice."""
+    number = int(rows["chunk"].iloc[0]) if len(rows) else 0
+    counts: dict[tuple[int, int, bytes], int] = {}
+    for (gram, _), (data, left, full) in _contexts(docs, rows[rows["shared"] & rows["crowd"]]).items():
+        for distance, digest in _windows(data, left):
+            key = (gram, distance, digest)
+            counts[key] = counts.get(key, 0) + 1 + bool(full)
+    out = [(number, *key, n) for key, n in counts.items()]
+    return pd.DataFrame(out, columns=["chunk", "gram", "distance", "digest", "n"])
 
 
 def _sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["gram", "context", "left", "chunk"], ignore_index=True)
-    crowded = np.array([len(d) == 16 for d in rows["data"]], bool)
-    whole = rows[~crowded]
     found = repeated_windows(
-        [bytes(d) for d in whole["data"]], whole["left"].tolist(), whole["full"].tolist()
+        [bytes(d) for d in rows["data"]], rows["left"].tolist(), rows["full"].tolist()
     )
     out = [
         (chunk_, gram, context, start, end)
         for chunk_, gram, context, ranges in zip(
-            whole["chunk"], whole["gram"], whole["context"], found, strict=True
+            rows["chunk"], rows["gram"], rows["context"], found, strict=True
         )
         for start, end in ranges
     ]
-    single = rows[crowded]
-    seen: dict[tuple, int] = {}
-    keys = list(zip(single["gram"], single["left"], [bytes(d) for d in single["data"]], strict=True))
-    for key, full in zip(keys, single["full"], strict=True):
-        seen[key] = seen.get(key, 0) + 1 + bool(full)
-    for key, chunk_, context in zip(keys, single["chunk"], single["context"], strict=True):
-        if seen[key] > 1:
-            out.append((chunk_, key[0], context, -key[1], WINDOW - key[1]))
     return pd.DataFrame(out, columns=["chunk", "gram", "context", "start", "end"]).astype("int64")
 
 
@@ -402,6 +418,10 @@ def _finish(docs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
     """Every document of a chunk without its repeated bytes."""
     full: set[tuple[int, int]] = set()
     ranges: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    counted = rows[rows["digest"].notna()]
+    repeated: dict[int, set[tuple[int, bytes]]] = {}
+    for gram, distance, digest in zip(*[counted[c].tolist() for c in ("gram", "start", "digest")], strict=True):
+        repeated.setdefault(gram, set()).add((int(distance), bytes(digest)))
     some = rows[rows["full"] | rows["end"].notna()]
     for gram, context, whole, start, end in zip(
         *[some[c].tolist() for c in ("gram", "context", "full", "start", "end")], strict=True
@@ -410,7 +430,7 @@ def _finish(docs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
             full.add((gram, int(context)))
         else:
             ranges.setdefault((gram, int(context)), []).append((int(start), int(end)))
-    grams = np.unique(some["gram"].to_numpy(np.int64))
+    grams = np.unique(np.append(some["gram"].to_numpy(np.int64), np.array(list(repeated), np.int64)))
     done = []
     for doc_id, text in zip(docs["doc_id"].tolist(), docs["text"], strict=True):
         text = (text or "").encode()
@@ -418,14 +438,37 @@ def _finish(docs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         for place, first, last, *key in _runs(text, grams):
             if tuple(key) in full:
                 spans.append((first, last + WINDOW))
-            else:
-                spans += [(place + a, place + b) for a, b in ranges.get(tuple(key), ())]
+                continue
+            spans += [(place + a, place + b) for a, b in ranges.get(tuple(key), ())]
+            if key[0] in repeated:
+                known = repeated[key[0]]
+                spans += [
+                    (place - window[0], place - window[0] + WINDOW)
+                    for window in _windows(text[first : last + WINDOW], place - first) if window in known
+                ]
         spans = _merge(spans)
         done.append(_result(None if pd.isna(doc_id) else int(doc_id), text, spans))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
     return pd.DataFrame(done, columns=names).astype({"doc_id": "Int64"})
 
 
+def _chunked(documents: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text and chunk, and the bytes of all texts."""
+    docs = pick(documents, "doc_id", "text").withColumn("chunk", chunk())
+    sizes = cut_lineage(
+        docs.groupBy("chunk").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
+    )
+    large = sizes.filter(F.col("bytes") > CHUNK_BYTES).select(
+        F.col("chunk").alias("part"), F.ceil(F.col("bytes") / CHUNK_BYTES).alias("parts")
+    )
+    if not large.isEmpty():
+        own = F.xxhash64("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.col("parts")))
+        docs = docs.join(sized(large), F.col("chunk") == F.col("part"), "left").select(
+            "doc_id", "text", F.when(F.col("parts").isNotNull(), own).otherwise(F.col("chunk")).alias("chunk")
+        )
+    return docs, sizes.agg(F.sum("bytes")).first()[0] or 0
+
+
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """What is left of every document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans.
 
@@ -435,8 +478,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     other. Ids are integers; one that is missing is returned as missing, one that occurs
     twice stands for two documents.
     """
-    docs = pick(documents, "doc_id", "text").withColumn("chunk", chunk())
-    n_buckets = max(1, -(-documents.count() // BUCKET))
+    docs, size = _chunked(documents)
+    n_buckets = max(1, -(-size // BUCKET_BYTES))
     counted = docs.select("text", "chunk").mapInArrow(
         _count, "chunk bigint, gram bigint, context bigint, n bigint, kinds bigint"
     )
@@ -459,20 +502,35 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         ),
         "repeats",
     )
-    texts = docs.groupBy("chunk")
-    to_sort = texts.cogroup(status.withColumnRenamed("chunk", "part").groupBy("part")).applyInPandas(
-        lambda rows, known: _to_sort(rows, known.rename(columns={"part": "chunk"})),
-        "chunk bigint, key bigint, gram bigint, context bigint, data binary, left bigint, full boolean",
-    )
+
+    def with_chunks(what, schema: str, known: DataFrame) -> DataFrame:
+        said = known.withColumnRenamed("chunk", "part").groupBy("part")
+        return docs.groupBy("chunk").cogroup(said).applyInPandas(
+            lambda rows, part: what(rows, part.rename(columns={"part": "chunk"})), schema
+        )
+
     ranges = (
-        to_sort.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n_buckets)))
+        with_chunks(_to_sort, "chunk bigint, gram bigint, context bigint, data binary, left bigint, full boolean", status)
+        .withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(n_buckets)))
         .groupBy("bucket")
         .applyInPandas(_sort_bucket, "chunk bigint, gram bigint, context bigint, start bigint, end bigint")
     )
-    none = F.lit(None).cast("bigint")
+    none, no_bytes = F.lit(None).cast("bigint"), F.lit(None).cast("binary")
     marks = status.filter("full").select(
-        F.col("chunk").alias("part"), "gram", "context", "full", none.alias("start"), none.alias("end")
-    ).union(ranges.select("chunk", "gram", "context", F.lit(False), "start", "end"))
+        F.col("chunk").alias("part"), "gram", "context", "full", none.alias("start"),
+        none.alias("end"), no_bytes.alias("digest"),
+    ).union(ranges.select("chunk", "gram", "context", F.lit(False), "start", "end", no_bytes))
+    crowded = status.filter("crowd and shared")
+    if not crowded.isEmpty():
+        window = ["gram", "distance", "digest"]
+        counts = written(
+            with_chunks(_count_windows, "chunk bigint, gram bigint, distance bigint, digest binary, n bigint", crowded),
+            "windows",
+        )
+        twice = counts.groupBy(*window).agg(F.sum("n").alias("n")).filter("n > 1").select(*window)
+        marks = marks.union(counts.join(twice, window).select(
+            "chunk", "gram", F.lit(0).cast("bigint"), F.lit(False), "distance", none, "digest"
+        ))
     return docs.groupBy("chunk").cogroup(marks.groupBy("part")).applyInPandas(
         _finish,
         "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "

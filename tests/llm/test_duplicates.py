@@ -230,6 +230,30 @@ def test_repeats_in_mixed_texts(spark, monkeypatch, crowd):
     assert list(dict(sorted(_found(frame).items())).values()) == _plain_removal(texts)
 
 
+def test_passage_that_half_of_the_documents_share(spark, monkeypatch):
+    """Each document has other text around it. A window gives one row a chunk, however many
+    documents of the chunk have it, and no row is grouped alone with all others."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", 100)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 40_000)
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = letters(330)
+    texts = [letters(rng.randint(0, 150)) + (passage if i % 2 else letters(200)) + letters(rng.randint(0, 150)) for i in range(600)]
+    rows_ = [(i if i % 5 else None, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows_, "doc_id bigint, text string").repartition(3)
+    seen = []
+    write = suffix_dedup.written
+    monkeypatch.setattr(suffix_dedup, "written", lambda f, purpose: seen.append((purpose, w := write(f, purpose))) or w)
+    found = suffix_dedup.remove_repeats(frame).collect()
+    want = Counter(zip([r[0] for r in rows_], _plain_removal([t.encode() for t in texts]), strict=True))
+    assert Counter((r[0], tuple(r)[1:5]) for r in found) == want
+    counts = dict(seen)["windows"]
+    chunks = counts.select("chunk").distinct().count()
+    assert chunks >= 5  # also the missing ids are several
+    assert counts.groupBy("gram", "distance", "digest").count().agg({"count": "max"}).first()[0] <= chunks
+    assert counts.agg({"n": "max"}).first()[0] > 20
+
+
 def test_repeats_across_pieces_of_a_long_text(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
     rng = random.Random(3)
