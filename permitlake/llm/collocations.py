@@ -18,6 +18,7 @@ one bucket. Scores need joins of candidates only (phrases that occur `least` tim
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -297,12 +298,24 @@ def count_phrases(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame,
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _send(batches, buckets, split.value)
 
-    def merge(messages: pa.Table) -> pa.Table:
-        return _merge(messages, least, split.value)
-
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The messages of one language and bucket at a time; they come in this order."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                message = batch.slice(row, 1)
+                if held and any(message.column(c)[0] != held[0].column(c)[0] for c in (0, 1)):
+                    yield from _merge(pa.Table.from_batches(held), least, split.value).to_batches()
+                    held = []
+                held.append(message)
+        if held:
+            yield from _merge(pa.Table.from_batches(held), least, split.value).to_batches()
+
+    # A partition for each bucket, so that no two of them meet in one task.
     found = cut_lineage(
         docs.select("lang", "text").mapInArrow(send, _MESSAGE)
-        .groupBy("lang", "bucket").applyInArrow(merge, _FOUND)
+        .repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "lang")
+        .mapInArrow(merge, _FOUND)
     )
     totals = found.filter(F.col("kind") == _TOTAL).groupBy("lang").agg(F.sum("n").alias("n"))
     words = found.filter(F.col("kind") == _WORD).select("lang", "a", "n")
@@ -352,11 +365,15 @@ def collocations(documents: DataFrame, least: int = LEAST, subsumed: int = SUBSU
         F.least("one", "two").alias("score"),
     )
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # A language may have most phrases: its first ones are found in parts, then among those.
+    # A language may have most phrases: its first ones are found in parts, of those in fewer
+    # parts, then among all.
+    best = two.unionByName(three)
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = two.unionByName(three).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
-    in_part = Window.partitionBy("lang", "part").orderBy(*order)
-    best = dealt.withColumn("place", F.row_number().over(in_part)).filter(F.col("place") <= top)
+    for number in (parts, math.isqrt(parts)):
+        in_part = Window.partitionBy("lang", "part").orderBy(*order)
+        best = best.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(number))).withColumn(
+            "place", F.row_number().over(in_part)
+        ).filter(F.col("place") <= top)
     in_lang = Window.partitionBy("lang").orderBy(*order)
     ranked = best.withColumn("rank", F.row_number().over(in_lang).cast("bigint")).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
