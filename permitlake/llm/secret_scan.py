@@ -36,12 +36,13 @@ KEY_WORD = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?
 _WORD = KEY_WORD.replace("(?i)(", "(?i:").replace("(word", "(?:word")
 # A name that has a key word, a sign and a value, whatever stands between them. It starts where
 # the name starts and goes on without a step back, so it reads a text once, however long the
-# name or the space is. Group 1 is the value, which ends the match.
+# name or the space is. Group 1 is the value, which ends the match; what it must have is
+# looked at afterwards.
 VALUE = (
     r"(?<![A-Za-z0-9_\-])(?=[A-Za-z0-9_\-]*?" + _WORD + r")[A-Za-z0-9_\-]++[\"']?+\s*+[:=]\s*+[\"']?+"
-    r"(?=[^\s\"'`,;<>]*[0-9!@#$%^&*+/_~\-])"
-    rf"([^\s\"'`,;<>=:]{{1}}[^\s\"'`,;<>]{{{SHORT_LENGTH - 2},}}[^\s\"'`,;<>.:?()\[\]{{}}])"
+    rf"([^\s\"'`,;<>=:][^\s\"'`,;<>]{{{SHORT_LENGTH - 2},}}[^\s\"'`,;<>.:?()\[\]{{}}])"
 )
+NO_WORD = r"[0-9!@#$%^&*+/_~\-]"  # a value has one of these
 PROVIDER = r"^(AKIA|ASIA|AGPA|AIDA|AROA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-"
 PLACEHOLDER = r"(?i)example|placeholder|changeme|your[_-]|xxxx|(.)\1{7}"
 
@@ -67,18 +68,28 @@ def frequent_words(documents: DataFrame) -> list[str]:
     return [row["word"] for row in top]
 
 
-def _starts(whole: str, between: str, found: str) -> Column:
-    """Where the last part `found` of each match `whole` begins, in characters from 0: what
-    stands between the matches tells where each ends."""
-    ends = F.aggregate(
-        F.sequence(F.lit(1), F.size(whole)), F.array().cast("array<int>"),
-        lambda known, i: F.concat(known, F.array(
-            F.coalesce(F.element_at(known, -1), F.lit(0)) + F.length(F.get(F.col(between), i - 1))
-            + F.length(F.get(F.col(whole), i - 1))
-        )),
-    )
-    starts = F.zip_with(ends, found, lambda end, own: end - F.length(own))
-    return F.when(F.size(whole) > 0, starts).otherwise(F.array().cast("array<int>"))
+_BLOCK = 256
+
+
+def _sums(lengths: str) -> Column:
+    """The sums of a list's first numbers: after the first, after the second, and so on.
+
+    By blocks, as a list that grows by one is copied each time.
+    """
+    def along(numbers: Column, start: Column) -> Column:
+        return F.aggregate(
+            numbers, F.array().cast("array<int>"),
+            lambda known, n: F.concat(known, F.array(
+                F.coalesce(F.get(known, F.size(known) - 1), start) + n
+            )),
+        )
+
+    first = F.sequence(F.lit(1), F.size(lengths), F.lit(_BLOCK))
+    blocks = F.transform(first, lambda at: F.slice(lengths, at, F.lit(_BLOCK)))
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, n: a + n))
+    before = F.concat(F.array(F.lit(0)), along(totals, F.lit(0)))
+    whole = F.flatten(F.transform(blocks, lambda b, k: along(b, F.get(before, k))))
+    return F.when(F.size(lengths) > 0, whole).otherwise(F.array().cast("array<int>"))
 
 
 def candidates(documents: DataFrame) -> DataFrame:
@@ -98,24 +109,41 @@ def candidates(documents: DataFrame) -> DataFrame:
     def between(pattern: str, whole: str) -> Column:
         return F.when(F.size(whole) > 0, F.split(text, pattern, -1))
 
+    def steps(outside: str, whole: str) -> Column:
+        """Characters from the end of one match to the end of the next."""
+        return F.zip_with(
+            F.slice(outside, F.lit(1), F.size(whole)), whole, lambda a, b: F.length(a) + F.length(b)
+        )
+
+    def listed(found: str, ends: str, in_value: bool) -> Column:
+        return F.zip_with(found, ends, lambda c, end: F.struct(
+            c.alias("candidate"), (end - F.length(c)).alias("start"), F.lit(in_value).alias("in_value")
+        ))
+
     docs = pick(documents, "doc_id", "text").select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "text",
         matches(VALUE, 0).alias("assignments"), matches(RUN, 0).alias("runs"),
     ).filter((F.size("assignments") > 0) | (F.size("runs") > 0))
+    # What stands between the matches tells where each ends; one step after the other, so that
+    # nothing is computed again for every element.
     docs = docs.withColumns({
         "values": F.when(F.size("assignments") > 0, matches(VALUE, 1)).otherwise(F.col("assignments")),
-        "outside_values": between(VALUE, "assignments"), "outside_runs": between(RUN, "runs"),
+        "outside_values": F.coalesce(between(VALUE, "assignments"), F.array().cast("array<string>")),
+        "outside_runs": F.coalesce(between(RUN, "runs"), F.array().cast("array<string>")),
     })
     docs = docs.withColumns({
-        "value_starts": _starts("assignments", "outside_values", "values"),
-        "run_starts": _starts("runs", "outside_runs", "runs"),
+        "value_steps": steps("outside_values", "assignments"), "run_steps": steps("outside_runs", "runs"),
     })
-    places = docs.select("row", "doc_id", "text", "value_starts", F.inline(F.concat(*[
-        F.zip_with(own, starts, lambda c, at, v=in_value: F.struct(
-            c.alias("candidate"), at.alias("start"), F.lit(v).alias("in_value")
-        ))
-        for own, starts, in_value in (("values", "value_starts", True), ("runs", "run_starts", False))
-    ]))).filter(F.col("in_value") | ~F.array_contains("value_starts", F.col("start")))
+    docs = docs.withColumns({"value_ends": _sums("value_steps"), "run_ends": _sums("run_steps")})
+    docs = docs.withColumn("own_values", F.filter(
+        listed("values", "value_ends", True), lambda v: v["candidate"].rlike(NO_WORD)
+    ))
+    docs = docs.withColumn("value_starts", F.transform("own_values", lambda v: v["start"]))
+    both = F.concat("own_values", listed("runs", "run_ends", False))
+    taken = F.array_contains("value_starts", F.col("start"))
+    places = docs.select("row", "doc_id", "text", "value_starts", F.inline(both)).filter(
+        F.col("in_value") | ~taken
+    )
     at = F.col("start") + 1
     first = F.greatest(at - BEFORE, F.lit(1))
     return places.select(
