@@ -25,8 +25,10 @@ from permitlake.plans import (  # noqa: E402
     inspections,
     intake,
     maintenance,
+    monthly,
     payments,
     permits,
+    search_index,
     users,
     write_path,
 )
@@ -378,6 +380,10 @@ def _queries() -> dict[str, Callable[[Registry], DataFrame]]:
         "search_businesses": lambda r: businesses.search_businesses(
             r, as_of=AS_OF, term="R#0000001", size="Medium"
         ),
+        "search_by_postings": lambda r: businesses.search_businesses(
+            r, as_of=AS_OF, term="R#0000001", size="Medium",
+            postings=search_index.build_postings(r.table("businesses")),
+        ),
         "search_all_businesses": lambda r: businesses.search_businesses(r, as_of=AS_OF),
         "businesses_by_pins": lambda r: businesses.businesses_by_pins(
             r, _keys(r, "businesses_dirty", "kra_pin")
@@ -420,6 +426,13 @@ def _queries() -> dict[str, Callable[[Registry], DataFrame]]:
             "total_amount_collected",
         ),
         "inspection_statistics": inspections.inspection_statistics,
+        "payment_statistics_by_month": lambda r: _doubles(
+            monthly.payment_statistics(monthly.payment_parts(r.table("payments"))),
+            "total_amount_collected",
+        ),
+        "inspection_statistics_by_month": lambda r: monthly.inspection_statistics(
+            monthly.inspection_parts(r.table("inspections"))
+        ),
         "outstanding_by_payment": lambda r: _doubles(
             payments.outstanding_by_payment(r), "outstanding_amount"
         ),

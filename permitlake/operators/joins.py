@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,29 @@ def matching(rows: DataFrame, column: str, wanted) -> DataFrame:
     return rows.filter(F.col(column) == wanted)
 
 
+def presence(left: DataFrame, key: str, *rights: DataFrame) -> DataFrame:
+    """The distinct non-null keys of the left side with `_in`, a number whose bit k tells whether
+    the k-th right side has the key (from 1; bit 0 is the left side).
+
+    One scan of each key column and one grouping, combined before its shuffle. As all is in one
+    column, what is asked of several sides reads the same shuffle. See `lacking`.
+    """
+    sides = [rows.select(key, F.lit(1 << k).alias("_in")) for k, rows in enumerate((left, *rights))]
+    tagged = reduce(DataFrame.unionByName, sides).filter(F.col(key).isNotNull())
+    return tagged.groupBy(key).agg(F.bit_or("_in").alias("_in")).filter(F.col("_in") % 2 == 1)
+
+
+def lacking(present: DataFrame, side: int) -> DataFrame:
+    """The keys of a `presence` that a right side does not have."""
+    return present.filter(F.col("_in").bitwiseAND(F.lit(1 << side)) == 0).drop("_in")
+
+
+def padded_join(left: DataFrame, right: DataFrame, key: str, absent: DataFrame) -> DataFrame:
+    """A left outer join as an inner one: the right side gets an all-null row for each key in
+    `absent`, the left keys that it does not have. Keys that the left side lacks do no harm."""
+    return left.join(right.unionByName(absent.select(key), allowMissingColumns=True), key)
+
+
 def left_join_hot_right(
     left: DataFrame, right: DataFrame, key: str, left_keys: DataFrame | None = None
 ) -> DataFrame:
@@ -47,9 +72,8 @@ def left_join_hot_right(
     either side of an inner one. So the right side gets an all-null row for each left key
     it lacks, found on the key column alone, and an inner join does the rest. The left
     key must not be null. `left_keys` is a cheaper source of all left keys, if there is
-    one; keys in it that the left side lacks do no harm.
+    one; keys in it that the left side lacks do no harm. Several such joins by one key share
+    one `presence`.
     """
-    keys = left if left_keys is None else left_keys
-    lacking = keys_of(keys, key).join(keys_of(right, key), key, "left_anti")
-    padded = right.unionByName(lacking, allowMissingColumns=True)
-    return left.join(padded, key)
+    present = presence(left if left_keys is None else left_keys, key, right)
+    return padded_join(left, right, key, lacking(present, 1))

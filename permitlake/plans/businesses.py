@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from permitlake.functions.literals import day, like_escape, slug
 from permitlake.functions.rules import expires_soon, status_description
-from permitlake.operators.joins import keys_of, left_join_hot_right, matching
+from permitlake.operators.joins import (
+    keys_of, lacking, left_join_hot_right, matching, padded_join, presence,
+)
 from permitlake.operators.ordering import down, in_order, up
+from permitlake.plans.search_index import holders_of, term_grams
 from permitlake.registry import Registry
 
+# Columns of the summary.
 SUMMARY_COLUMNS = (
     "business_id", "business_name", "kra_pin", "category", "size", "location", "ward",
     "business_status", "permit_id", "permit_year", "permit_status", "fee_amount",
@@ -49,6 +53,12 @@ def business_summary(
     registry: Registry, *, as_of: dt.date, business_id=None, ordered: bool = True
 ) -> DataFrame:
     """Active businesses with each permit of the year of `as_of`, or none, by name."""
+    rows = _summary(registry, as_of, business_id, None)
+    return in_order(rows, ordered, up("business_name"), up("business_id"), up("permit_id"))
+
+
+def _summary(registry: Registry, as_of: dt.date, business_id, present: DataFrame | None) -> DataFrame:
+    """The summary's rows; `present` tells of each business whether it has a permit."""
     businesses = _active(registry).select(
         "business_id", F.col("name").alias("business_name"), "kra_pin", "category", "size",
         "location", "ward", F.col("status").alias("business_status"),
@@ -59,23 +69,30 @@ def business_summary(
         "business_id", "permit_id", "permit_year", F.col("status").alias("permit_status"),
         "fee_amount", "issue_date", "expiry_date",
     )
-    rows = left_join_hot_right(businesses, permits, "business_id").select(
+    if present is None:
+        present = presence(businesses, "business_id", permits)
+    rows = padded_join(businesses, permits, "business_id", lacking(present, 1))
+    return rows.select(
         *SUMMARY_COLUMNS,
         status_description(F.col("expiry_date"), as_of).alias("permit_status_desc"),
     )
-    return in_order(rows, ordered, up("business_name"), up("business_id"), up("permit_id"))
 
 
 def business_permit_summary(
     registry: Registry, *, as_of: dt.date, ordered: bool = False
 ) -> DataFrame:
     """The summary with each compliance score of the business, or none. Scores are meant
-    to be one per business; several repeat its permits, as in any such join."""
+    to be one per business; several repeat its permits, as in any such join.
+
+    Which businesses lack a permit and which lack a score is found by one grouping of the three
+    key columns, whose shuffle both joins read."""
     scores = registry.table("compliance_scores").select(
         "business_id", F.col("score").alias("compliance_score"), "cluster_label"
     )
-    summary = business_summary(registry, as_of=as_of, ordered=False)
-    rows = left_join_hot_right(summary, scores, "business_id", left_keys=_active(registry))
+    permits = registry.permits_of_year(as_of.year)
+    present = presence(_active(registry), "business_id", permits, scores)
+    summary = _summary(registry, as_of, None, present)
+    rows = padded_join(summary, scores, "business_id", lacking(present, 2))
     return in_order(rows, ordered, up("business_name"), up("business_id"), up("permit_id"))
 
 
@@ -103,13 +120,19 @@ def search_businesses(
     size: str | None = None,
     raw: bool = False,
     ordered: bool = True,
+    postings: DataFrame | None = None,
 ) -> DataFrame:
     """Active businesses that pass the given filters, with their permits of the year.
 
-    The term is sought in name and PIN, in any case; `raw` leaves % and _ as wildcards.
+    The term is sought in name and PIN, in any case; `raw` leaves % and _ as wildcards. With
+    `postings` of the businesses (`plans.search_index`), only those that hold all trigrams of
+    the term are looked at; a term without one is sought in all of them.
     """
     found = _active(registry)
     if term is not None:
+        grams = term_grams(registry.spark, term, raw) if postings is not None else []
+        if grams:
+            found = matching(found, "business_id", holders_of(postings, grams))
         pattern = f"%{term if raw else like_escape(term)}%"
         found = found.filter(F.col("name").ilike(pattern) | F.col("kra_pin").ilike(pattern))
     for column, wanted in (("ward", ward), ("category", category), ("size", size)):

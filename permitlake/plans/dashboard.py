@@ -21,6 +21,7 @@ PREVIEW_TABLES = (
 )
 PREVIEW_ROWS = 100
 
+# Tables whose rows the health check counts.
 HEALTH_TABLES = ("users", "businesses", "permits")
 
 
@@ -81,14 +82,11 @@ def compliance_rate(registry: Registry, *, as_of: dt.date) -> DataFrame:
 def recent_activity(registry: Registry, *, count: int = 5) -> DataFrame:
     """The newest audit entries with the name of their user, newest first.
 
-    The entries are cut to `count` before users are read. Spark sees how few they are.
+    The entries are cut to `count` before users are read. Spark sees how few they are. Of a log
+    that is stored by month, only as many months are read, from the newest on, as have `count`
+    entries; these few rows are fetched at once.
     """
-    newest = (
-        registry.table("audit_logs")
-        .select("log_id", "timestamp", "action", "target_table", "user_id")
-        .orderBy(down("timestamp"), down("log_id"))
-        .limit(count)
-    )
+    newest = _newest_entries(registry, count)
     people = registry.table("users").select("user_id", F.col("name").alias("user"))
     named = people.join(newest.select("user_id").distinct(), "user_id", "left_semi")
     return (
@@ -104,6 +102,22 @@ def recent_activity(registry: Registry, *, count: int = 5) -> DataFrame:
     )
 
 
+def _newest_entries(registry: Registry, count: int) -> DataFrame:
+    def first(rows: DataFrame, wanted: int) -> DataFrame:
+        entries = rows.select("log_id", "timestamp", "action", "target_table", "user_id")
+        return entries.orderBy(down("timestamp"), down("log_id")).limit(wanted)
+
+    months = registry.months("audit_logs")
+    if months is None:
+        return first(registry.table("audit_logs"), count)
+    found, schema = [], first(registry.table("audit_logs"), 0).schema
+    for month in months:
+        found += first(registry.of_month("audit_logs", month), count - len(found)).collect()
+        if len(found) == count:  # all later months are older than these
+            break
+    return registry.spark.createDataFrame(found, schema)
+
+
 def table_preview(registry: Registry, table: str) -> DataFrame:
     """The first rows of an allowed table, by key."""
     if table not in PREVIEW_TABLES:

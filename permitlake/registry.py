@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,24 @@ class Registry:
         stored = {n: rows for n, rows in self._by_month.items() if n not in tables}
         return Registry(self.spark, {**self._tables, **tables}, stored)
 
+    def months(self, name: str) -> list[dt.date | None] | None:
+        """The months that a table has folders of, rows without a time first, then the newest;
+        None for a table that is not stored by month. The file listing tells; nothing is read."""
+        if name not in self._by_month:
+            return None
+        found = {
+            m[1] for f in self._by_month[name].inputFiles() if (m := re.search(rf"/{MONTH}=([^/]+)/", f))
+        }
+        dated = sorted((dt.date.fromisoformat(m) for m in found if m[0].isdigit()), reverse=True)
+        return [None] * any(not m[0].isdigit() for m in found) + dated
+
+    def of_month(self, name: str, month: dt.date | None) -> DataFrame:
+        """Rows of one month of a table; of its folder only, where there is one."""
+        rows = self._by_month.get(name, self.table(name))
+        stored = F.col(MONTH) if name in self._by_month else F.trunc(TABLES[name].month_of, "month")
+        wanted = stored.isNull() if month is None else stored == day(month)
+        return rows.filter(wanted).select(*self.table(name).columns)
+
     def between(
         self, name: str, start: dt.date | None = None, end: dt.date | None = None
     ) -> DataFrame:

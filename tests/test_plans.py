@@ -316,3 +316,11 @@ def test_stored_keys_are_filtered_by_the_batch(spark, tmp_path, no_broadcast):
     assert "might_contain" in "".join(lines[: scans[0]])
     none = quality.check_clash(batch.limit(0), "payments", stored)
     assert none.count() == 0
+
+
+def test_both_padded_joins_read_one_presence(no_broadcast, hot):
+    """Six scans, two of each table; the keys of all three are grouped in one shuffle."""
+    found = businesses.business_permit_summary(hot, as_of=AS_OF)
+    found.collect()
+    final = plan_of(found).split("+- == Initial Plan ==")[0]
+    assert "ReusedExchange" in final and final.count("FileScan") == 6

@@ -6,13 +6,19 @@ from decimal import Decimal
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from frames import NOW, business, registry, user
 from permitlake.functions.rules import permit_fee, status_description
 from permitlake.plans import (
-    businesses, compliance, dashboard, inspections, payments, permits, users,
+    businesses, compliance, dashboard, inspections, monthly, payments, permits, search_index,
+    users,
 )
+from permitlake.registry import Registry
+from permitlake.schemas import TABLES
+from permitlake.sources import parquet
 
 AS_OF = dt.date(2024, 6, 15)
 
@@ -389,3 +395,117 @@ def test_preview_and_console_guards(spark):
         reg.table("nothing")
     counts = {r.table_name: r.row_count for r in dashboard.table_counts(reg).collect()}
     assert counts == {"users": 150, "businesses": 0, "permits": 0}
+
+
+# --- postings, monthly parts, the newest months -------------------------------------------
+
+NAMES = st.one_of(st.none(), st.text("abAB%_\\ é\u0130", max_size=7))
+
+
+@settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(NAMES, NAMES), max_size=9), st.text("abAB%_ é\u0130", max_size=5), st.booleans())
+def test_search_by_postings_finds_what_a_scan_finds(spark, texts, term, raw):
+    shops = [business(i, name=n, kra_pin=p) for i, (n, p) in enumerate(texts)]
+    reg = registry(spark, businesses=shops)
+    postings = search_index.build_postings(reg.table("businesses"))
+    found, scanned = (
+        sorted(r.business_id for r in businesses.search_businesses(
+            reg, as_of=AS_OF, term=term, raw=raw, ordered=False, postings=p
+        ).collect())
+        for p in (postings, None)
+    )
+    assert found == scanned
+
+
+def test_stored_postings_are_read_by_trigram(spark, tmp_path):
+    shops = [business(i, name=f"Shop {i:05d} of everyone") for i in range(3000)]
+    reg = registry(spark, businesses=shops)
+    search_index.write_postings(reg.table("businesses"), f"{tmp_path}/postings", partitions=60)
+    postings = search_index.read_postings(spark, f"{tmp_path}/postings")
+    rows = businesses.search_businesses(reg, as_of=AS_OF, term="02345 OF", postings=postings)
+    assert [r.business_id for r in rows.collect()] == [2345]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "In(gram, [" in plan or "gram IN" in plan or "PushedFilters: [In" in plan
+    # The list of a trigram that every business has lies in several files.
+    files = postings.filter("gram = 'eve'").select(F.input_file_name()).distinct().count()
+    assert files > 1
+
+
+times = st.one_of(st.none(), st.datetimes(dt.datetime(2024, 1, 1), dt.datetime(2024, 4, 30)))
+money = st.one_of(st.none(), st.decimals("0", "999.99", places=2))
+a_payment = st.tuples(
+    times, st.sampled_from(["success", "pending", "failed", None]),
+    st.sampled_from(["mpesa", "cash", "bank", None]), money,
+)
+an_inspection = st.tuples(
+    times, st.sampled_from(["visited", "not_found", "noncompliant", None]),
+    st.sampled_from([None, 1, 2, 0, -1, 32768, 32769, 10**12, -40000]),
+)
+
+
+@settings(max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(a_payment, max_size=12), st.lists(an_inspection, max_size=12))
+def test_monthly_parts_add_up(spark, paid, seen):
+    reg = registry(
+        spark,
+        payments=[
+            dict(payment_id=i, permit_id=1, paid_at=t, status=s, payment_method=m, amount=a)
+            for i, (t, s, m, a) in enumerate(paid)
+        ],
+        inspections=[
+            dict(inspection_id=i, business_id=1, inspected_at=t, status=s, inspector_id=n)
+            for i, (t, s, n) in enumerate(seen)
+        ],
+    )
+    parts = monthly.payment_parts(reg.table("payments"))
+    assert monthly.payment_statistics(parts).collect() == payments.payment_statistics(reg).collect()
+    parts = monthly.inspection_parts(reg.table("inspections"))
+    merged, direct = monthly.inspection_statistics(parts), inspections.inspection_statistics(reg)
+    assert merged.columns == direct.columns and merged.collect() == direct.collect()
+
+
+def test_only_changed_months_are_computed_again(spark):
+    def paid(i, month, amount):
+        return dict(
+            payment_id=i, permit_id=1, status="success", payment_method="cash",
+            amount=Decimal(amount), paid_at=month and dt.datetime(2024, month, 3),
+        )
+
+    before = registry(spark, payments=[paid(1, 1, 5), paid(2, 2, 7), paid(3, None, 1)])
+    parts = monthly.payment_parts(before.table("payments"))
+    after = registry(spark, payments=[paid(1, 1, 50), paid(4, 2, 70), paid(5, None, 100), paid(6, 3, 9)])
+
+    def total(months):
+        rows = monthly.refreshed(parts, after, "payments", months)
+        return monthly.payment_statistics(rows).first()["total_amount_collected"]
+
+    assert total([]) == 13 and total([dt.date(2024, 2, 1)]) == 76
+    assert total([None]) == 112 and total([None, dt.date(2024, 1, 1), dt.date(2024, 2, 1)]) == 220
+    assert total([dt.date(2024, 3, 1)]) == 22
+
+
+def test_recent_activity_reads_the_newest_months_only(spark, tmp_path):
+    """Files of older months may be broken: they are not opened."""
+    def entry_of(i, month):
+        when = month and dt.datetime(2024, month, 1 + i % 20)
+        return dict(log_id=i, user_id=1, action="UPDATE", target_table="permits", target_id=i, timestamp=when)
+
+    logs = [entry_of(i, month) for month, ids in ((1, range(4)), (2, range(4, 7)), (3, range(7, 9))) for i in ids]
+    reg = registry(spark, users=[user(1)], audit_logs=logs)
+    for name in TABLES:
+        parquet.write_table(reg.table(name), f"{tmp_path}/{name}", name)
+    stored = parquet.open_registry(spark, str(tmp_path))
+    assert stored.months("audit_logs") == [dt.date(2024, m, 1) for m in (3, 2, 1)]
+    expected = dashboard.recent_activity(reg, count=5).collect()
+    for file in tmp_path.glob("audit_logs/*=2024-01-01/*.parquet"):
+        file.write_bytes(b"broken")
+        file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+    assert dashboard.recent_activity(stored, count=5).collect() == expected
+    with pytest.raises((PySparkException, Py4JJavaError), match="broken|not a Parquet|read"):
+        dashboard.recent_activity(stored, count=8).collect()
+    late = registry(spark, users=[user(1)], audit_logs=[*logs, entry_of(99, None)])
+    parquet.write_table(late.table("audit_logs"), f"{tmp_path}/late", "audit_logs")
+    month = spark.read.schema(TABLES["audit_logs"].schema.add("stored_month", "date")).parquet(f"{tmp_path}/late")
+    dated = Registry(spark, {"audit_logs": late.table("audit_logs"), "users": late.table("users")}, {"audit_logs": month})
+    assert dashboard.recent_activity(dated, count=3).collect() == dashboard.recent_activity(late, count=3).collect()
+    assert dated.months("audit_logs")[0] is None
