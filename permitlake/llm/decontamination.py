@@ -110,9 +110,10 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         windows.join(sized(seeds), "key").select("text_hash", "item", diagonal).distinct()
     )
     wanted = sized(cut_lineage(hits.select("text_hash").distinct()))
-    suspects = docs.join(wanted, "text_hash").select(
+    # Kept, as generated code would split the text again for each diagonal it is joined with.
+    suspects = cut_lineage(docs.join(wanted, "text_hash").select(
         "doc_id", "text_hash", _tokens("text").alias("tokens")
-    )
+    ))
     lengths_of = items.select("item", F.size("tokens").alias("item_words"))
     aimed = hits.join(sized(lengths_of), "item")
     # Of the document only the item's stretch on the diagonal goes on; its other tokens stay in
