@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from permitlake.llm import decontamination, packing, quality, secret_scan, simhash_dedup
 from permitlake.llm.common import shared_folder, ship_package, table
+from permitlake.session import remove_dir
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in their sequences."""
     ship_package(spark)
-    packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    packed = packing.pack_documents(
+        docs,
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")),
+    )
     return packed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
@@ -61,10 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; each one's result is written and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in turn; each one's result is written and read again by the next. Only the last
+    one stays in the shared folder: the others go when the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove_dir(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
