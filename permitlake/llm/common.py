@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
+from permitlake.session import shared_dir
+
 # Word bytes are everything but these: space, tab, line feed, vertical tab, form feed,
 # carriage return. bytes.split() and bytes.lower() follow the same ASCII-only rules.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,14 +64,8 @@ def remainder(doc_id: str | Column, modulus: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or the warehouse's when unset."""
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
+    """The folder all executors share: spark.checkpoint.dir; see `session.shared_dir`."""
+    return shared_dir(spark)
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
