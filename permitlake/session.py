@@ -31,11 +31,13 @@ def tune(spark: SparkSession, shuffle_bytes: int | None = None) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; one below the warehouse if none is
-    set, which they share as well."""
+    """The checkpoint folder that all executors share. On one machine, one below the warehouse
+    if none is set; on a cluster that is an error, as the warehouse may be a local folder."""
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if context.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)

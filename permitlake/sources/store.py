@@ -93,7 +93,7 @@ class Store:
 
     def _name(self, hidden, path) -> None:
         """Give a complete file its name in one step; an error if the name is taken."""
-        scheme = self._files.getScheme()
+        scheme = self._files.getUri().getScheme()
         if scheme == "file":
             paths = self._jvm.java.nio.file.Paths
             own, target = (paths.get(p.toUri().getPath(), self._strings()) for p in (hidden, path))

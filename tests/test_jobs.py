@@ -20,6 +20,7 @@ from permitlake.operators.changes import audit_changes
 from permitlake.operators.ids import assign_ids, highest_id
 from permitlake.plans import compliance, intake, maintenance, write_path
 from permitlake.schemas import TABLES
+from permitlake.session import shared_dir
 from permitlake.sources import catalog, parquet, postgres
 from permitlake.sources.store import Conflict, Store
 
@@ -821,6 +822,20 @@ def test_ids_leave_nothing_behind(spark):
     assert left() <= before
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    """The fallback below the warehouse is for one machine only."""
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+
+
 def test_database_writer_options():
     options = postgres.write_options("permits", 8)
     assert options["dbtable"] == "permits" and options["numPartitions"] == "8"
