@@ -11,13 +11,16 @@ the root's discounted token shares; so each is a proper distribution. A text is
 by token in the state of its longest kept suffix.
 
 The tree grows with the corpus, so it is never in one place. Documents are encoded in chunks
-of about BLOCK bytes, each with its own dictionary, and kept by chunk. For every depth, a
-chunk sends its distinct (context, next) cells to buckets of contexts; a bucket adds up the
-counts of all chunks, tests the contexts, and sends each chunk the numbers of the cells that
-it asked for. What is sent is bounded by a chunk's own text, a bucket by the number of
-buckets. Contexts that make up more than HEAVY of all tokens are cut by their symbols, into
-parts of about that weight; only their sums, of fewer than 1 / HEAVY contexts, are gathered
-and broadcast.
+of about BLOCK bytes, each with its own dictionary, and kept by chunk. A word gets a number
+that no other word has, in order of counts, so that the number tells the count. For every
+depth, a chunk sends its distinct (context, next) cells to buckets of contexts, all as such
+numbers, with the counts from which the suffix's chance follows; a bucket adds up the counts
+of all chunks, tests the contexts, and sends each chunk the numbers of the cells that it
+asked for. Words and contexts are told apart by their numbers alone, and chances are computed
+where they are needed, so nothing is rounded. What is sent is bounded by a chunk's own text,
+a bucket by the number of buckets. Contexts that make up more than HEAVY of all tokens are
+cut by their symbols, into parts of about that weight; only their sums, of fewer than
+1 / HEAVY contexts, are gathered and broadcast.
 
 Chunks and answers are persisted until the session ends or clears its cache.
 """
@@ -45,14 +48,9 @@ DEPTH = 2
 GAIN = 3.0
 HEAVY = 1e-5
 BLOCK = 8 << 20  # bytes of text in a chunk, about
-# Bits of a hash that travel, besides those that a bucket stands for: words are told apart by
-# WORD_BITS, contexts by CONTEXT_BITS. The symbols after a context go by their numbers, of
-# which every word has one of its own.
-WORD_BITS, CONTEXT_BITS = 48, 36
+WORD_BITS = 48  # of a word's hash, besides those that its bucket stands for
 LEAST = (1, 2)  # count from which a symbol has a share of its own, by depth
-# Chances travel as whole numbers of 2**-STEPS bit, rounded to 2**-FINE bit over all
-# occurrences of the context.
-STEPS, FINE = 40, 10
+EXACT = 1 << 16  # words seen less often have a number that tells their count
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -61,18 +59,18 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers of one length, in byte planes and compressed.
+    """Arrays of whole numbers, in byte planes and compressed.
 
     Each has as many bytes for a number as its largest one needs.
     """
     import zstandard
 
-    head, planes = [len(arrays[0]), len(arrays)], []
+    head, planes = [len(arrays)], []
     for array in arrays:
         top = int(array.max(initial=0))
         width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
         narrow = np.ascontiguousarray(array.astype(f"<u{width}"))
-        head.append(width)
+        head += [len(array), width]
         planes.append(narrow.view(np.uint8).reshape(len(array), width).T.tobytes())
     first = np.array(head, "<i8").tobytes()
     return zstandard.ZstdCompressor(level=1).compress(first + b"".join(planes))
@@ -83,10 +81,10 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(bytes(data))
-    n, n_arrays = np.frombuffer(raw, "<i8", 2).tolist()
-    widths = np.frombuffer(raw, "<i8", n_arrays, 16).tolist()
-    at, arrays = 16 + 8 * n_arrays, []
-    for width in widths:
+    (n_arrays,) = np.frombuffer(raw, "<i8", 1).tolist()
+    head = np.frombuffer(raw, "<i8", 2 * n_arrays, 8).tolist()
+    at, arrays = 8 + 16 * n_arrays, []
+    for n, width in zip(head[::2], head[1::2], strict=True):
         planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
         arrays.append(np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(n))
         at += n * width
@@ -97,6 +95,32 @@ def _deltas(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=values.dtype.type(0))
 
 
+def _changes(columns: list[np.ndarray]) -> np.ndarray:
+    """The places at which a row differs from the one before it; the first one does."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for column in columns:
+        new[1:] |= column[1:] != column[:-1]
+    return new
+
+
+def _steps(values: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Numbers that rise within runs, as differences there; `new` are the runs' first places."""
+    return np.where(new, values, values - np.concatenate([values[:1], values[:-1]]))
+
+
+def _climbed(steps: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The numbers again."""
+    steps = steps.astype(np.uint64)
+    total = np.cumsum(steps, dtype=np.uint64)
+    return total - _spread((total - steps)[new], new)
+
+
+def _spread(firsts: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The value of each run at all of its places."""
+    return np.repeat(firsts, np.diff(np.flatnonzero(new), append=len(new)))
+
+
 def _top(values: np.ndarray, bits: int) -> np.ndarray:
     return values >> np.uint64(64 - bits)
 
@@ -193,6 +217,38 @@ class Totals:
         return np.maximum(counts - self.discount, 0) / self.tokens + spread
 
 
+@dataclasses.dataclass
+class Numbering:
+    """Words' numbers, from 1, frequent ones first: a range for each count below `exact`, and
+    one for all larger counts. `edges` are the first numbers of the ranges, `counts` theirs,
+    `exact` for the one of larger counts. There are at most `exact` + 1 ranges."""
+
+    n_buckets: int
+    exact: int
+    edges: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, sizes: dict[int, int], n_buckets: int, exact: int = EXACT) -> Numbering:
+        """`sizes`: for each count, `exact` for all larger ones, the most words in a bucket."""
+        counts = np.array(sorted(sizes, reverse=True), np.int64)
+        room = np.array([sizes[c] for c in counts.tolist()], np.uint64) * np.uint64(n_buckets)
+        edges = np.cumsum(room, dtype=np.uint64) - room + np.uint64(1)
+        return cls(n_buckets, exact, edges, counts)
+
+    def numbers(self, total: np.ndarray, place: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Of words with these counts and places among those of their bucket with that count."""
+        at = np.searchsorted(-self.counts, -np.minimum(total, self.exact))
+        return self.edges[at] + place.astype(np.uint64) * np.uint64(self.n_buckets) + bucket.astype(np.uint64)
+
+    def told(self, numbers: np.ndarray) -> np.ndarray:
+        """The counts that numbers tell; 0 where they do not."""
+        if not len(self.edges):
+            return np.zeros(len(numbers), np.int64)
+        at = np.searchsorted(self.edges, numbers, "right") - 1
+        return np.where((at < 0) | (self.counts[at] == self.exact), 0, self.counts[at])
+
+
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The place of one of each distinct key, in their order, and every key's rank."""
     order = np.argsort(keys)
@@ -204,18 +260,19 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], rank
 
 
-def _cells(context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As _grouped, for pairs, whatever their bits; contexts differ in their upper ones first."""
-    bits = int(symbol.max(initial=0)).bit_length()
-    if bits <= 64 - CONTEXT_BITS:
-        low = np.uint64(bits)
-        first, rank = _grouped(context >> low << low | symbol)
-        if np.array_equal(context[first][rank], context):
-            return first, rank
-    # Contexts that differ in their lower bits only, or long numbers: ranks tell them apart.
-    _, contexts = _grouped(context)
-    _, symbols = _grouped(symbol)
-    return _grouped(contexts << 32 | symbols)
+def _keys(columns: list[np.ndarray]) -> np.ndarray:
+    """A number for each row that only equal rows share, in the order of the rows."""
+    key, bits = np.zeros(len(columns[0]), np.uint64), 0
+    for column in columns:
+        own = int(column.max(initial=0)).bit_length()
+        if bits + own > 64:  # ranks need fewer
+            key = _grouped(key)[1].astype(np.uint64)
+            bits = int(key.max(initial=0)).bit_length()
+        if bits + own > 64:
+            column = _grouped(column)[1]
+            own = int(column.max(initial=0)).bit_length()
+        key, bits = key << np.uint64(own) | column.astype(np.uint64), bits + own
+    return key
 
 
 def _dealt(buckets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
@@ -232,70 +289,141 @@ def _bucket(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((_mixed(hashes, hashes) >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
 
 
+@dataclasses.dataclass
+class Question:
+    """The cells of a chunk at one depth, bucket by bucket, each context's cells together.
+
+    `tokens` (nearest first), `size` (cells), `heavy` and `above` (for each shorter context:
+    what it counts in all, and its kinds) are the contexts'; `symbol`, `n`, `count` (where the
+    symbol's number does not tell it) and `own` (its count after each shorter context) the
+    cells'.
+    """
+
+    parts: list[tuple[int, slice, slice]]  # bucket, contexts, cells
+    tokens: list[np.ndarray]
+    size: np.ndarray
+    heavy: np.ndarray
+    above: list[tuple[np.ndarray, np.ndarray]]
+    symbol: np.ndarray
+    n: np.ndarray
+    count: np.ndarray
+    own: list[np.ndarray]
+
+    def messages(self) -> Iterator[tuple[int, bytes]]:
+        for bucket, contexts, cells in self.parts:
+            arrays, columns = [], []
+            for token in self.tokens:
+                new = _changes(columns) if columns else np.arange(contexts.stop - contexts.start) == 0
+                columns.append(token[contexts])
+                arrays.append(_steps(columns[-1], new))
+            # What belongs to a shorter context travels where that changes.
+            for depth, pair in enumerate(self.above, 1):
+                new = _changes(columns[:depth])
+                arrays += [values[contexts][new] for values in pair]
+            size = self.size[contexts]
+            opens = np.zeros(cells.stop - cells.start, bool)
+            opens[np.cumsum(size) - size] = True
+            arrays += [size, self.heavy[contexts], _steps(self.symbol[cells], opens)]
+            arrays += [a[cells] for a in (self.n, self.count, *self.own)]
+            yield bucket, packed(*arrays)
+
+
+def understood(data: bytes, depth: int) -> dict[str, list[np.ndarray]]:
+    """A message's arrays again, those of shorter contexts at every context; `depth` from 0."""
+    arrays = iter(unpacked(data))
+    tokens: list[np.ndarray] = []
+    for _ in range(depth + 1):
+        steps = next(arrays)
+        tokens.append(_climbed(steps, _changes(tokens) if tokens else np.arange(len(steps)) == 0))
+    above = []
+    for k in range(1, depth + 1):
+        new = _changes(tokens[:k])
+        above += [_spread(next(arrays).astype(np.int64), new) for _ in range(2)]
+    size, heavy, steps = next(arrays).astype(np.int64), next(arrays).astype(bool), next(arrays)
+    opens = np.zeros(len(steps), bool)
+    opens[np.cumsum(size) - size] = True
+    return {
+        "tokens": tokens, "above": above, "context": [size, heavy],
+        "cell": [_climbed(steps, opens), *[a.astype(np.int64) for a in arrays]],
+    }
+
+
 class Walk:
     """A chunk on its way down the tree: chances of its symbols in the states found so far."""
 
     def __init__(
-        self, chunk: Chunk, counts: np.ndarray, numbers: np.ndarray, totals: Totals, n_buckets: int
+        self, chunk: Chunk, counts: np.ndarray, numbers: np.ndarray, totals: Totals, numbering: Numbering
     ) -> None:
-        self.chunk, self.totals, self.n_buckets = chunk, totals, n_buckets
-        self.counts, self.numbers = counts, numbers
+        self.chunk, self.totals, self.numbering = chunk, totals, numbering
+        # Words that are learned from, by rank in the order of their numbers.
+        self.counts, self.numbers = counts, np.where(counts > 0, numbers, np.uint64(0))
+        _, rank = _grouped(self.numbers)
+        self.rank = rank + (self.numbers.min(initial=1) > 0)
         self.chance = totals.root(counts)[chunk.symbol]
         self.known = (counts > 0)[chunk.symbol]
-        self.context = np.full(len(chunk.symbol), np.uint64(7))
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.depth = 0
         # How often the context of the next depth occurs in training; below 2 it is not kept.
         self.times = counts[chunk.before[0]]
         self.alive = self.times >= 2
 
-    def ask(self) -> tuple[dict[str, np.ndarray], list[tuple[int, slice]]]:
-        """The cells of the next depth, bucket by bucket: context, symbol, count, chance.
+    def ask(self) -> Question:
+        """The cells of the next depth.
 
         Symbols that cannot have been seen twice after the context share the symbol 0.
         """
-        token = self.chunk.hashes[self.chunk.before[self.depth]]
-        self.context = _mixed(token, self.context)
+        chunk = self.chunk
         self.at = at = np.flatnonzero(self.alive)
-        symbol = np.where(self.known[at], self.numbers[self.chunk.symbol[at]], np.uint64(0))
-        self.named = symbol > 0
-        first, rank = _cells(self.context[at], symbol)
-        context, symbol = self.context[at[first]], symbol[first]
+        before = chunk.before[: self.depth + 1]
+        self.named = self.known[at]
+        symbol = np.where(self.named, self.rank[chunk.symbol[at]], 0)
+        first, cell = _grouped(_keys([*[self.rank[b[at]] for b in before], symbol]))
+        one, named = at[first], self.named[first]
         # A heavy context is cut by its symbols into as many parts as it has the weight for;
         # each part goes to a bucket of its own.
-        cuts = (self.times[at[first]] / max(HEAVY * self.totals.tokens, 1)).astype(np.uint64)
-        heavy = cuts > 0
-        full = self.chunk.hashes[self.chunk.symbol[at[first]]] >> np.uint64(11)
-        part = np.where(symbol > 0, full, np.uint64(0)) % (cuts + np.uint64(1))
-        order, parts = _dealt(_bucket(_mixed(context, part), self.n_buckets))
+        cuts = (self.times[one] / max(HEAVY * self.totals.tokens, 1)).astype(np.uint64)
+        full = chunk.hashes[chunk.symbol[one]] >> np.uint64(11)
+        mixed = np.where(named, full, np.uint64(0)) % (cuts + np.uint64(1))
+        for b in before:
+            mixed = _mixed(chunk.hashes[b[one]], mixed)
+        order, parts = _dealt(_bucket(mixed, self.numbering.n_buckets))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.rank = place[rank]
-        n = np.bincount(self.rank, self.chunk.learns[at], len(order)).astype(np.uint32)
-        # The test takes no chance of what cannot have been seen twice.
-        one = at[first[order]]
-        twice = (symbol[order] > 0) & (self.counts[self.chunk.symbol[one]] >= 2)
-        return {
-            "context": _top(context[order], CONTEXT_BITS), "next": symbol[order], "n": n,
-            "chance": np.where(twice, self.chance[one], 1.0), "times": self.times[one],
-            "heavy": heavy[order],
-        }, parts
+        self.cell, one, named = place[cell], one[order], named[order]
+        opens = _changes([b[one] for b in before])
+        opens[[p.start for _, p in parts]] = True
+        self.context = np.cumsum(opens) - 1
+        heads = np.flatnonzero(opens)
+        edges = np.searchsorted(heads, [p.start for _, p in parts] + [len(one)])
+        counts = self.counts[chunk.symbol[one]]
+        return Question(
+            [(b, slice(i, j), p) for (b, p), i, j in zip(parts, edges[:-1], edges[1:], strict=True)],
+            [self.numbers[b[one[heads]]] for b in before],
+            np.diff(heads, append=len(one)), (cuts > 0)[order][heads],
+            [(counted[one[heads]], kinds[one[heads]]) for _, counted, kinds in self.levels],
+            np.where(named, self.numbers[chunk.symbol[one]], np.uint64(0)),
+            np.bincount(self.cell, chunk.learns[at], len(order)).astype(np.int64),
+            np.where(named & (counts >= self.numbering.exact), counts, 0),
+            [np.where(named, own[one], 0) for own, _, _ in self.levels],
+        )
 
     def step(self, n: np.ndarray, counted: np.ndarray, kinds: np.ndarray) -> None:
-        """Go down one depth with the cells' numbers; kinds is 0 where nothing is kept."""
+        """Go down one depth with the counts of the cells and, for each context, what it counts
+        in all and its kinds, which is 0 where it is not kept."""
+        at, context = self.at, self.context[self.cell]
         # A cell of unnamed symbols counts them all; none of them has been seen twice.
-        n = np.where(self.named, n[self.rank], 0)
-        counted, kinds = counted[self.rank], kinds[self.rank]
-        kept = kinds > 0
-        at = self.at[kept]
-        own = np.where(n >= LEAST[self.depth], n, 0)[kept]
-        below = counted[kept] + kinds[kept]
-        self.chance[at] = own / below + kinds[kept] / below * self.chance[at]
+        n = np.where(self.named, n[self.cell], 0)
+        level = tuple(np.zeros(len(self.alive), np.int64) for _ in range(3))
+        level[1][at], level[2][at] = counted[context], kinds[context]
+        level[0][at] = np.where((n >= LEAST[self.depth]) & (level[2][at] > 0), n, 0)
+        self.levels.append(level)
+        self.chance = lowered(self.chance, *level)
         self.depth += 1
         if self.depth < DEPTH:
             # The longer context's count is that of the cell one position earlier, whose
             # symbol is now the nearest token of the context.
             seen = np.zeros(len(self.alive), np.int64)
-            seen[self.at] = n
+            seen[at] = n
             times = np.concatenate([[0], seen[:-1]])
             opens = np.concatenate([[True], self.chunk.owner[1:] != self.chunk.owner[:-1]])
             # Before the first symbol there are only beginnings, as often as texts.
@@ -303,55 +431,45 @@ class Walk:
             self.times = times
             self.alive = self.alive & (times >= 2)
             # After a context with one symbol only, so has every longer one.
-            self.alive[self.at[kinds == 1]] = False
+            self.alive[level[2] == 1] = False
             # What the shorter context has seen once at most, no longer one has seen twice.
-            self.known[self.at] = n >= 2
-
+            self.known[at] = n >= 2
 
-def _quantised(chance: np.ndarray, times: np.ndarray | int = 1 << STEPS - FINE) -> np.ndarray:
-    """A chance's logarithm, in bits below 0, as exact as the test of a context of so many
-    occurrences needs it: rounding changes its gain by less than 2**-FINE bit in all."""
-    steps = 2.0 ** np.minimum(np.ceil(np.log2(np.maximum(times, 1))) + FINE, STEPS)
-    return np.round(-np.log2(chance) * steps) / steps
 
-
-def _steps(bits: np.ndarray) -> np.ndarray:
-    return (bits * 2.0**STEPS).astype(np.uint64)
-
-
-def _first_of(contexts: np.ndarray, parts: list[tuple[int, slice]]) -> np.ndarray:
-    """For each cell the first of its context in its bucket."""
-    new = np.ones(len(contexts), bool)
-    new[1:] = contexts[1:] != contexts[:-1]
-    new[[p.start for _, p in parts]] = True
-    return np.maximum.accumulate(np.where(new, np.arange(len(contexts)), 0))
+def lowered(chance, own, counted, kinds):
+    """Chances in a context, from those in its suffix; kinds is 0 where it is not kept."""
+    below = np.maximum(counted + kinds, 1)
+    return np.where(kinds > 0, own / below + kinds / below * chance, chance)
 
 
 # --- buckets ----------------------------------------------------------------------------
 
 
-def merge_words(rows: pd.DataFrame, n_buckets: int) -> pd.DataFrame:
+def merge_words(rows: pd.DataFrame, exact: int) -> pd.DataFrame:
     """Adds up the counts of one bucket's words and answers every chunk in its own order.
 
-    Answers: a word's count, and its number, from 1, that no other word has; frequent words
-    have the low ones.
+    Answers: a word's count, and its place among the bucket's words of that count, from `exact`
+    on among all of them. The first row tells how many words there are of each count.
     """
     asked = [unpacked(d) for d in rows["data"]]
     words = np.concatenate([np.cumsum(w, dtype=np.uint64) for w, _ in asked])
     first, rank = _grouped(words)
     total = np.bincount(rank, np.concatenate([n for _, n in asked]), len(first)).astype(np.int64)
-    number = np.empty(len(first), np.uint64)
-    places = np.arange(len(first), dtype=np.uint64) * np.uint64(n_buckets)
-    number[np.argsort(-total, kind="stable")] = places + np.uint64(rows["bucket"].iloc[0] + 1)
+    order = np.argsort(-total, kind="stable")
+    new = _changes([np.minimum(total, exact)[order]])
+    at = np.arange(len(order))
+    place = np.empty(len(order), np.int64)
+    place[order] = at - _spread(at[new], new)
     cuts = np.cumsum([len(w) for w, _ in asked])[:-1]
     out = pd.DataFrame({
-        "chunk": rows["chunk"], "bucket": rows["bucket"],
-        "data": [packed(total[part], number[part]) for part in np.split(rank, cuts)],
-        "tokens": 0, "known": 0, "once": 0, "twice": 0,
+        "chunk": rows["chunk"].to_numpy(), "bucket": rows["bucket"].to_numpy(),
+        "data": [packed(total[part], place[part]) for part in np.split(rank, cuts)],
+        "tokens": 0, "counts": None, "words": None,
     })
-    out.loc[out.index[:1], ["tokens", "known", "once", "twice"]] = [
-        int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())
-    ]
+    out["tokens"] = [int(total.sum()), *[0] * (len(out) - 1)]
+    none = [None] * (len(out) - 1)
+    out["counts"] = pd.Series([np.minimum(total, exact)[order][new].tolist(), *none], dtype=object)
+    out["words"] = pd.Series([np.diff(at[new], append=len(at)).tolist(), *none], dtype=object)
     return out
 
 
@@ -388,54 +506,59 @@ def keeps(total, kinds, repeated, told, least: int) -> np.ndarray:
 SUMS = ("total", "kinds", "repeated", "told")
 
 
-def merge_cells(rows: pd.DataFrame, depth: int) -> pd.DataFrame:
+def merge_cells(rows: pd.DataFrame, depth: int, totals: Totals, numbering: Numbering) -> pd.DataFrame:
     """Adds up one bucket's cells, tests its contexts, and answers every chunk in its order.
 
-    Answers: the count of the cell, and, at the first cell of a context, what it counts in
-    all and its kinds, 0 if it is not kept. Heavy contexts have cells elsewhere; their sums go on as
-    rows of their own.
+    Answers: the counts of the cells, and, for each context, what it counts in all and its
+    kinds, 0 if it is not kept. Heavy contexts have cells elsewhere; their sums go on as rows
+    of their own.
     """
     least = LEAST[depth]
-    asked = [unpacked(d) for d in rows["data"]]
-    context = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
-    following = np.concatenate([a[1] for a in asked]).astype(np.uint64)
-    first, rank = _cells(context << np.uint64(64 - CONTEXT_BITS), following)
-    total = np.bincount(rank, np.concatenate([a[2] for a in asked]), len(first)).astype(np.int64)
-    chance = 2.0 ** -(np.concatenate([a[3] for a in asked])[first] / 2.0**STEPS)
-    heavy = np.concatenate([a[4] for a in asked])[first].astype(bool)
-    # Cells are in order of their context.
-    of = context[first]
-    new = np.ones(len(of), bool)
-    new[1:] = of[1:] != of[:-1]
-    number, contexts = np.cumsum(new) - 1, of[new]
-    sums = gains(total, chance, following[first] > 0, number, len(contexts))
-    held = np.zeros(len(contexts), bool)
-    held[number[heavy]] = True
+    asked = [understood(data, depth) for data in rows["data"]]
+
+    def joined(name: str) -> list[np.ndarray]:
+        return [np.concatenate(a) for a in zip(*[q[name] for q in asked], strict=True)]
+
+    tokens, above, (size, heavy) = joined("tokens"), joined("above"), joined("context")
+    symbol, n, count, *own = joined("cell")
+    head, context = _grouped(_keys(tokens))
+    first, rank = _grouped(_keys([np.repeat(context, size), symbol]))
+    of = np.repeat(np.arange(len(size)), size)[first]
+    total = np.bincount(rank, n, len(first)).astype(np.int64)
+    symbol, count = symbol[first], count[first]
+    chance = totals.root(np.where(count > 0, count, numbering.told(symbol)))
+    for k in range(depth):
+        chance = lowered(chance, own[k][first], above[2 * k][of], above[2 * k + 1][of])
+    sums = gains(total, chance, symbol > 0, context[of], len(head))
+    held = heavy[head]
     kept = keeps(*sums, least) & ~held
-    counted = np.where(kept, sums[0 if least == 1 else 2], 0).astype(np.int64)[number]
-    kinds = np.where(kept, sums[1], 0).astype(np.int64)[number]
-    cuts = np.cumsum([len(a[0]) for a in asked])[:-1]
-    answers = []
-    for (deltas, *_), place in zip(asked, np.split(rank, cuts), strict=True):
-        starts = deltas > 0
-        starts[:1] = True
-        answers.append(packed(total[place], counted[place] * starts, kinds[place] * starts))
+    counted = np.where(kept, sums[0 if least == 1 else 2], 0).astype(np.int64)
+    kinds = np.where(kept, sums[1], 0).astype(np.int64)
+    answers = [
+        packed(total[cells], counted[contexts], kinds[contexts])
+        for cells, contexts in zip(
+            np.split(rank, np.cumsum([len(q["cell"][0]) for q in asked])[:-1]),
+            np.split(context, np.cumsum([len(q["tokens"][0]) for q in asked])[:-1]), strict=True,
+        )
+    ]
     out = pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "data": answers})
+    out["context"] = None
     some = np.flatnonzero(held)
     extra = pd.DataFrame({
         "chunk": np.full(len(some), -1), "bucket": rows["bucket"].iloc[0], "data": None,
-        "context": contexts[some].view(np.int64),
+        "context": np.stack([t[head[some]] for t in tokens], 1).astype(np.int64).tolist(),
         **{name: sums[i][some] for i, name in enumerate(SUMS)},
     })
-    return pd.concat([out.assign(context=0, **dict.fromkeys(SUMS, 0.0)), extra])
+    out = out.assign(**dict.fromkeys(SUMS, 0.0))
+    return pd.concat([out, extra]) if len(some) else out
 
 
-def _merger(depth: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    return lambda rows: merge_cells(rows, depth)
+def _merger(depth: int, totals: Totals, numbering: Numbering) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda rows: merge_cells(rows, depth, totals, numbering)
 
 
 _UP = "chunk bigint, bucket bigint, data binary"
-_SUMS = "context bigint, total double, kinds double, repeated double, told double"
+_SUMS = "context array<bigint>, total double, kinds double, repeated double, told double"
 
 
 def _word_order(chunk: Chunk, n_buckets: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
@@ -445,7 +568,7 @@ def _word_order(chunk: Chunk, n_buckets: int) -> tuple[np.ndarray, list[tuple[in
     return by_hash[order], parts
 
 
-def score_documents(documents: DataFrame) -> DataFrame:
+def score_documents(documents: DataFrame, exact: int = EXACT) -> DataFrame:
     """Score every whole text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score.
 
@@ -453,7 +576,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     Documents whose crc32(doc_id) modulo FOLDS is HELD_OUT are not learned from. A null or
     empty text is the end token alone. A null id is learned from, a repeated document is
     learned from and scored each time. Without training documents no token is known, and the
-    one symbol that is left has chance one.
+    one symbol that is left has chance one. `exact` changes what is sent, not the scores.
     """
     spark = documents.sparkSession
     docs = pick(documents, "doc_id", "text").withColumn(
@@ -481,42 +604,54 @@ def score_documents(documents: DataFrame) -> DataFrame:
                     ),
                 })
 
-    words = (
+    def laid_out(rows: DataFrame) -> DataFrame:
+        """Answers where their chunks are, once for all later depths."""
+        named = rows.withColumnRenamed("chunk", "part")
+        return named.repartition(n_parts, "part").persist(StorageLevel.MEMORY_AND_DISK)
+
+    words = laid_out(
         chunks.mapInArrow(ask_words, _UP).groupBy("bucket")
-        .applyInPandas(lambda rows: merge_words(rows, n_buckets), f"{_UP}, tokens bigint, known bigint, once bigint, twice bigint")
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        .applyInPandas(lambda rows: merge_words(rows, exact), f"{_UP}, tokens bigint, counts array<bigint>, words array<bigint>")
     )
-    tokens, known, once, twice = words.agg(*[F.sum(c) for c in ("tokens", "known", "once", "twice")]).first()
-    totals = Totals(
-        int(tokens or 0), int(known or 0),
-        min(max((once or 0) / max((once or 0) + 2 * (twice or 0), 1), 0.1), 0.9),
+    tokens = int(words.agg(F.sum("tokens")).first()[0] or 0)
+    # At most `exact` + 1 rows, whatever the corpus.
+    sizes = (
+        words.filter("counts is not null")
+        .select(F.explode(F.arrays_zip("counts", "words")).alias("of"))
+        .groupBy("of.counts").agg(F.max("of.words").alias("most"), F.sum("of.words").alias("all"))
+        .collect()
     )
-    answers = [words.select("chunk", "bucket", "data", F.lit(0).alias("depth"))]
-    heavies: list[dict[int, tuple[float, float]]] = []
+    words_of = {row["counts"]: int(row["all"]) for row in sizes}
+    known = sum(n for count, n in words_of.items() if count)
+    once, twice = words_of.get(1, 0), words_of.get(2, 0)
+    totals = Totals(tokens, known, min(max(once / max(once + 2 * twice, 1), 0.1), 0.9))
+    numbering = Numbering.of({row["counts"]: int(row["most"]) for row in sizes}, n_buckets, exact)
+    answers = [words.select("part", "bucket", "data", F.lit(0).alias("depth"))]
+    heavies: list[dict[tuple[int, ...], tuple[float, float]]] = []
 
     def arrive(row, replies: pd.DataFrame) -> Walk:
         """The chunk's walk, with all the replies that have come."""
         chunk = Chunk(row)
-        by: dict[int, list[bytes]] = {}
+        by: dict[int, list[list[np.ndarray]]] = {}
         for depth, data in zip(replies["depth"], replies["data"], strict=True):
-            by.setdefault(depth, []).append(bytes(data))
-        order, _ = _word_order(chunk, n_buckets)
+            by.setdefault(depth, []).append(unpacked(data))
+
+        def told(depth: int, i: int) -> np.ndarray:
+            parts = [reply[i] for reply in by.get(depth, [])]
+            return np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
+
+        order, parts = _word_order(chunk, n_buckets)
         counts, numbers = np.zeros(len(order), np.int64), np.zeros(len(order), np.uint64)
-        told = [unpacked(data) for data in by[0]]
-        counts[order] = np.concatenate([t[0] for t in told])
-        numbers[order] = np.concatenate([t[1] for t in told])
-        walk = Walk(chunk, counts, numbers, totals, n_buckets)
+        bucket = np.concatenate([np.full(p.stop - p.start, b) for b, p in parts])
+        counts[order] = told(0, 0)
+        numbers[order] = numbering.numbers(counts[order], told(0, 1), bucket)
+        walk = Walk(chunk, counts, numbers, totals, numbering)
         for depth, found in enumerate(heavies, 1):
-            cells, parts = walk.ask()
-            told = [unpacked(data) for data in by.get(depth, [])]
-            n, counted, kinds = (
-                np.concatenate([np.zeros(0, np.int64), *[t[i] for t in told]]).astype(np.int64)
-                for i in range(3)
-            )
-            first = _first_of(cells["context"], parts)
-            counted, kinds = counted[first], kinds[first]
-            some = np.flatnonzero(cells["heavy"])
-            for i, context in zip(some.tolist(), cells["context"][some].tolist(), strict=True):
+            asked = walk.ask()
+            n, counted, kinds = (told(depth, i) for i in range(3))
+            some = np.flatnonzero(asked.heavy)
+            contexts = zip(*[t[some].tolist() for t in asked.tokens], strict=True)
+            for i, context in zip(some.tolist(), contexts, strict=True):
                 counted[i], kinds[i] = found.get(context, (0, 0))
             walk.step(n, counted, kinds)
         return walk
@@ -527,47 +662,37 @@ def score_documents(documents: DataFrame) -> DataFrame:
             yield row, arrive(row, replies[replies["part"] == row["chunk"]])
 
     def ask_cells(rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row, walk in each(rows, replies):
-            cells, parts = walk.ask()
-            chance = _steps(_quantised(cells["chance"], cells["times"]))
-            heavy = cells["heavy"].astype(np.uint8)
-            for bucket, p in parts:
-                data = packed(
-                    _deltas(cells["context"][p]), cells["next"][p], cells["n"][p], chance[p], heavy[p]
-                )
-                out.append((row["chunk"], bucket, data))
+        out = [
+            (row["chunk"], bucket, data)
+            for row, walk in each(rows, replies) for bucket, data in walk.ask().messages()
+        ]
         return pd.DataFrame(out, columns=["chunk", "bucket", "data"])
 
     def together(fn, schema: str) -> DataFrame:
         replies = answers[0]
         for more in answers[1:]:
             replies = replies.union(more)
-        return chunks.groupBy("chunk").cogroup(
-            replies.withColumnRenamed("chunk", "part").groupBy("part")
-        ).applyInPandas(fn, schema)
+        return chunks.groupBy("chunk").cogroup(replies.groupBy("part")).applyInPandas(fn, schema)
 
     for depth in range(1, DEPTH + 1):
         least = LEAST[depth - 1]
-        merged = (
+        merged = laid_out(
             together(ask_cells, _UP).groupBy("bucket")
-            .applyInPandas(_merger(depth - 1), f"{_UP}, {_SUMS}")
-            .persist(StorageLevel.MEMORY_AND_DISK)
+            .applyInPandas(_merger(depth - 1, totals, numbering), f"{_UP}, {_SUMS}")
         )
-        rows = merged.filter("chunk = -1").groupBy("context").agg(
+        rows = merged.filter("part = -1").groupBy("context").agg(
             *[F.sum(c).alias(c) for c in SUMS]
         ).collect()
         sums = [np.array([row[c] for row in rows]) for c in SUMS]
         kept = keeps(*sums, least) if rows else []
         heavies.append({
-            row["context"]: (row["total" if least == 1 else "repeated"], row["kinds"])
+            tuple(row["context"]): (row["total" if least == 1 else "repeated"], row["kinds"])
             for row, keep in zip(rows, kept, strict=True) if keep
         })
         answers.append(
-            merged.filter("chunk >= 0").select("chunk", "bucket", "data", F.lit(depth).alias("depth"))
+            merged.filter("part >= 0").select("part", "bucket", "data", F.lit(depth).alias("depth"))
         )
 
-    ends_known = totals.tokens > 0
     log_total = math.log10(totals.tokens + totals.distinct + 1)
 
     def score(rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:

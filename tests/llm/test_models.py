@@ -84,7 +84,6 @@ def _brute_chances(training, depth=lm_scoring.DEPTH):
                 known[context] = False
             else:
                 below = np.array([chance(context, s, len(context) - 1) for s in seen])
-                below = 2.0 ** (-lm_scoring._quantised(below).astype(float))
                 sums = lm_scoring.gains(n, below, np.ones(len(n), bool), np.zeros(len(n), np.int64), 1)
                 known[context] = bool(lm_scoring.keeps(*sums, lm_scoring.LEAST[len(context) - 1])[0])
         return known[context]
@@ -129,27 +128,59 @@ def test_tree_against_dictionaries_on_documents(spark):
         assert row["score"] == pytest.approx(total, rel=1e-6)
 
 
-def test_contexts_are_tested_with_exact_chances(spark, monkeypatch):
-    """The same contexts are kept as with chances that no step has rounded."""
+def test_messages_come_back_as_sent():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        n = int(rng.integers(1, 60))
+        rows_ = np.unique(rng.integers(1, [3, 5, 1 << 40], (n, 3)), axis=0).astype(np.uint64)
+        opens = lm_scoring._changes([rows_[:, 0], rows_[:, 1]])
+        heads = rows_[opens]
+        shorter = lm_scoring._changes([heads[:, 0]])
+        above = [lm_scoring._spread(rng.integers(0, 900, shorter.sum()), shorter) for _ in range(2)]
+        size, heavy = np.diff(np.flatnonzero(opens), append=len(rows_)), rng.random(len(heads)) < 0.5
+        counts = [rng.integers(0, 1 << 34, len(rows_)) for _ in range(3)]
+        question = lm_scoring.Question(
+            [(4, slice(0, len(heads)), slice(0, len(rows_)))], [heads[:, 0], heads[:, 1]], size, heavy,
+            [tuple(above)], rows_[:, 2], counts[0], counts[1], [counts[2]],
+        )
+        [(bucket, data)] = question.messages()
+        back = lm_scoring.understood(data, 1)
+        assert bucket == 4
+        for got, sent in (
+            (back["tokens"], [heads[:, 0], heads[:, 1]]), (back["above"], above),
+            (back["context"], [size, heavy]), (back["cell"], [rows_[:, 2], *counts]),
+        ):
+            assert all(np.array_equal(g, s) for g, s in zip(got, sent, strict=True))
+
+
+@pytest.mark.parametrize("exact", [3, 1 << 16])
+def test_numbers_tell_counts(exact):
+    """Each word has a number of its own, lower for larger counts, that tells counts below `exact`."""
+    rng = np.random.default_rng(4)
+    buckets = [rng.zipf(1.5, 40) - 1 for _ in range(6)]
+    sizes, placed = {}, []
+    for b, total in enumerate(buckets):
+        here = Counter(np.minimum(total, exact).tolist())
+        sizes = {c: max(sizes.get(c, 0), here.get(c, 0)) for c in {*sizes, *here}}
+        seen = Counter()
+        for count in sorted(total.tolist(), reverse=True):
+            placed.append((count, seen[min(count, exact)], b))
+            seen[min(count, exact)] += 1
+    total, place, bucket = np.array(placed).T
+    numbering = lm_scoring.Numbering.of(sizes, len(buckets), exact)
+    numbers = numbering.numbers(total, place, bucket)
+    assert len(set(numbers.tolist())) == len(total) and numbers.min() >= 1
+    assert np.all(np.diff(np.minimum(total, exact)[np.argsort(numbers)]) <= 0)
+    assert np.array_equal(numbering.told(numbers), np.where(total < exact, total, 0))
+    assert numbering.told(np.zeros(1, np.uint64)).tolist() == [0]
+
+
+def test_frequent_words_send_their_counts(spark):
+    """Scores are the same whatever counts the numbers tell."""
     rows_ = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").filter("doc_id < 150")
-    found = lm_scoring.score_documents(rows_).collect()
-    monkeypatch.setattr(lm_scoring, "_quantised", lambda chance: -np.log2(chance))
-    tokens = {r["doc_id"]: [*r["text"].encode().lower().split(), None] for r in rows_.collect()}
-    chance, _ = _brute_chances([own for i, own in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2])
-    for row in found:
-        history, total = [None] * lm_scoring.DEPTH, 0.0
-        for symbol in tokens[row["doc_id"]]:
-            total += math.log10(chance(history, symbol))
-            history.append(symbol)
-        assert row["score"] == pytest.approx(total, rel=1e-6)
-
-
-def test_rounding_of_chances_is_bounded_over_a_context():
-    """However often a context occurs, what rounding adds to its gain stays far below GAIN."""
-    chance = np.random.default_rng(1).uniform(1e-9, 1, 1000)
-    for times in (2, 10, 1000, 10**6, 10**9):
-        sent = lm_scoring._steps(lm_scoring._quantised(chance, times)) / 2.0**lm_scoring.STEPS
-        assert np.max(np.abs(sent + np.log2(chance))) * times < 1e-3
+    all_told = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(rows_).collect()}
+    for row in lm_scoring.score_documents(rows_, exact=4).collect():
+        assert row["score"] == pytest.approx(all_told[row["doc_id"]], rel=1e-9)
 
 
 def _words_of_one_name(bits):
@@ -184,7 +215,7 @@ def test_cells_are_told_apart_by_all_bits():
     context = np.array([5 << 40, 5 << 40 | 1, 5 << 40, 7 << 40, 5 << 40], np.uint64)
     for wide in (3, 1 << 20, 1 << 40):
         symbol = np.array([wide, wide, wide, wide, wide - 1], np.uint64)
-        first, rank = lm_scoring._cells(context, symbol)
+        first, rank = lm_scoring._grouped(lm_scoring._keys([context, symbol]))
         assert rank.tolist() == [1, 2, 1, 3, 0] and len(first) == 4
         assert np.array_equal(context[first][rank], context) and np.array_equal(symbol[first][rank], symbol)
 
