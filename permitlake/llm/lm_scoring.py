@@ -50,7 +50,8 @@ HEAVY = 1e-5
 BLOCK = 8 << 20  # bytes of text in a chunk, about
 WORD_BITS = 48  # of a word's hash, besides those that its bucket stands for
 LEAST = (1, 2)  # count from which a symbol has a share of its own, by depth
-EXACT = 1 << 16  # words seen less often have a number that tells their count
+TOP = 1 << 17  # so many words at most are numbered without gaps
+LEVEL = 8  # contexts of a token are cut where it would be more than this part of a bucket
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -219,34 +220,47 @@ class Totals:
 
 @dataclasses.dataclass
 class Numbering:
-    """Words' numbers, from 1, frequent ones first: a range for each count below `exact`, and
-    one for all larger counts. `edges` are the first numbers of the ranges, `counts` theirs,
-    `exact` for the one of larger counts. There are at most `exact` + 1 ranges."""
+    """Words' numbers, from 1, frequent ones first, so that a number tells its word's count.
+
+    Words of `limit` occurrences and more (fewer than `top`) have the first numbers, without
+    gaps: for each such count and bucket there is a range. Below, each count has a range, in
+    which the buckets take turns, with gaps where a bucket has fewer words than another. For N
+    tokens there are at most `top` + sqrt(2 N) ranges, as counts that occur add up to N at most.
+    """
 
     n_buckets: int
-    exact: int
-    edges: np.ndarray
-    counts: np.ndarray
+    limit: int
+    edges: np.ndarray  # the ranges' first numbers, rising
+    counts: np.ndarray  # their counts, falling
+    slots: np.ndarray  # their places among the counts, times buckets, plus the bucket for frequent ones
 
     @classmethod
-    def of(cls, sizes: dict[int, int], n_buckets: int, exact: int = EXACT) -> Numbering:
-        """`sizes`: for each count, `exact` for all larger ones, the most words in a bucket."""
-        counts = np.array(sorted(sizes, reverse=True), np.int64)
-        room = np.array([sizes[c] for c in counts.tolist()], np.uint64) * np.uint64(n_buckets)
-        edges = np.cumsum(room, dtype=np.uint64) - room + np.uint64(1)
-        return cls(n_buckets, exact, edges, counts)
+    def of(cls, n_buckets: int, limit: int, frequent: np.ndarray, rare: np.ndarray) -> Numbering:
+        """`frequent` has rows of count, bucket, words in it; `rare` rows of count, most words in a
+        bucket."""
+        frequent = frequent[np.lexsort((frequent[:, 1], -frequent[:, 0]))]
+        rare = rare[np.argsort(-rare[:, 0])]
+        counts = np.concatenate([frequent[:, 0], rare[:, 0]])
+        bucket = np.concatenate([frequent[:, 1], np.zeros(len(rare), np.int64)])
+        room = np.concatenate([frequent[:, 2], rare[:, 1] * n_buckets]).astype(np.uint64)
+        slots = (np.cumsum(_changes([counts])) - 1) * n_buckets + bucket
+        return cls(n_buckets, limit, np.cumsum(room, dtype=np.uint64) - room + np.uint64(1), counts, slots)
 
     def numbers(self, total: np.ndarray, place: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """Of words with these counts and places among those of their bucket with that count."""
-        at = np.searchsorted(-self.counts, -np.minimum(total, self.exact))
-        return self.edges[at] + place.astype(np.uint64) * np.uint64(self.n_buckets) + bucket.astype(np.uint64)
+        each = self.counts[_changes([self.counts])]
+        slot = np.searchsorted(-each, -total) * self.n_buckets
+        dense = total >= self.limit
+        at = np.searchsorted(self.slots, slot + np.where(dense, bucket, 0))
+        within = np.where(dense, place, place * self.n_buckets + bucket)
+        return self.edges[at] + within.astype(np.uint64)
 
     def told(self, numbers: np.ndarray) -> np.ndarray:
-        """The counts that numbers tell; 0 where they do not."""
+        """The counts that numbers tell, 0 for the number 0."""
         if not len(self.edges):
             return np.zeros(len(numbers), np.int64)
         at = np.searchsorted(self.edges, numbers, "right") - 1
-        return np.where((at < 0) | (self.counts[at] == self.exact), 0, self.counts[at])
+        return np.where(at < 0, 0, self.counts[at])
 
 
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,9 +308,8 @@ class Question:
     """The cells of a chunk at one depth, bucket by bucket, each context's cells together.
 
     `tokens` (nearest first), `size` (cells), `heavy` and `above` (for each shorter context:
-    what it counts in all, and its kinds) are the contexts'; `symbol`, `n`, `count` (where the
-    symbol's number does not tell it) and `own` (its count after each shorter context) the
-    cells'.
+    what it counts in all, and its kinds) are the contexts'; `symbol`, `n` and `own` (its count
+    after each shorter context) the cells'.
     """
 
     parts: list[tuple[int, slice, slice]]  # bucket, contexts, cells
@@ -306,7 +319,6 @@ class Question:
     above: list[tuple[np.ndarray, np.ndarray]]
     symbol: np.ndarray
     n: np.ndarray
-    count: np.ndarray
     own: list[np.ndarray]
 
     def messages(self) -> Iterator[tuple[int, bytes]]:
@@ -323,11 +335,21 @@ class Question:
             size = self.size[contexts]
             opens = np.zeros(cells.stop - cells.start, bool)
             opens[np.cumsum(size) - size] = True
-            arrays += [size, self.heavy[contexts], _steps(self.symbol[cells], opens)]
-            arrays += [a[cells] for a in (self.n, self.count, *self.own)]
+            symbol = self.symbol[cells]
+            arrays += [size, self.heavy[contexts], _steps(symbol, opens), self.n[cells]]
+            # A symbol's count after a shorter context travels once.
+            for depth, own in enumerate(self.own, 1):
+                first, _ = _after(columns[:depth], size, symbol)
+                arrays.append(own[cells][first])
             yield bucket, packed(*arrays)
 
 
+def _after(tokens: list[np.ndarray], size: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_grouped for the cells' symbols after shorter contexts, in rising order of these."""
+    shorter = np.cumsum(_changes(tokens))
+    return _grouped(_keys([np.repeat(shorter, size), symbol]))
+
+
 def understood(data: bytes, depth: int) -> dict[str, list[np.ndarray]]:
     """A message's arrays again, those of shorter contexts at every context; `depth` from 0."""
     arrays = iter(unpacked(data))
@@ -342,10 +364,9 @@ def understood(data: bytes, depth: int) -> dict[str, list[np.ndarray]]:
     size, heavy, steps = next(arrays).astype(np.int64), next(arrays).astype(bool), next(arrays)
     opens = np.zeros(len(steps), bool)
     opens[np.cumsum(size) - size] = True
-    return {
-        "tokens": tokens, "above": above, "context": [size, heavy],
-        "cell": [_climbed(steps, opens), *[a.astype(np.int64) for a in arrays]],
-    }
+    symbol, n = _climbed(steps, opens), next(arrays).astype(np.int64)
+    own = [next(arrays).astype(np.int64)[_after(tokens[:k], size, symbol)[1]] for k in range(1, depth + 1)]
+    return {"tokens": tokens, "above": above, "context": [size, heavy], "cell": [symbol, n, *own]}
 
 
 class Walk:
@@ -379,13 +400,18 @@ class Walk:
         symbol = np.where(self.named, self.rank[chunk.symbol[at]], 0)
         first, cell = _grouped(_keys([*[self.rank[b[at]] for b in before], symbol]))
         one, named = at[first], self.named[first]
-        # A heavy context is cut by its symbols into as many parts as it has the weight for;
-        # each part goes to a bucket of its own.
+        # Contexts go by their nearest token, so that what they share travels once; those of a
+        # token that many texts have are cut by their other tokens. A heavy context is cut by its
+        # symbols into as many parts as it has the weight for.
         cuts = (self.times[one] / max(HEAVY * self.totals.tokens, 1)).astype(np.uint64)
         full = chunk.hashes[chunk.symbol[one]] >> np.uint64(11)
         mixed = np.where(named, full, np.uint64(0)) % (cuts + np.uint64(1))
-        for b in before:
-            mixed = _mixed(chunk.hashes[b[one]], mixed)
+        share = self.counts[before[0][one]] * (LEVEL * self.numbering.n_buckets / max(self.totals.tokens, 1))
+        rest = np.zeros(len(one), np.uint64)
+        for b in before[1:]:
+            rest = _mixed(chunk.hashes[b[one]], rest)
+        rest %= share.astype(np.uint64) + np.uint64(1)
+        mixed = _mixed(chunk.hashes[before[0][one]], _mixed(rest, mixed))
         order, parts = _dealt(_bucket(mixed, self.numbering.n_buckets))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -395,7 +421,6 @@ class Walk:
         self.context = np.cumsum(opens) - 1
         heads = np.flatnonzero(opens)
         edges = np.searchsorted(heads, [p.start for _, p in parts] + [len(one)])
-        counts = self.counts[chunk.symbol[one]]
         return Question(
             [(b, slice(i, j), p) for (b, p), i, j in zip(parts, edges[:-1], edges[1:], strict=True)],
             [self.numbers[b[one[heads]]] for b in before],
@@ -403,7 +428,6 @@ class Walk:
             [(counted[one[heads]], kinds[one[heads]]) for _, counted, kinds in self.levels],
             np.where(named, self.numbers[chunk.symbol[one]], np.uint64(0)),
             np.bincount(self.cell, chunk.learns[at], len(order)).astype(np.int64),
-            np.where(named & (counts >= self.numbering.exact), counts, 0),
             [np.where(named, own[one], 0) for own, _, _ in self.levels],
         )
 
@@ -445,18 +469,18 @@ def lowered(chance, own, counted, kinds):
 # --- buckets ----------------------------------------------------------------------------
 
 
-def merge_words(rows: pd.DataFrame, exact: int) -> pd.DataFrame:
+def merge_words(rows: pd.DataFrame) -> pd.DataFrame:
     """Adds up the counts of one bucket's words and answers every chunk in its own order.
 
-    Answers: a word's count, and its place among the bucket's words of that count, from `exact`
-    on among all of them. The first row tells how many words there are of each count.
+    Answers: a word's count, and its place among the bucket's words of that count. The first
+    row tells how many words there are of each count.
     """
     asked = [unpacked(d) for d in rows["data"]]
     words = np.concatenate([np.cumsum(w, dtype=np.uint64) for w, _ in asked])
     first, rank = _grouped(words)
     total = np.bincount(rank, np.concatenate([n for _, n in asked]), len(first)).astype(np.int64)
     order = np.argsort(-total, kind="stable")
-    new = _changes([np.minimum(total, exact)[order]])
+    new = _changes([total[order]])
     at = np.arange(len(order))
     place = np.empty(len(order), np.int64)
     place[order] = at - _spread(at[new], new)
@@ -468,7 +492,7 @@ def merge_words(rows: pd.DataFrame, exact: int) -> pd.DataFrame:
     })
     out["tokens"] = [int(total.sum()), *[0] * (len(out) - 1)]
     none = [None] * (len(out) - 1)
-    out["counts"] = pd.Series([np.minimum(total, exact)[order][new].tolist(), *none], dtype=object)
+    out["counts"] = pd.Series([total[order][new].tolist(), *none], dtype=object)
     out["words"] = pd.Series([np.diff(at[new], append=len(at)).tolist(), *none], dtype=object)
     return out
 
@@ -520,13 +544,13 @@ def merge_cells(rows: pd.DataFrame, depth: int, totals: Totals, numbering: Numbe
         return [np.concatenate(a) for a in zip(*[q[name] for q in asked], strict=True)]
 
     tokens, above, (size, heavy) = joined("tokens"), joined("above"), joined("context")
-    symbol, n, count, *own = joined("cell")
+    symbol, n, *own = joined("cell")
     head, context = _grouped(_keys(tokens))
     first, rank = _grouped(_keys([np.repeat(context, size), symbol]))
     of = np.repeat(np.arange(len(size)), size)[first]
     total = np.bincount(rank, n, len(first)).astype(np.int64)
-    symbol, count = symbol[first], count[first]
-    chance = totals.root(np.where(count > 0, count, numbering.told(symbol)))
+    symbol = symbol[first]
+    chance = totals.root(numbering.told(symbol))
     for k in range(depth):
         chance = lowered(chance, own[k][first], above[2 * k][of], above[2 * k + 1][of])
     sums = gains(total, chance, symbol > 0, context[of], len(head))
@@ -545,7 +569,7 @@ def merge_cells(rows: pd.DataFrame, depth: int, totals: Totals, numbering: Numbe
     out["context"] = None
     some = np.flatnonzero(held)
     extra = pd.DataFrame({
-        "chunk": np.full(len(some), -1), "bucket": rows["bucket"].iloc[0], "data": None,
+        "chunk": np.full(len(some), -1 - rows["bucket"].iloc[0]), "bucket": rows["bucket"].iloc[0], "data": None,
         "context": np.stack([t[head[some]] for t in tokens], 1).astype(np.int64).tolist(),
         **{name: sums[i][some] for i, name in enumerate(SUMS)},
     })
@@ -568,7 +592,7 @@ def _word_order(chunk: Chunk, n_buckets: int) -> tuple[np.ndarray, list[tuple[in
     return by_hash[order], parts
 
 
-def score_documents(documents: DataFrame, exact: int = EXACT) -> DataFrame:
+def score_documents(documents: DataFrame, top: int = TOP) -> DataFrame:
     """Score every whole text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score.
 
@@ -576,7 +600,7 @@ def score_documents(documents: DataFrame, exact: int = EXACT) -> DataFrame:
     Documents whose crc32(doc_id) modulo FOLDS is HELD_OUT are not learned from. A null or
     empty text is the end token alone. A null id is learned from, a repeated document is
     learned from and scored each time. Without training documents no token is known, and the
-    one symbol that is left has chance one. `exact` changes what is sent, not the scores.
+    one symbol that is left has chance one. `top` changes what is sent, not the scores.
     """
     spark = documents.sparkSession
     docs = pick(documents, "doc_id", "text").withColumn(
@@ -611,21 +635,31 @@ def score_documents(documents: DataFrame, exact: int = EXACT) -> DataFrame:
 
     words = laid_out(
         chunks.mapInArrow(ask_words, _UP).groupBy("bucket")
-        .applyInPandas(lambda rows: merge_words(rows, exact), f"{_UP}, tokens bigint, counts array<bigint>, words array<bigint>")
+        .applyInPandas(merge_words, f"{_UP}, tokens bigint, counts array<bigint>, words array<bigint>")
     )
     tokens = int(words.agg(F.sum("tokens")).first()[0] or 0)
-    # At most `exact` + 1 rows, whatever the corpus.
     sizes = (
         words.filter("counts is not null")
-        .select(F.explode(F.arrays_zip("counts", "words")).alias("of"))
-        .groupBy("of.counts").agg(F.max("of.words").alias("most"), F.sum("of.words").alias("all"))
-        .collect()
+        .select("bucket", F.explode(F.arrays_zip("counts", "words")).alias("of"))
+        .select("bucket", "of.counts", "of.words")
+    )
+    known, once, twice = (
+        int(n or 0) for n in sizes.agg(*[
+            F.sum(F.when(c, F.col("words")))
+            for c in (F.col("counts") > 0, F.col("counts") == 1, F.col("counts") == 2)
+        ]).first()
     )
-    words_of = {row["counts"]: int(row["all"]) for row in sizes}
-    known = sum(n for count, n in words_of.items() if count)
-    once, twice = words_of.get(1, 0), words_of.get(2, 0)
     totals = Totals(tokens, known, min(max(once / max(once + 2 * twice, 1), 0.1), 0.9))
-    numbering = Numbering.of({row["counts"]: int(row["most"]) for row in sizes}, n_buckets, exact)
+    # Bounded as Numbering says, and gathered in columns.
+    limit = tokens // top + 1
+    frequent, rare = (
+        np.stack([c.to_numpy() for c in frame.toArrow().columns], 1).astype(np.int64)
+        for frame in (
+            sizes.filter(F.col("counts") >= limit).select("counts", "bucket", "words"),
+            sizes.filter(F.col("counts") < limit).groupBy("counts").agg(F.max("words")),
+        )
+    )
+    numbering = Numbering.of(n_buckets, limit, frequent, rare)
     answers = [words.select("part", "bucket", "data", F.lit(0).alias("depth"))]
     heavies: list[dict[tuple[int, ...], tuple[float, float]]] = []
 
@@ -680,7 +714,7 @@ def score_documents(documents: DataFrame, exact: int = EXACT) -> DataFrame:
             together(ask_cells, _UP).groupBy("bucket")
             .applyInPandas(_merger(depth - 1, totals, numbering), f"{_UP}, {_SUMS}")
         )
-        rows = merged.filter("part = -1").groupBy("context").agg(
+        rows = merged.filter("part < 0").groupBy("context").agg(
             *[F.sum(c).alias(c) for c in SUMS]
         ).collect()
         sums = [np.array([row[c] for row in rows]) for c in SUMS]
