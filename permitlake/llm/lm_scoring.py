@@ -456,8 +456,8 @@ class Walk:
             self.alive = self.alive & (times >= 2)
             # After a context with one symbol only, so has every longer one.
             self.alive[level[2] == 1] = False
-            # What the shorter context has seen once at most, no longer one has seen twice.
-            self.known[at] = n >= 2
+            # What a shorter context has seen too seldom for a share, so has every longer one.
+            self.known[at] = n >= LEAST[self.depth]
 
 
 def lowered(chance, own, counted, kinds):
