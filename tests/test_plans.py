@@ -258,6 +258,37 @@ def test_tune_only_raises_the_shuffle_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_tasks_that_count_keys_stay_small(spark, tmp_path, monkeypatch):
+    """One task of `check_unique` gets no more of a large table than some two million keys:
+    neither from the files, nor by the shuffle, nor where partitions are merged."""
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    fewest = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    keys = spark.range(0, 4_000_000, 1, 1).select(F.xxhash64("id").alias("permit_id"))
+    keys.write.option("parquet.block.size", 2**20).parquet(f"{tmp_path}/permits")  # 32 MB
+    monkeypatch.setattr(entry.parquet, "stored_bytes", lambda *_: 2**31)
+    for name in sizes:
+        spark.conf.unset(name)
+    spark.conf.set(fewest, "1")
+    try:
+        found = entry.queries()["check_unique"](spark, FOLDER)
+        dealt = re.findall(r"hashpartitioning\(column#\d+, value#\d+, (\d+)\)", plan_of(found))
+        assert dealt and set(dealt) == {str(2**31 // 2**24)}
+        assert [spark.conf.get(name) for name in sizes] == [f"{2**24}b", f"{2**23}b"]
+        assert spark.read.parquet(f"{tmp_path}/permits").rdd.getNumPartitions() >= 2
+        tune(spark, shuffle_bytes=2**44)  # sizes are only lowered; Spark's own hold beyond
+        assert [spark.conf.get(name) for name in sizes] == [f"{2**24}b", f"{2**23}b"]
+        for name in sizes:
+            spark.conf.unset(name)
+        own = [spark.conf.get(name) for name in sizes]
+        tune(spark, shuffle_bytes=2**44)
+        assert [spark.conf.get(name) for name in sizes] == own
+    finally:
+        for name in (*sizes, fewest):
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_ids_keep_only_their_order_columns(spark):
     """What is stored to number rows has no column of the rows but those of the order."""
     rows = spark.range(100).select(
