@@ -28,9 +28,7 @@ Chunks and answers are persisted until the session ends or clears its cache.
 from __future__ import annotations
 
 import dataclasses
-import itertools
 import math
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,7 +38,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permitlake.llm.common import encoded, pick, remainder, small_batches
+from permitlake.llm.common import pick, remainder, small_batches
 
 FOLDS = 7
 HELD_OUT = 2
@@ -135,71 +133,91 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 # --- chunks -----------------------------------------------------------------------------
 
 
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """How many words each text has, all words' numbers in order of first places, from 1, and
+    the distinct words.
+
+    Arrow's ASCII functions take bytes as bytes.lower() and bytes.split() do, but have an empty
+    word where a text begins or ends with a space.
+    """
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.binary()).view(pa.string())))
+    flat = lists.flatten().dictionary_encode()
+    words, tokens = flat.dictionary.view(pa.binary()).to_numpy(False).tolist(), flat.indices.to_numpy()
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if b"" not in words:
+        return lengths, tokens + np.int32(1), words
+    empty = words.index(b"")
+    del words[empty]
+    real = tokens != empty
+    upto, ends = np.concatenate([[0], np.cumsum(real)]), np.cumsum(lengths)
+    tokens = tokens[real]
+    return upto[ends] - upto[ends - lengths], tokens + (tokens < empty), words
+
+
 def encode(documents: DataFrame) -> DataFrame:
-    """Chunks of documents: chunk, ids, words (the dictionary), data (lengths and tokens)."""
+    """Chunks of documents: chunk, ids, hashes (of the dictionary's words), docs (lengths and
+    which are learned from), tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+        import xxhash
 
         part = TaskContext.get().partitionId() << 32
         for number, batch in enumerate(small_batches(batches, "text", BLOCK)):
-            # A word's number is that of its first place in the chunk.
-            known: defaultdict[bytes, int] = defaultdict(itertools.count(1).__next__)
-            lengths, tokens = [], []
-            for text in encoded(batch):
-                own = text.lower().split()
-                lengths.append(len(own))
-                tokens.extend(map(known.__getitem__, own))
+            counts, tokens, words = _split(batch.column(1))
             learns = np.array(batch.column(2).to_pylist(), np.int64)
-            counts = np.array(lengths, np.int64)
-            words = zstandard.ZstdCompressor(level=1).compress(b" ".join(known))
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], "<u8")
             yield pa.RecordBatch.from_pydict({
                 "chunk": pa.array([part + number], pa.int64()),
                 "ids": pa.array([batch.column(0).to_pylist()], pa.list_(batch.schema.field(0).type)),
-                "words": pa.array([words], pa.binary()),
+                "hashes": pa.array([hashes.tobytes()], pa.binary()),
                 "docs": pa.array([packed(counts, learns)], pa.binary()),
-                "tokens": pa.array([packed(np.array(tokens, np.int32))], pa.binary()),
+                "tokens": pa.array([packed(tokens)], pa.binary()),
             })
+        pa.default_memory_pool().release_unused()  # the worker goes on without Arrow's functions
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text", "learns").mapInArrow(
-        run, f"chunk bigint, ids array<{kind}>, words binary, docs binary, tokens binary"
+        run, f"chunk bigint, ids array<{kind}>, hashes binary, docs binary, tokens binary"
     )
 
 
 class Chunk:
     """A chunk's positions: symbol, the tokens before it, and whether the text is learned from.
 
-    Tokens are numbers in the chunk's dictionary. The first two places of every text stand
-    for its beginning and are no positions themselves.
+    Tokens are numbers in the chunk's dictionary until they are laid out, then what `named` gives
+    for these. The first two places of every text stand for its beginning and are no positions
+    themselves.
     """
 
     def __init__(self, row) -> None:
-        import xxhash
-        import zstandard
-
-        words = zstandard.ZstdDecompressor().decompress(bytes(row["words"])).split()
-        self.hashes = np.array([1, *[xxhash.xxh64_intdigest(w) for w in words]], np.uint64)
+        self.hashes = np.concatenate([np.ones(1, np.uint64), np.frombuffer(row["hashes"], "<u8")])
         lengths, learns = unpacked(row["docs"])
-        self.lengths = lengths.astype(np.int64)
-        (tokens,) = unpacked(row["tokens"])
+        self.lengths, self.learning = lengths.astype(np.int64), learns.astype(bool)
+        (self.tokens,) = unpacked(row["tokens"])
+
+    def word_counts(self) -> np.ndarray:
+        learns = np.repeat(self.learning, self.lengths)
+        counts = np.bincount(self.tokens[learns], minlength=len(self.hashes))
+        counts[0] = self.learning.sum()  # the end token
+        return counts
+
+    def lay_out(self, named: np.ndarray) -> None:
         sizes = self.lengths + DEPTH + 1
         starts = np.cumsum(sizes) - sizes
-        stream = np.zeros(int(sizes.sum()), np.int32)
+        stream = np.full(int(sizes.sum()), named[0], np.int32)
         inside = np.ones(len(stream), bool)
         for k in range(DEPTH):
             inside[starts + k] = False
-        text = inside.copy()
-        text[starts + sizes - 1] = False
-        stream[text] = tokens
         at = np.flatnonzero(inside)
+        inside[starts + sizes - 1] = False
+        stream[inside] = named[self.tokens]
+        del self.tokens
         self.symbol = stream[at]
         self.before = [stream[at - k] for k in range(1, DEPTH + 1)]
-        self.owner = np.repeat(np.arange(len(sizes)), self.lengths + 1)
-        self.learns = learns[self.owner].astype(bool)
-
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.symbol[self.learns], minlength=len(self.hashes))
+        self.learns = np.repeat(self.learning, self.lengths + 1)
+        self.starts = np.cumsum(self.lengths + 1) - self.lengths - 1
 
 
 @dataclasses.dataclass
@@ -263,12 +281,26 @@ class Numbering:
         return np.where(at < 0, 0, self.counts[at])
 
 
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which the keys rise, equal ones as they came if the keys leave bits for their
+    places, and the keys in it."""
+    places = max(len(keys) - 1, 0).bit_length()
+    if int(keys.max(initial=0)).bit_length() + places > 64:
+        order = np.argsort(keys)
+        return order, keys[order]
+    # Numbers that end in their places are sorted faster than places by keys.
+    both = keys.astype(np.uint64) << np.uint64(places)
+    both |= np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    order = (both & np.uint64((1 << places) - 1)).view(np.int64)
+    both >>= np.uint64(places)
+    return order, both
+
+
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The place of one of each distinct key, in their order, and every key's rank."""
-    order = np.argsort(keys)
-    sorted_ = keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = sorted_[1:] != sorted_[:-1]
+    order, sorted_ = _sorted(keys)
+    new = _changes([sorted_])
     rank = np.empty(len(keys), np.int64)
     rank[order] = np.cumsum(new) - 1
     return order[new], rank
@@ -291,9 +323,8 @@ def _keys(columns: list[np.ndarray]) -> np.ndarray:
 
 def _dealt(buckets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     """An order in which each bucket's entries stand together, and where."""
-    order = np.argsort(buckets, kind="stable")
-    sorted_ = buckets[order]
-    edges = np.flatnonzero(np.diff(sorted_, prepend=-1, append=-1))
+    order, sorted_ = _sorted(buckets)
+    edges = np.append(np.flatnonzero(_changes([sorted_])), len(sorted_))
     return order, [
         (int(sorted_[a]), slice(int(a), int(b))) for a, b in zip(edges[:-1], edges[1:], strict=True)
     ]
@@ -370,100 +401,138 @@ def understood(data: bytes, depth: int) -> dict[str, list[np.ndarray]]:
 
 
 class Walk:
-    """A chunk on its way down the tree: chances of its symbols in the states found so far."""
+    """A chunk on its way down the tree: what its symbols have in the states found so far.
+
+    Tokens are ranks in the order of the words' numbers; words that are not learned from share 0.
+    """
 
     def __init__(
         self, chunk: Chunk, counts: np.ndarray, numbers: np.ndarray, totals: Totals, numbering: Numbering
     ) -> None:
         self.chunk, self.totals, self.numbering = chunk, totals, numbering
-        # Words that are learned from, by rank in the order of their numbers.
-        self.counts, self.numbers = counts, np.where(counts > 0, numbers, np.uint64(0))
-        _, rank = _grouped(self.numbers)
-        self.rank = rank + (self.numbers.min(initial=1) > 0)
-        self.chance = totals.root(counts)[chunk.symbol]
-        self.known = (counts > 0)[chunk.symbol]
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        first, rank = _grouped(np.where(counts > 0, numbers, np.uint64(0)))
+        if len(first) and counts[first[0]] > 0:  # 0 is no word's
+            first, rank = np.concatenate([first[:1], first]), rank + 1
+        self.counts, self.numbers, self.hashes = counts[first], numbers[first], chunk.hashes[first]
+        self.counts[:1] = self.numbers[:1] = 0
+        chunk.lay_out(rank.astype(np.int32))
+        self.known = chunk.symbol > 0
+        # By depth: the positions' cells, and what these count; the last cell stands for none.
+        self.levels: list[tuple[np.ndarray, list[np.ndarray]]] = []
         self.depth = 0
         # How often the context of the next depth occurs in training; below 2 it is not kept.
-        self.times = counts[chunk.before[0]]
+        self.times = self.counts[chunk.before[0]]
         self.alive = self.times >= 2
 
-    def ask(self) -> Question:
-        """The cells of the next depth.
+    def find(self) -> None:
+        """The cells of the next depth, and which position has which, bucket by bucket.
 
         Symbols that cannot have been seen twice after the context share the symbol 0.
         """
-        chunk = self.chunk
+        chunk, n_buckets, tokens = self.chunk, self.numbering.n_buckets, max(self.totals.tokens, 1)
         self.at = at = np.flatnonzero(self.alive)
-        before = chunk.before[: self.depth + 1]
-        self.named = self.known[at]
-        symbol = np.where(self.named, self.rank[chunk.symbol[at]], 0)
-        first, cell = _grouped(_keys([*[self.rank[b[at]] for b in before], symbol]))
-        one, named = at[first], self.named[first]
+        before = [b[at] for b in chunk.before[: self.depth + 1]]
+        group = before[0] if self.depth == 0 else _grouped(_keys(before))[1]
+        symbol = np.where(self.known[at], chunk.symbol[at], np.int32(0))
+        by_key, key = _sorted(_keys([group, symbol]))
+        new = _changes([key])
+        first = by_key[new]
+        self.symbol, opens = symbol[first], _changes([group[first]])
+        del group, symbol, key
+        heads = first[opens]
+        self.contexts = [b[heads] for b in before]
+        del before
         # Contexts go by their nearest token, so that what they share travels once; those of a
         # token that many texts have are cut by their other tokens. A heavy context is cut by its
         # symbols into as many parts as it has the weight for.
-        cuts = (self.times[one] / max(HEAVY * self.totals.tokens, 1)).astype(np.uint64)
-        full = chunk.hashes[chunk.symbol[one]] >> np.uint64(11)
-        mixed = np.where(named, full, np.uint64(0)) % (cuts + np.uint64(1))
-        share = self.counts[before[0][one]] * (LEVEL * self.numbering.n_buckets / max(self.totals.tokens, 1))
-        rest = np.zeros(len(one), np.uint64)
-        for b in before[1:]:
-            rest = _mixed(chunk.hashes[b[one]], rest)
+        share = self.counts[self.contexts[0]] * (LEVEL * n_buckets / tokens)
+        rest = np.zeros(len(heads), np.uint64)
+        for b in self.contexts[1:]:
+            rest = _mixed(self.hashes[b], rest)
         rest %= share.astype(np.uint64) + np.uint64(1)
-        mixed = _mixed(chunk.hashes[before[0][one]], _mixed(rest, mixed))
-        order, parts = _dealt(_bucket(mixed, self.numbering.n_buckets))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.cell, one, named = place[cell], one[order], named[order]
-        opens = _changes([b[one] for b in before])
-        opens[[p.start for _, p in parts]] = True
-        self.context = np.cumsum(opens) - 1
-        heads = np.flatnonzero(opens)
-        edges = np.searchsorted(heads, [p.start for _, p in parts] + [len(one)])
+        near = self.hashes[self.contexts[0]]
+        cuts = (self.times[at[heads]] / max(HEAVY * self.totals.tokens, 1)).astype(np.uint64)
+        context = np.cumsum(opens, dtype=np.int32) - np.int32(1)
+        bucket = _bucket(_mixed(near, _mixed(rest, np.uint64(0))), n_buckets)[context]
+        cut = np.flatnonzero((cuts > 0)[context])
+        of, word = context[cut], self.symbol[cut]
+        part = np.where(word > 0, self.hashes[word] >> np.uint64(11), np.uint64(0)) % (cuts[of] + np.uint64(1))
+        bucket[cut] = _bucket(_mixed(near[of], _mixed(rest[of], part)), n_buckets)
+        del cut, of, word, part, rest, near
+        order, self.parts = _dealt(bucket)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.cell = np.empty(len(at), np.int32)
+        self.cell[by_key] = _spread(place, new)
+        del bucket, place, by_key, new
+        self.symbol, self.one = self.symbol[order], at[first[order]]
+        self.group = context[order]
+        opens = _changes([self.group])
+        opens[[p.start for _, p in self.parts]] = True
+        self.context, self.heads = np.cumsum(opens, dtype=np.int32) - np.int32(1), np.flatnonzero(opens)
+        self.heavy = (cuts > 0)[self.group[self.heads]]
+
+    def named(self, which: np.ndarray | slice) -> list[np.ndarray]:
+        """The numbers of some contexts' tokens."""
+        group = self.group[self.heads[which]]
+        return [self.numbers[b[group]] for b in self.contexts]
+
+    def ask(self) -> Question:
+        """The cells that were found, as they are sent."""
+        chunk, heads, one = self.chunk, self.heads, self.one
+        edges = np.searchsorted(heads, [p.start for _, p in self.parts] + [len(one)])
+        counts = [(held[one], *values) for held, values in self.levels]
         return Question(
-            [(b, slice(i, j), p) for (b, p), i, j in zip(parts, edges[:-1], edges[1:], strict=True)],
-            [self.numbers[b[one[heads]]] for b in before],
-            np.diff(heads, append=len(one)), (cuts > 0)[order][heads],
-            [(counted[one[heads]], kinds[one[heads]]) for _, counted, kinds in self.levels],
-            np.where(named, self.numbers[chunk.symbol[one]], np.uint64(0)),
-            np.bincount(self.cell, chunk.learns[at], len(order)).astype(np.int64),
-            [np.where(named, own[one], 0) for own, _, _ in self.levels],
+            [(b, slice(i, j), p) for (b, p), i, j in zip(self.parts, edges[:-1], edges[1:], strict=True)],
+            self.named(slice(None)), np.diff(heads, append=len(one)), self.heavy,
+            [(counted[of[heads]], kinds[of[heads]]) for of, _, counted, kinds in counts],
+            self.numbers[self.symbol],
+            np.bincount(self.cell[chunk.learns[self.at]], minlength=len(one)),
+            [np.where(self.symbol > 0, own[of], 0) for of, own, _, _ in counts],
         )
 
     def step(self, n: np.ndarray, counted: np.ndarray, kinds: np.ndarray) -> None:
         """Go down one depth with the counts of the cells and, for each context, what it counts
         in all and its kinds, which is 0 where it is not kept."""
-        at, context = self.at, self.context[self.cell]
         # A cell of unnamed symbols counts them all; none of them has been seen twice.
-        n = np.where(self.named, n[self.cell], 0)
-        level = tuple(np.zeros(len(self.alive), np.int64) for _ in range(3))
-        level[1][at], level[2][at] = counted[context], kinds[context]
-        level[0][at] = np.where((n >= LEAST[self.depth]) & (level[2][at] > 0), n, 0)
-        self.levels.append(level)
-        self.chance = lowered(self.chance, *level)
+        n = np.where(self.symbol > 0, n, 0)
+        counted, kinds = counted[self.context], kinds[self.context]
+        del self.symbol, self.one, self.group, self.context, self.heads, self.contexts
+        own = np.where((n >= LEAST[self.depth]) & (kinds > 0), n, 0)
+        held = np.full(len(self.alive), len(n), np.int32)
+        held[self.at] = self.cell
+        self.levels.append((held, [np.append(v, 0) for v in (own, counted, kinds)]))
         self.depth += 1
         if self.depth < DEPTH:
+            # What a shorter context has seen too seldom for a share, so has every longer one.
+            self.known[self.at] = (n >= LEAST[self.depth])[self.cell]
+            # After a context with one symbol only, so has every longer one.
+            self.alive[self.at] = (kinds != 1)[self.cell]
             # The longer context's count is that of the cell one position earlier, whose
             # symbol is now the nearest token of the context.
-            seen = np.zeros(len(self.alive), np.int64)
-            seen[at] = n
-            times = np.concatenate([[0], seen[:-1]])
-            opens = np.concatenate([[True], self.chunk.owner[1:] != self.chunk.owner[:-1]])
+            times = np.zeros(len(self.alive) + 1, np.int64)
+            times[1:][self.at] = n[self.cell]
             # Before the first symbol there are only beginnings, as often as texts.
-            times[opens] = self.times[opens]
-            self.times = times
-            self.alive = self.alive & (times >= 2)
-            # After a context with one symbol only, so has every longer one.
-            self.alive[level[2] == 1] = False
-            # What a shorter context has seen too seldom for a share, so has every longer one.
-            self.known[at] = n >= LEAST[self.depth]
-
-
-def lowered(chance, own, counted, kinds):
-    """Chances in a context, from those in its suffix; kinds is 0 where it is not kept."""
+            times[self.chunk.starts] = self.times[self.chunk.starts]
+            self.times = times[:-1]
+            self.alive &= self.times >= 2
+        del self.at, self.cell
+
+    def chances(self) -> np.ndarray:
+        """The chances of all symbols in the states found."""
+        chance = self.totals.root(self.counts)[self.chunk.symbol]
+        for held, values in self.levels:
+            share, left = lowering(*values)
+            chance *= left[held]
+            chance += share[held]
+        return chance
+
+
+def lowering(own, counted, kinds):
+    """What symbols have in a context, and the part that they get of their chance in its suffix;
+    kinds and own are 0 where it is not kept."""
     below = np.maximum(counted + kinds, 1)
-    return np.where(kinds > 0, own / below + kinds / below * chance, chance)
+    return own / below, np.where(kinds > 0, kinds / below, 1.0)
 
 
 # --- buckets ----------------------------------------------------------------------------
@@ -552,7 +621,8 @@ def merge_cells(rows: pd.DataFrame, depth: int, totals: Totals, numbering: Numbe
     symbol = symbol[first]
     chance = totals.root(numbering.told(symbol))
     for k in range(depth):
-        chance = lowered(chance, own[k][first], above[2 * k][of], above[2 * k + 1][of])
+        share, left = lowering(own[k][first], above[2 * k][of], above[2 * k + 1][of])
+        chance = share + left * chance
     sums = gains(total, chance, symbol > 0, context[of], len(head))
     held = heavy[head]
     kept = keeps(*sums, least) & ~held
@@ -681,10 +751,10 @@ def score_documents(documents: DataFrame, top: int = TOP) -> DataFrame:
         numbers[order] = numbering.numbers(counts[order], told(0, 1), bucket)
         walk = Walk(chunk, counts, numbers, totals, numbering)
         for depth, found in enumerate(heavies, 1):
-            asked = walk.ask()
+            walk.find()
             n, counted, kinds = (told(depth, i) for i in range(3))
-            some = np.flatnonzero(asked.heavy)
-            contexts = zip(*[t[some].tolist() for t in asked.tokens], strict=True)
+            some = np.flatnonzero(walk.heavy)
+            contexts = zip(*[t.tolist() for t in walk.named(some)], strict=True)
             for i, context in zip(some.tolist(), contexts, strict=True):
                 counted[i], kinds[i] = found.get(context, (0, 0))
             walk.step(n, counted, kinds)
@@ -696,10 +766,10 @@ def score_documents(documents: DataFrame, top: int = TOP) -> DataFrame:
             yield row, arrive(row, replies[replies["part"] == row["chunk"]])
 
     def ask_cells(rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        out = [
-            (row["chunk"], bucket, data)
-            for row, walk in each(rows, replies) for bucket, data in walk.ask().messages()
-        ]
+        out = []
+        for row, walk in each(rows, replies):
+            walk.find()
+            out += [(row["chunk"], bucket, data) for bucket, data in walk.ask().messages()]
         return pd.DataFrame(out, columns=["chunk", "bucket", "data"])
 
     def together(fn, schema: str) -> DataFrame:
@@ -733,14 +803,14 @@ def score_documents(documents: DataFrame, top: int = TOP) -> DataFrame:
         parts = []
         for row, walk in each(rows, replies):
             chunk = walk.chunk
-            n_docs, owner = len(chunk.lengths), chunk.owner
+            n_docs, owner = len(chunk.lengths), np.repeat(np.arange(len(chunk.lengths)), chunk.lengths + 1)
             seen = walk.counts[chunk.symbol]
             parts.append(pd.DataFrame({
                 "doc_id": list(row["ids"]),
                 "n_tokens": chunk.lengths + 1,
                 "n_known": np.bincount(owner, seen > 0, n_docs).astype(np.int64),
                 "base_score": np.bincount(owner, np.log10(seen + 1.0) - log_total, n_docs),
-                "score": np.bincount(owner, np.log10(walk.chance), n_docs),
+                "score": np.bincount(owner, np.log10(walk.chances()), n_docs),
             }))
         return pd.concat(parts)
 

@@ -5,8 +5,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd_rows import labels, no_documents, odd_documents, rows
+from pyspark.sql import functions as F
 
 from permitlake.llm import lm_scoring, quality, queries, toxicity
 
@@ -214,6 +216,74 @@ def test_words_of_similar_hashes_stay_apart(spark):
         assert row["score"] == pytest.approx(total, rel=1e-6)
 
 
+def test_words_are_hashed_once(spark, monkeypatch):
+    """What reads a chunk again, as four stages do, has its words' hashes from the first."""
+    import xxhash
+
+    frame = spark.createDataFrame([(1, " The end of\tthe END ", 1), (2, None, 0), (3, "end", 1)],
+                                  "doc_id bigint, text string, learns int")
+    [row] = lm_scoring.encode(frame.coalesce(1)).collect()
+    hashes = [xxhash.xxh64_intdigest(w) for w in (b"the", b"end", b"of")]
+
+    def refuse(word):
+        raise AssertionError(f"{word} is hashed again")
+
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", refuse)
+    chunk = lm_scoring.Chunk(row.asDict())
+    assert chunk.hashes.tolist() == [1, *hashes] and chunk.lengths.tolist() == [5, 0, 1]
+    assert chunk.word_counts().tolist() == [2, 2, 3, 1]  # two texts' ends, the, end, of
+
+
+def test_a_chunk_is_placed_again_without_its_messages(spark, monkeypatch):
+    """Later stages repeat where a chunk's cells are, not what it asked."""
+    rows_ = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").filter("doc_id < 40")
+    [row] = lm_scoring.encode(rows_.withColumn("learns", F.lit(1)).coalesce(1)).collect()
+    chunk = lm_scoring.Chunk(row.asDict())
+    counts = chunk.word_counts()
+    numbers = np.empty(len(counts), np.uint64)
+    numbers[np.argsort(-counts, kind="stable")] = np.arange(1, len(counts) + 1)
+    totals = lm_scoring.Totals(int(counts.sum()), len(counts), 0.5)
+    numbering = lm_scoring.Numbering(8, 1, np.zeros(0), np.zeros(0), np.zeros(0))
+    walk = lm_scoring.Walk(chunk, counts, numbers, totals, numbering)
+    walk.find()
+    asked = walk.ask()
+    monkeypatch.setattr(lm_scoring, "Question", None)
+    again = lm_scoring.Walk(lm_scoring.Chunk(row.asDict()), counts, numbers, totals, numbering)
+    again.find()
+    assert np.array_equal(again.cell, walk.cell) and np.array_equal(again.heavy, asked.heavy)
+    for which in (slice(None), np.flatnonzero(asked.heavy)):
+        for got, sent in zip(again.named(which), asked.tokens, strict=True):
+            assert np.array_equal(got, sent[which])
+    # Each position's cell has its context and its symbol.
+    assert np.array_equal(asked.symbol[walk.cell], walk.numbers[chunk.symbol[walk.at]])
+    owner = np.repeat(np.arange(len(asked.size)), asked.size)
+    assert np.array_equal(asked.tokens[0][owner[walk.cell]], walk.numbers[chunk.before[0][walk.at]])
+    assert np.array_equal(np.bincount(walk.cell), asked.n)
+
+
+def test_words_are_split_as_bytes_are():
+    rng = np.random.default_rng(6)
+    signs = [*map(chr, range(300)), *" " * 60, "\u00a0", "\u0085", "\u3000", "\U0001f600"]
+    for size in [0, 1, 3, 40] * 50:
+        texts = [
+            None if rng.random() < 0.1 else "".join(rng.choice(signs, rng.integers(0, size + 1)))
+            for _ in range(5)
+        ]
+        own = [(t or "").encode().lower().split() for t in texts]
+        lengths, tokens, words = lm_scoring._split(pa.array(["cut off", *texts], pa.string()).slice(1))
+        assert lengths.tolist() == [len(o) for o in own]
+        assert words == list(dict.fromkeys(w for o in own for w in o))
+        assert [words[t - 1] for t in tokens] == [w for o in own for w in o]
+
+
+@pytest.mark.parametrize("top", [9, 1 << 40, (1 << 64) - 1])
+def test_keys_of_any_width_are_grouped(top):
+    keys = np.array([top, 3, top, 0, 3, top - 1], np.uint64)
+    first, rank = lm_scoring._grouped(keys)
+    assert rank.tolist() == [3, 1, 3, 0, 1, 2] and keys[first].tolist() == [0, 3, top - 1, top]
+    assert [len(a) for a in lm_scoring._grouped(keys[:0])] == [0, 0]
+
+
 def test_cells_are_told_apart_by_all_bits():
     context = np.array([5 << 40, 5 << 40 | 1, 5 << 40, 7 << 40, 5 << 40], np.uint64)
     for wide in (3, 1 << 20, 1 << 40):
